@@ -1,0 +1,114 @@
+"""Policies: rules in order, first match wins; evaluated as one expression so that nothing is joined or shuffled."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.canonical import length16
+
+MAX_VALUE = 4096
+
+
+@dataclass(frozen=True)
+class Rule:
+    action: str
+    server: tuple[str, ...] = ("**",)
+    tool: tuple[str, ...] = ("**",)
+    args: dict[str, str] = field(default_factory=dict)  # JSON path to regex
+    any_arg: str | None = None
+    max_bytes: int | None = None
+    rule_id: str | None = None
+    reason: str | None = None
+
+
+def glob_regex(glob: str, delimiter: str = "/") -> str:
+    """Anchored regex: * stays within a segment, runs of ** cross delimiters, the rest is literal."""
+    parts = re.split(r"(\*+)", glob)
+    stop = re.escape(delimiter)
+    body = "".join((".*" if len(p) > 1 else f"[^{stop}]*") if p.startswith("*") else re.escape(p) for p in parts)
+    return f"^(?s:{body})$"
+
+
+def matches_any(value: Column, globs: tuple[str, ...], delimiter: str = "/") -> Column:
+    if any(set(g) == {"*"} and len(g) > 1 for g in globs):
+        return value.isNotNull()
+    return F.coalesce(value.rlike("|".join(f"(?:{glob_regex(g, delimiter)})" for g in globs)), F.lit(False))
+
+
+def _state(rule: Rule, server: Column, tool: Column, args: Column) -> Column:
+    """match, error or null, in the order server, tool, args, any_arg, size: what fails earlier hides later errors."""
+    tests: list[tuple[Column, Column]] = []  # (error, match)
+    parsed = F.try_parse_json(args)
+    for path, pattern in rule.args.items():
+        value = F.try_variant_get(parsed, path, "string")
+        tests.append((length16(value) > MAX_VALUE, F.coalesce(value.rlike(pattern), F.lit(False))))
+    if rule.any_arg is not None:
+        tests.append((length16(args) > 256 * 1024, F.coalesce(args.rlike(rule.any_arg), F.lit(False))))
+    if rule.max_bytes is not None:
+        tests.append((F.lit(False), F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False))))
+    state = F.when(~(matches_any(server, rule.server) & matches_any(tool, rule.tool)), F.lit(None))
+    for error, match in tests:
+        state = state.when(F.coalesce(error, F.lit(False)), "error").when(~match, F.lit(None))
+    return state.otherwise("match")
+
+
+def evaluate(calls: DataFrame, rules: list[Rule], default: str = "allow", server: str = "server", tool: str = "tool", args: str = "args") -> DataFrame:
+    """calls with action, rule and fail_closed. A rule that can't be evaluated denies."""
+    name = lambda i: rules[i].rule_id or f"rule[{i}]"
+    verdict = lambda action, rule, closed: F.struct(F.lit(action).alias("action"), F.lit(rule).cast("string").alias("rule"), F.lit(closed).alias("fail_closed"))
+    steps = []
+    for i, rule in enumerate(rules):
+        state = _state(rule, F.col(server), F.col(tool), F.col(args))
+        steps.append(F.when(state == "error", verdict("deny", name(i), True)).when(state == "match", verdict(rule.action, name(i), False)))
+    return calls.withColumn("v", F.coalesce(*steps, verdict(default, None, False))).select("*", "v.*").drop("v")
+
+
+def egress(requests: DataFrame, rules: list[dict], default: str = "deny") -> DataFrame:
+    """Requests (host, method, path) against rules with host globs, methods and path globs."""
+    steps = [F.when(matches_any(F.col("host"), tuple(r["host"]), ".") & (F.col("method").isin(*r["methods"]) if r.get("methods") else F.lit(True)) & matches_any(F.col("path"), tuple(r.get("path", ("**",)))), F.struct(F.lit(r["action"]).alias("action"), F.lit(f"rule[{i}]").alias("rule"))) for i, r in enumerate(rules)]
+    return requests.withColumn("v", F.coalesce(*steps, F.struct(F.lit(default).alias("action"), F.lit(None).cast("string").alias("rule")))).select("*", "v.*").drop("v")
+
+
+def hook(name: Column, deny: list[str], allow: list[str], default: str, alias: Column | None = None) -> Column:
+    """Deny patterns on name or alias, then allow patterns on the name, then the default."""
+    hit = lambda c, ps: reduce(lambda a, b: a | b, [c.rlike(p) for p in ps], F.lit(False))
+    denied = hit(name, deny) | (F.coalesce(hit(alias, deny), F.lit(False)) if alias is not None else F.lit(False))
+    return F.when(denied, "deny").when(hit(name, allow), "allow").otherwise(F.lit(default))
+
+
+def coverage(evaluated: DataFrame) -> DataFrame:
+    """Tools per server and action, with totals; a server with nothing denied or held fails."""
+    per = evaluated.groupBy("server").agg(F.count_if(F.col("action") == "deny").alias("denied"), F.count_if(F.col("action") == "hold").alias("held"), F.count_if(F.col("action") == "allow").alias("allowed"))
+    return per.withColumn("verdict", F.when(F.col("denied") + F.col("held") == 0, "FAIL").otherwise("ok"))
+
+
+def spellings(server: Column, tool: Column) -> Column:
+    """Names under which clients may call a tool."""
+    return F.array_distinct(F.array(tool, F.concat(F.lit("mcp__"), server, F.lit("__"), tool), F.concat(F.lit("mcp__"), F.initcap(server), F.lit("__"), tool), F.concat(server, F.lit("."), tool)))
+
+
+def drift(tools: DataFrame, patterns: list[str]) -> DataFrame:
+    """Deny patterns that match some spellings of a tool and miss others."""
+    spelled = tools.select("server", "tool", F.explode(spellings(F.col("server"), F.col("tool"))).alias("name"))
+    tests = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col("name").rlike(p).alias("hit")) for p in patterns])).alias("t")
+    per = spelled.select("server", "tool", "name", tests).select("server", "tool", "name", "t.*")
+    counted = per.groupBy("pattern", "server", "tool").agg(F.count_if("hit").alias("matched"), F.count_if(~F.col("hit")).alias("missed"))
+    return counted.where("matched > 0 and missed > 0")
+
+
+def lint(rules: DataFrame) -> DataFrame:
+    """(policy_hash, rule_id, problem): ids used twice and rules with empty globs."""
+    twice = rules.groupBy("policy_hash", "rule_id").agg(F.count("*").alias("n")).where("n > 1").select("policy_hash", "rule_id", F.lit("duplicate_id").alias("problem"))
+    empty = rules.where(F.exists(F.concat("server", "tool"), lambda g: F.trim(g) == "")).select("policy_hash", "rule_id", F.lit("empty_glob").alias("problem"))
+    return twice.unionByName(empty)
+
+
+def compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Calls that two policies decide differently."""
+    both = a.select(key, F.col("action").alias("before")).join(b.select(key, F.col("action").alias("after")), key, "full")
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
