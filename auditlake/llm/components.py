@@ -14,17 +14,23 @@ def _star(neighbours: DataFrame, keep: F.Column) -> DataFrame:
     return neighbours.where(keep).join(least, "u")
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours (v) are tied to the least of them; many links of a node become one."""
+    tied = _star(edges, F.lit(True))
+    pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return tied.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in the links; component: the least id reachable. Nulls and self-links are ignored."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b))).distinct()
-    edges = materialize(edges, "links")
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()
+    edges = materialize(_small_star(edges), "links")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _star(large, F.lit(True)).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialize(small, "links")
+        edges = materialize(_small_star(large), "links")
         after = mark(edges)
         if after == before:
             break

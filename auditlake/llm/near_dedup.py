@@ -3,9 +3,10 @@
 Every distinct shingle set gets a MinHash signature. A set is posted under its (coordinate, value) pairs, rarest
 first, and only as many of them as a pair of sets above the match threshold must share (the prefix); pairs that no other
 set has are skipped. Within a posting the sets are tied to one leader a round, chosen by another hash each time, and
-only while posting members are in different components; what is left after the star rounds is compared with all
-members of its postings. Pairs whose signatures agree in too few coordinates go, the rest is confirmed on the full
-sets. So a group of n copies costs about n comparisons, and none of its links that could join two components is lost.
+only while posting members are in different components. What is left after the star rounds is dealt to crowds (sets that
+postings tie together) and, by size, to blocks of bounded length; blocks meet in pairs, as one row each, where the sizes
+allow a link. Pairs whose signatures agree in too few coordinates go, the rest is confirmed on the full sets. So a group
+of n copies costs about n comparisons, and none of its links that could join two components is lost.
 """
 
 from __future__ import annotations
@@ -94,6 +95,72 @@ def _confirmed(percent: int):
     return run
 
 
+_BLOCK = 128
+
+
+def _signature_block(key, table):
+    ids = table["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    marks = np.array(table["signature"].to_pylist(), np.int32)[order]
+    return pa.table({"block": [key[0].as_py()], "crowd": [key[1].as_py()], "level": pa.array([key[2].as_py()], pa.int32()), "outside": [any(table["outside"].to_pylist())], "ids": pa.array([ids[order].tobytes()], pa.binary()), "components": pa.array([table["component"].to_numpy()[order].tobytes()], pa.binary()), "signatures": pa.array([marks.tobytes()], pa.binary())})
+
+
+def _set_block(key, table):
+    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
+    blobs = table["shingles"].to_pylist()
+    blobs = [blobs[i] for i in order]
+    return pa.table({"block": [key[0].as_py()], "ids": pa.array([table["doc_id"].to_numpy()[order].tobytes()], pa.binary()), "sizes": pa.array([np.array([len(b) // 8 for b in blobs], np.int64).tobytes()], pa.binary()), "shingles": pa.array([b"".join(blobs)], pa.binary())})
+
+
+def _agreeing(agree: int):
+    """Of each pair of blocks: the pairs in different components whose signatures agree enough."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                (x, c, s), (y, d, t) = (tuple(np.frombuffer(row[f"{f}_{k}"], kind) for f, kind in (("ids", np.int64), ("components", np.int64), ("signatures", np.int32))) for k in (1, 2))
+                s, t = s.reshape(len(x), -1), t.reshape(len(y), -1)
+                same = np.zeros((len(x), len(y)), np.int32)
+                for i in range(s.shape[1]):
+                    same += s[:, i, None] == t[None, :, i]
+                i, j = np.nonzero((same >= agree) & (c[:, None] != d[None, :]))
+                if i.size:
+                    rows.append((row["block_1"], row["block_2"], [{"a": a, "b": b} for a, b in zip(x[i].tolist(), y[j].tolist())]))
+            if rows:
+                a, b, p = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["block_1", "block_2", "pairs"])
+
+    return run
+
+
+def _linked_blocks(percent: int):
+    """All links between the sets of two blocks, by one product of their incidence matrices over common shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, sizes, sets = ([np.frombuffer(row[f"{f}_{k}"], kind) for k in (1, 2)] for f, kind in (("ids", np.int64), ("sizes", np.int64), ("shingles", np.uint64)))
+                common = np.intersect1d(sets[0], sets[1])
+                total = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+                for at in range(0, len(common), 8192):
+                    part, held = common[at : at + 8192], []
+                    for n, shingles in zip(sizes, sets):
+                        place = np.minimum(np.searchsorted(part, shingles), len(part) - 1)
+                        hit = part[place] == shingles
+                        matrix = np.zeros((len(n), len(part)), np.float32)
+                        matrix[np.repeat(np.arange(len(n)), n)[hit], place[hit]] = 1
+                        held.append(matrix)
+                    total += held[0] @ held[1].T
+                union = sizes[0][:, None] + sizes[1][None, :] - total
+                i, j = np.nonzero((100 * total >= percent * union) & (ids[0][:, None] != ids[1][None, :]))
+                if i.size:
+                    x, y = ids[0][i], ids[1][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return run
+
+
 class _Join:
     """Candidate pairs of sets, round by round."""
 
@@ -108,7 +175,7 @@ class _Join:
         together = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
         self.postings = materialize(posted.join(together, "token"), "postings")
         ids = self.postings.select("doc_id").distinct()
-        self.signatures = signed.select("doc_id", "signature")
+        self.signatures = signed.select("doc_id", "n", "signature")
         self.sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, shingles binary"), "sets")
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -127,11 +194,29 @@ class _Join:
         return self.pairs(postings.join(leaders, "token").select("doc_id", "component", F.col("l.doc_id").alias("other"), F.col("l.component").alias("theirs")))
 
     def rest(self, postings: DataFrame) -> DataFrame:
-        """All pairs of members in different components: one of the two is outside the posting's largest component."""
-        sizes = postings.groupBy("token", "component").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        outside = postings.join(main, "token").where("component <> main").select("token", F.col("doc_id").alias("other"), F.col("component").alias("theirs"))
-        return self.pairs(outside.join(postings, "token"))
+        """Links between different components of what star rounds left, by pairs of blocks within a crowd."""
+        least = postings.groupBy("token").agg(F.min("doc_id").alias("other"))
+        ties = postings.join(least, "token").select("doc_id", "other").distinct()
+        crowds = connected_components(ties, "doc_id", "other").select(F.col("id").alias("doc_id"), F.col("component").alias("crowd"))
+        left = postings.select("doc_id", "component").distinct().join(crowds, "doc_id").join(self.signatures, "doc_id")
+        main = left.groupBy("crowd", "component").agg(F.count("*").alias("k")).groupBy("crowd").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent)) + 1e-9).cast("int")  # sets that link are at most one level apart
+        left = left.join(main, "crowd").withColumn("level", size)
+        parts = left.groupBy("crowd", "level").agg(F.ceil(F.count("*") / _BLOCK).alias("parts"))
+        block = F.struct("crowd", "level", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+        left = materialize(left.join(parts, ["crowd", "level"]).select("doc_id", "component", (F.col("component") != F.col("main")).alias("outside"), "signature", "crowd", "level", F.xxhash64(block).alias("block")), "crowds")
+        blocks = left.groupBy("block", "crowd", "level").applyInArrow(_signature_block, "block long, crowd long, level int, outside boolean, ids binary, components binary, signatures binary")
+        side = lambda k: blocks.select("crowd", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "level", "outside", "ids", "components", "signatures")))
+        nearby = (F.col("level_2") == F.col("level_1") + 1) | ((F.col("level_2") == F.col("level_1")) & (F.col("block_1") <= F.col("block_2")))
+        met = side(1).join(side(2), "crowd").where(nearby & (F.col("outside_1") | F.col("outside_2")))
+        found = materialize(met.mapInArrow(_agreeing(self.agree), "block_1 long, block_2 long, pairs array<struct<a:bigint,b:bigint>>"), "agreeing")
+        few = F.size("pairs") < _BLOCK
+        single = found.where(few).select(F.explode("pairs").alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+        sets = left.select("doc_id", "block").join(self.sets, "doc_id").groupBy("block").applyInArrow(_set_block, "block long, ids binary, sizes binary, shingles binary")
+        of = lambda k: sets.select(F.col("block").alias(f"block_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "sizes", "shingles")))
+        dense = found.where(~few).select("block_1", "block_2").join(of(1), "block_1").join(of(2), "block_2")
+        linked = dense.mapInArrow(_linked_blocks(self.percent), "a long, b long")
+        return materialize(self.links(single).unionByName(linked), "links")
 
     def pairs(self, members: DataFrame) -> DataFrame:
         return members.where("component <> theirs").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
@@ -150,7 +235,7 @@ class _Join:
         return found.where("linked").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordinates: int = 32, agree: int = 12, stars: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordinates: int = 32, agree: int = 12, stars: int = 2) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
     Words are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct runs of ``width`` words, or the
@@ -167,13 +252,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
         signed = materialize(keyed.mapInArrow(_signatures(width, coordinates), "doc_id long, n long, d1 long, d2 long, signature array<int>").unionByName(signed.where("doc_id is null")), "signatures")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     full = signed.where("n > 0").join(classes.select("rep", F.lit(True).alias("first")), F.col("doc_id") == F.col("rep"), "left_semi")
-    join = _Join(keyed, full.select("doc_id", "signature"), width, percent, coordinates, agree)
+    join = _Join(keyed, full.select("doc_id", "n", "signature"), width, percent, coordinates, agree)
     links = None
     for turn in range(stars + 1):
         postings = join.unsettled()
         if turn and postings.limit(1).count() == 0:
             break
-        new = join.links(join.rest(postings) if turn == stars else join.stars(postings, turn))
+        new = join.rest(postings) if turn == stars else join.links(join.stars(postings, turn))
         links = new if links is None else links.unionByName(new)
         join.labels = connected_components(links)
     members = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
