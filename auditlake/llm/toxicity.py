@@ -74,7 +74,7 @@ class _Distances(dict):
         return max(0, max(map(self.__getitem__, set(_windows(text))), default=0))
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], words: int = 1500, support: float = 0.01) -> Model:
+def train(toxic: list[bytes], ordinary: list[bytes], words: int = 1500, support: float = 0.02) -> Model:
     """Fit on labelled texts: even ones give the dictionaries, odd ones the calibration. Without both labels all scores are 0."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(b"", b"", (0.0,))
@@ -115,7 +115,7 @@ def _scored(model: Model):
         distances, value = model.distances() if model.toxic else None, model.calibration
         for batch in batches:
             texts = batch["text"].fill_null("").cast(pa.binary()).to_pylist()
-            scores = [value[min(distances.largest(t), len(value) - 1)] if distances else 0.0 for t in texts]
+            scores = [value[min(distances.largest(t), len(value) - 1)] if distances is not None else 0.0 for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return run

@@ -75,8 +75,10 @@ def parse(archive: bytes):
 
 
 def unframe(block: bytes) -> bytes | None:
-    """The payload of an HTTP block; None if its chunked framing is broken."""
-    head, _, body = block.partition(b"\r\n\r\n")
+    """The payload of an HTTP block; None if its head or chunked framing is broken."""
+    head, end_of_head, body = block.partition(b"\r\n\r\n")
+    if not end_of_head:
+        return None
     if b"transfer-encoding: chunked" not in head.lower():
         return body
     out, i = [], 0
