@@ -8,6 +8,7 @@ the total length and decodes the chunked framing. Equal payloads are stored once
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -129,7 +130,7 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes:
     total = pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     one = pages.groupBy("page_id").agg(F.max(F.struct("payload", "url")).alias("p")).select("page_id", "p.url", "p.payload") if pages.groupBy("page_id").count().where("count > 1").limit(1).count() else pages.select("page_id", "url", "payload")
     rows = one.repartition(int(total // file_bytes + 1), "page_id").join(plan, "page_id")
-    rows.mapInArrow(_written(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n").text(path)
+    rows.mapInArrow(_written(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parsed(batches):
@@ -138,7 +139,8 @@ def _parsed(batches):
     for batch in batches:
         for archive in batch["content"]:
             rows, held = [], 0
-            for f, block in parse(archive.as_py()):
+            data = archive.as_py()
+            for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 rows.append((name(f, b"WARC-Record-ID"), name(f, b"WARC-Type"), name(f, b"WARC-Target-URI"), (name(f, b"WARC-Payload-Digest") or "").removeprefix("sha1:") or None, number(f, b"WARC-X-Payload-Length"), name(f, b"WARC-Refers-To"), number(f, b"WARC-Segment-Number"), name(f, b"WARC-Segment-Origin-ID"), number(f, b"WARC-Segment-Total-Length"), block))
                 held += len(block)
                 if held > 4 << 20:
