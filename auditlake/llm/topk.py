@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 OUT = "query_id long, rank int, vec_id long, score long"
 _EXACT = 2.0**53
 
@@ -118,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int
     buckets, blocks = max(1, -(-n // bucket_rows)), max(1, -(-asked // block_rows))
     cuts = sized.agg(F.percentile_approx("norm", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10000).alias("c")).first()["c"] if buckets > 1 else []
     level = F.size(F.filter(F.lit(sorted(set(cuts or []))).cast("array<double>"), lambda c: c >= F.col("norm")))  # 0: the longest
-    wide = sized.withColumn("level", level)
+    wide = materialize(sized.withColumn("level", level), "vectors")
     counts = wide.groupBy("level").agg(F.count("*").alias("rows"))
     dealt = wide.join(F.broadcast(counts), "level")  # one row a level, at most ``buckets``
     part = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("rows") / bucket_rows).cast("long"))
