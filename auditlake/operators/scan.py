@@ -7,24 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import ref
 
-#: Fixed patterns: secret shapes of known vendors.
+#: Fixed patterns: secret shapes that any regular expression engine can match.
 SECRET_FAMILIES = {
-    "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
-    "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assignment": r"(?i)\b(?:password|passwd|secret|token|api_?key)\b\s*[:=]\s*[\"'][A-Za-z0-9+/_.=-]{12,}[\"']",
+    "aws_access_key_id": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
+    "jwt": r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b",
+    "pem_private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "sk_prefixed_api_key": r"\bsk-[A-Za-z0-9_-]{10,}\b",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    "github_fine_grained_pat": r"\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b",
+    "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    "bearer_header": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}",
+}
+
+#: Fixed patterns: secret shapes told by what stands around them.
+CONTEXT_FAMILIES = {
+    "github_fine_grained_pat_defensive": r"\bgithub_pat_(?=[A-Za-z0-9_]{40,}\b)(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[a-z])(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_]+\b",
+    "url_userinfo": r"(?<=://)[^\s:/?#@]{1,128}:[^\s/?#@]{1,128}(?=@(?:\[[0-9A-Fa-f:.]{2,45}\]|[\w.-]{1,255})(?::\d{1,5})?(?![\w.:-]))",
+    "secret_assignment": r"""(?i)(?<![\w-])-{0,2}(?:password|passwd|secret|token|api[_-]?key)["']?\s*[:=]\s*(?:"[^"\s]+"|'[^'\s]+'|\S+)""",
+    "secret_assignment_affixed": r"""(?i)(?<![\w-])(?:[A-Za-z0-9_-]{0,62}[_-])?(?:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
+    "secret_assignment_camel": r"""(?:(?<![\w-])(?:password|passwd|secret|token|credential)|Password|Passwd|Secret|Token|ApiKey|Credential)(?:[A-Z0-9][A-Za-z0-9]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
+    "credential_flag_value": r"(?i)(?<![\w-])-{1,2}(?:[A-Za-z0-9-]{0,62}-)?(?:password|passwd|secret|token|api-?key)(?:-[A-Za-z0-9-]{0,62})?[ \t]+(?:(?=\S{0,255}\d)[^\s<$]\S{5,}|[^\s<$]\S{15,})",
 }
 
 #: Fixed patterns: phrases that try to steer a model.
 INJECTION_FAMILIES = {
-    "ignore_previous": r"(?i)\bignore (?:all |any )?(?:previous|prior|above) (?:instructions|messages|prompts)\b",
-    "new_instructions": r"(?i)\bnew (?:system )?instructions?:",
-    "role_tag": r"(?i)<\|?(?:system|assistant|im_start)\|?>",
-    "do_not_tell": r"(?i)\bdo not (?:tell|inform|mention (?:this )?to) the user\b",
-    "system_prompt": r"(?i)\b(?:reveal|print|show) (?:your |the )?system prompt\b",
+    "ignore_previous_instructions": r"(?i)\bignore\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "disregard_previous_instructions": r"(?i)\bdisregard\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "forget_previous_instructions": r"(?i)\bforget\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "system_override": r"(?i)\bsystem\s+override\b",
+    "developer_mode": r"(?i)\byou\s+are\s+now\s+(?:in\s+)?(?:developer|debug|god|unrestricted|jailbreak)\s+mode\b",
+    "hide_this_instruction": r"(?i)\bdo\s+not\s+(?:mention|tell|reveal|disclose|show)\s+(?:this|these|the\s+above|the\s+following)\s+(?:steps?|instructions?|messages?|notes?)\b",
+    "html_comment_directive": r"(?i)<!--[^<>]{0,300}?\b(?:instructions?|must|override|ignore|disregard)\b[^<>]{0,300}?-->",
+    "important_directive": r"(?i)\bIMPORTANT:\s*(?:you\s+must|always|never|do\s+not)\b",
+    "new_instructions": r"(?i)\byour\s+(?:new|real|actual|true)\s+(?:instructions?|task|objective|goal)\s+(?:is|are)\b",
+    "reveal_system_prompt": r"(?i)\b(?:reveal|print|show|repeat|output|display|leak)\s+(?:your|the)\s+(?:system|initial|hidden)\s+(?:prompt|instructions?)\b",
+    "exfiltrate_to_url": r"(?i)\b(?:exfiltrate|send|post|upload|forward|transmit)\s+(?:all\s+|the\s+|these\s+|this\s+|any\s+)?(?:contents?|files?|data|secrets?|keys?|tokens?|credentials|results?|conversation|history)\s+to\s+https?://",
+    "address_the_ai": r"(?i)\bif\s+you\s+are\s+an?\s+(?:ai|llm|language\s+model|(?:ai\s+)?assistant|agent)\b",
 }
 
 
@@ -38,11 +56,22 @@ def family_counts(rows: DataFrame, text: str, families: dict[str, str]) -> DataF
 
 
 def redact(text: Column, families: dict[str, str], marker: str = "[redacted]") -> Column:
+    """The text with each match replaced by one marker."""
     for pattern in families.values():
         text = F.regexp_replace(text, pattern, marker)
     return text
 
 
+def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
+    """The text with each match replaced by the first 16 hex digits of its own reference, family by family."""
+    for pattern in families.values():
+        hits, kept = tokens(text, pattern), F.split(text, pattern, -1)
+        marks = F.transform(hits, lambda t: F.concat(F.lit("[redacted:"), F.substring(ref(t), 1, 23), F.lit("]")))
+        pieces = F.transform(kept, lambda piece, i: F.concat(piece, F.coalesce(F.get(marks, i), F.lit(""))))
+        text = F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(text)
+    return text
+
+
 def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact", injection: str = "flag", most_bytes: int = 1 << 20) -> DataFrame:
     """Each message's findings over its content slots and the action: block before redact before flag before none.
 

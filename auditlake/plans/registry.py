@@ -264,6 +264,16 @@ def secret_family_counts(spark, d):
     return scan.family_counts(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", scan.SECRET_FAMILIES).drop("text")
 
 
+@query("secret_context_counts")
+def secret_context_counts(spark, d):
+    return scan.family_counts(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", scan.CONTEXT_FAMILIES).drop("text")
+
+
+@query("secret_redaction")
+def secret_redaction(spark, d):
+    return table(spark, d, "documents").select("doc_id", scan.redact_with_refs(F.col("text"), scan.SECRET_FAMILIES).alias("text"))
+
+
 @query("injection_counts", f"SELECT page_id, {_COUNTS(scan.INJECTION_FAMILIES, 'html')} FROM pages")
 def injection_counts(spark, d):
     return scan.family_counts(table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")), "html", scan.INJECTION_FAMILIES).drop("html")
