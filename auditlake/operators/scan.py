@@ -63,13 +63,11 @@ def redact(text: Column, families: dict[str, str], marker: str = "[redacted]") -
 
 
 def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
-    """The text with each match replaced by the first 16 hex digits of its own reference, family by family."""
-    for pattern in families.values():
-        hits, kept = tokens(text, pattern), F.split(text, pattern, -1)
-        marks = F.transform(hits, lambda t: F.concat(F.lit("[redacted:"), F.substring(ref(t), 1, 23), F.lit("]")))
-        pieces = F.transform(kept, lambda piece, i: F.concat(piece, F.coalesce(F.get(marks, i), F.lit(""))))
-        text = F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(text)
-    return text
+    """The text with each match replaced by the first 16 hex digits of its own reference; the leftmost match wins, then the first family."""
+    pattern = "|".join(f"(?:{p})" for p in families.values())
+    marks = F.transform(tokens(text, pattern), lambda t: F.concat(F.lit("[redacted:"), F.substring(ref(t), 1, 23), F.lit("]")))
+    pieces = F.zip_with(F.split(text, pattern, -1), marks, lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit(""))))
+    return F.array_join(pieces, "")
 
 
 def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact", injection: str = "flag", most_bytes: int = 1 << 20) -> DataFrame:
