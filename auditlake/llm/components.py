@@ -21,19 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct()
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id is tied to one smaller id at most, and that one to none: then no round changes a thing."""
+    nodes = _both_ways(edges).groupBy("u").agg(F.max("v").alias("hi"), F.count_if(F.col("v") < F.col("u")).alias("smaller"))
+    return nodes.where("smaller > 1 or (smaller = 1 and hi > u)").limit(1).count() == 0
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in the links; component: the least id reachable. Nulls and self-links are ignored."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct()
     edges = materialize(_small_star(edges), "links")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    while not _settled(edges):
+        large = _star(_both_ways(edges), F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = materialize(_small_star(large), "links")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

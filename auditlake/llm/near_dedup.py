@@ -90,12 +90,13 @@ def _confirmed(percent: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("a", "b", "in_a", "in_b")), pa.array(ok, pa.bool_())], ["a", "b", "in_a", "in_b", "linked"])
 
     return run
 
 
 _BLOCK = 128
+_PAIR = ("a", "b", "in_a", "in_b")  # two sets and their components
 
 
 def _signature_block(key, table):
@@ -109,7 +110,7 @@ def _set_block(key, table):
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     blobs = table["shingles"].to_pylist()
     blobs = [blobs[i] for i in order]
-    return pa.table({"block": [key[0].as_py()], "ids": pa.array([table["doc_id"].to_numpy()[order].tobytes()], pa.binary()), "sizes": pa.array([np.array([len(b) // 8 for b in blobs], np.int64).tobytes()], pa.binary()), "shingles": pa.array([b"".join(blobs)], pa.binary())})
+    return pa.table({"block": [key[0].as_py()], "components": pa.array([table["component"].to_numpy()[order].tobytes()], pa.binary()), "sizes": pa.array([np.array([len(b) // 8 for b in blobs], np.int64).tobytes()], pa.binary()), "shingles": pa.array([b"".join(blobs)], pa.binary())})
 
 
 def _agreeing(agree: int):
@@ -126,23 +127,23 @@ def _agreeing(agree: int):
                     same += s[:, i, None] == t[None, :, i]
                 i, j = np.nonzero((same >= agree) & (c[:, None] != d[None, :]))
                 if i.size:
-                    rows.append((row["block_1"], row["block_2"], [{"a": a, "b": b} for a, b in zip(x[i].tolist(), y[j].tolist())]))
+                    rows.append((row["block_1"], row["block_2"], [dict(zip(_PAIR, p)) for p in zip(x[i].tolist(), y[j].tolist(), c[i].tolist(), d[j].tolist())]))
             if rows:
                 a, b, p = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["block_1", "block_2", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.list_(pa.struct([(k, pa.int64()) for k in _PAIR])))], ["block_1", "block_2", "pairs"])
 
     return run
 
 
 def _linked_blocks(percent: int):
-    """All links between the sets of two blocks, by one product of their incidence matrices over common shingles."""
+    """The components that links between the sets of two blocks join, by one product of their incidence matrices over common shingles."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, sizes, sets = ([np.frombuffer(row[f"{f}_{k}"], kind) for k in (1, 2)] for f, kind in (("ids", np.int64), ("sizes", np.int64), ("shingles", np.uint64)))
+                parts, sizes, sets = ([np.frombuffer(row[f"{f}_{k}"], kind) for k in (1, 2)] for f, kind in (("components", np.int64), ("sizes", np.int64), ("shingles", np.uint64)))
                 common = np.intersect1d(sets[0], sets[1])
-                total = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+                total = np.zeros((len(parts[0]), len(parts[1])), np.float32)
                 for at in range(0, len(common), 8192):
                     part, held = common[at : at + 8192], []
                     for n, shingles in zip(sizes, sets):
@@ -153,14 +154,20 @@ def _linked_blocks(percent: int):
                         held.append(matrix)
                     total += held[0] @ held[1].T
                 union = sizes[0][:, None] + sizes[1][None, :] - total
-                i, j = np.nonzero((100 * total >= percent * union) & (ids[0][:, None] != ids[1][None, :]))
+                i, j = np.nonzero((100 * total >= percent * union) & (parts[0][:, None] != parts[1][None, :]))
                 if i.size:
-                    x, y = ids[0][i], ids[1][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    x, y = np.unique(np.stack([parts[0][i], parts[1][j]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.copy()), pa.array(y.copy())], ["in_a", "in_b"])
 
     return run
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, the lesser id first."""
+    side = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"in_{x}").alias("in_a"), F.col(f"in_{y}").alias("in_b"))
+    return pairs.select(F.when(F.col("a") < F.col("b"), side("a", "b")).otherwise(side("b", "a")).alias("p")).select("p.*").distinct()
+
+
 class _Join:
     """Candidate pairs of sets, round by round."""
 
@@ -178,15 +185,19 @@ class _Join:
         self.signatures = signed.select("doc_id", "n", "signature")
         self.sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, shingles binary"), "sets")
         self.tested: DataFrame | None = None
-        self.labels: DataFrame | None = None
+        self.labels = ids.select("doc_id", F.col("doc_id").alias("component"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Components that links join become one; only components meet here, not the documents in them."""
+        joined = connected_components(links, "in_a", "in_b").select(F.col("id").alias("component"), F.col("component").alias("root"))
+        self.labels = materialize(self.labels.join(joined, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component")), "labels")
 
     def unsettled(self) -> DataFrame:
-        """Postings that still join different components, with each member's component."""
-        if self.labels is None:
-            return self.postings.withColumn("component", F.col("doc_id"))
-        named = self.postings.join(self.labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        """Postings that still join different components, with each member's component. Those settled once stay so."""
+        named = self.postings.select("doc_id", "token").join(self.labels, "doc_id")
         mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return named.join(mixed, "token")
+        self.postings = materialize(named.join(mixed, "token"), "unsettled")
+        return self.postings
 
     def stars(self, postings: DataFrame, turn: int) -> DataFrame:
         order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
@@ -209,30 +220,30 @@ class _Join:
         side = lambda k: blocks.select("crowd", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "level", "outside", "ids", "components", "signatures")))
         nearby = (F.col("level_2") == F.col("level_1") + 1) | ((F.col("level_2") == F.col("level_1")) & (F.col("block_1") <= F.col("block_2")))
         met = side(1).join(side(2), "crowd").where(nearby & (F.col("outside_1") | F.col("outside_2")))
-        found = materialize(met.mapInArrow(_agreeing(self.agree), "block_1 long, block_2 long, pairs array<struct<a:bigint,b:bigint>>"), "agreeing")
+        found = materialize(met.mapInArrow(_agreeing(self.agree), "block_1 long, block_2 long, pairs array<struct<a:bigint,b:bigint,in_a:bigint,in_b:bigint>>"), "agreeing")
         few = F.size("pairs") < _BLOCK
-        single = found.where(few).select(F.explode("pairs").alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
-        sets = left.select("doc_id", "block").join(self.sets, "doc_id").groupBy("block").applyInArrow(_set_block, "block long, ids binary, sizes binary, shingles binary")
-        of = lambda k: sets.select(F.col("block").alias(f"block_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "sizes", "shingles")))
+        single = found.where(few).select(F.explode("pairs").alias("p")).select("p.*")
+        sets = left.select("doc_id", "component", "block").join(self.sets, "doc_id").groupBy("block").applyInArrow(_set_block, "block long, components binary, sizes binary, shingles binary")
+        of = lambda k: sets.select(F.col("block").alias(f"block_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("components", "sizes", "shingles")))
         dense = found.where(~few).select("block_1", "block_2").join(of(1), "block_1").join(of(2), "block_2")
-        linked = dense.mapInArrow(_linked_blocks(self.percent), "a long, b long")
-        return materialize(self.links(single).unionByName(linked), "links")
+        linked = dense.mapInArrow(_linked_blocks(self.percent), "in_a long, in_b long")
+        return self.links(_ordered(single)).unionByName(linked)
 
     def pairs(self, members: DataFrame) -> DataFrame:
-        return members.where("component <> theirs").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        return _ordered(members.where("component <> theirs").select(F.col("doc_id").alias("a"), F.col("other").alias("b"), F.col("component").alias("in_a"), F.col("theirs").alias("in_b")))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Confirm those pairs that were not tested before."""
+        """Confirm those pairs that were not tested before: the components that they join."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         of = lambda table, column, id_, name: table.select(F.col("doc_id").alias(id_), F.col(column).alias(name))
         met = pairs.join(of(self.signatures, "signature", "a", "s"), "a").join(of(self.signatures, "signature", "b", "r"), "b")
-        met = met.where(F.aggregate(F.zip_with("s", "r", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) >= self.agree).select("a", "b")
-        met = met.join(of(self.sets, "shingles", "a", "x"), "a").join(of(self.sets, "shingles", "b", "y"), "b").select("a", "b", "x", "y")
-        found = materialize(met.mapInArrow(_confirmed(self.percent), "a long, b long, linked boolean"), "pairs")
-        done = found.select("a", "b")
+        met = met.where(F.aggregate(F.zip_with("s", "r", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) >= self.agree).select(*_PAIR)
+        met = met.join(of(self.sets, "shingles", "a", "x"), "a").join(of(self.sets, "shingles", "b", "y"), "b").select(*_PAIR, "x", "y")
+        found = materialize(met.mapInArrow(_confirmed(self.percent), "a long, b long, in_a long, in_b long, linked boolean"), "pairs")
+        done = found.where("not linked").select("a", "b")
         self.tested = done if self.tested is None else self.tested.unionByName(done)
-        return found.where("linked").select("a", "b")
+        return found.where("linked").select("in_a", "in_b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordinates: int = 32, agree: int = 12, stars: int = 2) -> DataFrame:
@@ -253,15 +264,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
     classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     full = signed.where("n > 0").join(classes.select("rep", F.lit(True).alias("first")), F.col("doc_id") == F.col("rep"), "left_semi")
     join = _Join(keyed, full.select("doc_id", "n", "signature"), width, percent, coordinates, agree)
-    links = None
     for turn in range(stars + 1):
         postings = join.unsettled()
-        if turn and postings.limit(1).count() == 0:
+        if postings.limit(1).count() == 0:
             break
-        new = join.rest(postings) if turn == stars else join.links(join.stars(postings, turn))
-        links = new if links is None else links.unionByName(new)
-        join.labels = connected_components(links)
+        join.merge(join.rest(postings) if turn == stars else join.links(join.stars(postings, turn)))
     members = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    out = members.join(join.labels.withColumnRenamed("id", "rep"), "rep", "left")
+    out = members.join(join.labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
