@@ -105,3 +105,37 @@ def bundle_range(records: DataFrame, sessions: DataFrame) -> DataFrame:
     own = records.join(sessions.select("session_id").distinct(), "session_id", "left_semi").groupBy("chain_id", "session_id").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"))
     inside = records.select("chain_id", "seq", "prev_hash", "hash").join(own, "chain_id").where("seq between from_seq and to_seq")
     return inside.groupBy("chain_id", "session_id", "from_seq", "to_seq").agg(F.count("*").alias("event_count"), F.min_by("prev_hash", "seq").alias("base_hash"), F.max_by("hash", "seq").alias("head_hash"))
+
+
+#: The checks of a bundle's manifest, in the order in which its verdict names them.
+MANIFEST_CHECKS = ("event_count", "from_seq", "to_seq", "head_hash", "signature_seq", "signature_hash", "public_key", "public_key_pem")
+
+
+def manifest_problems(manifests: DataFrame, records: DataFrame) -> DataFrame:
+    """(bundle_id, check_order, check) for each claim of a manifest that its records, signature or key file don't bear out.
+
+    manifests: bundle_id, event_count, from_seq, to_seq, head_hash, signature_seq, signature_hash, public_key, pem_key,
+    public_key_pem, pem_file; records: bundle_id, seq, hash. A bundle without records fails by its count alone.
+    """
+    per = records.groupBy("bundle_id").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.max_by("hash", "seq").alias("head"))
+    m = manifests.join(per, "bundle_id", "left")
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    some = F.col("n").isNotNull()
+    tests = (
+        F.coalesce("n", F.lit(0)) != F.col("event_count"),
+        some & differ("lo", "from_seq"),
+        some & differ("hi", "to_seq"),
+        some & differ("head", "head_hash"),
+        differ("signature_seq", "to_seq"),
+        differ("signature_hash", "head_hash"),
+        ~F.lower("public_key").eqNullSafe(F.lower("pem_key")),
+        differ("public_key_pem", "pem_file"),
+    )
+    found = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(i).alias("check_order"), F.lit(c).alias("check"))) for i, (c, t) in enumerate(zip(MANIFEST_CHECKS, tests))]))
+    return m.select("bundle_id", F.explode(found).alias("p")).select("bundle_id", "p.*")
+
+
+def bundle_verdicts(manifests: DataFrame, problems: DataFrame) -> DataFrame:
+    """Each bundle's verdict: the first failed check by check_order, or none."""
+    first = problems.groupBy("bundle_id").agg(F.min_by("check", "check_order").alias("failed"))
+    return manifests.select("bundle_id").join(first, "bundle_id", "left").select("bundle_id", F.col("failed").isNull().alias("ok"), "failed")

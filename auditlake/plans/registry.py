@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
-from ..operators import correlate, integrity, policy, replica, scan, search, sessions
+from ..operators import capture, correlate, integrity, policy, redaction, replica, scan, search, sessions
 from ..sources.adapters import AUDIT, CHAIN, audit_events, chain_events, table
 from ..streaming import streams
 
@@ -425,3 +425,86 @@ def stream_ingest(spark, d):
     rows = streams.read(spark, path, spark.read.parquet(path).schema).select("event_id", "user_id")
     streams.run_to_end(rows, streams.commit_new(out, ["event_id"]), _shared(spark, "stream-state"))
     return spark.read.schema("event_id long, user_id long").parquet(out).select("event_id", "user_id")
+
+
+def _lines(spark, d) -> DataFrame:
+    """A wire line for each event: requests, notifications, responses, batches and broken text."""
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    call = F.concat(F.lit('{"id":'), n, F.lit(',"method":"tools/call"}'))
+    note = F.lit('{"id":null,"method":"notifications/progress"}')
+    answer = F.concat(F.lit('{"id":"r'), n, F.lit('","result":{}}'))
+    line = F.when(kind == "view", call).when(kind == "click", note).when(kind == "signup", answer).when(kind == "error", F.concat(F.lit("["), call, F.lit(","), note, F.lit(",7]"))).otherwise(F.concat(F.lit('{"id":'), n))
+    return table(spark, d, "events").select("event_id", line.alias("line"))
+
+
+_LINES = """l AS (SELECT event_id, CASE event_type WHEN 'view' THEN c WHEN 'click' THEN n WHEN 'signup' THEN '{"id":"r' || event_id || '","result":{}}' WHEN 'error' THEN '[' || c || ',' || n || ',7]' ELSE '{"id":' || event_id END AS line
+    FROM (SELECT event_id, event_type, '{"id":' || event_id || ',"method":"tools/call"}' AS c, '{"id":null,"method":"notifications/progress"}' AS n FROM events))"""
+
+
+@query("wire_lines", f"""WITH {_LINES}, m AS (SELECT event_id, 0 AS item, line AS m, json_valid(line) AS ok FROM l WHERE NOT coalesce(json_type(CASE WHEN json_valid(line) THEN line END) = 'ARRAY', false)
+    UNION ALL SELECT event_id, i AS item, json_extract(line, '$[' || i || ']')::VARCHAR, true FROM (SELECT event_id, line, unnest(range(json_array_length(line)::BIGINT))::INT AS i FROM l WHERE json_valid(line) AND json_type(line) = 'ARRAY')),
+    f AS (SELECT *, json_type(j) AS t, coalesce(json_type(j, '$.id') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE'), false) AS has_id, coalesce(json_type(j, '$.method') = 'VARCHAR', false) AS has_method FROM (SELECT *, CASE WHEN ok THEN m END AS j FROM m))
+    SELECT event_id, item, CASE WHEN NOT ok THEN 'unparseable' WHEN t <> 'OBJECT' THEN 'other' WHEN has_method AND has_id THEN 'request' WHEN has_method THEN 'notification' WHEN has_id THEN 'response' ELSE 'other' END AS class,
+    CASE WHEN has_id THEN json_extract_string(j, '$.id') END AS request_id, CASE WHEN has_method THEN json_extract_string(j, '$.method') END AS method FROM f""")
+def wire_lines(spark, d):
+    return capture.classify_lines(_lines(spark, d)).select("event_id", "item", "class", "request_id", "method")
+
+
+def _attempts(spark, d) -> DataFrame:
+    """Orders as recorded actions: an attempt for each line item, an outcome for those that were returned or whose part is divisible by seven."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")])
+    rows = items.select(
+        F.col("l_orderkey").cast("string").alias("action_id"), F.col("l_linenumber").cast("string").alias("attempt_id"),
+        F.concat(F.lit("s"), F.pmod("l_orderkey", F.lit(100)).cast("string")).alias("session_id"), F.concat(F.lit("run"), F.pmod("l_suppkey", F.lit(10)).cast("string")).alias("run_id"),
+        F.when(F.col("l_partkey") % 5 == 1, "hook").otherwise("proxy").alias("source"), F.when(F.col("l_linestatus") == "O", "deny").otherwise("allow").alias("decision"),
+        ((F.col("l_returnflag") == "R") | (F.col("l_partkey") % 7 == 0)).alias("done"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"),
+    )
+    columns = ("action_id", "attempt_id", "session_id", "run_id", "source", "decision")
+    phase = lambda name, place: ((F.col("n") * 2 + place).alias("seq"), F.lit(name).alias("phase"), F.concat("action_id", F.lit(f":{name}:"), "attempt_id").alias("event_id"))
+    return rows.select(*columns, *phase("attempt", 0)).unionByName(rows.where("done").select(*columns, *phase("outcome", 1)))
+
+
+def _runs(spark, d) -> DataFrame:
+    return table(spark, d, "supplier").where("s_suppkey % 10 < 3").select(F.concat(F.lit("run"), (F.col("s_suppkey") % 10).cast("string")).alias("run_id"), F.lit("2024-01-01").alias("started_at")).distinct()
+
+
+_LOST = """x AS (SELECT l_orderkey::VARCHAR AS action_id, l_linenumber::VARCHAR AS attempt_id, 's' || (l_orderkey % 100) AS session_id, 'run' || (l_suppkey % 10) AS run_id, l_partkey % 5 = 1 AS hook, l_linestatus = 'O' AS deny, l_returnflag = 'R' OR l_partkey % 7 = 0 AS done, l_orderkey * 10 + l_linenumber AS n
+    FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2))"""
+
+
+@query("recovered_outcomes", f"""WITH {_LOST}, o AS (SELECT action_id, attempt_id, bool_or(done) AS done, max_by(struct_pack(session_id, run_id, hook, deny), n) AS e FROM x GROUP BY 1, 2)
+    SELECT action_id, attempt_id, e.session_id AS session_id, e.run_id AS run_id, 'sha256:' || sha256(action_id || ':attempt:' || attempt_id || ':recovered-outcome') AS event_id, CASE WHEN e.deny THEN 'denied' ELSE 'unknown' END AS outcome, 'recorder_exit' AS reason FROM o
+    WHERE NOT done AND (e.run_id IN (SELECT 'run' || (s_suppkey % 10) FROM supplier WHERE s_suppkey % 10 < 3) OR (e.hook AND e.session_id IN (SELECT 's' || (c_custkey % 100) FROM customer WHERE c_custkey % 4 = 0)))""")
+def recovered_outcomes(spark, d):
+    ended = table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(100)).cast("string")).alias("session_id"))
+    return capture.recovered_outcomes(_attempts(spark, d), _runs(spark, d), ended)
+
+
+@query("recovery_gaps", f"""WITH {_LOST}, f AS (SELECT run_id, min_by(session_id, n) AS session_id FROM x GROUP BY 1), r AS (SELECT DISTINCT 'run' || (s_suppkey % 10) AS run_id FROM supplier WHERE s_suppkey % 10 < 3)
+    SELECT 'sha256:' || sha256(run_id || ':coverage-gap') AS event_id, run_id, session_id, '2024-01-01' AS ts, 'recorder_exit' AS reason, 0::BIGINT AS dropped_at_least FROM r LEFT JOIN f USING (run_id)""")
+def recovery_gaps(spark, d):
+    return capture.recovery_gaps(_attempts(spark, d), _runs(spark, d))
+
+
+@query("bundle_verdicts", f"""{_SEALED}, b AS (SELECT chain_id, count(*) AS n, min(seq) AS lo, max(seq) AS hi, max_by(hash, seq) AS head FROM sealed GROUP BY 1)
+    SELECT chain_id AS bundle_id, failed IS NULL AS ok, failed FROM (SELECT chain_id, CASE WHEN n % 5 = 0 THEN 'event_count' WHEN n % 5 = 1 THEN 'to_seq' WHEN n % 5 = 2 THEN 'head_hash' WHEN n % 5 = 3 THEN 'public_key' END AS failed FROM b)""")
+def bundle_verdicts(spark, d):
+    """Each chain as one bundle, most with a manifest that claims something else."""
+    records = integrity.seal(chain_events(spark, d)).withColumnRenamed("chain_id", "bundle_id")
+    b = records.groupBy("bundle_id").agg(F.count("*").alias("n"), F.min("seq").alias("from_seq"), F.max("seq").alias("hi"), F.max_by("hash", "seq").alias("head"))
+    fault = lambda i, good, bad: F.when(F.col("n") % 5 == i, bad).otherwise(good)
+    to_seq, head = fault(1, F.col("hi"), F.col("hi") + 1), fault(2, F.col("head"), F.reverse("head"))
+    claims = b.select("bundle_id", fault(0, F.col("n"), F.col("n") + 1).alias("event_count"), "from_seq", to_seq.alias("to_seq"), head.alias("head_hash"), to_seq.alias("signature_seq"), head.alias("signature_hash"), F.lit("AB").alias("public_key"), fault(3, F.lit("ab"), F.lit("cd")).alias("pem_key"), F.lit("pem").alias("public_key_pem"), F.lit("pem").alias("pem_file"))
+    return integrity.bundle_verdicts(claims, integrity.manifest_problems(claims, records))
+
+
+@query("guarded_refs", f"""SELECT page_id, CASE WHEN contains(html, 'documentation') THEN {_REF.format("'[brokered-credential]'")} ELSE {_REF.format('html')} END AS ref FROM pages WHERE html IS NOT NULL""")
+def guarded_refs(spark, d):
+    return table(spark, d, "pages").where("html is not null").select("page_id", redaction.guarded_ref(F.col("html"), ["documentation"]).alias("ref"))
+
+
+@query("credential_fingerprints", f"""SELECT c_custkey, 'API_TOKEN' AS name, {_REF.format("c_name")} AS ref FROM customer WHERE length(c_name) >= 8 UNION ALL SELECT c_custkey, 'db_password', {_REF.format("c_mktsegment")} FROM customer WHERE length(c_mktsegment) >= 8""")
+def credential_fingerprints(spark, d):
+    env = F.create_map(F.lit("API_TOKEN"), "c_name", F.lit("HOME"), "c_name", F.lit("db_password"), "c_mktsegment", F.lit("OWN_SECRET"), "c_name")
+    found = redaction.credential_fingerprints(env, "OWN_")
+    return table(spark, d, "customer").select("c_custkey", F.explode(found).alias("f")).select("c_custkey", "f.name", "f.ref")

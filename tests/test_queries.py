@@ -19,7 +19,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["session_summary", "tool_census", "why_latest", "seal_chain", "verify_links", "blast_radius", "policy_first_match", "merge_spans", "injection_counts", "secret_family_counts", "secret_token_refs", "boundary_verdict", "reconcile", "delivery_batches", "silence_gaps", "stream_ingest"])
+@pytest.mark.parametrize("name", ["session_summary", "tool_census", "why_latest", "seal_chain", "verify_links", "blast_radius", "policy_first_match", "merge_spans", "injection_counts", "secret_family_counts", "secret_token_refs", "boundary_verdict", "reconcile", "delivery_batches", "silence_gaps", "stream_ingest", "wire_lines", "recovered_outcomes", "recovery_gaps", "bundle_verdicts", "guarded_refs", "credential_fingerprints"])
 def test_query_equals_sql(spark, con, name):
     got = registry.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
