@@ -280,3 +280,21 @@ def test_top_k(spark):
             best = sorted((-int(np.dot(v, w)), i) for i, w in good if i != q)[:5]
             assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert topk.top_k(table.limit(0), asked.limit(0)).count() == 0
+
+
+def test_terms_are_found_away_from_their_entity(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "klmnprst" for b in ("ada", "ebo", "iku", "oma")]
+    filler = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(1000 + i, filler(3)) for i in range(3000)]
+    # zelda stands at the head, beside the address in five texts, far from it in the others; quentin always stands far from his.
+    rows += [(100 + i, f"zelda {filler(20)} zelda z@x.example {filler(9)}") for i in range(5)]
+    rows += [(200 + i, f"quentin {filler(20)} q@y.example") for i in range(4)] + [(300, f"note by quentin {filler(5)}"), (301, "zelda")]
+    texts = dict(rows)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term"} for r in found}
+    counts = {r.doc_id: sum(s.kind == "term" for s in r.spans) for r in found}
+    assert {i: (got[i], counts[i]) for i in range(100, 105)} == {i: ({"zelda"}, 2) for i in range(100, 105)}
+    assert {i: got[i] for i in range(200, 204)} == {i: {"quentin"} for i in range(200, 204)}
+    assert got[300] == {"quentin"} and got[301] == {"zelda"}
+    assert not any(got[i] for i in range(1000, 4000))
