@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import ref
+from ..functions.canonical import REF, ref
 
 #: Fixed patterns: secret shapes that any regular expression engine can match.
 SECRET_FAMILIES = {
@@ -29,6 +33,9 @@ CONTEXT_FAMILIES = {
     "credential_flag_value": r"(?i)(?<![\w-])-{1,2}(?:[A-Za-z0-9-]{0,62}-)?(?:password|passwd|secret|token|api-?key)(?:-[A-Za-z0-9-]{0,62})?[ \t]+(?:(?=\S{0,255}\d)[^\s<$]\S{5,}|[^\s<$]\S{15,})",
 }
 
+#: All families of secrets.
+ALL_SECRETS = SECRET_FAMILIES | CONTEXT_FAMILIES
+
 #: Fixed patterns: phrases that try to steer a model.
 INJECTION_FAMILIES = {
     "ignore_previous_instructions": r"(?i)\bignore\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
@@ -62,22 +69,58 @@ def redact(text: Column, families: dict[str, str], marker: str = "[redacted]") -
     return text
 
 
+def _spans(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int]]:
+    """(start, end) of all families' matches, overlapping ones merged; touching ones stay apart."""
+    out: list[tuple[int, int]] = []
+    for start, back in sorted((m.start(), -m.end()) for p in patterns for m in p.finditer(text) if m.end() > m.start()):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], -back))
+        else:
+            out.append((start, -back))
+    return out
+
+
+def _compiled(families: dict[str, str]) -> list[re.Pattern]:
+    return [re.compile(p, re.ASCII) for p in families.values()]
+
+
+def span_count(text: Column, families: dict[str, str]) -> Column:
+    """How many merged spans the families have in a text; 0 in a null text."""
+    patterns = _compiled(families)
+
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(_spans(t, patterns)) if t else 0 for t in texts.to_pylist()], pa.int32())
+
+    return count(text)
+
+
 def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
-    """The text with each match replaced by the first 16 hex digits of its own reference; the leftmost match wins, then the first family."""
-    pattern = "|".join(f"(?:{p})" for p in families.values())
-    marks = F.transform(tokens(text, pattern), lambda t: F.concat(F.lit("[redacted:"), F.substring(ref(t), 1, 23), F.lit("]")))
-    pieces = F.zip_with(F.split(text, pattern, -1), marks, lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit(""))))
-    return F.array_join(pieces, "")
+    """The text with each merged span of matches replaced by the first 16 hex digits of its own reference."""
+    patterns = _compiled(families)
+
+    def redacted(t: str) -> str:
+        out, at = [], 0
+        for start, end in _spans(t, patterns):
+            out += [t[at:start], f"[redacted:{REF}{hashlib.sha256(t[start:end].encode()).hexdigest()[:16]}]"]
+            at = end
+        return "".join(out) + t[at:]
+
+    @F.arrow_udf("string")
+    def marked(texts: pa.Array) -> pa.Array:
+        return pa.array([redacted(t) if t else t for t in texts.to_pylist()], pa.string())
+
+    return marked(text)
 
 
 def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact", injection: str = "flag", most_bytes: int = 1 << 20) -> DataFrame:
     """Each message's findings over its content slots and the action: block before redact before flag before none.
 
-    A slot over ``most_bytes`` is not scanned and flags its message.
+    Secrets are the merged spans of all families. A slot over ``most_bytes`` is not scanned and flags its message.
     """
     total = lambda families: sum((F.coalesce(F.size(tokens(F.col(text), p)), F.lit(0)) for p in families.values()), F.lit(0))
     over = F.coalesce(F.octet_length(text) > most_bytes, F.lit(False))
-    per = slots.select(message, over.alias("over"), F.when(~over, total(SECRET_FAMILIES)).otherwise(0).alias("s"), F.when(~over, total(INJECTION_FAMILIES)).otherwise(0).alias("i"))
+    per = slots.select(message, over.alias("over"), span_count(F.when(~over, F.col(text)), ALL_SECRETS).alias("s"), F.when(~over, total(INJECTION_FAMILIES)).otherwise(0).alias("i"))
     found = per.groupBy(message).agg(F.sum("s").alias("secrets_found"), F.sum("i").alias("injection_found"), F.max("over").alias("oversize"))
     wants = lambda action: ((F.col("secrets_found") > 0) & F.lit(secrets == action)) | ((F.col("injection_found") > 0) & F.lit(injection == action))
     return found.withColumn("action", F.when(wants("block"), "block").when(wants("redact"), "redact").when(wants("flag") | F.col("oversize"), "flag").otherwise("none"))

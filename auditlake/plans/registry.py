@@ -271,7 +271,7 @@ def secret_context_counts(spark, d):
 
 @query("secret_redaction")
 def secret_redaction(spark, d):
-    return table(spark, d, "documents").select("doc_id", scan.redact_with_refs(F.col("text"), scan.SECRET_FAMILIES).alias("text"))
+    return table(spark, d, "documents").select("doc_id", scan.redact_with_refs(F.col("text"), scan.ALL_SECRETS).alias("text"))
 
 
 @query("injection_counts", f"SELECT page_id, {_COUNTS(scan.INJECTION_FAMILIES, 'html')} FROM pages")
@@ -281,7 +281,7 @@ def injection_counts(spark, d):
 
 @query("secret_token_refs", " UNION ".join(f"SELECT page_id, '{n}' AS family, {_REF.format('t')} AS ref FROM (SELECT page_id, unnest(regexp_extract_all(html, '{p.replace(chr(39), chr(39) * 2)}')) AS t FROM pages)" for n, p in scan.SECRET_FAMILIES.items()))
 def secret_token_refs(spark, d):
-    return scan.token_refs(table(spark, d, "pages"), "page_id", "html", scan.SECRET_FAMILIES)
+    return scan.token_refs(table(spark, d, "pages"), "page_id", "html", scan.ALL_SECRETS)
 
 
 _SUM = lambda families: " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}'))" for p in families.values())

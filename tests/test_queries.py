@@ -72,3 +72,29 @@ def test_secrets_are_replaced_by_their_references(spark):
     got = {r.m: r.t for r in rows.select("m", scan.redact_with_refs(F.col("t"), {"aws": scan.SECRET_FAMILIES["aws_access_key_id"]}).alias("t")).collect()}
     mark = f"[redacted:sha256:{hashlib.sha256(key.encode()).hexdigest()[:16]}]"
     assert got == {1: f"{mark} and {mark}.", 2: "none", 3: None, 4: ""}
+
+
+def test_all_secret_families_reach_verdict_redaction_and_refs(spark, tmp_path):
+    import hashlib
+    import re
+
+    pat = "github_pat_" + "aB3" * 15
+    texts = ["login password=hunter2hunter2 now", "see https://user:pw@host.example/x", "run --api-key k3y9zzz now", "clientSecret = abcdefgh1", "DB_TOKEN: a1b2c3d4e5", f"pat {pat} end", "token: sk-abcdefghijkl and more", "fine", None, ""]
+
+    def redacted(t):
+        hits = sorted({m.span() for p in scan.ALL_SECRETS.values() for m in re.finditer(p, t, re.ASCII)})
+        covered = [False] * len(t)
+        for a, b in hits:
+            covered[a:b] = [True] * (b - a)
+        return re.sub("\0+", "#", "".join("\0" if c else x for x, c in zip(t, covered)))  # no two spans touch here
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.action for r in scan.verdict(rows, "doc_id", "text").orderBy("doc_id").collect()] == ["redact"] * 7 + ["none"] * 3
+    assert {r.doc_id: r.secrets_found for r in scan.verdict(rows, "doc_id", "text").collect()}[6] == 1
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in registry.QUERIES["secret_redaction"](spark, str(tmp_path)).collect()}
+    assert {i: t and re.sub(r"\[redacted:sha256:[0-9a-f]{16}\]", "#", t) for i, t in got.items()} == {i: t and redacted(t) for i, t in enumerate(texts)}
+    assert f"[redacted:sha256:{hashlib.sha256(b'user:pw').hexdigest()[:16]}]@host" in got[1]
+    rows.selectExpr("doc_id as page_id", "text as html").write.parquet(f"{tmp_path}/pages.parquet")
+    refs = {(r.page_id, r.family, r.ref) for r in registry.QUERIES["secret_token_refs"](spark, str(tmp_path)).collect()}
+    assert refs == {(i, n, C.REF + hashlib.sha256(m[0].encode()).hexdigest()) for i, t in enumerate(texts) for n, p in scan.ALL_SECRETS.items() for m in re.finditer(p, t or "", re.ASCII)}
