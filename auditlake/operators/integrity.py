@@ -103,8 +103,12 @@ def collisions(events: DataFrame, key: str, content: str) -> DataFrame:
 def bundle_range(records: DataFrame, sessions: DataFrame) -> DataFrame:
     """Manifest rows: a session's least to greatest seq in its chain, and all records in between."""
     own = records.join(sessions.select("session_id").distinct(), "session_id", "left_semi").groupBy("chain_id", "session_id").agg(F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"))
-    inside = records.select("chain_id", "seq", "prev_hash", "hash").join(own, "chain_id").where("seq between from_seq and to_seq")
-    return inside.groupBy("chain_id", "session_id", "from_seq", "to_seq").agg(F.count("*").alias("event_count"), F.min_by("prev_hash", "seq").alias("base_hash"), F.max_by("hash", "seq").alias("head_hash"))
+    w = Window.partitionBy("chain_id").orderBy("seq")
+    placed = records.select("chain_id", "seq", "prev_hash", "hash", F.row_number().over(w).alias("place"))
+    first = placed.select("chain_id", F.col("seq").alias("from_seq"), F.col("prev_hash").alias("base_hash"), F.col("place").alias("lo"))
+    last = placed.select("chain_id", F.col("seq").alias("to_seq"), F.col("hash").alias("head_hash"), F.col("place").alias("hi"))
+    ends = own.join(first, ["chain_id", "from_seq"]).join(last, ["chain_id", "to_seq"])
+    return ends.select("chain_id", "session_id", "from_seq", "to_seq", (F.col("hi") - F.col("lo") + 1).cast("long").alias("event_count"), "base_hash", "head_hash")
 
 
 #: The checks of a bundle's manifest, in the order in which its verdict names them.

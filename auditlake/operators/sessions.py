@@ -60,11 +60,10 @@ def as_of(events: DataFrame, value: str, by: str, out: str) -> DataFrame:
 def resolve_prefix(sessions: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(prefix, status, session_id): exact, unique, ambiguous or none."""
     ids = sessions.select("session_id").distinct()
-    longest = 64
-    cut = ids.select("session_id", F.explode(F.sequence(F.lit(1), F.least(F.length("session_id"), F.lit(longest)))).alias("n"))
     wanted = prefixes.select("prefix").distinct()
-    lengths = F.broadcast(wanted.select(F.length("prefix").alias("n")).distinct())  # at most ``longest`` rows matter
-    met = cut.join(lengths, "n").select("session_id", F.substring("session_id", F.lit(1), F.col("n")).alias("prefix")).join(wanted, "prefix")
+    lengths = wanted.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("lengths"))  # one row
+    cut = ids.crossJoin(F.broadcast(lengths)).select("session_id", F.explode(F.filter("lengths", lambda n: n.between(1, F.length("session_id")))).alias("n"))
+    met = cut.select("session_id", F.substring("session_id", F.lit(1), F.col("n")).alias("prefix")).join(wanted, "prefix")
     found = met.groupBy("prefix").agg(F.count("*").alias("n"), F.min("session_id").alias("one"), F.max(F.col("session_id") == F.col("prefix")).alias("exact"))
     status = F.when(F.col("exact"), "exact").when(F.col("n") == 1, "unique").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return wanted.join(found, "prefix", "left").select("prefix", status.alias("status"), F.when(F.col("exact"), F.col("prefix")).when(F.col("n") == 1, F.col("one")).alias("session_id"))

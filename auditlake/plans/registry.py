@@ -54,6 +54,13 @@ def session_prefix_resolve(spark, d):
     return sessions.resolve_prefix(ids, prefixes)
 
 
+@query("session_prefix_resolve_all")
+def session_prefix_resolve_all(spark, d):
+    """Every id and its first three characters."""
+    ids = audit_events(spark, d).select("session_id").distinct()
+    return sessions.resolve_prefix(ids, ids.select(F.substring("session_id", 1, 3).alias("prefix")).union(ids))
+
+
 @query("tool_census", f"""WITH {AUDIT} SELECT coalesce(server, '') AS server, tool, count(*) FILTER ({_CALL}) AS calls, count(*) FILTER (kind = 'tool_call' AND is_error) AS errors, count(*) FILTER (decision = 'deny') AS denied,
     count(*) FILTER (decision = 'hold') AS held, count(DISTINCT session_id) FILTER ({_CALL}) AS sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM e WHERE kind IN ('tool_call', 'policy_decision') GROUP BY 1, 2""")
 def tool_census(spark, d):
@@ -173,6 +180,13 @@ def bundle_range(spark, d):
     return integrity.bundle_range(records, records.where(F.col("session_id").endswith("3")).select("session_id"))
 
 
+@query("bundle_range_all")
+def bundle_range_all(spark, d):
+    """The ranges of all sessions."""
+    records = integrity.seal(chain_events(spark, d)).withColumn("session_id", F.get_json_object("event", "$.session_id"))
+    return integrity.bundle_range(records, records.select("session_id"))
+
+
 @query("dedupe_collision", f"WITH {AUDIT}, x AS (SELECT event_id, args FROM e UNION ALL SELECT event_id, CASE WHEN k % 2 = 0 THEN args ELSE args || ' ' END FROM e WHERE k % 7 = 0) SELECT event_id, count(*) AS seen, count(DISTINCT args) AS contents, CASE WHEN count(DISTINCT args) > 1 THEN 'collision' ELSE 'skip' END AS verdict FROM x GROUP BY 1 HAVING count(*) > 1")
 def dedupe_collision(spark, d):
     e = audit_events(spark, d)

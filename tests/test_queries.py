@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import canonical as C
-from auditlake.operators import integrity, policy, scan
+from auditlake.operators import integrity, policy, scan, sessions
 from auditlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,27 @@ def test_all_secret_families_reach_verdict_redaction_and_refs(spark, tmp_path):
     rows.selectExpr("doc_id as page_id", "text as html").write.parquet(f"{tmp_path}/pages.parquet")
     refs = {(r.page_id, r.family, r.ref) for r in registry.QUERIES["secret_token_refs"](spark, str(tmp_path)).collect()}
     assert refs == {(i, n, C.REF + hashlib.sha256(m[0].encode()).hexdigest()) for i, t in enumerate(texts) for n, p in scan.ALL_SECRETS.items() for m in re.finditer(p, t or "", re.ASCII)}
+
+
+def test_every_session_has_its_range(spark, con):
+    sql = registry.SQL["bundle_range"]
+    cut = " WHERE right(session_id, 1) = '3'"
+    assert sql.count(cut) == 1
+    columns = "chain_id, session_id, from_seq, to_seq, event_count, base_hash, head_hash"
+    for name, text in (("bundle_range", sql), ("bundle_range_all", sql.replace(cut, ""))):
+        df = registry.QUERIES[name](spark, SF).selectExpr(*columns.split(", "))
+        assert sorted(tuple(r) for r in df.collect()) == sorted(con.sql(f"select {columns} from ({text})").fetchall())
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert len(joins) == 2 and all("_seq" in j and ">=" not in j for j in joins)
+
+
+def test_every_id_resolves_exactly(spark, con):
+    sql = registry.SQL["session_prefix_resolve"]
+    cut = " WHERE right(session_id, 1) = '7'"
+    assert sql.count(cut) == 1
+    got = registry.QUERIES["session_prefix_resolve_all"](spark, SF).select("prefix", "status", "session_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(f"select prefix, status, session_id from ({sql.replace(cut, '')})").fetchall()))
+    ids = spark.createDataFrame([("a" * 80 + "x",), ("a" * 80 + "y",)], "session_id string")
+    asked = spark.createDataFrame([("a" * 80 + "x",), ("a" * 70,), ("b" * 90,)], "prefix string")
+    found = {len(r.prefix): (r.status, r.session_id) for r in sessions.resolve_prefix(ids, asked).collect()}
+    assert found == {81: ("exact", "a" * 80 + "x"), 70: ("ambiguous", None), 90: ("none", None)}
