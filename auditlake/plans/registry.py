@@ -441,6 +441,16 @@ def stream_ingest(spark, d):
     return spark.read.schema("event_id long, user_id long").parquet(out).select("event_id", "user_id")
 
 
+@query("stream_chain_ingest")
+def stream_chain_ingest(spark, d):
+    """Commit of streamed chain records with the gap, anchor and fork checks."""
+    records, out = _shared(spark, "sealed"), _shared(spark, "chains")
+    sealed = integrity.seal(chain_events(spark, d)).drop("event")
+    sealed.write.parquet(records)
+    streams.run_to_end(streams.read(spark, records, sealed.schema), streams.commit_chains(out, _shared(spark, "refused")), _shared(spark, "chain-state"))
+    return spark.read.schema(sealed.schema).parquet(out)
+
+
 def _lines(spark, d) -> DataFrame:
     """A wire line for each event: requests, notifications, responses, batches and broken text."""
     n, kind = F.col("event_id").cast("string"), F.col("event_type")
