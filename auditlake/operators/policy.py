@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.canonical import length16
 
 MAX_VALUE = 4096
+#: How many string leaves and bytes of them are scanned.
+MAX_LEAVES, MAX_LEAF_BYTES = 256, 256 * 1024
 
 
 @dataclass(frozen=True)
@@ -20,7 +25,8 @@ class Rule:
     server: tuple[str, ...] = ("**",)
     tool: tuple[str, ...] = ("**",)
     args: dict[str, str] = field(default_factory=dict)  # JSON path to regex
-    any_arg: str | None = None
+    any_arg: str | None = None  # regex on the JSON text
+    any_leaf: str | None = None  # regex on each string leaf
     max_bytes: int | None = None
     rule_id: str | None = None
     reason: str | None = None
@@ -40,8 +46,34 @@ def matches_any(value: Column, globs: tuple[str, ...], delimiter: str = "/") ->
     return F.coalesce(value.rlike("|".join(f"(?:{glob_regex(g, delimiter)})" for g in globs)), F.lit(False))
 
 
+def _leaves(args: str | None) -> list[str] | None:
+    """The string leaves of an object, none of other values; None if they can't be had or are past the budget."""
+    try:
+        root = json.loads(args, parse_int=float, parse_float=lambda _: 0.0, parse_constant=int) if args is not None else None
+    except (ValueError, RecursionError):
+        return None
+    out, size, stack = [], 0, [root] if isinstance(root, dict) else []
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            text = node.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+            size += len(text.encode())
+            if len(out) >= MAX_LEAVES or size > MAX_LEAF_BYTES:
+                return None
+            out.append(text)
+        elif isinstance(node, (list, dict)):
+            stack.extend(node if isinstance(node, list) else node.values())
+    return out
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def string_leaves(args: pa.Array) -> pa.Array:
+    """The string leaves of JSON arguments; null if they are past the budget or no JSON."""
+    return pa.array([_leaves(a) for a in args.to_pylist()], pa.list_(pa.string()))
+
+
 def _state(rule: Rule, server: Column, tool: Column, args: Column) -> Column:
-    """match, error or null, in the order server, tool, args, any_arg, size: what fails earlier hides later errors."""
+    """match, error or null, in the order server, tool, args, any_arg, any_leaf, size: what fails earlier hides later errors."""
     tests: list[tuple[Column, Column]] = []  # (error, match)
     parsed = F.try_parse_json(args)
     for path, pattern in rule.args.items():
@@ -49,6 +81,9 @@ def _state(rule: Rule, server: Column, tool: Column, args: Column) -> Column:
         tests.append((length16(value) > MAX_VALUE, F.coalesce(value.rlike(pattern), F.lit(False))))
     if rule.any_arg is not None:
         tests.append((length16(args) > 256 * 1024, F.coalesce(args.rlike(rule.any_arg), F.lit(False))))
+    if rule.any_leaf is not None:
+        leaves = string_leaves(args)
+        tests.append((leaves.isNull(), F.coalesce(F.exists(leaves, lambda leaf: leaf.rlike(rule.any_leaf)), F.lit(False))))
     if rule.max_bytes is not None:
         tests.append((F.lit(False), F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False))))
     state = F.when(~(matches_any(server, rule.server) & matches_any(tool, rule.tool)), F.lit(None))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -232,6 +233,13 @@ def policy_first_match(spark, d):
     return policy.evaluate(audit_events(spark, d), STARTER).select("event_id", "action", "rule", "fail_closed")
 
 
+@query("policy_leaf_match")
+def policy_leaf_match(spark, d):
+    """The same rules with any_arg read as string leaves."""
+    rules = [replace(r, any_arg=None, any_leaf=r.any_arg) for r in STARTER]
+    return policy.evaluate(audit_events(spark, d), rules).select("event_id", "action", "rule", "fail_closed")
+
+
 @query("policy_coverage", f"WITH {AUDIT}, {_EVALUATED} SELECT server, count(*) FILTER (action = 'deny') AS denied, count(*) FILTER (action = 'hold') AS held, count(*) FILTER (action = 'allow') AS allowed, CASE WHEN count(*) FILTER (action <> 'allow') = 0 THEN 'FAIL' ELSE 'ok' END AS verdict FROM v GROUP BY 1")
 def policy_coverage(spark, d):
     return policy.coverage(policy.evaluate(audit_events(spark, d), STARTER))

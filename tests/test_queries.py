@@ -122,3 +122,18 @@ def test_every_id_resolves_exactly(spark, con):
     asked = spark.createDataFrame([("a" * 80 + "x",), ("a" * 70,), ("b" * 90,)], "prefix string")
     found = {len(r.prefix): (r.status, r.session_id) for r in sessions.resolve_prefix(ids, asked).collect()}
     assert found == {81: ("exact", "a" * 80 + "x"), 70: ("ambiguous", None), 90: ("none", None)}
+
+
+def test_leaves_are_matched_one_by_one(spark):
+    import json
+
+    deep = '{"a":' * 50 + '"x"' + "}" * 50
+    cases = [('{"k":"x"}', "deny"), (r'{"k":["\u0078"]}', "deny"), ('{"x":1}', "allow"), ('{"k":"ax"}', "allow"), (r'{"k":"say \"hi\""}', "deny"), ('{"k":95}', "allow"), ('["x"]', "allow"), (None, "allow"), (deep, "deny"), (json.dumps({"k": ["a"] * 256}), "allow"), (json.dumps({"k": ["a"] * 257}), "closed"), (json.dumps({"k": "é" * (128 * 1024)}), "allow"), (json.dumps({"k": "é" * (128 * 1024) + "a"}), "closed"), ("{", "closed"), (r'{"k":"\ud800"}', "allow"), ('{"k":' + "9" * 5000 + "}", "allow")]
+    calls = spark.createDataFrame([(i, "s", "t", a) for i, (a, _) in enumerate(cases)], "n int, server string, tool string, args string")
+    got = policy.evaluate(calls, [policy.Rule("deny", any_leaf=r'^x$|^say "hi"$|9\d')]).orderBy("n").collect()
+    assert ["closed" if r.fail_closed else r.action for r in got] == [want for _, want in cases]
+
+
+def test_registered_policy_reads_leaves(spark):
+    rules = {r.rule for r in registry.QUERIES["policy_leaf_match"](spark, SF).collect()}
+    assert "nineties" not in rules and "one_digit" in rules  # k is a number
