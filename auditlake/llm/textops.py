@@ -24,12 +24,14 @@ _BLOCK = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; up to a block of them is kept between calls."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         steps = np.full(max(n, _BLOCK), base, np.uint64)
         steps[0] = 1
-        known = _powers[base] = np.multiply.accumulate(steps)
+        known = np.multiply.accumulate(steps)
+        if n <= _BLOCK:
+            _powers[base] = known
     return known[:n]
 
 
@@ -102,6 +104,8 @@ def rolling(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """A hash of every n consecutive entries (those that cross rows too; see ``fits``)."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
+    if len(hashes) > _BLOCK + n:  # by blocks that overlap in n - 1 entries
+        return np.concatenate([rolling(hashes[i : i + _BLOCK + n - 1], n, salt) for i in range(0, len(hashes) - n + 1, _BLOCK)])
     if salt:
         hashes = mix(hashes ^ np.uint64(salt))
     sums = np.empty(len(hashes) + 1, np.uint64)

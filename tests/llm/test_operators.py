@@ -115,11 +115,13 @@ def test_packing(docs, texts, empty):
 
 def test_encoder_reads_like_the_tokenizer():
     import public_tokenizers
+    import pyarrow as pa
 
-    encoder = packing._Encoder(str(public_tokenizers.path("word_bpe_49k.json")), most=5)
-    for text in ("Don't stop.", "a<|endoftext|>b c", "ΑΣ. İI ǅ", "́e x.,y .", "\x1c \x85x", "it's 12ab½ ﬁ.", ""):
-        want = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        assert encoder.encode([text.encode()])[0] == want
+    encoder = packing.Encoder(str(public_tokenizers.path("word_bpe_49k.json")), most=5)
+    texts = ["Don't stop.", "a<|endoftext|>b c", "ΑΣ. İI ǅ", "́e x.,y .", "\x1c \x85x", "it's 12ab½ ﬁ.", "", None, " \t", "same same Same"]
+    for column in [pa.array(texts), *(pa.array([t], pa.string()) for t in texts)]:
+        got = [list(ids[a:b]) for _, _, ids, at in encoder.encode(column, 7) for a, b in zip(at, at[1:])]
+        assert got == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in column.to_pylist()]
 
 
 def test_mixing(docs, texts, empty):
