@@ -77,6 +77,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components whose floor leaves 64 bits are held at the ends of that range, as floor() does."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))")
     whole = rows.select("vec_id", F.expr("transform(embedding, x -> floor(64 * cast(x as double)))").alias("v"))
     return topk.top_k(whole, whole.where("vec_id % 20 = 0"))
@@ -140,8 +141,8 @@ ORACLE_SQL = {
     SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> r THEN r END AS refers_to FROM d""",
     "op7_secret_scan": _spans_sql(),
     "op10_top_k": """
-    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+    WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.n AS query_row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS k FROM s)
     SELECT query_id, k::INT AS rank, vec_id, score FROM r WHERE k <= 20""",
 }

@@ -254,6 +254,35 @@ def test_trigram_queries():
     assert frozenset({"sec", "ecr", "cre", "ret"}) in secrets.trigram_query(secrets.RULES[0].regex)
 
 
+def _base_entities(text):
+    """The four patterns as they stand, by kind and then start."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"][::-1]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.findall("[0-9]", m[0])) <= 15]
+
+
+def test_entities_are_those_of_the_patterns():
+    rng = random.Random(11)
+    shapes = ["a@b.c", "_x@y.z", "@", ".", "+", " ", "-", "1.2.3.4", "256", "007.1.1.001", "4111 1111 1111 1111", "4111-1111", "+1 (2) 3456-789", "é", "a_b", "..", "12", "%"]
+    for _ in range(3000):
+        text = "".join(rng.choices(shapes, k=rng.randint(1, 9)))
+        assert [(pii.KINDS[k], a, b) for k, a, b in pii.entities(text)] == _base_entities(text), text
+
+
+def test_entities_take_linear_time_on_long_runs():
+    import time
+
+    began = time.time()
+    for text in ("9" * 400_000 + ".2.3.4", "9" * 400_000 + ".", "a" * 400_000 + "@", "a@" * 200_000, "+1" + " " * 400_000, "1." * 200_000, "4 " * 200_000, "a@b." * 100_000):
+        pii.entities(text)
+    assert time.time() - began < 20
+    assert [s[1:] for s in pii.entities("0" * 5000 + "9.2.3.4")] == [(0, 5007)]
+
+
 def test_personal_data(spark, empty):
     near = "call zorblat about mail bob@ex-ample.com now"
     samples = [near] * 4 + ["ip 10.0.0.256 and 1.2.3.4.5", "card 4111 1111-1111 1111 x", "+44 20 7946 0958, +1", "é a@b.c", "", None, "a" * 5000 + " 1.2.3.4"]
@@ -261,29 +290,47 @@ def test_personal_data(spark, empty):
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(rows).collect()}
     for i, t in enumerate(samples):
         assert [s for s in got[i] if s[0] != "term"] == [(pii.KINDS[k], a, b) for k, a, b in pii.entities(t or "")]
+    for i, t in enumerate(samples):
+        assert [s for s in got[i] if s[0] != "term"] == _base_entities(t or "")
     assert ("term", 5, 12) in got[0] and not any(s[0] == "term" for s in got[7])
     spans = F.expr("array(named_struct('kind','email','start',3,'end',8), named_struct('kind','term','start',0,'end',2))")
     assert spark.range(1).select(pii.sanitise(F.lit("ab c@d.e z"), spans).alias("t")).first().t == "[term] [email] z"
     assert pii.find(empty).count() == 0
 
 
-def test_top_k(spark):
+def _best(rows, queries, k):
+    """Each query row's k best others, told apart by their place."""
+    out = []
+    for n, (q, v) in queries:
+        others = sorted((-sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))
+        out += [(q, rank, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for rank, (s, i) in enumerate(others[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", ["like", "long tail"])
+def test_top_k(spark, scale):
     rng = np.random.default_rng(1)
     rows = [(int(i), [int(x) for x in v]) for i, v in enumerate(rng.integers(-20, 20, (300, 8)))]
-    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(2000, None), (2001, [None] * 8), (None, [1] * 8), (2002, [0] * 8)]
-    table = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    if scale == "long tail":
+        rows = [(i, [x * (1 + 400 * (i % 30 == 0)) for x in v]) for i, v in rows]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(20, rows[20][1]), (20, rows[21][1]), (2002, [0] * 8), (2020, [0] * 8), (3000, [1, 2]), (3020, [2, 1])]
+    odd = [(2000, None), (2001, [None] * 8), (None, [1] * 8), (2003, [])]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, v array<bigint>, rank int").repartition(3)
     asked = table.where("vec_id % 20 = 0")
-    got = {}
-    for r in topk.top_k(table, asked, k=5, bucket_rows=40, block_rows=4).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    good = [(i, v) for i, v in rows if i is not None and v is not None and None not in v]
-    for q, v in good:
-        if q % 20 == 0:
-            best = sorted((-int(np.dot(v, w)), i) for i, w in good if i != q)[:5]
-            assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    for kw in ({}, {"bucket_rows": 40, "chunk_rows": 4}):
+        got = sorted(tuple(r) for r in topk.top_k(table, asked, k=5, **kw).collect())
+        assert got == _best(rows, [(n, r) for n, r in enumerate(rows) if r[0] % 20 == 0], 5)
     assert topk.top_k(table.limit(0), asked.limit(0)).count() == 0
 
 
+def test_top_k_of_scores_beyond_64_bits(spark):
+    top = (1 << 63) - 1
+    rows = [(0, [top, 1]), (1, [top, 2]), (2, [-top, 3]), (3, [1, 1]), (4, [3, -1]), (5, [top, 1]), (6, [1 << 40, 1 << 40])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = sorted(tuple(r) for r in topk.top_k(table, table, k=3).collect())
+    assert got == _best(rows, list(enumerate(rows)), 3)
+
+
 def test_terms_are_found_away_from_their_entity(spark):
     rng = random.Random(5)
     words = [f"{a}{b}" for a in "klmnprst" for b in ("ada", "ebo", "iku", "oma")]
