@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import fingerprint, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk, toxicity, warc
 
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1"
+#: Rows without a doc_id have no label and aren't held out.
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1, false)"
 THRESHOLD = 0.7
 
 
@@ -22,7 +23,7 @@ def tokenizer() -> str:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    return toxicity.train(*toxicity.sample(docs, labels.where(~F.expr(HELD_OUT))))
+    return toxicity.fit(docs, labels.where(~F.expr(HELD_OUT)))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
