@@ -69,11 +69,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     """How often the mix takes each document.
 
     Needs doc_id, text, source. Size: words of the text (null: 0). Null is a source of its own, last in order. Rows that share a doc_id and source are
-    told apart by an occurrence number, so their copies add up. Reruns agree. Returns doc_id, source, size, source_size, target, copies.
+    told apart by an occurrence number, so their copies add up. Reruns agree. Other columns are ignored, an empty table gives no rows. The targets come from one row for each
+    source, which meet in one task: sources are taken to be thousands at most. Returns doc_id, source, size, nth (the
+    occurrence among rows of that doc_id, source and size, from 1), source_size, target, copies.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     base = sizes(base).drop("text").groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("times"))
-    base = materialize(base.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), "times")).alias("nth")).withColumn("doc", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "nth", F.coalesce("source", F.lit("")))), "sizes")
+    base = materialize(base.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), "times")).alias("nth")).withColumn("doc", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "nth", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit(":"), "source")))), "sizes")
     planned = materialize(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = base.join(planned.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
@@ -97,4 +99,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     last = left.select("doc", ((F.pmod(F.xxhash64("doc", F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / float(1 << 52) < F.col("p")).alias("one"))
     chosen = decided.unionByName(last)
     out = rated.join(chosen, "doc", "left").withColumn("copies", F.col("whole") + F.coalesce(F.col("one").cast("int"), F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "size", "nth", "source_size", "target", "copies")

@@ -135,10 +135,23 @@ def test_mixing(docs, texts, empty):
         assert sum(r.size for r in group) == group[0].source_size
         assert abs(sum(r.copies * r.size for r in group) - group[0].target) <= 3 * max(r.size for r in group)
     assert abs(sum(g[0].target for g in by.values()) - sum(r.size for r in rows)) < 1e-6
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect())) if None not in by else True
+    plain = lambda rows: sorted(tuple(str(x) for x in r) for r in rows)
+    assert plain(rows) == plain(mixing.mix(docs.repartition(5)).collect())
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_tells_null_from_empty_and_repeated_rows(spark):
+    rows = [(1, "a b c", None), (1, "a b c", ""), (1, "a b c", ""), (1, "c b a", ""), (None, "a b", "x"), (None, "a b", "x"), (None, None, "x"), (2, "", None), (2, "a b c d e f g h", "y")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, copies int, nth int")
+    got = [(r.doc_id, r.size, r.source, r.nth) for r in mixing.mix(docs).collect()]
+    seen, want = {}, []
+    for i, t, s in rows:
+        key = (i, len(WORD.findall(t or "")), s)
+        seen[key] = seen.get(key, 0) + 1
+        want.append((*key, seen[key]))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_mixing_targets_stop_at_three_times_the_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1), ("c", 100), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -200,13 +213,27 @@ def test_toxicity_on_held_out_texts(spark):
     word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
     clean = [" ".join(word() for _ in range(60)) for _ in range(600)]
     bad = [" ".join([*(word() for _ in range(30)), rng.choice(["wretched", "horrible"]), *(word() for _ in range(30)), rng.choice(["wretched", "horrible"])]) for _ in range(300)]
-    model = toxicity.train([t.encode() for t in bad[:150]], [t.encode() for t in clean[:300]])
-    rows = [(i, t, 9.0) for i, t in enumerate(clean[300:] + bad[150:] + ["", None, "WRETCHED"])]
+    # some labels say nothing, some doc_ids have both
+    taught = [(i, t, y) for i, (t, y) in enumerate([(t, 1) for t in bad[:150]] + [(t, 0) for t in clean[:300]])]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in taught] + [(5000, None), (5001, ""), (None, "wretched"), (5002, bad[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in taught] + [(5000, 0), (5001, 0), (None, 1), (5002, 0), (5002, 1), (5003, None), (5004, 7)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = [(i, t, 9.0) for i, t in enumerate(clean[300:] + bad[150:] + ["", None, "WRETCHED", clean[0] * 300])]
     got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()}
+    assert all(0 <= v <= 1 for v in got.values())
     assert sum(got[i] >= 0.7 for i in range(300)) <= 3
     assert sum(got[i] >= 0.7 for i in range(300, 450)) >= 140
     assert got[450] == got[451] < 0.7
-    assert toxicity.train([], [b"x"]).calibration == (0.0,)
+    again = toxicity.fit(docs.repartition(3), labels)
+    assert again == model
+    assert toxicity.fit(docs, labels.where("toxic = 0")).calibration == (0.0,)
+    assert toxicity.fit(docs, labels.limit(0)).calibration == (0.0,)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_calibration_is_monotone():
+    value = toxicity.calibrated(toxicity.Model(b"x", b"y"), {0: [90, 1], 3: [5, 5], 4: [5, 4], 9: [0, 30]}).calibration
+    assert len(value) == 10 and all(a <= b for a, b in zip(value, value[1:])) and value[3] == value[4] and value[9] > 0.9
 
 
 def test_warc(spark):
