@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm import mixing, near_dedup, packing, pii, queries, toxicity
@@ -37,13 +37,18 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0")
-    copies = copies.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")) & (size == F.col("size"))
-    out = docs.join(copies, same).withColumn("again", F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int"))))
-    return out.select(*docs.columns)
+    """Each document as often as the mix takes it. Rows that share doc_id, source and size are told apart by their occurrence."""
+    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("nth").alias("k"), "copies")
+    key = ["doc_id", "source", "size"]
+    sized = mixing.sizes(docs)
+    repeated = sized.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    if repeated.limit(1).count():
+        sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"), "text")))
+    else:
+        sized = sized.withColumn("nth", F.lit(1))
+    out = sized.join(copies, same("doc_id", "id") & same("source", "s") & (F.col("size") == F.col("n")) & (F.col("nth") == F.col("k")))
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
