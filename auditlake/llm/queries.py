@@ -53,9 +53,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     out = warc.round_trip(pages)
-    return out.select(page("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast("long").alias("refers_to"))
+    return out.select(F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+):', 1) as long)").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+):', 1) as long)").alias("refers_to"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +136,9 @@ ORACLE_SQL = {
     SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) AS kept
     FROM docs d LEFT JOIN size USING (doc_id) LEFT JOIN least ON least.a = d.doc_id""",
     "op6_warc_round_trip": """
-    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
-    d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS r, array_to_string(list_transform(range(8), lambda g: list_transform(['0x' || substr(h, (1 + 5 * g)::INT, 5)], lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((x::BIGINT >> s) & 31))::INT, 1)), ''))[1]), '') AS digest FROM p)
-    SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> r THEN r END AS refers_to FROM d""",
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, url FROM pages),
+    d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS r, row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS k, array_to_string(list_transform(range(8), lambda g: list_transform(['0x' || substr(h, (1 + 5 * g)::INT, 5)], lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((x::BIGINT >> s) & 31))::INT, 1)), ''))[1]), '') AS digest FROM p)
+    SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN r END AS refers_to FROM d""",
     "op7_secret_scan": _spans_sql(),
     "op10_top_k": """
     WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -1,18 +1,19 @@
 """WARC archives: writing web records in segments, and reassembling them.
 
 A record's HTTP block is framed as chunks and, beyond ``segment_bytes``, split into a first segment and continuation
-records. Reading groups continuation records by the identifier of their origin, orders them by segment number, checks
-the total length and decodes the chunked framing. Equal payloads are stored once: later records revisit them.
+records. Each record is compressed by itself, as the format asks, so that it can be read from its own offset. Reading groups
+continuation records by the identifier of their origin, orders them by segment number, checks the total length and decodes
+the chunked framing. Equal payloads are stored once: later records revisit them.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import new_path
@@ -43,36 +44,57 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def records_of(page_id: str, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
-    """A page's records without their closing CRLF: one response with any continuations, or one revisit."""
-    name, clean = f"<urn:page:{page_id}>", (url or "").replace("\r", "%0D").replace("\n", "%0A")
+def records_of(record: str, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None, segment_bytes: int, chunk_bytes: int) -> list[bytes]:
+    """A page's records, whole: one response with any continuations, or one revisit. ``record`` and ``refers_to`` name records."""
+    name, clean = f"<urn:page:{record}>", (url or "").replace("\r", "%0D").replace("\n", "%0A")
     known = [("WARC-Record-ID", name), ("WARC-Target-URI", clean), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("WARC-X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
         block = _HTTP + b"\r\n"
-        return [_header([("WARC-Type", "revisit"), *known, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Length", str(len(block)))]) + block + b"\r\n"]
+        return [_header([("WARC-Type", "revisit"), *known, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Length", str(len(block)))]) + block + b"\r\n\r\n"]
     chunked = b"".join(b"%x\r\n%b\r\n" % (len(c), c) for c in _cut(payload, chunk_bytes)) + b"0\r\n\r\n"
     block = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked
     parts = _cut(block, segment_bytes)
     out = []
     for i, part in enumerate(parts, 1):
-        fields = [("WARC-Type", "response"), *known] if i == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{i}>"), ("WARC-Segment-Origin-ID", name)]
+        fields = [("WARC-Type", "response"), *known] if i == 1 else [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{record}:segment:{i}>"), ("WARC-Segment-Origin-ID", name)]
         if len(parts) > 1:
             fields.append(("WARC-Segment-Number", str(i)))
             if i == len(parts):
                 fields.append(("WARC-Segment-Total-Length", str(len(block))))
-        out.append(_header([*fields, ("Content-Length", str(len(part)))]) + part + b"\r\n")
+        out.append(_header([*fields, ("Content-Length", str(len(part)))]) + part + b"\r\n\r\n")
     return out
 
 
+def members(archive: bytes):
+    """The gzip members of an archive one by one, past zero bytes between or after them; an archive that isn't compressed as it is."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    rest = archive
+    while rest[:2] == b"\x1f\x8b":
+        one = zlib.decompressobj(31)
+        try:
+            data = one.decompress(rest)
+        except zlib.error:
+            return
+        if not one.eof:
+            return
+        yield data
+        rest = one.unused_data.lstrip(b"\0") if one.unused_data[:1] == b"\0" else one.unused_data
+
+
 def parse(archive: bytes):
-    """The records of an archive, by their Content-Length; stops at what is not a record."""
-    i, view = 0, memoryview(archive)
-    while archive.startswith(b"WARC/", i) and (end := archive.find(b"\r\n\r\n", i)) >= 0:
-        fields = dict(line.split(b": ", 1) for line in archive[i:end].split(b"\r\n")[1:] if b": " in line)
-        size = int(fields.get(b"Content-Length", b"0"))
-        start = end + 4
-        yield fields, bytes(view[start : start + size])
-        i = start + size + 4
+    """The records of an archive, by their Content-Length; stops at what is not a record or is cut off."""
+    for data in members(archive):
+        i = 0
+        while data.startswith(b"WARC/", i) and (end := data.find(b"\r\n\r\n", i)) >= 0:
+            fields = dict(line.split(b": ", 1) for line in data[i:end].split(b"\r\n")[1:] if b": " in line)
+            size = int(fields.get(b"Content-Length", b"0"))
+            start = end + 4
+            if start + size > len(data):
+                return
+            yield fields, data[start : start + size]
+            i = start + size + 4
 
 
 def unframe(block: bytes) -> bytes | None:
@@ -98,39 +120,59 @@ def unframe(block: bytes) -> bytes | None:
     return None
 
 
-def _digested(batches):
-    for batch in batches:
-        payloads = batch["payload"].fill_null("").cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array([digest(p) for p in payloads]), pa.array([len(p) for p in payloads], pa.int64())], ["page_id", "digest", "size"])
+def _written(segment_bytes: int, chunk_bytes: int, min_bytes: int):
+    """One archive a task, of rows in order of page_id, url and digest.
 
+    Of rows that are alike in all three, only the first can be the response.
+    """
 
-def _written(segment_bytes: int, chunk_bytes: int):
     def run(batches):
+        before, nth, out = None, 0, []
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
+            columns = [batch[c].to_pylist() for c in ("url", "hash", "record", "response")]
             payloads = batch["payload"].fill_null("").cast(pa.binary()).to_pylist()
-            out = [r for page, url, d, refers, p in zip(*columns, payloads) for r in records_of(str(page), url, p, d, None if refers is None else str(refers), segment_bytes, chunk_bytes)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+            for url, h, record, response, payload in zip(*columns, payloads):
+                nth = nth + 1 if record == before else 1
+                before = record
+                refers = None if len(payload) < min_bytes or (nth == 1 and record == response) else f"{response}:1"
+                for r in records_of(f"{record}:{nth}", url, payload, base64.b32encode(bytes.fromhex(h)).decode(), refers, segment_bytes, chunk_bytes):
+                    press = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.append(press.compress(r) + press.flush())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.large_binary())], ["value"])
 
     return run
 
 
+def _name(page: Column, url: Column, h: Column) -> Column:
+    """What stands for all rows of a page_id, url and payload."""
+    spelled = F.concat(F.coalesce(F.concat(F.lit("u"), url), F.lit("-")), F.lit(" "), h)
+    return F.concat(F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), F.substring(F.sha1(spelled), 1, 20))
+
+
 def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = 1 << 15, chunk_bytes: int = 1 << 13, file_bytes: int = 8 << 20) -> None:
     """Write a record for each row (page_id, url, payload) into archives of about ``file_bytes`` under ``path``.
 
     Of records with equal payloads of at least ``min_bytes``, that with the largest page_id is the response and the rest
-    revisit it. Null payloads are empty. page_ids name records, so rows with a null one and all but one of the rows
-    that share one are left out.
+    revisit it; null page_ids are below all others, ties go to the largest url, and of rows that are alike one is the
+    response. Null payloads are empty; other columns are ignored; an empty table writes no record. Record ids are
+    <urn:page:PAGE_ID:...>, each of its own, with ``null`` for a page without one.
     """
-    pages = pages.where(F.col("page_id").isNotNull())
-    seen = pages.select("page_id", "payload").mapInArrow(_digested, "page_id long, digest string, size long")
-    shared = seen.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("response"))
-    plan = seen.groupBy("page_id").agg(F.max_by("digest", "digest").alias("digest"), F.max_by("size", "digest").alias("size"))
-    plan = plan.join(shared, "digest", "left").select("page_id", "digest", F.when((F.col("size") >= min_bytes) & (F.col("response") != F.col("page_id")), F.col("response")).alias("refers_to"))
-    total = pages.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    one = pages.groupBy("page_id").agg(F.max(F.struct("payload", "url")).alias("p")).select("page_id", "p.url", "p.payload") if pages.groupBy("page_id").count().where("count > 1").limit(1).count() else pages.select("page_id", "url", "payload")
-    rows = one.repartition(int(total // file_bytes + 1), "page_id").join(plan, "page_id")
-    rows.mapInArrow(_written(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload")).withColumn("hash", F.sha1("payload"))
+    # by payload: the greatest (has page_id, page_id, has url, url); only its key goes back to the rows
+    kinds = rows.select("page_id", "url", "hash").distinct()
+    rank = F.struct(F.col("page_id").isNotNull().alias("a"), F.col("page_id").alias("page_id"), F.col("url").isNotNull().alias("b"), F.col("url").alias("url"))
+    responses = kinds.groupBy("hash").agg(F.max(rank).alias("r"))
+    plan = kinds.join(responses, "hash").select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("hash").alias("h"), F.col("r.page_id").alias("response_id"), F.col("r.url").alias("response_url"))
+    plan = plan.withColumn("record", _name(F.col("p"), F.col("u"), F.col("h"))).withColumn("response", _name(F.col("response_id"), F.col("response_url"), F.col("h"))).drop("response_id", "response_url")
+    total = pages.agg(F.sum(F.octet_length("payload")), F.count("*")).first()
+    tasks = int((total[0] or 0) + 400 * total[1]) // file_bytes + 1
+    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("hash") == F.col("h"))
+    planned = rows.join(plan, same).drop("p", "u", "h")
+    dealt = planned.repartition(tasks, "page_id", "url", "hash").sortWithinPartitions("page_id", "url", "hash")
+    archives = dealt.mapInArrow(_written(segment_bytes, chunk_bytes, min_bytes), "value binary")
+    # one archive a row and file; the bytes stay as they are, and the line end is a zero byte, which gzip allows at the end
+    archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def _parsed(batches):
@@ -139,8 +181,7 @@ def _parsed(batches):
     for batch in batches:
         for archive in batch["content"]:
             rows, held = [], 0
-            data = archive.as_py()
-            for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for f, block in parse(archive.as_py()):
                 rows.append((name(f, b"WARC-Record-ID"), name(f, b"WARC-Type"), name(f, b"WARC-Target-URI"), (name(f, b"WARC-Payload-Digest") or "").removeprefix("sha1:") or None, number(f, b"WARC-X-Payload-Length"), name(f, b"WARC-Refers-To"), number(f, b"WARC-Segment-Number"), name(f, b"WARC-Segment-Origin-ID"), number(f, b"WARC-Segment-Total-Length"), block))
                 held += len(block)
                 if held > 4 << 20:
@@ -157,6 +198,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RECORD)], schema=_RECORD)
 
 
+def _joined(batches):
+    """Records of segments: their blocks put together if they are 1 to n and add up to the total length."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            parts = sorted(row["s"], key=lambda x: x["segment"])
+            whole = [x["segment"] for x in parts] == list(range(1, len(parts) + 1)) and sum(len(x["block"]) for x in parts) == row["total"]
+            rows.append((*(row[c] for c in _HEAD), b"".join(x["block"] for x in parts) if whole else None))
+        columns = list(zip(*rows)) if rows else [()] * (len(_HEAD) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c, _RECORD.field(n).type) for n, c in zip((*_HEAD, "block"), columns)], [*_HEAD, "block"])
+
+
+_HEAD = ("record_id", "type", "uri", "digest", "length", "refers_to")
+
+
 def _unframed(batches):
     for batch in batches:
         kinds, blocks = batch["type"].to_pylist(), batch["block"].to_pylist()
@@ -176,13 +232,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     records = files.mapInArrow(_parsed, RECORD)
-    whole = records.where("segment is null")
+    whole = records.where("segment is null and coalesce(type, '') <> 'continuation'")
     parts = records.where("segment is not null").withColumn("of", F.coalesce("origin", "record_id"))
-    held = parts.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"), *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_id", "type", "uri", "digest", "length", "refers_to")))
-    block = F.aggregate("s", F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x["block"]))
-    complete = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))
-    joined = held.withColumn("b", block).select(*(c for c in ("record_id", "type", "uri", "digest", "length", "refers_to")), F.when(complete & (F.octet_length("b") == F.col("total")), F.col("b")).alias("block"))
-    return whole.select("record_id", "type", "uri", "digest", "length", "refers_to", "block").unionByName(joined.where("record_id is not null")).mapInArrow(_unframed, PAGE)
+    held = parts.groupBy("of").agg(F.collect_list(F.struct("segment", "block")).alias("s"), F.max("total").alias("total"), *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("record_id", "type", "uri", "digest", "length", "refers_to")))
+    kind = "record_id string, type string, uri string, digest string, length long, refers_to string, block binary"
+    joined = held.where("record_id is not null").select("s", "total", *_HEAD).mapInArrow(_joined, kind)
+    return whole.select(*_HEAD, "block").unionByName(joined).mapInArrow(_unframed, PAGE)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -238,24 +238,52 @@ def test_calibration_is_monotone():
 
 def test_warc(spark):
     html = ["a" * 50_000 + "é" * 30_000, "<p>x</p>", "<p>x</p>", "", None, "WARC/1.1\r\n\r\n" * 9, "é\r\n\r\n0\r\n\r\n"]
-    pages = spark.createDataFrame([(i, f"http://h/{i}" if i else None, t) for i, t in enumerate(html)], "page_id long, url string, payload string")
-    rows = {r.record_id: r for r in warc.round_trip(pages).collect()}
-    assert len(rows) == len(html)
-    for i, t in enumerate(html):
-        raw, r = (t or "").encode(), rows[f"<urn:page:{i}>"]
-        same = max(j for j, u in enumerate(html) if (u or "") == (t or ""))
-        assert (r.payload_bytes, r.payload_digest, r.valid) == (len(raw), warc.digest(raw), True)
-        assert (r.type, r.refers_to) == (("response", None) if same == i else ("revisit", f"<urn:page:{same}>"))
-        assert same != i or bytes(r.payload) == raw
+    rows = [(i, f"http://h/{i}" if i else None, t) for i, t in enumerate(html)]
+    rows += [(1, "http://h/1", "<p>x</p>"), (1, None, "<p>x</p>"), (1, "u", "other"), (None, "n", "only null"), (None, "n", "only null"), (None, None, "<p>x</p>"), (9, "u", "twice"), (9, "u", "twice"), (9, "v", "twice")]
+    pages = spark.createDataFrame([(*r, "zz") for r in rows], "page_id long, url string, payload string, digest string").repartition(3)
+    got = warc.round_trip(pages).collect()
+    assert len({r.record_id for r in got}) == len(got) == len(rows) and all(r.valid for r in got)
+    want, top = [], {}
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    for r in sorted(rows, key=order):
+        top[r[2] or ""] = r
+    for r in rows:
+        raw, response = (r[2] or "").encode(), top[r[2] or ""]
+        first = r == response and response is not None and not any(w[0] == r[0] and w[5] == (r[2] or "") and w[3] == "response" for w in want)
+        want.append((r[0], len(raw), warc.digest(raw), "response" if first else "revisit", None if first else response[0], r[2] or ""))
+    page = lambda x: None if x is None or x.startswith("<urn:page:null:") else int(x.split(":")[2])
+    mine = [(page(r.record_id), r.payload_bytes, r.payload_digest, r.type, page(r.refers_to)) for r in got]
+    assert sorted(map(str, mine)) == sorted(str(w[:5]) for w in want)
+    names = {r.record_id: bytes(r.payload) for r in got if r.type == "response"}
+    assert sorted(names.values()) == sorted({(r[2] or "").encode() for r in rows})
+    assert all(warc.digest(names[r.refers_to]) == r.payload_digest for r in got if r.type == "revisit")
     assert warc.round_trip(pages.limit(0)).count() == 0
+    assert {r.type for r in warc.round_trip(pages, min_bytes=1000).collect()} == {"response"}
+
+
+def test_warc_archives_are_compressed_record_by_record(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, "u", f"text {i} " * 9000) for i in range(4)], "page_id long, url string, payload string")
+    warc.write_pages(pages, f"{tmp_path}/w", file_bytes=100_000)
+    files = [f.read_bytes() for f in (tmp_path / "w").glob("part-*")]
+    records = [m for f in files for m in warc.members(f)]
+    assert len(records) == sum(len(list(warc.parse(m))) for m in records) > 4
+    assert b"".join(gzip.decompress(f) for f in files) == b"".join(records)
 
 
-def test_warc_broken_segments():
-    parts = warc.records_of("1", "u", b"z" * 100, "d", None, 64, 16)
+def test_warc_broken_segments(spark, tmp_path):
+    parts = warc.records_of("1:x:1", "u", b"z" * 100, "d", None, 64, 16)
     assert len(parts) > 2
-    fields, block = next(warc.parse(parts[0] + b"\r\n"))
+    fields, block = next(warc.parse(parts[0]))
     assert fields[b"WARC-Segment-Number"] == b"1" and len(block) == 64
     assert warc.unframe(block) is None  # cut off
+    assert list(warc.parse(parts[0][:-30])) == []
+    good = warc.records_of("2:x:1", "u", b"y" * 100, warc.digest(b"y" * 100), None, 64, 16)
+    (tmp_path / "part-0").write_bytes(b"".join([*parts[::-1][:-1], *good[::-1]]))  # the first segment of 1 is missing
+    (tmp_path / "part-1").write_bytes(b"".join(warc.records_of("3:x:1", "u", b"w" * 100, warc.digest(b"w" * 100), None, 64, 16)[:-1]))  # the last is
+    got = {r.record_id: (r.valid, r.payload) for r in warc.read_pages(spark, str(tmp_path)).collect()}
+    assert got == {"<urn:page:2:x:1>": (True, bytearray(b"y" * 100)), "<urn:page:3:x:1>": (False, None)}
 
 
 def _base_secrets(text):
