@@ -159,52 +159,78 @@ def test_mixing_targets_stop_at_three_times_the_source(spark):
     assert got["a"] == pytest.approx(98 / 4) and got["c"] == pytest.approx(98 * 3 / 4)
 
 
-def test_fingerprints(docs, texts, empty):
-    rows = {r.doc_id: r for r in fingerprint.fingerprints(docs, tasks=4).collect()}
-    for i, t in enumerate(texts):
-        t, after = t or "", texts[(i + 1) % len(texts)] or ""
-        half = len(t) // 2
-        assert rows[3 * i + 1].edited == t[: len(t) - half] + after[:half]
-        assert rows[3 * i + 1].n_chars == len(t)
-    by_text = {}
-    for i, t in enumerate(texts):
-        by_text.setdefault(t or "", set()).add(rows[3 * i + 1].fingerprint)
-        assert 0 <= rows[3 * i + 1].near_edited <= 1 and 0 <= rows[3 * i + 1].near_next <= 1
-    assert all(len(v) == 1 for v in by_text.values())
-    long = [r for i, r in rows.items() if len(texts[(i - 1) // 3] or "") > 500]
-    assert sum(r.near_edited for r in long) / len(long) > 0.2
-    assert fingerprint.fingerprints(empty, tasks=4).count() == 0
-
-
 def _anchors(text):
+    """Closed syncmers by definition: (position, signed hash)."""
+    import regex
     import xxhash
 
     piece = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
-    hashes = [piece(p.encode()) for w in WORD.findall(text) for p in re.findall(r".{1,12}", w)]
-    number = lambda x: x.to_bytes(8, "little")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    single = r"\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF"
+    pieces = [m[0] for w in WORD.findall(text) for m in regex.finditer(rf"[{single}]|[^{single}jkqxzJKQXZ0-9]+[jkqxzJKQXZ0-9]?|[jkqxzJKQXZ0-9]", w)]
+    assert "".join(pieces) == "".join(WORD.findall(text))
+    if not pieces:
+        return []
 
     def many(values):
         seed = 42
         for v in values:
-            seed = piece(number(v), seed)
-        return seed
+            seed = piece((v % (1 << 64)).to_bytes(8, "little"), seed)
+        return signed(seed)
 
-    pairs = [signed(many(hashes[i : i + 2])) for i in range(len(hashes) - 1)]
-    out = []
-    for i in range(len(hashes) - 5):
-        inner = pairs[i : i + 5]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append(signed(many(hashes[i : i + 6])))
-    if not out and text.strip(" "):
-        out = [signed(piece(text.encode()))]
-    return sorted(set(out))
+    k, hashes = fingerprint.K, [0] * (fingerprint.K - 1) + [piece(p.encode()) for p in pieces] + [0] * (fingerprint.K - 1)
+    inner = [many(hashes[i : i + 2]) if any(hashes[i : i + 2]) else (1 << 63) - 1 for i in range(len(hashes) - 1)]
+    return [(i - k + 1, many(hashes[i : i + k])) for i in range(len(hashes) - k + 1) if min(inner[i : i + k - 1]) in (inner[i], inner[i + k - 2])]
 
 
-def test_anchors_are_closed_syncmers(docs, texts):
-    got = {r.doc_id: list(r.a) for r in docs.select("doc_id", fingerprint.anchors(F.coalesce("text", F.lit(""))).alias("a")).collect()}
-    for i, t in enumerate(texts):
-        assert got[3 * i + 1] == _anchors(t or "")
+def _like(a, b):
+    a, b = {m for _, m in a}, {m for _, m in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _print(anchors):
+    return ",".join(f"{p}:{(m % (1 << 64)) >> 32:08X}" for p, m in anchors)
+
+
+def _signed_hash(text):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("range_bytes", [32 << 20, 2000])
+def test_fingerprints(spark, texts, empty, range_bytes):
+    rows = [(3 * i + 1, t) for i, t in enumerate(texts)] + [(None, f"nobody {i} " * 9) for i in range(40)] + [(4, f"many {i} x y z" * 7) for i in range(60)] + [(500, "\n\t"), (501, "漢字かな交じり文のテキストです" * 3), (502, "abc" * 2000)]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, range string, next string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, _signed_hash(r[1] or ""), r[1] or ""))
+    want = []
+    for (doc, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = _anchors(t), _anchors(edited), _anchors(after)
+        want.append((doc, len(t), edited, _print(a), _print(b), _like(a, b), _like(a, c)))
+    got = fingerprint.fingerprints(docs, range_bytes).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert fingerprint.fingerprints(empty).count() == 0
+
+
+def test_fingerprints_of_one_document(spark):
+    (r,) = fingerprint.fingerprints(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")).collect()
+    assert r.edited == "one two tone two " [: len("one two three four") // 2] + "one two t" and r.near_next == 1.0
+
+
+def test_anchors_match_by_position(spark):
+    words = [f"word{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(["new", "start"] + words[:30] + ["changed"] + words[31:])
+    (r,) = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint.matches(fingerprint.anchors(F.col("a")), fingerprint.anchors(F.col("b"))).alias("m")).collect()
+    left, right = _anchors(a), _anchors(b)
+    first = {}
+    for p, m in right:
+        first.setdefault(m, p)
+    assert [tuple(x) for x in r.m] == [(p, first[m]) for p, m in left if m in first]
+    assert len({x.b - x.a for x in r.m}) <= 2 and len(r.m) >= 10
 
 
 def test_toxicity_on_held_out_texts(spark):
