@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -104,7 +106,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     none = F.expr("cast(array() as array<struct<start:int,place:int,end:int>>)")
-    marked = candidates(docs.where("doc_id is not null"), rules, "doc_id")
+    # written first: so its size is known, and a small table of candidates meets the texts where they are
+    marked = materialize(candidates(docs.where("doc_id is not null"), rules, "doc_id"), "candidates")
     joined = docs.join(marked, "doc_id", "left")
     found = []
     for place, rule in enumerate(rules):
