@@ -3,9 +3,9 @@
 Documents are dealt into groups of a few MB. Each group lays non-overlapping blocks of half a window over its documents
 (the reference index) and probes with every rolling window of that length; both meet in hash buckets. A match of a
 whole window always holds one aligned block, so a block hash that is met nowhere else rules out every window over it.
-Hits are extended to whole windows: each window over a hit is identified by a hash of all its words, and the
-earliest document that holds it owns it. Runs of windows that start earlier elsewhere are the maximal exact repeats,
-and their words go. A group sends each hash once, however often it repeats, so a hot passage costs one entry a group.
+Hits are extended to both sides, word by word, to all whole windows over them: each window is identified by 128 bits of two
+hashes of its words, and the earliest document that holds it owns it. Runs of windows that start earlier elsewhere are the
+maximal exact repeats, and their words go. A group sends each hash once, however often it repeats, so a hot passage costs one entry a group.
 """
 
 from __future__ import annotations
@@ -95,8 +95,37 @@ def _met(table):
     return pa.table({"g": pa.array(g, pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "keys": pa.array(k, pa.binary())})
 
 
-def _windows(group: _Group, window: int) -> np.ndarray:
-    return T.rolling(group.words, window, salt=0x5851F42D4C957F2D)
+def _windows(group: _Group, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window."""
+    return T.rolling(group.words, window, salt=0x5851F42D4C957F2D), T.rolling(group.words, window, salt=0x14057B7EF767814F)
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs with equal ones side by side, each first one first, and where a new pair begins."""
+    order = np.argsort(a, kind="stable")
+    same = a[order[1:]] == a[order[:-1]]
+    if (same & (b[order[1:]] != b[order[:-1]])).any():  # two pairs that share a half
+        order = np.lexsort((np.arange(len(a)), b, a))
+        same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    return order, np.concatenate([[True], ~same])[: len(a)]
+
+
+def _first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place of each distinct pair."""
+    order, new = _runs(a, b)
+    return order[new]
+
+
+def _among(a: np.ndarray, b: np.ndarray, known_a: np.ndarray, known_b: np.ndarray) -> np.ndarray:
+    """Which of the pairs are among the known ones."""
+    likely = np.flatnonzero(np.isin(a, known_a))
+    order, new = _runs(np.concatenate([known_a, a[likely]]), np.concatenate([known_b, b[likely]]))
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # the first of each run: a known one if there is any
+    known = np.zeros(len(order), bool)
+    known[order] = lead < len(known_a)
+    out = np.zeros(len(a), bool)
+    out[likely] = known[len(known_a) :]
+    return out
 
 
 def _owner_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,37 +146,41 @@ def _candidates(window: int, buckets: int):
             starts = np.arange(len(group.long))
             near = sums[starts + window - window // 2 + 1] > sums[starts]
             at = np.flatnonzero(group.long & near)
-            once, where = np.unique(_windows(group, window)[at], return_index=True)
+            a, b = (h[at] for h in _windows(group, window))
+            where = _first(a, b)
+            once, check = a[where], b[where]
             ids = group.ids()[T.rows_of(group.first)[at[where]]]
             bucket = _owner_bucket(once, buckets)
             order = np.lexsort((ids, bucket))
-            once, ids, bucket = once[order], ids[order], bucket[order]
+            once, check, ids, bucket = once[order], check[order], ids[order], bucket[order]
             here, at = np.unique(bucket, return_index=True)
             at = np.append(at, len(bucket))
             for b, i, j in zip(here, at, at[1:]):
                 own, count = np.unique(ids[i:j], return_counts=True)
-                rows.append((int(b), once[i:j].tobytes(), own.tobytes(), count.astype(np.uint32).tobytes()))
-        b, k, d, c = zip(*rows) if rows else ((), (), (), ())
-        return pa.table({"bucket": pa.array(b, pa.int64()), "g": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array(k, pa.binary()), "ids": pa.array(d, pa.binary()), "counts": pa.array(c, pa.binary())})
+                rows.append((int(b), once[i:j].tobytes(), check[i:j].tobytes(), own.tobytes(), count.astype(np.uint32).tobytes()))
+        b, k, v, d, c = zip(*rows) if rows else ((), (), (), (), ())
+        return pa.table({"bucket": pa.array(b, pa.int64()), "g": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array(k, pa.binary()), "checks": pa.array(v, pa.binary()), "ids": pa.array(d, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     return run
 
 
 def _owned_elsewhere(table):
-    """Of one bucket: for each group, its windows that a smaller doc_id of another group holds."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+    """Of one bucket: for each group, its windows that a smaller doc_id of another group holds (of equal ones, the lesser group)."""
+    keys, checks = ([np.frombuffer(k, np.uint64) for k in table[c].to_pylist()] for c in ("keys", "checks"))
     ids = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c in zip(table["ids"].to_pylist(), table["counts"].to_pylist())])
-    every = np.concatenate(keys)
-    order = np.lexsort((ids, every))
+    group = np.repeat(table["g"].to_numpy(), [len(k) for k in keys])
+    every, check = np.concatenate(keys), np.concatenate(checks)
+    order = np.lexsort((group, ids, check, every))
     later = np.zeros(len(every), bool)
-    later[order[1:]] = every[order[1:]] == every[order[:-1]]
+    later[order[1:]] = (every[order[1:]] == every[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
     out, at = [], 0
-    for g, k in zip(table["g"].to_pylist(), keys):
-        if (mine := k[later[at : at + len(k)]]).size:
-            out.append((g, mine.tobytes()))
+    for g, k, c in zip(table["g"].to_pylist(), keys, checks):
+        mine = later[at : at + len(k)]
+        if mine.any():
+            out.append((g, k[mine].tobytes(), c[mine].tobytes()))
         at += len(k)
-    g, k = zip(*out) if out else ((), ())
-    return pa.table({"g": pa.array(g, pa.int64()), "keys": pa.array(k, pa.binary())})
+    g, k, c = zip(*out) if out else ((), (), ())
+    return pa.table({"g": pa.array(g, pa.int64()), "keys": pa.array(k, pa.binary()), "checks": pa.array(c, pa.binary())})
 
 
 def _kept(window: int):
@@ -156,11 +189,11 @@ def _kept(window: int):
         gone = np.zeros(len(group.words) + 1, np.int64)
         at = np.flatnonzero(group.long)
         if at.size:
-            keys = _windows(group, window)[at]
-            repeat = np.ones(len(keys), bool)
-            repeat[np.unique(keys, return_index=True)[1]] = False
+            a, b = (h[at] for h in _windows(group, window))
+            repeat = np.ones(len(a), bool)
+            repeat[_first(a, b)] = False
             if later.num_rows:
-                repeat |= np.isin(keys, np.concatenate([np.frombuffer(k, np.uint64) for k in later["keys"].to_pylist()]))
+                repeat |= _among(a, b, *(np.concatenate([np.frombuffer(k, np.uint64) for k in later[c].to_pylist()]) for c in ("keys", "checks")))
             np.add.at(gone, at[repeat], 1)
             gone[window:] -= gone[:-window].copy() if len(gone) > window else 0
         covered = np.cumsum(gone)[:-1] > 0
@@ -180,23 +213,25 @@ def _kept(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, group_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, group_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Drop every word covered by a window of ``window`` words that also starts earlier in the corpus.
 
     Earlier: a smaller doc_id, or the same document and an earlier start. Needs columns doc_id and text; others are
-    ignored. Null texts have no words. Rows that share a doc_id count as separate documents in order of their text; rows
-    with a null doc_id come after all others. Empty tables give no rows. Returns doc_id, n_words, n_removed, kept_text
+    ignored. Null texts have no words. Rows that share a doc_id count as separate documents in an order that a hash of their text
+    gives; rows with a null doc_id come after all others. Empty tables give no rows. Groups of documents and buckets of hashes
+    have so many bytes of text (from 4 to 16 MB and from 16 to 64 MB as the table grows), which bounds a task. Returns doc_id, n_words, n_removed, kept_text
     (kept words joined by a space) and removed (word spans, end exclusive).
     """
     if window < 4 or window % 2:
         raise ValueError("window must be even and at least 4")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, buckets = total // group_bytes + 1, total // bucket_bytes + 1
-    dealt = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(groups))).cast("long"))
+    sized = lambda given, low: given or min(4 * low, max(low, total // 1024))
+    groups, buckets = total // sized(group_bytes, 4 << 20) + 1, total // sized(bucket_bytes, 16 << 20) + 1
+    dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long"))
     by_group = dealt.groupBy("g")
     probes = by_group.applyInArrow(_probes(window, buckets), "bucket long, g long, keys binary, block binary, many binary")
     met = probes.groupBy("bucket").applyInArrow(_met, "g long, bucket long, keys binary")
-    found = by_group.cogroup(met.groupBy("g")).applyInArrow(_candidates(window, buckets), "bucket long, g long, keys binary, ids binary, counts binary")
-    later = found.groupBy("bucket").applyInArrow(_owned_elsewhere, "g long, keys binary")
+    found = by_group.cogroup(met.groupBy("g")).applyInArrow(_candidates(window, buckets), "bucket long, g long, keys binary, checks binary, ids binary, counts binary")
+    later = found.groupBy("bucket").applyInArrow(_owned_elsewhere, "g long, keys binary, checks binary")
     return by_group.cogroup(later.groupBy("g")).applyInArrow(_kept(window), OUT)

@@ -53,6 +53,14 @@ def test_substring_dedup(spark, docs, texts, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     twice = spark.createDataFrame([(1, "q " * 25), (1, "q " * 25), (None, "q " * 25)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring_dedup.remove_repeats(twice).collect()) == [24, 25, 25]
+    many = spark.createDataFrame([(None if i % 2 else 7, " ".join(f"w{j}" for j in range(i % 5, 40 + i)), 1) for i in range(40)], "doc_id long, text string, g int")
+    for kw in ({}, {"group_bytes": 500, "bucket_bytes": 1500}):
+        rows = substring_dedup.remove_repeats(many, **kw).collect()
+        assert len(rows) == 40 and sum(r.n_words - r.n_removed for r in rows) >= 79 and all(r.n_words - r.n_removed <= 79 for r in rows)
+        kept = [w for r in rows for w in r.kept_text.split()]
+        assert set(kept) == {f"w{j}" for j in range(79)}
+        for r in rows:
+            assert sum(x.end - x.start for x in r.removed) == r.n_removed and r.n_words - r.n_removed == len(r.kept_text.split())
 
 
 def _sets(text):
