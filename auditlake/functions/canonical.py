@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The first previous-hash of every chain is the SHA-256 of this text.
-GENESIS_TEXT = "edut.mcp-recorder.genesis.v1"
+#: Fixed value: the first previous-hash of every chain.
 GENESIS_HASH = "707996e896e3e9a4b1e8d1e25fa74b8e0559541bb89243d2da7ae1f1f18cff27"
-HEAD_PREFIX = "edut.mcp-recorder.head.v1"
 REF = "sha256:"
 
 #: Fixed patterns: value shapes that may stay readable.

@@ -24,9 +24,8 @@ class Rule:
     action: str
     server: tuple[str, ...] = ("**",)
     tool: tuple[str, ...] = ("**",)
-    args: dict[str, str] = field(default_factory=dict)  # JSON path to regex
-    any_arg: str | None = None  # regex on the JSON text
-    any_leaf: str | None = None  # regex on each string leaf
+    args: dict[str, str] = field(default_factory=dict)  # JSON path to regex on a text, number or boolean
+    any_arg: str | None = None  # regex on each string leaf
     max_bytes: int | None = None
     rule_id: str | None = None
     reason: str | None = None
@@ -47,11 +46,11 @@ def matches_any(value: Column, globs: tuple[str, ...], delimiter: str = "/") ->
 
 
 def _leaves(args: str | None) -> list[str] | None:
-    """The string leaves of an object, none of other values; None if they can't be had or are past the budget."""
+    """The string leaves of an object, none of other values or of broken text; None past the budget."""
     try:
         root = json.loads(args, parse_int=float, parse_float=lambda _: 0.0, parse_constant=int) if args is not None else None
     except (ValueError, RecursionError):
-        return None
+        return []
     out, size, stack = [], 0, [root] if isinstance(root, dict) else []
     while stack:
         node = stack.pop()
@@ -68,44 +67,106 @@ def _leaves(args: str | None) -> list[str] | None:
 
 @F.arrow_udf(ArrayType(StringType()))
 def string_leaves(args: pa.Array) -> pa.Array:
-    """The string leaves of JSON arguments; null if they are past the budget or no JSON."""
+    """The string leaves of JSON arguments; null past the budget."""
     return pa.array([_leaves(a) for a in args.to_pylist()], pa.list_(pa.string()))
 
 
+def scalar(parsed: Column, path: str) -> Column:
+    """A text, number or boolean of parsed JSON at a path, as text; null for what is missing, null, an object or an array, or if the root is no object."""
+    value = F.try_variant_get(parsed, path, "variant")
+    plain = F.schema_of_variant(value).rlike("^(STRING|BIGINT|DECIMAL.*|DOUBLE|FLOAT|BOOLEAN)$")
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT") & plain, F.try_variant_get(parsed, path, "string"))
+
+
+def dot_path(path: str) -> str:
+    """The JSON path of a dotted one; plain numbers are places in arrays."""
+    return "$" + "".join(f"[{p}]" if re.fullmatch("0|[1-9][0-9]*", p) else "['" + p.replace("'", "\\'") + "']" for p in path.split("."))
+
+
+#: Why a rule can't be evaluated.
+TOO_LONG, TOO_LARGE, BROKEN = "value-too-long", "arguments-too-large-to-scan", "policy-unevaluable"
+
+
 def _state(rule: Rule, server: Column, tool: Column, args: Column) -> Column:
-    """match, error or null, in the order server, tool, args, any_arg, any_leaf, size: what fails earlier hides later errors."""
-    tests: list[tuple[Column, Column]] = []  # (error, match)
+    """match, an error code or null, in the order server, tool, args, any_arg, size: what fails earlier hides later errors."""
+    tests: list[tuple[Column, str, Column]] = []  # (error, its code, match)
     parsed = F.try_parse_json(args)
+    if rule.args or rule.any_arg is not None:
+        tests.append((args.isNotNull() & parsed.isNull(), BROKEN, F.lit(True)))
     for path, pattern in rule.args.items():
-        value = F.try_variant_get(parsed, path, "string")
-        tests.append((length16(value) > MAX_VALUE, F.coalesce(value.rlike(pattern), F.lit(False))))
+        value = scalar(parsed, path)
+        tests.append((length16(value) > MAX_VALUE, TOO_LONG, F.coalesce(value.rlike(pattern), F.lit(False))))
     if rule.any_arg is not None:
-        tests.append((length16(args) > 256 * 1024, F.coalesce(args.rlike(rule.any_arg), F.lit(False))))
-    if rule.any_leaf is not None:
         leaves = string_leaves(args)
-        tests.append((leaves.isNull(), F.coalesce(F.exists(leaves, lambda leaf: leaf.rlike(rule.any_leaf)), F.lit(False))))
+        tests.append((leaves.isNull(), TOO_LARGE, F.coalesce(F.exists(leaves, lambda leaf: leaf.rlike(rule.any_arg)), F.lit(False))))
     if rule.max_bytes is not None:
-        tests.append((F.lit(False), F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False))))
+        tests.append((F.lit(False), BROKEN, F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False))))
     state = F.when(~(matches_any(server, rule.server) & matches_any(tool, rule.tool)), F.lit(None))
-    for error, match in tests:
-        state = state.when(F.coalesce(error, F.lit(False)), "error").when(~match, F.lit(None))
+    for error, code, match in tests:
+        state = state.when(F.coalesce(error, F.lit(False)), code).when(~match, F.lit(None))
     return state.otherwise("match")
 
 
 def evaluate(calls: DataFrame, rules: list[Rule], default: str = "allow", server: str = "server", tool: str = "tool", args: str = "args") -> DataFrame:
-    """calls with action, rule and fail_closed. A rule that can't be evaluated denies."""
+    """calls with action, rule, reason, fail_closed and error_code: the first rule that matches or can't be evaluated decides, the latter by denying."""
     name = lambda i: rules[i].rule_id or f"rule[{i}]"
-    verdict = lambda action, rule, closed: F.struct(F.lit(action).alias("action"), F.lit(rule).cast("string").alias("rule"), F.lit(closed).alias("fail_closed"))
+    text = lambda x: F.lit(x).cast("string") if not isinstance(x, Column) else x
+    verdict = lambda action, rule, reason, closed, code: F.struct(text(action).alias("action"), text(rule).alias("rule"), text(reason).alias("reason"), F.lit(closed).alias("fail_closed"), text(code).alias("error_code"))
     steps = []
     for i, rule in enumerate(rules):
         state = _state(rule, F.col(server), F.col(tool), F.col(args))
-        steps.append(F.when(state == "error", verdict("deny", name(i), True)).when(state == "match", verdict(rule.action, name(i), False)))
-    return calls.withColumn("v", F.coalesce(*steps, verdict(default, None, False))).select("*", "v.*").drop("v")
+        steps.append(F.when(state == "match", verdict(rule.action, name(i), rule.reason, False, None)).when(state.isNotNull(), verdict("deny", name(i), None, True, state)))
+    return calls.withColumn("v", F.coalesce(*steps, verdict(default, None, None, False, None))).select("*", "v.*").drop("v")
+
+
+def rules_of(document: dict) -> tuple[list[Rule], str]:
+    """The call rules of a policy document and its default: single globs become lists, missing ones match all, missing ids are rule[i]."""
+    section = document.get("mcp") or {}
+    many = lambda x: ("**",) if x is None else (x,) if isinstance(x, str) else tuple(x)
+    out = []
+    for i, r in enumerate(section.get("rules") or []):
+        m = r.get("match") or {}
+        out.append(Rule(r["action"], many(m.get("server")), many(m.get("tool")), {dot_path(k): v for k, v in (m.get("args") or {}).items()}, m.get("any_arg"), m.get("max_args_bytes"), r.get("id") or f"rule[{i}]", r.get("reason")))
+    return out, section.get("default", "allow")
+
+
+def rule_table(spark, documents: dict[str, dict]) -> DataFrame:
+    """(policy_hash, rule_index, rule_id, server, tool, action, reason) of policy documents by their hash, for lint and joins."""
+    rows = [(h, i, r.rule_id, list(r.server), list(r.tool), r.action, r.reason) for h, doc in documents.items() for i, r in enumerate(rules_of(doc)[0])]
+    return spark.createDataFrame(rows, "policy_hash string, rule_index int, rule_id string, server array<string>, tool array<string>, action string, reason string")
+
+
+def destinations(requests: DataFrame, rules: list[dict]) -> DataFrame:
+    """Requests (method, host, path) with allowed and reason: the first rule that all of method, host and path meet allows, else the last rule's failure."""
+    state = []
+    for r in rules:
+        no_method = ~matches_any(F.col("method"), tuple(r["method"])) if r.get("method") else F.lit(False)
+        no_path = ~matches_any(F.col("path"), tuple(r["path"])) if r.get("path") else F.lit(False)
+        fail = F.lit("no_host_constraint") if not r.get("host") else F.when(no_method, "method_not_permitted").when(~matches_any(F.col("host"), tuple(r["host"]), "."), "host_not_permitted").when(no_path, "path_not_permitted")
+        state.append(fail)
+    allowed = reduce(lambda a, b: a | b, [f.isNull() for f in state], F.lit(False))
+    return requests.withColumn("allowed", allowed).withColumn("reason", F.when(~F.col("allowed"), state[-1] if state else F.lit("denied_by_policy")))
+
+
+#: Rules to start from. Patterns on arguments deny, names of tools hold.
+STARTER_DOCUMENT = {
+    "mcp": {
+        "default": "allow",
+        "rules": [
+            {"id": "secrets-in-arguments", "match": {"any_arg": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b|\bsk-[A-Za-z0-9_-]{10,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/=-]{16,}"}, "action": "deny", "reason": "an argument carried something shaped like a credential"},
+            {"id": "credential-files", "match": {"any_arg": r"(^|/|\\)(\.env|\.env\.[A-Za-z0-9_-]{1,64}|\.npmrc|\.netrc|\.git-credentials|\.pgpass|id_rsa|id_ed25519|id_ecdsa|id_dsa)$|(^|/|\\)\.ssh(/|\\)|(^|/|\\)\.aws(/|\\)credentials$|(^|/|\\)\.kube(/|\\)config$|\.pem$|\.p12$|\.pfx$"}, "action": "deny", "reason": "an argument was a path to a credential file"},
+            {"id": "catastrophic-commands", "match": {"any_arg": r"[Rr][Mm][ \t]+-[A-Za-z]*[Rr][A-Za-z]*[ \t]+(/|/\*|~|~/|~/\*|\$HOME|\$HOME/|\$HOME/\*)([ \t;&|]|$)|--no-preserve-root|[Dd][Rr][Oo][Pp][ \t]+([Dd][Aa][Tt][Aa][Bb][Aa][Ss][Ee]|[Ss][Cc][Hh][Ee][Mm][Aa])\b|[Tt][Rr][Uu][Nn][Cc][Aa][Tt][Ee][ \t]+[Tt][Aa][Bb][Ll][Ee]\b|[Dd][Ee][Ll][Ee][Tt][Ee][ \t]+[Ff][Rr][Oo][Mm][ \t]+[A-Za-z_][A-Za-z0-9_.\"]*[ \t;]*$|[Gg][Ii][Tt][ \t]+[Pp][Uu][Ss][Hh].*[ \t]--force([^-]|$)"}, "action": "deny", "reason": "that argument would destroy data irreversibly"},
+            {"id": "destructive-tools", "match": {"tool": ["delete_*", "*_delete", "*_delete_*", "remove_*", "*_remove", "*_remove_*", "destroy_*", "*_destroy_*", "drop_*", "rm", "rm_*", "trash_*", "*_trash_*", "purge_*", "*_purge_*", "truncate_*", "overwrite_*"]}, "action": "hold", "reason": "this tool destroys something; approve it yourself"},
+            {"id": "sends-to-other-people", "match": {"tool": ["send_*", "*_send", "*_send_*", "post_message", "*_post_message", "reply", "reply_*", "*_reply", "forward", "forward_*", "*_forward", "publish_*", "share_*", "*_share_*", "invite_*", "email_*", "sms_*"]}, "action": "hold", "reason": "this tool sends something to other people; approve it yourself"},
+            {"id": "spends-money", "match": {"tool": ["*purchase*", "*checkout*", "*refund*", "*payout*", "charge_*", "*_charge", "create_*payment*", "send_payment*", "transfer_*", "subscribe_*", "create_subscription*"]}, "action": "hold", "reason": "this tool moves money; approve it yourself"},
+        ],
+    }
+}
 
 
 def egress(requests: DataFrame, rules: list[dict], default: str = "deny") -> DataFrame:
-    """Requests (host, method, path) against rules with host globs, methods and path globs."""
-    steps = [F.when(matches_any(F.col("host"), tuple(r["host"]), ".") & (F.col("method").isin(*r["methods"]) if r.get("methods") else F.lit(True)) & matches_any(F.col("path"), tuple(r.get("path", ("**",)))), F.struct(F.lit(r["action"]).alias("action"), F.lit(f"rule[{i}]").alias("rule"))) for i, r in enumerate(rules)]
+    """Requests (host, method, path, and body_bytes where a rule has max_body_bytes) against rules with host globs, methods and path globs."""
+    steps = [F.when(matches_any(F.col("host"), tuple(r["host"]), ".") & (F.col("method").isin(*r["methods"]) if r.get("methods") else F.lit(True)) & matches_any(F.col("path"), tuple(r.get("path", ("**",)))) & (F.coalesce(F.col("body_bytes") <= r["max_body_bytes"], F.lit(False)) if r.get("max_body_bytes") is not None else F.lit(True)), F.struct(F.lit(r["action"]).alias("action"), F.lit(f"rule[{i}]").alias("rule"))) for i, r in enumerate(rules)]
     return requests.withColumn("v", F.coalesce(*steps, F.struct(F.lit(default).alias("action"), F.lit(None).cast("string").alias("rule")))).select("*", "v.*").drop("v")
 
 

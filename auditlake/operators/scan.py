@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,45 +14,43 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import REF, ref
 
-#: Fixed patterns: secret shapes that any regular expression engine can match.
-SECRET_FAMILIES = {
-    "aws_access_key_id": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
+#: Fixed patterns: the families of secrets in their fixed order.
+SECRETS = {
+    "aws-access-key-id": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
     "jwt": r"\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b",
-    "pem_private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "sk_prefixed_api_key": r"\bsk-[A-Za-z0-9_-]{10,}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
-    "github_fine_grained_pat": r"\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b",
-    "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
-    "bearer_header": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}",
+    "pem-private-key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "sk-prefixed-api-key": r"\bsk-[A-Za-z0-9_-]{10,}\b",
+    "github-token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
+    "github-fine-grained-pat": r"\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b",
+    "github-fine-grained-pat-defensive": r"\bgithub_pat_(?=[A-Za-z0-9_]{40,}\b)(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[a-z])(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_]+\b",
+    "slack-token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    "bearer-header": r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{16,}",
+    "url-userinfo": r"(?<=://)[^\s:/?#@]{1,128}:[^\s/?#@]{1,128}(?=@(?:\[[0-9A-Fa-f:.]{2,45}\]|[\w.-]{1,255})(?::\d{1,5})?(?![\w.:-]))",
+    "secret-assignment": r"""(?i)(?<![\w-])-{0,2}(?:password|passwd|secret|token|api[_-]?key)["']?\s*[:=]\s*(?:"[^"\s]+"|'[^'\s]+'|\S+)""",
+    "secret-assignment-affixed": r"""(?i)(?<![\w-])(?:[A-Za-z0-9_-]{0,62}[_-])?(?:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
+    "secret-assignment-camel": r"""(?:(?<![\w-])(?:password|passwd|secret|token|credential)|Password|Passwd|Secret|Token|ApiKey|Credential)(?:[A-Z0-9][A-Za-z0-9]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
+    "credential-flag-value": r"(?i)(?<![\w-])-{1,2}(?:[A-Za-z0-9-]{0,62}-)?(?:password|passwd|secret|token|api-?key)(?:-[A-Za-z0-9-]{0,62})?[ \t]+(?:(?=\S{0,255}\d)[^\s<$]\S{5,}|[^\s<$]\S{15,})",
 }
-
-#: Fixed patterns: secret shapes told by what stands around them.
-CONTEXT_FAMILIES = {
-    "github_fine_grained_pat_defensive": r"\bgithub_pat_(?=[A-Za-z0-9_]{40,}\b)(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[a-z])(?=[A-Za-z0-9_]*[A-Z])[A-Za-z0-9_]+\b",
-    "url_userinfo": r"(?<=://)[^\s:/?#@]{1,128}:[^\s/?#@]{1,128}(?=@(?:\[[0-9A-Fa-f:.]{2,45}\]|[\w.-]{1,255})(?::\d{1,5})?(?![\w.:-]))",
-    "secret_assignment": r"""(?i)(?<![\w-])-{0,2}(?:password|passwd|secret|token|api[_-]?key)["']?\s*[:=]\s*(?:"[^"\s]+"|'[^'\s]+'|\S+)""",
-    "secret_assignment_affixed": r"""(?i)(?<![\w-])(?:[A-Za-z0-9_-]{0,62}[_-])?(?:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
-    "secret_assignment_camel": r"""(?:(?<![\w-])(?:password|passwd|secret|token|credential)|Password|Passwd|Secret|Token|ApiKey|Credential)(?:[A-Z0-9][A-Za-z0-9]{0,62})?["']?\s*[:=]\s*(?:["'](?:(?=[^\s"']{0,255}\d)[^\s"']{8,}|[^\s"']{16,})["']|(?=\S{0,255}\d)\S{8,}|\S{16,})""",
-    "credential_flag_value": r"(?i)(?<![\w-])-{1,2}(?:[A-Za-z0-9-]{0,62}-)?(?:password|passwd|secret|token|api-?key)(?:-[A-Za-z0-9-]{0,62})?[ \t]+(?:(?=\S{0,255}\d)[^\s<$]\S{5,}|[^\s<$]\S{15,})",
-}
-
-#: All families of secrets.
-ALL_SECRETS = SECRET_FAMILIES | CONTEXT_FAMILIES
+#: Those that look around their match, which not every regular expression engine can.
+_AROUND = ("github-fine-grained-pat-defensive", "url-userinfo", "secret-assignment", "secret-assignment-affixed", "secret-assignment-camel", "credential-flag-value")
+SECRET_FAMILIES = {n: p for n, p in SECRETS.items() if n not in _AROUND}
+CONTEXT_FAMILIES = {n: p for n, p in SECRETS.items() if n in _AROUND}
+ALL_SECRETS = SECRETS
 
 #: Fixed patterns: phrases that try to steer a model.
 INJECTION_FAMILIES = {
-    "ignore_previous_instructions": r"(?i)\bignore\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
-    "disregard_previous_instructions": r"(?i)\bdisregard\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
-    "forget_previous_instructions": r"(?i)\bforget\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
-    "system_override": r"(?i)\bsystem\s+override\b",
-    "developer_mode": r"(?i)\byou\s+are\s+now\s+(?:in\s+)?(?:developer|debug|god|unrestricted|jailbreak)\s+mode\b",
-    "hide_this_instruction": r"(?i)\bdo\s+not\s+(?:mention|tell|reveal|disclose|show)\s+(?:this|these|the\s+above|the\s+following)\s+(?:steps?|instructions?|messages?|notes?)\b",
-    "html_comment_directive": r"(?i)<!--[^<>]{0,300}?\b(?:instructions?|must|override|ignore|disregard)\b[^<>]{0,300}?-->",
-    "important_directive": r"(?i)\bIMPORTANT:\s*(?:you\s+must|always|never|do\s+not)\b",
-    "new_instructions": r"(?i)\byour\s+(?:new|real|actual|true)\s+(?:instructions?|task|objective|goal)\s+(?:is|are)\b",
-    "reveal_system_prompt": r"(?i)\b(?:reveal|print|show|repeat|output|display|leak)\s+(?:your|the)\s+(?:system|initial|hidden)\s+(?:prompt|instructions?)\b",
-    "exfiltrate_to_url": r"(?i)\b(?:exfiltrate|send|post|upload|forward|transmit)\s+(?:all\s+|the\s+|these\s+|this\s+|any\s+)?(?:contents?|files?|data|secrets?|keys?|tokens?|credentials|results?|conversation|history)\s+to\s+https?://",
-    "address_the_ai": r"(?i)\bif\s+you\s+are\s+an?\s+(?:ai|llm|language\s+model|(?:ai\s+)?assistant|agent)\b",
+    "ignore-previous-instructions": r"(?i)\bignore\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "disregard-previous-instructions": r"(?i)\bdisregard\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "forget-previous-instructions": r"(?i)\bforget\s+(?:all\s+|any\s+|the\s+|your\s+)?(?:previous|prior|above|earlier|preceding)\s+(?:instructions?|prompts?|rules?)\b",
+    "system-override": r"(?i)\bsystem\s+override\b",
+    "developer-mode": r"(?i)\byou\s+are\s+now\s+(?:in\s+)?(?:developer|debug|god|unrestricted|jailbreak)\s+mode\b",
+    "hide-this-instruction": r"(?i)\bdo\s+not\s+(?:mention|tell|reveal|disclose|show)\s+(?:this|these|the\s+above|the\s+following)\s+(?:steps?|instructions?|messages?|notes?)\b",
+    "html-comment-directive": r"(?i)<!--[^<>]{0,300}?\b(?:instructions?|must|override|ignore|disregard)\b[^<>]{0,300}?-->",
+    "important-directive": r"(?i)\bIMPORTANT:\s*(?:you\s+must|always|never|do\s+not)\b",
+    "new-instructions": r"(?i)\byour\s+(?:new|real|actual|true)\s+(?:instructions?|task|objective|goal)\s+(?:is|are)\b",
+    "reveal-system-prompt": r"(?i)\b(?:reveal|print|show|repeat|output|display|leak)\s+(?:your|the)\s+(?:system|initial|hidden)\s+(?:prompt|instructions?)\b",
+    "exfiltrate-to-url": r"(?i)\b(?:exfiltrate|send|post|upload|forward|transmit)\s+(?:all\s+|the\s+|these\s+|this\s+|any\s+)?(?:contents?|files?|data|secrets?|keys?|tokens?|credentials|results?|conversation|history)\s+to\s+https?://",
+    "address-the-ai": r"(?i)\bif\s+you\s+are\s+an?\s+(?:ai|llm|language\s+model|(?:ai\s+)?assistant|agent)\b",
 }
 
 
@@ -57,22 +58,97 @@ def tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def column_name(family: str) -> str:
+    return "n_" + family.replace("-", "_")
+
+
 def family_counts(rows: DataFrame, text: str, families: dict[str, str]) -> DataFrame:
-    """rows with a count column for each family."""
-    return rows.select("*", *[F.coalesce(F.size(tokens(F.col(text), p)), F.lit(0)).alias(f"n_{name}") for name, p in families.items()])
+    """rows with a count column for each family; null texts hold none."""
+    return rows.select("*", *[F.coalesce(F.regexp_count(F.col(text), F.lit(p)), F.lit(0)).alias(column_name(name)) for name, p in families.items()])
+
+
+#: The text in place of an injection, the digits of a reference kept in a marker, the references kept of a result.
+INJECTION_MARKER = "[gateway: suspected prompt injection removed]"
+MARKER_DIGITS, MOST_REFS = 16, 8
+#: Fixed patterns: values of assignments that are code. Longer values than the cap are not code.
+_SHAPE_CAP = 512
+_PLACEHOLDER = re.compile(r"\$[{(]|\$[A-Z_][A-Za-z0-9_]*\W*$|<", re.ASCII)
+_ANNOTATION = re.compile(r"[A-Za-z]+\W+", re.ASCII)
+_BARE_WORD = re.compile(r"[A-Za-z]+\W*", re.ASCII)
+_CODE_MARK = re.compile(r"[.,;'\"`${}\s]")
+_CALL = re.compile(r"[A-Za-z0-9_$][ \t]*[(\[]")
+
+
+def is_code(matched: str, bare: bool) -> bool:
+    """Whether an assignment's value is code, a placeholder or a type rather than a secret; ``bare``: the family without demands on the value."""
+    parts = re.split("[:=]", matched, maxsplit=1)
+    if len(parts) < 2:
+        return False
+    value = parts[1].lstrip()
+    quoted = len(value) > 1 and value[0] in "\"'" and value[0] == value[-1]
+    inner = value[1:-1] if quoted else value
+    if _PLACEHOLDER.match(value) or _PLACEHOLDER.match(inner) or not re.search("[A-Za-z0-9]", value):
+        return True
+    if len(value) <= _SHAPE_CAP and (_BARE_WORD if bare else _ANNOTATION).fullmatch(value):
+        return True
+    head = inner[:_SHAPE_CAP]
+    return "`" in head or bool(_CALL.search(head)) and bool(_CODE_MARK.search(head) or head[-1] in ")]")
+
+
+@dataclass(frozen=True)
+class Scanner:
+    """Finds secrets and injections in texts. ``synthetic``: a prefix of placeholder tokens that are never secrets."""
+
+    secrets: tuple[tuple[str, str], ...] = tuple(SECRETS.items())
+    injections: tuple[tuple[str, str], ...] = tuple(INJECTION_FAMILIES.items())
+    synthetic: str | None = None
+
+    def raw_secrets(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, family) of each family's matches in turn, without those that are code or overlap a placeholder token."""
+        out = []
+        for family, pattern in self.secrets:
+            for m in _compiled(pattern).finditer(text):
+                if m.end() > m.start() and not (family.startswith("secret-assignment") and is_code(m[0], family == "secret-assignment")):
+                    out.append((m.start(), m.end(), family))
+        if self.synthetic and out:
+            taken = [m.span() for m in re.finditer(re.escape(self.synthetic) + "[A-Za-z0-9_-]*", text)]
+            out = [s for s in out if not any(s[0] < b and a < s[1] for a, b in taken)]
+        return out
+
+    def secret_spans(self, text: str) -> list[tuple[int, int]]:
+        return merged([(a, b) for a, b, _ in self.raw_secrets(text)])
+
+    def injection_spans(self, text: str) -> list[tuple[int, int]]:
+        """Merged spans of injections in the text as it is and in its folded form, at their places in the text."""
+        found = [m.span() for _, p in self.injections for m in _compiled(p).finditer(text)]
+        if not text.isascii() and not unicodedata.is_normalized("NFKC", text) or _hidden().search(text):
+            folded, at = fold(text)
+            found += [(at[m.start()], at[m.end() - 1] + 1) for _, p in self.injections for m in _compiled(p).finditer(folded) if m.end() > m.start()]
+        return merged(found)
+
+    def redacted(self, text: str, secrets: bool = True, injections: bool = False) -> str:
+        """Each secret by the head of its own reference, each injection by a fixed text; where they overlap, as a secret."""
+        regions = [(a, b, True) for a, b in self.secret_spans(text)] if secrets else []
+        regions += [(a, b, False) for a, b in self.injection_spans(text)] if injections else []
+        whole = merged([(a, b) for a, b, _ in regions])
+        out, at = [], 0
+        for start, end in whole:
+            secret = any(s and a < end and start < b for a, b, s in regions)
+            mark = f"[redacted:{REF}{hashlib.sha256(text[start:end].encode()).hexdigest()[:MARKER_DIGITS]}]" if secret else INJECTION_MARKER
+            out += [text[at:start], mark]
+            at = end
+        return "".join(out) + text[at:]
 
 
-def redact(text: Column, families: dict[str, str], marker: str = "[redacted]") -> Column:
-    """The text with each match replaced by one marker."""
-    for pattern in families.values():
-        text = F.regexp_replace(text, pattern, marker)
-    return text
+@lru_cache(maxsize=256)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.ASCII)
 
 
-def _spans(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int]]:
-    """(start, end) of all families' matches, overlapping ones merged; touching ones stay apart."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one; touching ones stay apart."""
     out: list[tuple[int, int]] = []
-    for start, back in sorted((m.start(), -m.end()) for p in patterns for m in p.finditer(text) if m.end() > m.start()):
+    for start, back in sorted((a, -b) for a, b in spans if b > a):
         if out and start < out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], -back))
         else:
@@ -80,50 +156,95 @@ def _spans(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int]]:
     return out
 
 
-def _compiled(families: dict[str, str]) -> list[re.Pattern]:
-    return [re.compile(p, re.ASCII) for p in families.values()]
+_DROPPED = ("Cf", "Cc", "Mn", "Me")
 
 
-def span_count(text: Column, families: dict[str, str]) -> Column:
-    """How many merged spans the families have in a text; 0 in a null text."""
-    patterns = _compiled(families)
+@lru_cache(maxsize=1)
+def _hidden() -> re.Pattern:
+    """Characters that the folded form drops; white space within phrases is matched as it is."""
+    kinds = [c for c in range(0x110000) if unicodedata.category(chr(c)) in _DROPPED and not chr(c).isspace()]
+    starts = [c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(kinds) if i + 1 == len(kinds) or kinds[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in zip(starts, ends)) + "]")
 
-    @F.arrow_udf("int")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(_spans(t, patterns)) if t else 0 for t in texts.to_pylist()], pa.int32())
 
-    return count(text)
+_ESCAPE = re.compile(r"(?:\x1b\[|\x9b)[0-?]*[ -/]*[@-~]|(?:\x1b\]|\x9d)[^\x07\x1b\x9c]*(?:\x07|\x1b\\|\x9c)?|\x1b[ -/]*[0-~]")
 
 
-def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
-    """The text with each merged span of matches replaced by the first 16 hex digits of its own reference."""
-    patterns = _compiled(families)
+def fold(text: str) -> tuple[str, list[int]]:
+    """The text without terminal escapes and invisible characters, in compatibility form, white space as single spaces; and where each character comes from."""
+    out, at, i = [], [], 0
+    while i < len(text):
+        c = text[i]
+        if c in "\x1b\x9b\x9d" and (m := _ESCAPE.match(text, i)):
+            i = m.end()
+            continue
+        if c.isspace():
+            if out and out[-1] != " ":
+                out.append(" ")
+                at.append(i)
+        elif unicodedata.category(c) not in _DROPPED:
+            for d in unicodedata.normalize("NFKC", c):
+                out.append(d)
+                at.append(i)
+        i += 1
+    return "".join(out), at
+
+
+def span_columns(text: Column, scanner: Scanner = Scanner()) -> Column:
+    """Secret spans of a text with their families, as they match: array of (start, end, family) in code points."""
+
+    @F.arrow_udf("array<struct<start:int,end:int,family:string>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("family", pa.string())]))
+        return pa.array([[{"start": a, "end": b, "family": f} for a, b, f in scanner.raw_secrets(t)] if t else [] for t in texts.to_pylist()], kind)
+
+    return spans(text)
 
-    def redacted(t: str) -> str:
-        out, at = [], 0
-        for start, end in _spans(t, patterns):
-            out += [t[at:start], f"[redacted:{REF}{hashlib.sha256(t[start:end].encode()).hexdigest()[:16]}]"]
-            at = end
-        return "".join(out) + t[at:]
+
+def redact(text: Column, scanner: Scanner = Scanner(), secrets: bool = True, injections: bool = False) -> Column:
+    """The text with its secrets (and injections) replaced."""
 
     @F.arrow_udf("string")
     def marked(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(t) if t else t for t in texts.to_pylist()], pa.string())
+        return pa.array([scanner.redacted(t, secrets, injections) if t else t for t in texts.to_pylist()], pa.string())
 
     return marked(text)
 
 
-def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact", injection: str = "flag", most_bytes: int = 1 << 20) -> DataFrame:
-    """Each message's findings over its content slots and the action: block before redact before flag before none.
+def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
+    """The text with each merged span of matches replaced by the first 16 hex digits of its own reference."""
+    return redact(text, Scanner(tuple(families.items())))
+
+
+def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact", injection: str = "flag", most_bytes: int = 1 << 20, on_oversize: str = "flag", scanner: Scanner = Scanner()) -> DataFrame:
+    """Each message's findings over its content slots, and the action: block before redact before flag before none.
 
-    Secrets are the merged spans of all families. A slot over ``most_bytes`` is not scanned and flags its message.
+    ``secrets`` and ``injection`` are redact, block, flag or off (not looked for). A message with more than ``most_bytes`` (the
+    filter's own limit) in all is not scanned: it is flagged or blocked, as ``on_oversize`` says. Counts are of merged spans;
+    secret_refs holds up to 8 references of matches, by family order within a slot.
     """
-    total = lambda families: sum((F.coalesce(F.size(tokens(F.col(text), p)), F.lit(0)) for p in families.values()), F.lit(0))
-    over = F.coalesce(F.octet_length(text) > most_bytes, F.lit(False))
-    per = slots.select(message, over.alias("over"), span_count(F.when(~over, F.col(text)), ALL_SECRETS).alias("s"), F.when(~over, total(INJECTION_FAMILIES)).otherwise(0).alias("i"))
-    found = per.groupBy(message).agg(F.sum("s").alias("secrets_found"), F.sum("i").alias("injection_found"), F.max("over").alias("oversize"))
+    kind = pa.struct([("s", pa.int64()), ("i", pa.int64()), ("refs", pa.list_(pa.string()))])
+
+    def one(t: str | None) -> dict:
+        raw = scanner.raw_secrets(t) if t and secrets != "off" else []
+        refs = list(dict.fromkeys(REF + hashlib.sha256(t[a:b].encode()).hexdigest() for a, b, _ in raw))[:MOST_REFS]
+        return {"s": len(merged([(a, b) for a, b, _ in raw])), "i": len(scanner.injection_spans(t)) if t and injection != "off" else 0, "refs": refs}
+
+    @F.arrow_udf("struct<s:bigint,i:bigint,refs:array<string>>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], kind)
+
+    size = slots.groupBy(message).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("bytes"))
+    large = size.where(F.col("bytes") > most_bytes).select(F.col(message).alias("large"))
+    same = F.col(message).eqNullSafe(F.col("large"))
+    per = slots.join(large, same, "left_anti").select(message, found(F.col(text)).alias("f"))
+    scanned = per.groupBy(message).agg(F.sum("f.s").alias("secrets_found"), F.sum("f.i").alias("injection_found"), F.slice(F.array_distinct(F.flatten(F.collect_list("f.refs"))), 1, MOST_REFS).alias("secret_refs"))
     wants = lambda action: ((F.col("secrets_found") > 0) & F.lit(secrets == action)) | ((F.col("injection_found") > 0) & F.lit(injection == action))
-    return found.withColumn("action", F.when(wants("block"), "block").when(wants("redact"), "redact").when(wants("flag") | F.col("oversize"), "flag").otherwise("none"))
+    scanned = scanned.select("*", F.lit(False).alias("oversize"), F.when(wants("block"), "block").when(wants("redact"), "redact").when(wants("flag"), "flag").otherwise("none").alias("action"))
+    none = F.lit(0).cast("long")
+    over = large.select(F.col("large").alias(message), none.alias("secrets_found"), none.alias("injection_found"), F.expr("cast(array() as array<string>)").alias("secret_refs"), F.lit(True).alias("oversize"), F.lit(on_oversize).alias("action"))
+    return scanned.unionByName(over)
 
 
 def merge_spans(spans: DataFrame, by: str) -> DataFrame:
@@ -136,6 +257,6 @@ def merge_spans(spans: DataFrame, by: str) -> DataFrame:
 
 
 def token_refs(rows: DataFrame, key: str, text: str, families: dict[str, str]) -> DataFrame:
-    """(key, family, ref) of every distinct token."""
+    """(key, family, ref) of every distinct match."""
     hits = F.explode(F.array(*[F.struct(F.lit(n).alias("family"), tokens(F.col(text), p).alias("t")) for n, p in families.items()])).alias("x")
     return rows.where(F.col(text).isNotNull()).select(key, hits).select(key, "x.family", F.explode("x.t").alias("t")).select(key, "family", ref(F.col("t")).alias("ref")).distinct()

@@ -10,14 +10,20 @@ def _is_call() -> Column:
     return (F.col("kind") == "tool_call") & (F.col("phase").isNull() | (F.col("phase") == "pre"))
 
 
+def is_hook_deny() -> Column:
+    """A call that a hook refused."""
+    return F.coalesce((F.col("kind") == "tool_call") & (F.col("phase") == "pre") & (F.col("error_type") == "policy_denied"), F.lit(False))
+
+
 def session_summary(events: DataFrame) -> DataFrame:
-    """One row per session, in one aggregation."""
+    """One row per session, in one aggregation. Decisions: recorded ones, notifications that the gateway decided, and hook denials."""
     n = lambda c: F.count_if(c)
+    decided = (F.col("kind") == "policy_decision") | ((F.col("kind") == "notification") & F.col("gateway_decision").isNotNull()) | is_hook_deny()
     return events.groupBy("session_id").agg(
         F.min("ts").alias("started_at"), F.max(F.when(F.col("kind") == "session_end", F.col("ts"))).alias("ended_at"), F.max("ts").alias("last_event_at"),
         F.count("*").alias("events"), n(_is_call()).alias("tool_calls"), n(F.col("kind").isin("tool_call", "rpc") & F.col("is_error")).alias("errors"),
-        F.count_distinct(F.when(_is_call(), F.col("server"))).alias("servers"), n(F.col("decision").isNotNull()).alias("decisions"),
-        F.min_by("server", "seq").alias("first_server"), F.min("seq").alias("first_seq"),
+        F.count_distinct(F.when(F.col("kind") == "tool_call", F.col("server"))).alias("servers"), n(decided).alias("decisions"),
+        F.min_by("server", "seq").alias("first_server"), F.min_by("identity", "seq").alias("identity"), F.min("seq").alias("first_seq"),
     )
 
 
@@ -26,19 +32,20 @@ def end_state(ended: Column, last: Column) -> Column:
 
 
 def tool_census(events: DataFrame) -> DataFrame:
-    """Calls, errors, decisions and sessions of each tool."""
-    of = events.where(F.col("kind").isin("tool_call", "policy_decision"))
-    return of.groupBy(F.coalesce("server", F.lit("")).alias("server"), "tool").agg(
-        F.count_if(_is_call()).alias("calls"), F.count_if((F.col("kind") == "tool_call") & F.col("is_error")).alias("errors"),
-        F.count_if(F.col("decision") == "deny").alias("denied"), F.count_if(F.col("decision") == "hold").alias("held"),
-        F.count_distinct(F.when(_is_call(), F.col("session_id"))).alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+    """Calls, errors, denials, holds and sessions of each tool, over tool calls alone."""
+    denied = F.coalesce(F.col("gateway_decision") == "deny", F.lit(False)) | is_hook_deny()
+    return events.where("kind = 'tool_call'").groupBy(F.coalesce("server", F.lit("")).alias("server"), "tool").agg(
+        F.count_if(_is_call()).alias("calls"), F.count_if(F.col("is_error")).alias("errors"), F.count_if(denied).alias("denied"),
+        F.count_if(F.col("gateway_decision") == "hold").alias("held"), F.count_distinct(F.when(_is_call(), F.col("session_id"))).alias("sessions"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
     )
 
 
 def why(events: DataFrame, last: int | None = None, per_session: bool = False) -> DataFrame:
-    """Decisions and failed calls as one list, newest first; the last n of all or of each session."""
+    """Decisions, and results that the filter acted on, as one list, newest first; the last n of all or of each session."""
     decisions = events.where(F.col("decision").isNotNull()).select("session_id", "seq", "tool", F.col("decision").alias("what"), "rule_id")
-    filtered = events.where((F.col("kind") == "tool_call") & F.col("is_error")).select("session_id", "seq", "tool", F.lit("error").alias("what"))
+    acted = (F.col("kind") == "tool_call") & (F.col("boundary_action") != "none") & ((F.col("secrets_found") > 0) | (F.col("injection_found") > 0))
+    filtered = events.where(acted).select("session_id", "seq", "tool", F.concat(F.lit("filter:"), "boundary_action").alias("what"))
     both = decisions.unionByName(filtered, allowMissingColumns=True)
     if last is None:
         return both
@@ -47,6 +54,11 @@ def why(events: DataFrame, last: int | None = None, per_session: bool = False) -
     return both.orderBy(F.desc("seq")).limit(last)
 
 
+def redelivery(events: DataFrame, *by: str) -> DataFrame:
+    """Events enqueued, written and dropped, as session ends report them."""
+    return events.where("kind = 'session_end'").groupBy(*by).agg(F.sum(F.col("events_recorded") + F.col("events_dropped")).alias("enqueued"), F.sum("events_recorded").alias("written"), F.sum("events_dropped").alias("dropped"))
+
+
 def with_reasons(decisions: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule's reason where the decision was taken under that very policy."""
     return decisions.join(rules.select("policy_hash", "rule_id", "reason"), ["policy_hash", "rule_id"], "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,9 @@ def query(name: str, sql: str | None = None):
 
 _CALL = "kind = 'tool_call' AND (phase IS NULL OR phase = 'pre')"
 _SUMMARY = f"""SELECT session_id, min(ts) AS started_at, max(ts) AS last_event_at, count(*) AS events, count(*) FILTER ({_CALL}) AS tool_calls,
-    count(*) FILTER (kind IN ('tool_call', 'rpc') AND is_error) AS errors, count(DISTINCT server) FILTER ({_CALL}) AS servers, count(decision) AS decisions, min_by(server, seq) AS first_server, min(seq) AS first_seq FROM e GROUP BY session_id"""
+    count(*) FILTER (kind IN ('tool_call', 'rpc') AND is_error) AS errors, count(DISTINCT server) FILTER (kind = 'tool_call') AS servers,
+    count(*) FILTER (kind = 'policy_decision' OR (kind = 'notification' AND gateway_decision IS NOT NULL) OR (kind = 'tool_call' AND phase = 'pre' AND error_type = 'policy_denied')) AS decisions,
+    min_by(server, seq) AS first_server, min_by(identity, seq) AS identity, min(seq) AS first_seq FROM e GROUP BY session_id"""
 
 
 @query("session_summary", f"WITH {AUDIT} {_SUMMARY}")
@@ -62,13 +63,13 @@ def session_prefix_resolve_all(spark, d):
     return sessions.resolve_prefix(ids, ids.select(F.substring("session_id", 1, 3).alias("prefix")).union(ids))
 
 
-@query("tool_census", f"""WITH {AUDIT} SELECT coalesce(server, '') AS server, tool, count(*) FILTER ({_CALL}) AS calls, count(*) FILTER (kind = 'tool_call' AND is_error) AS errors, count(*) FILTER (decision = 'deny') AS denied,
-    count(*) FILTER (decision = 'hold') AS held, count(DISTINCT session_id) FILTER ({_CALL}) AS sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM e WHERE kind IN ('tool_call', 'policy_decision') GROUP BY 1, 2""")
+@query("tool_census", f"""WITH {AUDIT} SELECT coalesce(server, '') AS server, tool, count(*) FILTER ({_CALL}) AS calls, count(*) FILTER (is_error) AS errors, count(*) FILTER (coalesce(gateway_decision = 'deny', false) OR (phase = 'pre' AND error_type = 'policy_denied')) AS denied,
+    count(*) FILTER (gateway_decision = 'hold') AS held, count(DISTINCT session_id) FILTER ({_CALL}) AS sessions, min(ts) AS first_seen, max(ts) AS last_seen FROM e WHERE kind = 'tool_call' GROUP BY 1, 2""")
 def tool_census(spark, d):
     return sessions.tool_census(audit_events(spark, d))
 
 
-_WHY = "SELECT session_id, seq, tool, decision AS what, rule_id FROM e WHERE decision IS NOT NULL UNION ALL SELECT session_id, seq, tool, 'error', NULL FROM e WHERE kind = 'tool_call' AND is_error"
+_WHY = "SELECT session_id, seq, tool, decision AS what, rule_id FROM e WHERE decision IS NOT NULL UNION ALL SELECT session_id, seq, tool, 'filter:' || boundary_action, NULL FROM e WHERE kind = 'tool_call' AND boundary_action <> 'none' AND (secrets_found > 0 OR injection_found > 0)"
 
 
 @query("why_latest", f"WITH {AUDIT} SELECT * FROM ({_WHY}) ORDER BY seq DESC LIMIT 50")
@@ -218,38 +219,51 @@ def touched_sessions(spark, d):
     return search.touched_sessions(session_summary(spark, d), matches).select("session_id", "started_at", "events")
 
 
-STARTER = [
+RULES = [
     policy.Rule("deny", server=("server_1", "server_2"), tool=("tool_[!x]*", "tool_3"), rule_id="no_tool_3", reason="not allowed"),
+    policy.Rule("deny", args={"$.note": "server"}, rule_id="objects_never_match"),
     policy.Rule("hold", tool=("tool_*",), args={"$.k": r"^[0-9]$"}, rule_id="one_digit"),
-    policy.Rule("deny", server=("server_4",), any_arg=r"9\d", rule_id="nineties"),
-    policy.Rule("hold", server=("server_0",), max_bytes=9),
+    policy.Rule("deny", any_arg=r"^u9\d?$|^server_4 9\d$", rule_id="nineties"),
+    policy.Rule("hold", server=("server_0",), max_bytes=59),
 ]
-_EVALUATED = """v AS (SELECT event_id, server, tool, CASE WHEN server IN ('server_1', 'server_2') AND tool = 'tool_3' THEN 'deny' WHEN regexp_matches(k::VARCHAR, '^[0-9]$') THEN 'hold' WHEN server = 'server_4' AND regexp_matches(args, '9\\d') THEN 'deny' WHEN server = 'server_0' AND strlen(args) <= 9 THEN 'hold' ELSE 'allow' END AS action,
-    CASE WHEN server IN ('server_1', 'server_2') AND tool = 'tool_3' THEN 'no_tool_3' WHEN regexp_matches(k::VARCHAR, '^[0-9]$') THEN 'one_digit' WHEN server = 'server_4' AND regexp_matches(args, '9\\d') THEN 'nineties' WHEN server = 'server_0' AND strlen(args) <= 9 THEN 'rule[3]' END AS rule FROM e)"""
+_ARGS = """'{"k":' || k || ',"to":["u' || user_id || '","' || tool || '"],"note":{"n":"' || server || ' ' || k || '"}}'"""
+_EVALUATED = f"""c AS (SELECT * EXCLUDE args, {_ARGS} AS args, regexp_matches('u' || user_id, '^u9\\d?$|^server_4 9\\d$') OR regexp_matches(server || ' ' || k, '^u9\\d?$|^server_4 9\\d$') AS nineties FROM e),
+    v AS (SELECT event_id, server, tool, CASE WHEN server IN ('server_1', 'server_2') AND tool = 'tool_3' THEN 'deny' WHEN regexp_matches(k::VARCHAR, '^[0-9]$') THEN 'hold' WHEN nineties THEN 'deny' WHEN server = 'server_0' AND strlen(args) <= 59 THEN 'hold' ELSE 'allow' END AS action,
+    CASE WHEN server IN ('server_1', 'server_2') AND tool = 'tool_3' THEN 'no_tool_3' WHEN regexp_matches(k::VARCHAR, '^[0-9]$') THEN 'one_digit' WHEN nineties THEN 'nineties' WHEN server = 'server_0' AND strlen(args) <= 59 THEN 'rule[4]' END AS rule FROM c)""".replace("\\\\d", "\\d")
+
+
+def _calls(spark, d) -> DataFrame:
+    """Audit events with nested arguments."""
+    lit, text = F.lit, lambda c: F.col(c).cast("string")
+    args = F.concat(lit('{"k":'), text("k"), lit(',"to":["u'), text("user_id"), lit('","'), "tool", lit('"],"note":{"n":"'), "server", lit(" "), text("k"), lit('"}}'))
+    return audit_events(spark, d).withColumn("args", args)
 
 
 @query("policy_first_match", f"WITH {AUDIT}, {_EVALUATED} SELECT event_id, action, rule, false AS fail_closed FROM v")
 def policy_first_match(spark, d):
-    return policy.evaluate(audit_events(spark, d), STARTER).select("event_id", "action", "rule", "fail_closed")
+    return policy.evaluate(_calls(spark, d), RULES).select("event_id", "action", "rule", "fail_closed")
 
 
-@query("policy_leaf_match")
-def policy_leaf_match(spark, d):
-    """The same rules with any_arg read as string leaves."""
-    rules = [replace(r, any_arg=None, any_leaf=r.any_arg) for r in STARTER]
-    return policy.evaluate(audit_events(spark, d), rules).select("event_id", "action", "rule", "fail_closed")
+@query("policy_starter", f"WITH {AUDIT} SELECT event_id, CASE WHEN k % 7 = 1 THEN 'deny' WHEN k % 7 IN (2, 3) THEN 'hold' ELSE 'allow' END AS action, CASE k % 7 WHEN 1 THEN 'credential-files' WHEN 2 THEN 'destructive-tools' WHEN 3 THEN 'spends-money' END AS rule FROM e")
+def policy_starter(spark, d):
+    """The rules to start from, over calls of seven kinds."""
+    kind = F.col("k") % 7
+    tool = F.when(kind == 2, "db_delete_rows").when(kind == 3, "issue_refund").otherwise(F.lit("read_file"))
+    args = F.when(kind == 1, F.lit('{"paths":["a.txt",{"p":"/home/u/.ssh/config"}]}')).when(kind == 4, F.lit('{".env":1,"note":"x .env y"}')).otherwise(F.lit('{"path":"/tmp/notes.txt"}'))
+    rules, default = policy.rules_of(policy.STARTER_DOCUMENT)
+    return policy.evaluate(audit_events(spark, d).withColumn("tool", tool).withColumn("args", args), rules, default).select("event_id", "action", "rule")
 
 
 @query("policy_coverage", f"WITH {AUDIT}, {_EVALUATED} SELECT server, count(*) FILTER (action = 'deny') AS denied, count(*) FILTER (action = 'hold') AS held, count(*) FILTER (action = 'allow') AS allowed, CASE WHEN count(*) FILTER (action <> 'allow') = 0 THEN 'FAIL' ELSE 'ok' END AS verdict FROM v GROUP BY 1")
 def policy_coverage(spark, d):
-    return policy.coverage(policy.evaluate(audit_events(spark, d), STARTER))
+    return policy.coverage(policy.evaluate(_calls(spark, d), RULES))
 
 
 @query("policy_diff", f"WITH {AUDIT}, {_EVALUATED} SELECT v.event_id, v.action AS before, 'allow' AS after FROM v WHERE v.action <> 'allow' AND v.rule <> 'no_tool_3' UNION ALL SELECT event_id, 'deny', 'allow' FROM v WHERE rule = 'no_tool_3' AND server = 'server_2'")
 def policy_diff(spark, d):
-    e = audit_events(spark, d)
+    e = _calls(spark, d)
     looser = [policy.Rule("deny", server=("server_1",), tool=("tool_3",))]
-    return policy.compare(policy.evaluate(e, STARTER), policy.evaluate(e, looser), "event_id")
+    return policy.compare(policy.evaluate(e, RULES), policy.evaluate(e, looser), "event_id")
 
 
 @query("glob_match", "SELECT p_partkey, regexp_matches(p_name, '^[^ ]* [^ ]*$') AS two_words, regexp_matches(p_name, '^.*e$') AS ends_in_e FROM part")
@@ -261,8 +275,7 @@ def glob_match(spark, d):
 @query("hook_policy", f"WITH {AUDIT} SELECT event_id, CASE WHEN regexp_matches(tool, '_[45]$') OR regexp_matches(server, '_4$') THEN 'deny' WHEN regexp_matches(tool, '_[0-7]$') THEN 'allow' ELSE 'ask' END AS action FROM e")
 def hook_policy(spark, d):
     e = audit_events(spark, d)
-    denied = policy.hook(F.col("tool"), [r"_[45]$"], [r"_[0-7]$"], "ask")
-    return e.select("event_id", F.when(F.col("server").rlike("_4$"), "deny").otherwise(denied).alias("action"))
+    return e.select("event_id", policy.hook(F.col("tool"), [r"_[45]$", r"^server_4$"], [r"_[0-7]$"], "ask", alias=F.col("server")).alias("action"))
 
 
 @query("spelling_drift", f"""WITH {AUDIT}, t AS (SELECT DISTINCT server, tool FROM e), n AS (SELECT server, tool, unnest([tool, 'mcp__' || server || '__' || tool, 'mcp__' || upper(left(server, 1)) || substr(server, 2) || '__' || tool, server || '.' || tool]) AS name FROM t),
@@ -271,14 +284,27 @@ def spelling_drift(spark, d):
     return policy.drift(audit_events(spark, d).select("server", "tool").distinct(), ["^mcp__server_1", "tool_[0-4]$", "^tool_"])
 
 
-@query("egress_decisions", r"SELECT page_id, CASE WHEN regexp_matches(host, '^[^.]*\.example$') THEN 'allow' WHEN regexp_matches(host, '^.*\.(org|net)$') THEN 'hold' ELSE 'deny' END AS action FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)")
+_URLS = r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1), ''), '/') AS path, strlen(coalesce(html, '')) AS body_bytes FROM pages"
+
+
+def _requests(spark, d) -> DataFrame:
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"), F.when(F.col("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"), F.when(path != "", path).otherwise("/").alias("path"), F.octet_length(F.coalesce("html", F.lit(""))).alias("body_bytes"))
+
+
+@query("egress_decisions", rf"SELECT page_id, CASE WHEN regexp_matches(host, '^[^.]*\.example\.com$') AND method = 'GET' AND regexp_matches(path, '^/[^/]*$') THEN 'allow' WHEN regexp_matches(host, '^.*\.(org|net|com)$') AND body_bytes <= 3000 THEN 'hold' ELSE 'deny' END AS action FROM ({_URLS})")
 def egress_decisions(spark, d):
-    requests = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"), F.lit("GET").alias("method"), F.lit("/").alias("path"))
-    rules = [{"host": ["*.example"], "methods": ["GET"], "action": "allow"}, {"host": ["**.org", "**.net"], "action": "hold"}]
-    return policy.egress(requests, rules).select("page_id", "action")
+    rules = [{"host": ["*.example.com"], "methods": ["GET"], "path": ["/*"], "action": "allow"}, {"host": ["**.org", "**.net", "**.com"], "max_body_bytes": 3000, "action": "hold"}]
+    return policy.egress(_requests(spark, d), rules).select("page_id", "action")
 
 
-_COUNTS = lambda families, text: ", ".join(f"len(regexp_extract_all(coalesce({text}, ''), '{p.replace(chr(39), chr(39) * 2)}'))::INT AS n_{n}" for n, p in families.items())
+@query("destination_rules", rf"""SELECT page_id, reason IS NULL AS allowed, reason FROM (SELECT page_id, CASE WHEN method = 'GET' AND regexp_matches(host, '^[^.]*\.example\.com$') THEN NULL WHEN NOT regexp_matches(host, '^.*\.(org|com)$') THEN 'host_not_permitted' WHEN NOT regexp_matches(path, '^/[^/]*/.*$') THEN 'path_not_permitted' END AS reason FROM ({_URLS}))""")
+def destination_rules(spark, d):
+    rules = [{"method": ["GET"], "host": ["*.example.com"]}, {"host": ["**.org", "**.com"], "path": ["/*/**"]}]
+    return policy.destinations(_requests(spark, d), rules).select("page_id", "allowed", "reason")
+
+
+_COUNTS = lambda families, text: ", ".join(f"len(regexp_extract_all(coalesce({text}, ''), '{p.replace(chr(39), chr(39) * 2)}'))::INT AS {scan.column_name(n)}" for n, p in families.items())
 
 
 @query("secret_family_counts", f"SELECT doc_id, {_COUNTS(scan.SECRET_FAMILIES, 'text')} FROM documents")
@@ -303,7 +329,15 @@ def injection_counts(spark, d):
 
 @query("secret_token_refs", " UNION ".join(f"SELECT page_id, '{n}' AS family, {_REF.format('t')} AS ref FROM (SELECT page_id, unnest(regexp_extract_all(html, '{p.replace(chr(39), chr(39) * 2)}')) AS t FROM pages)" for n, p in scan.SECRET_FAMILIES.items()))
 def secret_token_refs(spark, d):
-    return scan.token_refs(table(spark, d, "pages"), "page_id", "html", scan.ALL_SECRETS)
+    """References of the families that any engine can match; secret_spans has all of them."""
+    return scan.token_refs(table(spark, d, "pages"), "page_id", "html", scan.SECRET_FAMILIES)
+
+
+@query("secret_spans")
+def secret_spans(spark, d):
+    """All families' matches that are neither code nor placeholders, at their places."""
+    spans = F.explode(scan.span_columns(F.col("html"))).alias("s")
+    return table(spark, d, "pages").select("page_id", "html", spans).select("page_id", "s.*", C.ref(F.substring("html", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("ref"))
 
 
 _SUM = lambda families: " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}'))" for p in families.values())
@@ -311,7 +345,13 @@ _SUM = lambda families: " + ".join(f"len(regexp_extract_all(coalesce(text, ''),
 
 @query("boundary_verdict", f"SELECT conv_id, s AS secrets_found, i AS injection_found, false AS oversize, CASE WHEN s > 0 THEN 'redact' WHEN i > 0 THEN 'flag' ELSE 'none' END AS action FROM (SELECT conv_id, sum({_SUM(scan.SECRET_FAMILIES)})::BIGINT AS s, sum({_SUM(scan.INJECTION_FAMILIES)})::BIGINT AS i FROM conversations GROUP BY 1)")
 def boundary_verdict(spark, d):
-    return scan.verdict(table(spark, d, "conversations"), "conv_id", "text")
+    return scan.verdict(table(spark, d, "conversations"), "conv_id", "text").drop("secret_refs")
+
+
+@query("boundary_redaction")
+def boundary_redaction(spark, d):
+    """Pages with their secrets and injections replaced."""
+    return table(spark, d, "pages").select("page_id", scan.redact(F.col("html"), injections=True).alias("html"))
 
 
 @query("merge_spans", f"""WITH {AUDIT}, s AS (SELECT session_id, k AS start, k + 3 + k % 5 AS "end" FROM e), m AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),

@@ -28,10 +28,6 @@ def test_query_equals_sql(spark, con, name):
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=key) == sorted(want, key=key)
 
 
-def test_genesis_is_the_hash_of_its_text(spark):
-    assert spark.range(1).select(F.sha2(F.lit(C.GENESIS_TEXT), 256).alias("h")).first().h == C.GENESIS_HASH
-
-
 def test_tampered_chain_is_found(spark):
     events = spark.createDataFrame([("c", i, f'{{"n":{i}}}') for i in range(1, 6)], "chain_id string, seq long, event string")
     sealed = integrity.seal(events)
@@ -61,7 +57,7 @@ def test_secret_families_match_as_python_does(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "m int, text string")
     for r in scan.family_counts(rows, "text", families).collect():
         for name, pattern in families.items():
-            assert r[f"n_{name}"] in (len(list(re.finditer(pattern, r.text or "", re.ASCII))), -1 if r.text is None else None), (name, r.text)
+            assert r[scan.column_name(name)] in (len(list(re.finditer(pattern, r.text or "", re.ASCII))), -1 if r.text is None else None), (name, r.text)
 
 
 def test_secrets_are_replaced_by_their_references(spark):
@@ -69,7 +65,7 @@ def test_secrets_are_replaced_by_their_references(spark):
 
     key = "AKIA" + "A" * 16
     rows = spark.createDataFrame([(1, f"{key} and {key}."), (2, "none"), (3, None), (4, "")], "m int, t string")
-    got = {r.m: r.t for r in rows.select("m", scan.redact_with_refs(F.col("t"), {"aws": scan.SECRET_FAMILIES["aws_access_key_id"]}).alias("t")).collect()}
+    got = {r.m: r.t for r in rows.select("m", scan.redact_with_refs(F.col("t"), {"aws": scan.SECRETS["aws-access-key-id"]}).alias("t")).collect()}
     mark = f"[redacted:sha256:{hashlib.sha256(key.encode()).hexdigest()[:16]}]"
     assert got == {1: f"{mark} and {mark}.", 2: "none", 3: None, 4: ""}
 
@@ -96,10 +92,39 @@ def test_all_secret_families_reach_verdict_redaction_and_refs(spark, tmp_path):
     assert {i: t and re.sub(r"\[redacted:sha256:[0-9a-f]{16}\]", "#", t) for i, t in got.items()} == {i: t and redacted(t) for i, t in enumerate(texts)}
     assert f"[redacted:sha256:{hashlib.sha256(b'user:pw').hexdigest()[:16]}]@host" in got[1]
     rows.selectExpr("doc_id as page_id", "text as html").write.parquet(f"{tmp_path}/pages.parquet")
-    refs = {(r.page_id, r.family, r.ref) for r in registry.QUERIES["secret_token_refs"](spark, str(tmp_path)).collect()}
+    refs = {(r.page_id, r.family, r.ref) for r in registry.QUERIES["secret_spans"](spark, str(tmp_path)).collect()}
     assert refs == {(i, n, C.REF + hashlib.sha256(m[0].encode()).hexdigest()) for i, t in enumerate(texts) for n, p in scan.ALL_SECRETS.items() for m in re.finditer(p, t or "", re.ASCII)}
 
 
+def test_values_that_are_code_are_no_secrets(spark):
+    code = ["function f(token: string, x)", "const password = decode(url.password);", "password = null", "secret = `x`", 'password = "${VAULT}"', "token=$TOKEN;", "password: <your-key>", "isCommaToken(token: CommentOrToken): token is", "secret_key = loadFromEnvironment()"]
+    secret = ['password: "hunter"', "DB_PASSWORD=Tr0ub4dor(3)andmore", "env.password=hunter2", "CLIENT_SECRET=supersecretpassphrase", '{"db":{"password":"Tr0ub4dor(3)andmore"}}', "password=hunter-two"]
+    scanner = scan.Scanner()
+    assert [t for t in code if scanner.secret_spans(t)] == [] and [t for t in secret if not scanner.secret_spans(t)] == []
+    assert scan.Scanner(synthetic="fake_v1_").secret_spans("token=fake_v1_abc123") == [] != scanner.secret_spans("token=fake_v1_abc123")
+
+
+def test_injections_are_found_in_folded_text(spark):
+    scanner = scan.Scanner()
+    phrase = "ignore previous instructions"
+    hidden = ["i\u200bgnore pre\u00advious instructions", "\x1b[31mignore\x1b[0m previous   instructions", "ｉｇｎｏｒｅ previous instructions", "ignore\nprevious\tinstructions"]
+    for t in hidden:
+        (span,) = scanner.injection_spans("say: " + t + " now")
+        assert span[0] >= 5 and scan.fold("say: " + t + " now")[0] == f"say: {phrase} now"
+    assert scanner.injection_spans("é plain text\nof two lines") == []
+    assert scanner.redacted(f"a {phrase} b password=hunter2x", injections=True).startswith(f"a {scan.INJECTION_MARKER} b [redacted:sha256:")
+
+
+def test_verdict_of_messages(spark):
+    rows = [(1, "password=hunter2hunter2"), (1, "ignore previous instructions"), (2, "ignore previous instructions"), (3, "fine"), (3, None), (4, "x" * 200), (None, "token: a1b2c3")]
+    slots = spark.createDataFrame(rows, "m int, t string")
+    of = lambda **kw: {r.m: (r.action, r.secrets_found, r.injection_found, r.oversize, len(r.secret_refs)) for r in scan.verdict(slots, "m", "t", most_bytes=150, **kw).collect()}
+    assert of() == {1: ("redact", 1, 1, False, 1), 2: ("flag", 0, 1, False, 0), 3: ("none", 0, 0, False, 0), 4: ("flag", 0, 0, True, 0), None: ("redact", 1, 0, False, 1)}
+    assert {m: x[0] for m, x in of(injection="block", secrets="off", on_oversize="block").items()} == {1: "block", 2: "block", 3: "none", 4: "block", None: "none"}
+    url = spark.createDataFrame([(1, "postgres://user:hunter22@db.example/x password=hunter2hunter2")], "m int, t string")
+    assert [(r.action, r.secrets_found) for r in scan.verdict(url, "m", "t").collect()] == [("redact", 2)]
+
+
 def test_every_session_has_its_range(spark, con):
     sql = registry.SQL["bundle_range"]
     cut = " WHERE right(session_id, 1) = '3'"
@@ -128,12 +153,25 @@ def test_leaves_are_matched_one_by_one(spark):
     import json
 
     deep = '{"a":' * 50 + '"x"' + "}" * 50
-    cases = [('{"k":"x"}', "deny"), (r'{"k":["\u0078"]}', "deny"), ('{"x":1}', "allow"), ('{"k":"ax"}', "allow"), (r'{"k":"say \"hi\""}', "deny"), ('{"k":95}', "allow"), ('["x"]', "allow"), (None, "allow"), (deep, "deny"), (json.dumps({"k": ["a"] * 256}), "allow"), (json.dumps({"k": ["a"] * 257}), "closed"), (json.dumps({"k": "é" * (128 * 1024)}), "allow"), (json.dumps({"k": "é" * (128 * 1024) + "a"}), "closed"), ("{", "closed"), (r'{"k":"\ud800"}', "allow"), ('{"k":' + "9" * 5000 + "}", "allow")]
+    cases = [('{"k":"x"}', "deny"), (r'{"k":["\u0078"]}', "deny"), ('{"x":1}', "allow"), ('{"k":"ax"}', "allow"), (r'{"k":"say \"hi\""}', "deny"), ('{"k":95}', "allow"), ('["x"]', "allow"), (None, "allow"), (deep, "deny"), (json.dumps({"k": ["a"] * 256}), "allow"), (json.dumps({"k": ["a"] * 257}), policy.TOO_LARGE), (json.dumps({"k": "é" * (128 * 1024)}), "allow"), (json.dumps({"k": "é" * (128 * 1024) + "a"}), policy.TOO_LARGE), ("{", policy.BROKEN), (r'{"k":"\ud800"}', "allow"), ('{"rm":1}', "allow"), ('{"c":"rm -rf"}', "deny")]
     calls = spark.createDataFrame([(i, "s", "t", a) for i, (a, _) in enumerate(cases)], "n int, server string, tool string, args string")
-    got = policy.evaluate(calls, [policy.Rule("deny", any_leaf=r'^x$|^say "hi"$|9\d')]).orderBy("n").collect()
-    assert ["closed" if r.fail_closed else r.action for r in got] == [want for _, want in cases]
+    got = policy.evaluate(calls, [policy.Rule("deny", any_arg=r'^x$|^say "hi"$|9\d|^rm')]).orderBy("n").collect()
+    assert [r.error_code or r.action for r in got] == [want for _, want in cases]
+    assert all(r.fail_closed == (r.error_code is not None) for r in got)
 
 
-def test_registered_policy_reads_leaves(spark):
-    rules = {r.rule for r in registry.QUERIES["policy_leaf_match"](spark, SF).collect()}
-    assert "nineties" not in rules and "one_digit" in rules  # k is a number
+def test_only_scalars_match_at_a_path(spark):
+    cases = [('{"k":"rm"}', "deny"), ('{"k":{"a":"rm"}}', "allow"), ('{"k":["rm"]}', "allow"), ('{"k":true}', "deny"), ('{"k":12}', "deny"), ('["rm"]', "allow"), ('{"k":null}', "allow"), ('{"j":1}', "allow"), ('{"k":"' + "r" * 4097 + '"}', policy.TOO_LONG), ('{"a":{"b":[0,"rm"]}}', "allow")]
+    calls = spark.createDataFrame([(i, "s", "t", a) for i, (a, _) in enumerate(cases)], "n int, server string, tool string, args string")
+    got = policy.evaluate(calls, [policy.Rule("deny", args={policy.dot_path("k"): "^rm|true|12|r{9}"})]).orderBy("n").collect()
+    assert [r.error_code or r.action for r in got] == [want for _, want in cases]
+    nested = policy.evaluate(calls, [policy.Rule("deny", args={policy.dot_path("a.b.1"): "rm"})]).where("action = 'deny'").collect()
+    assert [r.n for r in nested] == [9]
+
+
+def test_policy_documents(spark):
+    doc = {"mcp": {"default": "hold", "rules": [{"match": {"tool": "rm_*"}, "action": "deny"}, {"id": "x", "match": {"server": ["a", "b"], "args": {"p.0": "^/"}, "max_args_bytes": 9}, "action": "allow"}]}}
+    rules, default = policy.rules_of(doc)
+    assert default == "hold" and [r.rule_id for r in rules] == ["rule[0]", "x"] and rules[0].tool == ("rm_*",) and rules[0].server == ("**",) and rules[1].args == {"$['p'][0]": "^/"}
+    table = policy.rule_table(spark, {"h1": doc, "h2": {"mcp": {"rules": [{"id": "d", "match": {"tool": " "}, "action": "deny"}, {"id": "d", "action": "deny"}]}}})
+    assert {(r.policy_hash, r.rule_id, r.problem) for r in policy.lint(table).collect()} == {("h2", "d", "duplicate_id"), ("h2", "d", "empty_glob")}
