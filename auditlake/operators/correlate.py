@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +50,40 @@ def origins(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     keyed = catalog.select("server", F.col("host").alias("by_key")).dropDuplicates(["server"])
     single = catalog.groupBy("tool").agg(F.count_distinct("server").alias("n"), F.min("host").alias("by_tool")).where("n = 1").drop("n")
     return calls.join(keyed, "server", "left").join(single, "tool", "left").withColumn("host", F.coalesce("by_key", "by_tool")).drop("by_key", "by_tool")
+
+
+def reconciliation(events: DataFrame) -> DataFrame:
+    """(list, event_id, action_id, attempt_id): what recorded decisions leave open.
+
+    events: event_id, seq, kind, phase, decision, outcome, action_id, attempt_id, record_event_id, gateway_decision. The last event
+    of an attempt in a phase speaks for it. Lists: missing_outcome (allowed, no outcome), unknown_outcome, missing_companion (an
+    outcome's record isn't there), gap, legacy (decisions without an action_id).
+    """
+    key = ["action_id", "attempt_id"]
+    cycle = events.where("kind = 'action_lifecycle'")
+    last = lambda df: df.groupBy(*key).agg(F.max_by(F.struct("event_id", "outcome", "record_event_id"), "seq").alias("e")).select(*key, "e.*")
+    allowed, outcomes = last(cycle.where("phase = 'decision' and decision = 'allow'")), last(cycle.where("phase = 'outcome'"))
+    same = F.col("a.action_id").eqNullSafe(F.col("b.action_id")) & F.col("a.attempt_id").eqNullSafe(F.col("b.attempt_id"))
+    named = lambda df, name: df.select(F.lit(name).alias("list"), "event_id", *key)
+    missing = allowed.alias("a").join(outcomes.alias("b"), same, "left_anti").select("a.*")
+    alone = outcomes.where("record_event_id is not null").join(events.select(F.col("event_id").alias("record_event_id")).distinct(), "record_event_id", "left_anti")
+    legacy = events.where("(kind = 'policy_decision' or (kind = 'tool_call' and gateway_decision is not null)) and action_id is null")
+    parts = [named(missing, "missing_outcome"), named(outcomes.where("outcome = 'unknown'"), "unknown_outcome"), named(alone, "missing_companion"), named(events.where("kind = 'coverage_gap'"), "gap"), named(legacy, "legacy")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_pending(stored: DataFrame, pending: DataFrame) -> DataFrame:
+    """Stored events, and pending ones that are not stored yet, each id once."""
+    new = pending.dropDuplicates(["event_id"]).join(stored.select("event_id"), "event_id", "left_anti")
+    return stored.unionByName(new, allowMissingColumns=True)
+
+
+def decisions_of_calls(calls: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Each call with the decision that its decision_id names."""
+    return calls.join(decisions.select(F.col("event_id").alias("decision_id"), F.col("decision").alias("decided"), "rule_id"), "decision_id", "left")
+
+
+def stale(markers: DataFrame, settled: DataFrame, now: Column, seconds: int = 24 * 3600) -> DataFrame:
+    """Markers (session_id, request_id, started_at) that nothing settled and that are older than so many seconds."""
+    open_ = markers.join(settled.select("session_id", "request_id").distinct(), ["session_id", "request_id"], "left_anti")
+    return open_.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp")) > seconds * 1_000_000)

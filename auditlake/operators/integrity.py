@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
 from ..functions.canonical import GENESIS_HASH, canonical, record_hash
 
 SEALED = "chain_id string, seq long, prev_hash string, hash string, event string"
@@ -36,10 +37,17 @@ def seal(events: DataFrame, genesis: str = GENESIS_HASH) -> DataFrame:
     return rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInArrow(_fold(genesis), SEALED)
 
 
+def _hex(c: str, digits: int = 64) -> Column:
+    return F.coalesce(F.col(c).rlike(f"^[0-9a-f]{{{digits}}}$"), F.lit(False))
+
+
+def well_formed() -> Column:
+    """Seq from 1, two hashes, and an event that is an object."""
+    return F.coalesce((F.col("seq") >= 1) & _hex("prev_hash") & _hex("hash") & F.schema_of_variant(F.try_parse_json("event")).startswith("OBJECT"), F.lit(False))
+
+
 def malformed(records: DataFrame) -> DataFrame:
-    ok = lambda c: F.coalesce(F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(False))
-    good = (F.col("seq") >= 1) & ok("prev_hash") & ok("hash") & F.try_parse_json("event").isNotNull()
-    return records.where(~F.coalesce(good, F.lit(False))).select("chain_id", "seq", F.lit("malformed_record").alias("problem"))
+    return records.where(~well_formed()).select("chain_id", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.lit("malformed_record").alias("problem"))
 
 
 def content_problems(records: DataFrame) -> DataFrame:
@@ -53,7 +61,7 @@ def link_problems(records: DataFrame, order: str = "position", base: str = GENES
     r = records.select("chain_id", "seq", "prev_hash", F.lag("seq").over(w).alias("s"), F.lag("hash").over(w).alias("h"))
     tests = {
         "bad_genesis": F.col("s").isNull() & (F.col("prev_hash") != base),
-        "seq_order": F.col("seq") <= F.col("s"),
+        "duplicate_seq": F.col("seq") <= F.col("s"),
         "seq_gap": F.col("seq") - F.col("s") > 1,
         "prev_hash_mismatch": F.col("prev_hash") != F.col("h"),
     }
@@ -62,24 +70,80 @@ def link_problems(records: DataFrame, order: str = "position", base: str = GENES
 
 
 def verify(records: DataFrame, order: str = "position") -> DataFrame:
-    return malformed(records).unionByName(content_problems(records)).unionByName(link_problems(records, order))
+    """Problems of all records; malformed ones take no part in the other checks."""
+    good = records.where(well_formed())
+    return malformed(records).unionByName(content_problems(good)).unionByName(link_problems(good, order))
+
+
+#: Problems that alone don't break a chain.
+WARNINGS = ("unsigned_tail",)
 
 
 def verdicts(records: DataFrame, problems: DataFrame) -> DataFrame:
-    """Each chain's verdict, records checked and head."""
-    per = problems.groupBy("chain_id").agg(F.count("*").alias("problems"))
-    heads = records.groupBy("chain_id").agg(F.count("*").alias("checked"), F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash"))
-    return heads.join(per, "chain_id", "left").select("chain_id", "checked", "head_seq", "head_hash", F.coalesce("problems", F.lit(0)).alias("problems"), F.col("problems").isNull().alias("ok"))
+    """Each chain's verdict, well-formed records and head. A problem with a true ``warning`` doesn't count against the chain."""
+    if "warning" not in problems.columns:
+        problems = problems.withColumn("warning", F.col("problem").isin(*WARNINGS))
+    per = problems.groupBy("chain_id").agg(F.count("*").alias("problems"), F.min(F.coalesce("warning", F.lit(False))).alias("mild"))
+    good = F.when(well_formed(), F.lit(1))
+    heads = records.groupBy("chain_id").agg(F.count(good).alias("checked"), F.max(F.when(well_formed(), F.col("seq"))).alias("head_seq"), F.max_by(F.when(well_formed(), F.col("hash")), F.when(well_formed(), F.col("seq"))).alias("head_hash"))
+    return heads.join(per, "chain_id", "left").select("chain_id", "checked", "head_seq", "head_hash", F.coalesce("problems", F.lit(0)).alias("problems"), F.coalesce("mild", F.lit(True)).alias("ok"))
+
+
+def signature_shape(expected_key: str | None = None) -> Column:
+    """What is wrong with a signature's shape or key, or null."""
+    shape = F.when(~F.coalesce(F.col("seq") >= 1, F.lit(False)), "invalid seq").when(~_hex("chain_hash"), "invalid chain_hash")
+    shape = shape.when(~F.coalesce(F.col("algo") == "ed25519", F.lit(False)), "unsupported algo").when(~_hex("public_key"), "invalid public_key").when(~_hex("signature", 128), "invalid signature hex")
+    return shape if expected_key is None else shape.when(F.col("public_key") != expected_key.lower(), "unexpected key")
 
 
 def signature_problems(signatures: DataFrame, records: DataFrame) -> DataFrame:
-    """Signatures past their chain's end, or over another hash than the chain has."""
+    """Genuine signatures past their chain's end, over a seq that the chain lacks, or over another hash than its records give."""
     heads = records.groupBy("chain_id").agg(F.max("seq").alias("head"))
-    named = signatures.join(heads, "chain_id", "left").join(records.select("chain_id", "seq", "hash"), ["chain_id", "seq"], "left")
-    problem = F.when(F.col("seq") > F.coalesce("head", F.lit(0)), "truncated_after_signature").when(F.col("chain_hash") != F.col("hash"), "signature_chain_mismatch")
+    given = records.select("chain_id", "seq", record_hash(F.col("prev_hash"), canonical(F.col("event"))).alias("recomputed"))
+    named = signatures.join(heads, "chain_id", "left").join(given, ["chain_id", "seq"], "left")
+    problem = F.when(F.col("seq") > F.coalesce("head", F.lit(0)), "truncated_after_signature").when(F.col("recomputed").isNull() | (F.col("chain_hash") != F.col("recomputed")), "signature_chain_mismatch")
     return named.select("chain_id", "seq", problem.alias("problem")).where("problem is not null")
 
 
+def signature_verdicts(signatures: DataFrame, records: DataFrame, head_prefix: str, expected_key: str | None = None, allow_unsigned: bool = False) -> DataFrame:
+    """(chain_id, seq, problem, warning) of signatures and of what they leave unsigned.
+
+    signatures: chain_id, seq, chain_hash, algo, public_key, signature (over ``head_prefix``, seq and chain_hash, by lines).
+    records: well-formed ones, chain_id, seq, prev_hash, hash, event. A chain's tail is what follows its newest valid signature;
+    it is not looked at where a genuine signature shows a cut or rewritten chain.
+    """
+    shaped = signatures.withColumn("fault", signature_shape(expected_key))
+    message = F.concat(F.lit(head_prefix + "\n"), F.col("seq").cast("string"), F.lit("\n"), "chain_hash")
+    tested = shaped.withColumn("genuine", F.when(F.col("fault").isNull(), verified(message, F.col("public_key"), F.col("signature"))).otherwise(False))
+    invalid = tested.where("not genuine").select("chain_id", F.coalesce("seq", F.lit(0)).alias("seq"), F.lit("signature_invalid").alias("problem"))
+    genuine = tested.where("genuine").select("chain_id", "seq", "chain_hash")
+    against = signature_problems(genuine, records)
+    valid = genuine.join(against.select("chain_id", "seq").distinct(), ["chain_id", "seq"], "left_anti").groupBy("chain_id").agg(F.max("seq").alias("newest"))
+    end = F.get_json_object("event", "$.kind") == "session_end"
+    heads = records.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max(F.when(end, F.col("seq"))).alias("last_end"))
+    tail = heads.join(against.select("chain_id").distinct(), "chain_id", "left_anti").join(valid, "chain_id", "left")
+    ended = F.coalesce(F.col("last_end") > F.coalesce("newest", F.lit(0)), F.lit(False))
+    found = F.array_compact(F.array(
+        F.when(F.col("newest").isNull(), "no_valid_signature"),
+        F.when(ended, "unsigned_session_end"),
+        F.when(F.col("newest").isNotNull() & (F.col("newest") < F.col("seq")) & ~ended, "unsigned_tail"),
+    ))
+    left = tail.select("chain_id", "seq", F.explode(found).alias("problem"))
+    mild = F.col("problem").isin(*WARNINGS) | (F.col("problem").isin("no_valid_signature", "unsigned_session_end") & F.lit(allow_unsigned))
+    return invalid.unionByName(against).unionByName(left).withColumn("warning", mild)
+
+
+def verified(message: Column, public_key: Column, signature: Column) -> Column:
+    """Whether hexadecimal ed25519 signatures (RFC 8032) are those of the keys over the messages."""
+
+    @F.arrow_udf("boolean")
+    def check(messages: pa.Array, keys: pa.Array, signatures: pa.Array) -> pa.Array:
+        rows = zip(messages.to_pylist(), keys.to_pylist(), signatures.to_pylist())
+        return pa.array([None not in r and ed25519.verify(r[0].encode(), bytes.fromhex(r[1]), bytes.fromhex(r[2])) for r in rows])
+
+    return check(message, public_key, signature)
+
+
 def window_pick(signatures: DataFrame, size: int = 2000, most: int = 4, base: int = 0) -> DataFrame:
     """The newest signed seq of each fixed window of seqs, at most ``most`` signatures of it."""
     s = signatures.withColumn("window", F.floor((F.col("seq") - base - 1) / size))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +25,115 @@ def index(events: DataFrame, refs: dict[str, tuple[str, str]], names: dict[str,
     return events.select("event_id", "session_id", F.explode(F.array(*hashed, *named)).alias("r")).select("event_id", "session_id", "r.*").where("key is not null")
 
 
+_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
+_HASH = re.compile(r"sha256:[0-9a-f]{64}")
+_LEAVES = "matched_on string, path string, key string"
+
+
+def _segment(key: str) -> str:
+    return "." + key if _IDENTIFIER.fullmatch(key) else "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def leaves(value, path: str = "$"):
+    """(class, path, key) of a JSON value, depth first: plain texts, references, references within a leaf, hashed keys."""
+    stack = [(value, path)]
+    while stack:
+        node, at = stack.pop()
+        if isinstance(node, str):
+            yield "plain", at, node
+        elif isinstance(node, list):
+            stack.extend((x, f"{at}[{i}]") for i, x in reversed(list(enumerate(node))))
+        elif isinstance(node, dict):
+            if node.get("redacted") is True and isinstance(node.get("ref"), str) and isinstance(node.get("len"), (int, float)) and not isinstance(node["len"], bool):
+                yield "ref", at, node["ref"]
+                inner = node.get("secret_refs")
+                yield from (("ref", f"{at}.secret_refs[{i}]", r) for i, r in enumerate(inner if isinstance(inner, list) else []) if isinstance(r, str))
+            else:
+                yield from (("ref", at + _segment(k) + "#key", k) for k in node if _HASH.fullmatch(k))
+                stack.extend((x, at + _segment(k)) for k, x in reversed(node.items()))
+
+
+def _get(value, *path):
+    for p in path:
+        value = value.get(p) if isinstance(value, dict) else None
+    return value
+
+
+def _event_rows(event: dict):
+    """All that a needle can meet in an event, strongest last resort included, in the order of the walk."""
+    yield from leaves(event)
+    kind, tool, method = event.get("kind"), event.get("tool"), event.get("method")
+    if kind in ("tool_call", "rpc") and isinstance(event.get("result_hash"), str):
+        yield "result_hash", "$.result_hash", event["result_hash"]
+    if kind == "policy_decision" and isinstance(event.get("args_hash"), str):
+        yield "args_hash", "$.args_hash", event["args_hash"]
+    prints = _get(event, "identity", "credential_fingerprints")
+    yield from (("credential", f"$.identity.credential_fingerprints[{i}].ref", c["ref"]) for i, c in enumerate(prints if isinstance(prints, list) else []) if isinstance(_get(c, "ref"), str))
+    found = _get(event, "gateway", "boundary", "secret_refs")
+    if kind == "tool_call":
+        yield from (("ref", f"$.gateway.boundary.secret_refs[{i}]", r) for i, r in enumerate(found if isinstance(found, list) else []) if isinstance(r, str))
+    named = {"$.tool": tool if kind in ("tool_call", "policy_decision") else None, "$.method": method if kind in ("rpc", "notification") else None}
+    for path, name in named.items():
+        if isinstance(name, str):
+            yield "name", path, name.lower()
+            if _HASH.fullmatch(name):
+                yield "ref", path, name
+    server = _get(event, "server", "name")
+    if isinstance(server, str):
+        yield "name", "$.server.name", server.lower()
+
+
+def _indexed(batches):
+    for batch in batches:
+        out = []
+        for event_id, session, text in zip(*(batch[c].to_pylist() for c in ("event_id", "session_id", "event"))):
+            try:
+                event = json.loads(text) if text else None
+            except (ValueError, RecursionError):
+                event = None
+            if isinstance(event, dict):
+                out += [(event_id, session, n, *row) for n, row in enumerate(_event_rows(event))]
+        columns = list(zip(*out)) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("event_id").type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["event_id", "session_id", "place", "matched_on", "path", "key"])
+
+
+def event_index(events: DataFrame) -> DataFrame:
+    """(event_id, session_id, place, matched_on, path, key) of JSON events (event_id, session_id, event): every leaf, reference and name once."""
+    kind = f"event_id {events.schema['event_id'].dataType.simpleString()}, session_id string, place int, {_LEAVES}"
+    return events.select("event_id", "session_id", "event").mapInArrow(_indexed, kind)
+
+
+_GRAM = 6
+
+
+def _plain(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts (with a column key) that hold a needle: both meet in grams, a needle's first characters and all of a text's."""
+    n = needles.where("needle <> ''").withColumn("gram_size", F.least(F.length("needle"), F.lit(_GRAM))).withColumn("gram", F.substring("needle", F.lit(1), F.col("gram_size")))
+    sizes = [r.gram_size for r in n.select("gram_size").distinct().collect()]  # at most _GRAM of them
+    every = lambda size: F.when(F.length("key") >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.substring("key", i, F.lit(size)))))
+    if not sizes:
+        return texts.join(n.select("needle").limit(0), F.lit(False))
+    grams = texts.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[every(s) for s in sizes]))))))
+    return grams.join(n.drop("gram_size"), "gram").where(F.contains("key", F.col("needle"))).drop("gram")
+
+
 def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """The strongest match of each needle in each event.
+    """The strongest match of each needle in each event, over an ``index`` or ``event_index``.
 
-    Empty needles match nothing by name or text. ``texts`` (event_id, session_id, path, text) adds a substring search: needles are
-    joined by blocks, so keep that table to the fields that hold plain text.
+    Empty needles match nothing by name or text. ``texts`` (event_id, session_id, path, text) adds plain texts to those of the
+    index; a needle meets them by equal grams, not one by one.
     """
     n = needles.select("needle").distinct()
-    by_ref = n.withColumn("key", ref(F.col("needle"))).join(indexed.where("matched_on <> 'name'"), "key")
-    by_name = n.where("needle <> ''").withColumn("key", F.lower("needle")).join(indexed.where("matched_on = 'name'"), "key")
-    found = by_ref.unionByName(by_name).drop("key")
+    place = F.col("place") if "place" in indexed.columns else F.lit(0).alias("place")
+    rows = indexed.select("event_id", "session_id", place, "matched_on", "path", "key")
+    by_ref = n.withColumn("key", ref(F.col("needle"))).join(rows.where("matched_on not in ('name', 'plain')"), "key")
+    by_name = n.where("needle <> ''").withColumn("key", F.lower("needle")).join(rows.where("matched_on = 'name'"), "key")
+    plain = rows.where("matched_on = 'plain'")
     if texts is not None:
-        plain = texts.join(n.where("needle <> ''"), F.contains("text", F.col("needle"))).select("needle", "event_id", "session_id", F.lit("plain").alias("matched_on"), "path")
-        found = found.unionByName(plain)
+        plain = plain.unionByName(texts.select("event_id", "session_id", F.lit(0).alias("place"), F.lit("plain").alias("matched_on"), "path", F.col("text").alias("key")))
+    found = by_ref.unionByName(by_name).unionByName(_plain(n, plain))
     rank = F.array_position(F.lit(list(PRIORITY)), F.col("matched_on"))
-    best = found.groupBy("needle", "event_id", "session_id").agg(F.min(F.struct(rank.alias("rank"), "path", "matched_on")).alias("m"))
+    best = found.groupBy("needle", "event_id", "session_id").agg(F.min(F.struct(rank.alias("rank"), "place", "path", "matched_on")).alias("m"))
     return best.select("needle", "event_id", "session_id", "m.matched_on", "m.path")
 
 

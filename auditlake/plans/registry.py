@@ -166,7 +166,8 @@ def signature_window_pick(spark, d):
 
 
 @query("signature_problems", f"""{_TAMPERED}, g AS (SELECT chain_id, seq, hash AS chain_hash FROM sealed WHERE event_id % 3 = 0 UNION ALL SELECT chain_id, max(seq) + 1, '' FROM sealed GROUP BY 1), h AS (SELECT chain_id, max(seq) AS head FROM t GROUP BY 1)
-    SELECT chain_id, seq, 'truncated_after_signature' AS problem FROM g JOIN h USING (chain_id) WHERE seq > head""")
+    SELECT chain_id, seq, problem FROM (SELECT g.chain_id, g.seq, CASE WHEN g.seq > head THEN 'truncated_after_signature' WHEN t.seq IS NULL OR sha256(t.prev_hash || chr(10) || t.event) <> chain_hash THEN 'signature_chain_mismatch' END AS problem
+    FROM g JOIN h USING (chain_id) LEFT JOIN t ON t.chain_id = g.chain_id AND t.seq = g.seq) WHERE problem IS NOT NULL""")
 def signature_problems(spark, d):
     sealed = integrity.seal(chain_events(spark, d))
     signed = sealed.where(F.get_json_object("event", "$.event_id").cast("long") % 3 == 0).select("chain_id", "seq", F.col("hash").alias("chain_hash"))
@@ -444,20 +445,92 @@ def lag_by_chain(spark, d):
 
 @query("delivery_batches", f"{_GAPPED}, c AS (SELECT *, seq - row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS run FROM g), b AS (SELECT *, floor((row_number() OVER (PARTITION BY chain_id, run ORDER BY seq) - 1) / 16) AS part FROM c) SELECT chain_id, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS records FROM b GROUP BY chain_id, run, part")
 def delivery_batches(spark, d):
-    return replica.delivery_batches(chain_events(spark, d).where("event_id % 311 <> 5"), 16)
+    return replica.delivery_batches(chain_events(spark, d).where("event_id % 311 <> 5").withColumn("size", F.lit(40)), 16).drop("bytes")
 
 
-@query("admission", f"WITH {AUDIT}, r AS (SELECT session_id, sum(k) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) <= 120 AS a FROM e) SELECT session_id, count(*) FILTER (a) AS kept, count(*) FILTER (NOT a) AS dropped_at_least FROM r GROUP BY 1")
+@query("admission", f"""WITH RECURSIVE {AUDIT}, n AS (SELECT session_id, k, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM e),
+    r AS (SELECT session_id, n, CASE WHEN k <= 120 THEN k ELSE 0 END AS held, k <= 120 AS a FROM n WHERE n = 1 UNION ALL SELECT n.session_id, n.n, r.held + CASE WHEN r.held + k <= 120 THEN k ELSE 0 END, r.held + k <= 120 FROM r JOIN n ON n.session_id = r.session_id AND n.n = r.n + 1)
+    SELECT session_id, count(*) FILTER (a) AS kept, count(*) FILTER (NOT a) AS dropped_at_least FROM r GROUP BY 1""")
 def admission(spark, d):
     return replica.admitted(audit_events(spark, d), "session_id", "seq", "k", 120)
 
 
+_EVENTS = """j AS (SELECT event_id, session_id, kind, tool, server, k, user_id, 'sha256:' || sha256(k::VARCHAR) AS k_ref, '{"kind":"' || kind || '","tool":"' || tool || '","server":{"name":"' || server || '"},"identity":{"credential_fingerprints":[{"name":"T","ref":"sha256:' || sha256('who' || (user_id % 3)) || '"}]},"arguments":{"k":{"redacted":true,"ref":"sha256:' || sha256(k::VARCHAR) || '","len":2}},"note":"user u' || user_id || ' asks"}' AS event FROM e)"""
+
+
+def _json_events(spark, d) -> DataFrame:
+    lit, text = F.lit, lambda c: F.col(c).cast("string")
+    parts = [lit('{"kind":"'), "kind", lit('","tool":"'), "tool", lit('","server":{"name":"'), "server", lit('"},"identity":{"credential_fingerprints":[{"name":"T","ref":"'), C.ref(F.concat(lit("who"), F.pmod("user_id", lit(3)).cast("string"))), lit('"}]},"arguments":{"k":{"redacted":true,"ref":"'), C.ref(text("k")), lit('","len":2}},"note":"user u'), text("user_id"), lit(' asks"}')]
+    return audit_events(spark, d).select("event_id", "session_id", "k", "user_id", F.concat(*parts).alias("event"))
+
+
+@query("event_blast_radius", f"""WITH {AUDIT}, {_EVENTS}, n AS (SELECT DISTINCT needle FROM (SELECT k::VARCHAR AS needle FROM e WHERE k < 20 UNION ALL SELECT 'ser u' || user_id || ' ' FROM e WHERE user_id % 10 = 3 UNION ALL SELECT 'SERVER_1' UNION ALL SELECT 'who2' UNION ALL SELECT '' UNION ALL SELECT 'u')),
+    f AS (SELECT needle, event_id, session_id, 1 AS rank, '$.arguments.k' AS path, 'ref' AS matched_on FROM n JOIN j ON k_ref = 'sha256:' || sha256(needle)
+    UNION ALL SELECT needle, event_id, session_id, 4, '$.identity.credential_fingerprints[0].ref', 'credential' FROM n JOIN j ON needle = 'who' || (user_id % 3)
+    UNION ALL SELECT needle, event_id, session_id, 5, CASE WHEN kind IN ('tool_call', 'policy_decision') AND lower(needle) = tool THEN '$.tool' ELSE '$.server.name' END, 'name' FROM n JOIN j ON needle <> '' AND ((kind IN ('tool_call', 'policy_decision') AND lower(needle) = tool) OR lower(needle) = server)
+    UNION ALL SELECT needle, event_id, session_id, 6, p, 'plain' FROM (SELECT needle, event_id, session_id, CASE WHEN contains(kind, needle) THEN '$.kind' WHEN contains(tool, needle) THEN '$.tool' WHEN contains(server, needle) THEN '$.server.name' WHEN contains('T', needle) THEN '$.identity.credential_fingerprints[0].name' WHEN contains('sha256:' || sha256('who' || (user_id % 3)), needle) THEN '$.identity.credential_fingerprints[0].ref' WHEN contains('user u' || user_id || ' asks', needle) THEN '$.note' END AS p FROM n, j WHERE needle <> '') WHERE p IS NOT NULL)
+    SELECT needle, event_id, session_id, min_by(matched_on, rank) AS matched_on, min_by(path, rank) AS path FROM f GROUP BY 1, 2, 3""")
+def event_blast_radius(spark, d):
+    """All classes of matches in JSON events: references, credentials, names and plain texts."""
+    e = _json_events(spark, d)
+    needles = [e.where("k < 20").select(F.col("k").cast("string").alias("needle")), e.where("user_id % 10 = 3").select(F.concat(F.lit("ser u"), F.col("user_id").cast("string"), F.lit(" "))), spark.createDataFrame([("SERVER_1",), ("who2",), ("",), ("u",)], "needle string")]
+    return search.touched(needles[0].union(needles[1]).union(needles[2]), search.event_index(e))
+
+
+@query("hold_outcomes", """SELECT o_orderkey AS approval_id, CASE WHEN d < o_orderdate + INTERVAL 60 DAY THEN CASE WHEN o_orderstatus = 'O' THEN 'denied' ELSE 'approved' END WHEN o_orderdate + INTERVAL 60 DAY <= DATE '1997-01-01' THEN 'timeout' ELSE 'pending' END AS outcome
+    FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def hold_outcomes(spark, d):
+    """Orders as holds that their line items decide by shipping."""
+    holds = table(spark, d, "orders").select(F.col("o_orderkey").alias("approval_id"), "o_orderstatus", F.expr("cast(o_orderdate as timestamp) + interval 60 days").alias("timeout_at"))
+    decided = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("approval_id"), F.col("l_shipdate").cast("timestamp").alias("decided_at"))
+    decided = decided.join(holds.select("approval_id", F.when(F.col("o_orderstatus") == "O", "denied").otherwise("approved").alias("decision")), "approval_id")
+    return replica.hold_outcomes(holds.select("approval_id", "timeout_at"), decided, F.lit("1997-01-01").cast("timestamp"))
+
+
+@query("enrolment", """WITH k AS (SELECT o_orderpriority AS tenant, 'key' || (o_custkey % 7) AS key, 'chain' || (o_orderkey % 3) AS chain_id, min(o_orderkey) AS first_seen FROM orders GROUP BY 1, 2, 3),
+    n AS (SELECT tenant, key, row_number() OVER (PARTITION BY tenant ORDER BY min(first_seen), key) AS n FROM k GROUP BY 1, 2)
+    SELECT tenant, key, chain_id, first_seen, row_number() OVER (PARTITION BY tenant, key ORDER BY first_seen, chain_id) > 1 AS sibling, n = 1 OR key = 'key5' AS trusted FROM k JOIN n USING (tenant, key)""")
+def enrolment(spark, d):
+    keys = table(spark, d, "orders").select(F.col("o_orderpriority").alias("tenant"), F.concat(F.lit("key"), F.pmod("o_custkey", F.lit(7)).cast("string")).alias("key"), F.concat(F.lit("chain"), F.pmod("o_orderkey", F.lit(3)).cast("string")).alias("chain_id"), F.col("o_orderkey").alias("first_seen"))
+    return replica.enrolment(keys, keys.where("key = 'key5'").select("tenant", "key").distinct())
+
+
+@query("delivery_status", """SELECT 'c' || (o_custkey % 50) AS chain_id, max_by(o_orderkey, o_orderkey) AS local_head, max_by(o_orderkey - o_custkey % 9, o_orderkey) AS next_seq, max_by(o_orderstatus, o_orderkey) AS state, max_by(o_clerk, o_orderkey) AS last_error, greatest(0, max_by(o_custkey % 9, o_orderkey) + 1) AS lag FROM (SELECT *, o_orderpriority AS o_clerk FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders)) GROUP BY 1""")
+def delivery_status(spark, d):
+    o = table(spark, d, "orders")
+    behind = F.pmod("o_custkey", F.lit(9))
+    return replica.delivery_status(o.select(F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(50)).cast("string")).alias("chain_id"), F.col("o_orderkey").alias("local_head"), (F.col("o_orderkey") - behind).alias("next_seq"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("last_error"), F.col("o_orderkey").alias("updated_at")))
+
+
+@query("reconciliation", """WITH x AS (SELECT l_orderkey::VARCHAR AS action_id, l_linenumber::VARCHAR AS attempt_id, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)
+    SELECT 'missing_outcome' AS list, action_id || ':d:' || attempt_id AS event_id, action_id, attempt_id FROM x WHERE p % 4 <> 0 AND s % 3 = 0 UNION ALL SELECT 'unknown_outcome', action_id || ':o:' || attempt_id, action_id, attempt_id FROM x WHERE s % 3 <> 0 AND p % 5 = 1
+    UNION ALL SELECT 'missing_companion', action_id || ':o:' || attempt_id, action_id, attempt_id FROM x WHERE s % 3 = 1 AND p % 7 = 2 UNION ALL SELECT 'legacy', action_id || ':p:' || attempt_id, NULL, NULL FROM x WHERE p % 11 = 3""")
+def reconciliation(spark, d):
+    """Line items as attempts: a decision each, outcomes for two of three, some without their record."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("action_id"), F.col("l_linenumber").cast("string").alias("attempt_id")).agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
+    id_ = lambda mark: F.concat("action_id", F.lit(f":{mark}:"), "attempt_id").alias("event_id")
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    ids = ("action_id", "attempt_id")
+    base = lambda kind, phase, seq: (F.lit(kind).alias("kind"), F.lit(phase).cast("string").alias("phase"), F.lit(seq).alias("seq"), null("gateway_decision"))
+    decisions = x.select(id_("d"), *base("action_lifecycle", "decision", 1), F.when(F.col("p") % 4 == 0, "deny").otherwise("allow").alias("decision"), null("outcome"), *ids, null("record_event_id"))
+    record = F.when(F.col("s") % 3 == 1, F.when(F.col("p") % 7 == 2, F.lit("lost")).otherwise(F.concat("action_id", F.lit(":p:"), "attempt_id")))
+    outcomes = x.where("s % 3 <> 0").select(id_("o"), *base("action_lifecycle", "outcome", 2), null("decision"), F.when(F.col("p") % 5 == 1, "unknown").otherwise("success").alias("outcome"), *ids, record.alias("record_event_id"))
+    legacy = F.when(F.col("p") % 11 != 3, F.col("action_id"))
+    records = x.select(id_("p"), *base("policy_decision", None, 0), null("decision"), null("outcome"), legacy.alias("action_id"), F.when(legacy.isNotNull(), F.col("attempt_id")).alias("attempt_id"), null("record_event_id"))
+    return correlate.reconciliation(decisions.unionByName(outcomes).unionByName(records))
+
+
+@query("tree_scrub")
+def tree_scrub(spark, d):
+    """JSON events with everything but known vocabulary replaced by references."""
+    e = _json_events(spark, d)
+    return e.select("event_id", redaction.scrub(F.col("event")).alias("event"), redaction.scrub(F.col("event"), lockdown=True).alias("locked"), redaction.request_hash(F.col("event")).alias("request_hash"), redaction.looks_secret(F.col("event")).alias("looks_secret"))
+
+
 def _shared(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

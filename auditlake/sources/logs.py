@@ -11,9 +11,9 @@ STATUSES = ("pending", "approved", "denied", "timeout", "cancelled")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of every line; a file's lines are numbered in file order, one file a task."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
+    """(file, line, value) of every line; ``line`` orders the lines of a file: its block and the place in it. Large files are read by blocks."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return rows.select("file", F.struct("block", "at").alias("line"), "value").where(F.trim("value") != "")
 
 
 def chain_log(spark: SparkSession, path: str) -> DataFrame:
@@ -59,3 +59,25 @@ def tool_catalog(spark: SparkSession, path: str) -> DataFrame:
 def policy_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, policy_hash): SHA-256 of each file's bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("policy_hash"))
+
+
+def records_between(records: DataFrame, first: int | None = None, last: int | None = None, session_id: str | None = None, chain_id: str | None = None) -> DataFrame:
+    """Records of a range of seqs, a session or a chain, in order."""
+    for column, test in (("seq", None if first is None else F.col("seq") >= first), ("seq", None if last is None else F.col("seq") <= last), ("session_id", None if session_id is None else F.col("session_id") == session_id), ("chain_id", None if chain_id is None else F.col("chain_id") == chain_id)):
+        records = records if test is None else records.where(test)
+    return records.orderBy("chain_id", "seq")
+
+
+def counts_by_run(records: DataFrame) -> DataFrame:
+    return records.groupBy("run_id").agg(F.count("*").alias("records"))
+
+
+def bundles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records, manifests) of bundle folders under ``folder``: events.jsonl and manifest.json, each row with its bundle_id, the folder's name."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    shape = "event_count BIGINT, from_seq BIGINT, to_seq BIGINT, head_hash STRING, signature_seq BIGINT, signature_hash STRING, public_key STRING, public_key_pem STRING"
+    manifests = spark.read.schema(shape).option("multiLine", True).json(f"{folder}/*/manifest.json").select("*", name.alias("bundle_id"))
+    raw = spark.read.text(f"{folder}/*/events.jsonl").select("value", name.alias("bundle_id")).where(F.trim("value") != "")
+    v = raw.withColumn("v", F.try_parse_json("value"))
+    get = lambda p, t: F.try_variant_get("v", p, t)
+    return v.select("bundle_id", get("$.seq", "bigint").alias("seq"), get("$.prev_hash", "string").alias("prev_hash"), get("$.hash", "string").alias("hash"), F.to_json(get("$.event", "variant")).alias("event")), manifests

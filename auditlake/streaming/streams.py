@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -15,12 +16,7 @@ from ..operators import integrity, replica
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream over the Parquet file or folder at path."""
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{{{name}}}*")
 
 
 def dedupe(events: DataFrame, key: str = "event_id", time: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -34,16 +30,14 @@ def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     q.awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _other_batches(spark: SparkSession, path: str, number: int, schema: StructType) -> DataFrame:
     """What other batches than this one have committed."""
-    if not _exists(spark, path):
+    try:
+        stored = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    stored = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
     return stored.where(F.col("batch") != number).drop("batch")
 
 
