@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import connected_components
-from .storage import materialize
+from .storage import materialize, small_batches
 
 
 def _sets(texts: pa.ChunkedArray | pa.Array, width: int):
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, coordina
     misses about one pair in a million. Rows that share a doc_id are one document with the greatest text; rows with a null
     doc_id stand alone with a null component. Returns doc_id, n_shingles, component_id, kept.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.where(F.col("doc_id").isNotNull())
     signed = materialize(docs.mapInArrow(_signatures(width, coordinates), "doc_id long, n long, d1 long, d2 long, signature array<int>"), "signatures")

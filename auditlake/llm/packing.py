@@ -14,13 +14,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .storage import small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _tokenizers: dict[str, object] = {}
 
 #: Kinds of bytes: white space, ASCII letters, digits, other ASCII but apostrophes, apostrophes, bytes of other characters.
@@ -77,20 +79,20 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, parts: list[bytes]) -> None:
+    def _learn(self, parts: pa.Array) -> None:
         """Encode new parts, each once."""
         ids, ends, at = [self.ids], [self.bounds], int(self.bounds[-1])
         for i in range(0, len(parts), 10_000):
-            some = [w.decode() for w in parts[i : i + 10_000]]
+            some = parts[i : i + 10_000].cast(pa.string()).to_pylist()
             code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)  # a space keeps two parts apart
             ids.append(np.array(code.ids, np.uint32))
             starts = np.fromiter((a for a, _ in code.offsets), np.int64, len(code.offsets))
             ends.append(np.searchsorted(starts, np.cumsum([len(w) + 1 for w in some])) + at)
             at += len(starts)
-        self.place.update(zip(parts, range(len(self.place), len(self.place) + len(parts))))
+        self.known = pa.concat_arrays([self.known, parts])
         self.ids, self.bounds = np.concatenate(ids), np.concatenate(ends)
 
     def _codes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -102,16 +104,19 @@ class Encoder:
         codes = spelled.indices.to_numpy()[::2]
         held = np.zeros(len(spelled.dictionary), bool)
         held[codes] = True
-        parts = spelled.dictionary.filter(pa.array(held)).to_pylist()
-        new = [w for w in parts if w not in self.place]
-        if new and len(self.place) + len(new) > self.most:
+        parts = spelled.dictionary.filter(pa.array(held))
+        place = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(place.is_null())
+        if len(new) and len(self.known) + len(new) > self.most:
             self._forget()
-            new = parts
-        if new:
+            place, new = pa.nulls(len(parts), pa.int32()), parts
+        at = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
             self._learn(new)
-        place = np.zeros(len(held), np.int64)
-        place[held] = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-        return place[codes]
+        out = np.zeros(len(held), np.int64)
+        out[held] = at
+        return out[codes]
 
     def encode(self, column: pa.Array, end_id: int | None = None):
         """For runs of rows: (first row, end row, ids of all their texts, bounds of each text); ``end_id`` follows each text."""
@@ -220,6 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     no rows. ``tokenizer`` is the path of a file every executor has. ``with_ids`` adds the piece's ids (binary,
     little-endian unsigned 32 bit). Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = PIECES + ", ids binary" * with_ids
     pieces = docs.mapInArrow(_pieces(tokenizer, end_id, capacity, with_ids), kind)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .storage import materialize
+from .storage import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, in forms that read a run of characters once: an address is found from its @ outwards, quantifiers give nothing back.
@@ -168,7 +168,7 @@ def _found(passed):
     return run
 
 
-def _counted(buckets: int, most: int = 1 << 20):
+def _counted(buckets: int, most: int = 1 << 19):
     """Occurrences of every term of a task's texts and the texts that hold it, by bucket: hashes and counts."""
 
     def rows(terms: np.ndarray, *counts: np.ndarray):
@@ -234,6 +234,7 @@ def find(docs: DataFrame, reach: int = 6, disclosure: float = 0.95, support: int
     no rows. Returns one row for each row of docs: doc_id, text_key (a hash of the text, which tells rows of one doc_id apart) and spans: array of (kind, start, end) in code points, end exclusive, kinds in the
     order of ``KINDS`` and then ``term``, each by start.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = materialize(docs.select("text").mapInArrow(_seen(reach), SEEN).withColumn("row", F.monotonically_increasing_id()), "seen")
     number_of = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("docs")).first()

@@ -29,3 +29,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Send whole texts to Python in batches of at most so many rows and about so many bytes: they are longer than the usual rows."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        known = spark.conf.get(key, None)
+        if known is None or not known.isdigit() or int(known) <= 0 or int(known) > most:
+            spark.conf.set(key, str(most))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .storage import small_batches
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
 _LAST = np.iinfo(np.int64).max
@@ -224,6 +225,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, group_bytes: int | None =
     """
     if window < 4 or window % 2:
         raise ValueError("window must be even and at least 4")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sized = lambda given, low: given or min(4 * low, max(low, total // 1024))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SECOND = bytes((7 * b + 3) % 256 for b in range(256))
 WINDOW, STEP = 128, 64  # letters
@@ -177,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 2000, ordinary: int = 4
     toxic and ordinary doc_ids, the first in order of a hash, three of four for the dictionaries (up to ``windows`` windows
     of each of their texts come to the driver), the rest for the calibration (whole texts, measured where they are).
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").cast("int").alias("other")).where("label = other")
     place = F.xxhash64("doc_id", F.lit(5))
     picked = [known.where(F.col("label") == label).orderBy(place, "doc_id").limit(most) for label, most in ((1, toxic), (0, ordinary))]
@@ -210,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Rows stay as they are, whatever their doc_id; null and empty texts get the score of a text without letters; an empty
     table stays empty. A model without both kinds of texts scores 0.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("score")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(_scored(model), f"{kind}, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path
+from .storage import new_path, small_batches
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"
 RECORD = "record_id string, type string, uri string, digest string, length long, refers_to string, segment int, origin string, total long, block binary"
@@ -158,6 +158,7 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes:
     response. Null payloads are empty; other columns are ignored; an empty table writes no record. Record ids are
     <urn:page:PAGE_ID:...>, each of its own, with ``null`` for a page without one.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("payload").cast("string"), F.lit("")).alias("payload")).withColumn("hash", F.sha1("payload"))
     # by payload: the greatest (has page_id, page_id, has url, url); only its key goes back to the rows
     kinds = rows.select("page_id", "url", "hash").distinct()
