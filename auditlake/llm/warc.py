@@ -121,7 +121,7 @@ def unframe(block: bytes) -> bytes | None:
 
 
 def _written(segment_bytes: int, chunk_bytes: int, min_bytes: int):
-    """One archive a task, of rows in order of page_id, url and digest.
+    """One archive a task, of rows in order of what stands for their page_id, url and digest.
 
     Of rows that are alike in all three, only the first can be the response.
     """
@@ -136,8 +136,7 @@ def _written(segment_bytes: int, chunk_bytes: int, min_bytes: int):
                 before = record
                 refers = None if len(payload) < min_bytes or (nth == 1 and record == response) else f"{response}:1"
                 for r in records_of(f"{record}:{nth}", url, payload, base64.b32encode(bytes.fromhex(h)).decode(), refers, segment_bytes, chunk_bytes):
-                    press = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out.append(press.compress(r) + press.flush())
+                    out.append(zlib.compress(r, 4, 31))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.large_binary())], ["value"])
 
@@ -164,13 +163,11 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes:
     kinds = rows.select("page_id", "url", "hash").distinct()
     rank = F.struct(F.col("page_id").isNotNull().alias("a"), F.col("page_id").alias("page_id"), F.col("url").isNotNull().alias("b"), F.col("url").alias("url"))
     responses = kinds.groupBy("hash").agg(F.max(rank).alias("r"))
-    plan = kinds.join(responses, "hash").select(F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("hash").alias("h"), F.col("r.page_id").alias("response_id"), F.col("r.url").alias("response_url"))
-    plan = plan.withColumn("record", _name(F.col("p"), F.col("u"), F.col("h"))).withColumn("response", _name(F.col("response_id"), F.col("response_url"), F.col("h"))).drop("response_id", "response_url")
+    plan = kinds.join(responses, "hash").select(_name(F.col("page_id"), F.col("url"), F.col("hash")).alias("record"), _name(F.col("r.page_id"), F.col("r.url"), F.col("hash")).alias("response"))
     total = pages.agg(F.sum(F.octet_length("payload")), F.count("*")).first()
     tasks = int((total[0] or 0) + 400 * total[1]) // file_bytes + 1
-    same = F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")) & (F.col("hash") == F.col("h"))
-    planned = rows.join(plan, same).drop("p", "u", "h")
-    dealt = planned.repartition(tasks, "page_id", "url", "hash").sortWithinPartitions("page_id", "url", "hash")
+    named = rows.withColumn("record", _name(F.col("page_id"), F.col("url"), F.col("hash")))
+    dealt = named.repartition(tasks, "record").join(plan, "record").select("url", "hash", "record", "response", "payload").sortWithinPartitions("record")
     archives = dealt.mapInArrow(_written(segment_bytes, chunk_bytes, min_bytes), "value binary")
     # one archive a row and file; the bytes stay as they are, and the line end is a zero byte, which gzip allows at the end
     archives.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
