@@ -1,11 +1,11 @@
-"""The ten registered queries, and SQL for those that it can express."""
+"""The registered queries, and SQL for those that it can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk, toxicity, warc
+from . import filter_audit, fingerprint, hard_negatives, mixing, near_dedup, packing, pii, secrets, simhash, substring_dedup, topk, toxicity, warc
 
 #: Rows without a doc_id have no label and aren't held out.
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 3) = 1, false)"
@@ -83,6 +83,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(whole, whole.where("vec_id % 20 = 0"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components whose floor leaves 64 bits are held at the ends of that range, as floor() does."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('inf'))")
+    label = F.expr("case when vec_id % 7 = 0 then (cast(label as long) + 1) % 10 else label end")
+    whole = rows.select("vec_id", label.alias("label"), F.expr("transform(embedding, x -> floor(256 * cast(x as double)))").alias("v"))
+    return hard_negatives.mine(whole, F.expr("vec_id % 50 = 0"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1,
     "op2_source_mixing": op2,
@@ -94,6 +110,9 @@ QUERIES = {
     "op8_personal_data": op8,
     "op9_best_fit_packing": op9,
     "op10_top_k": op10,
+    "op11_hard_negatives": op11,
+    "op12_simhash_near_dedup": op12,
+    "op13_filter_audit": op13,
 }
 
 _WORDS = r"list_filter(regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -145,4 +164,22 @@ ORACLE_SQL = {
     s AS (SELECT q.n AS query_row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS k FROM s)
     SELECT query_id, k::INT AS rank, vec_id, score FROM r WHERE k <= 20""",
+    "op11_hard_negatives": """
+    WITH v AS (SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.n AS a, a.vec_id AS anchor_id, c.n AS c, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON c.n <> a.n AND len(c.v) = len(a.v) WHERE a.vec_id % 50 = 0),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same) WHERE k <= 5),
+    r AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS k, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor_id, positive_id, k::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE k <= 3""",
+    "op13_filter_audit": f"""
+    WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+    t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text='text')} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+    d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM t LEFT JOIN l USING (doc_id)),
+    m AS (SELECT part, list_sum(list_transform(range(5), lambda i: CASE WHEN fails[i + 1] THEN 1 << i ELSE 0 END))::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY 1, 2),
+    letters AS (SELECT i::INT AS i, chr(65 + i::INT) AS c FROM range(5) AS r(i)),
+    orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.c || b.c || c.c || d.c || e.c AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    steps AS (SELECT filter_order, k AS step, 1 << o[k] AS bit, coalesce(list_sum(list_transform(o[1:k-1], lambda i: 1 << i)), 0)::INT AS before FROM orders, range(1, 6) AS r(k))
+    SELECT part, filter_order, step::INT AS step, sum(CASE WHEN mask & (bit | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost, sum(CASE WHEN mask & bit > 0 THEN n * (120 // bit_count(mask)) ELSE 0 END)::BIGINT AS shapley
+    FROM m, steps GROUP BY ALL""",
 }
