@@ -1,8 +1,8 @@
 """What five text filters remove alone and together, from a sparse document-term matrix.
 
-Runs of documents of about ``SHARD_BYTES`` become shards: a CSR block (row bounds, columns, counts) over the shard's own words.
-Each shard sends its distinct words once to the global dictionary, which numbers them, and gets their numbers back as the
-block's columns. Row sums are the words of a document and entries of a row its distinct words, which decide filters A and B.
+Runs of documents of about ``SHARD_BYTES`` become shards: a CSR block (row bounds, columns, counts) over the shard's own words,
+which stand in the order of their hashes. Each shard sends its distinct words once to the global dictionary, as one text for
+each range of hashes; a range numbers its words, again in that order, and sends the numbers back as the block's columns. Row sums are the words of a document and entries of a row its distinct words, which decide filters A and B.
 Rows then meet their labels and are counted by part and by the set of filters that they fail: 32 sets at most in a part, from
 which all orders of the filters follow.
 """
@@ -27,7 +27,9 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER = 200, 50, 3  # words; percent of words;
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#$%&*|")] = True
 _ROW = "struct<doc_id:bigint,part:string,upper:bigint,points:bigint,marked:boolean,digest:binary>"
-_SHARD = f"shard long, words array<string>, docs array<{_ROW}>, bounds binary, columns binary, counts binary"
+_SHARD = f"shard long, n_words long, words binary, docs array<{_ROW}>, bounds binary, columns binary, counts binary"
+_WORDS_OF_RANGE = 1 << 19  # words that shards send to a range, about
+_NUMBERED = "range long, shard long, numbers binary, words array<string>, shards array<bigint>"
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,17 +37,46 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Words that stand apart in the bytes by separators, as an array."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[~T.SEPARATORS[data]])])
+
+
+def _by_hash(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words in the order of their hashes, the hashes, and where each of the given words has gone."""
+    data, at = T.utf8(words)
+    hashes = T.word_hashes(data, at[:-1], at[1:])
+    order = np.argsort(hashes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return words.take(pa.array(order)), hashes[order], place
+
+
+def _joined(words: pa.Array) -> bytes:
+    return "\n".join(words.to_pylist()).encode()
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes as they need; the first byte says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.int32, np.int64) if counts.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def counts_of(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, {1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[held[0]], offset=1)
+
+
 def _block(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of some texts, and their matrix over those words: row bounds, columns, counts."""
     starts, ends, first = T.split(data, offsets)
-    at = np.concatenate([[0], np.cumsum(ends - starts)])
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[~T.SEPARATORS[data]])])
-    coded = words.dictionary_encode()
-    column = coded.indices.to_numpy().astype(np.int64)
-    cell = np.sort(T.rows_of(first) * max(1, len(coded.dictionary)) + column)
+    coded = _strings(data, starts, ends).dictionary_encode()
+    words, _, place = _by_hash(coded.dictionary)
+    n = max(1, len(words))
+    cell = np.sort(T.rows_of(first) * n + place[coded.indices.to_numpy()])
     new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    row, column = np.divmod(cell[new], max(1, len(coded.dictionary)))
-    return coded.dictionary, np.searchsorted(row, np.arange(len(offsets))), column, np.diff(np.append(new, len(cell)))
+    row, column = np.divmod(cell[new], n)
+    return words, np.searchsorted(row, np.arange(len(offsets))), column, np.diff(np.append(new, len(cell)))
 
 
 def _shards(batches):
@@ -60,37 +91,72 @@ def _shards(batches):
             upper, points = _sums((d >= 0x41) & (d <= 0x5A), o), _sums((d & 0xC0) != 0x80, o)
             marked = _sums(_MARKS[d], o) > 0
             docs = [{"doc_id": a, "part": p, "upper": u, "points": n, "marked": m, "digest": hashlib.sha256(d[o[k] : o[k + 1]]).digest()} for k, (a, p, u, n, m) in enumerate(zip(ids[i:j], parts[i:j], upper.tolist(), points.tolist(), marked.tolist()))]
-            values = [task + shard, words.cast(pa.string()).to_pylist(), docs, bounds.astype(np.int64).tobytes(), columns.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()]
-            kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("upper", pa.int64()), ("points", pa.int64()), ("marked", pa.bool_()), ("digest", pa.binary())])), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["shard", "words", "docs", "bounds", "columns", "counts"])
+            values = [task + shard, len(words), _joined(words), docs, bounds.astype(np.int64).tobytes(), columns.astype(np.int32).tobytes(), _narrow(counts)]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("upper", pa.int64()), ("points", pa.int64()), ("marked", pa.bool_()), ("digest", pa.binary())])), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["shard", "n_words", "words", "docs", "bounds", "columns", "counts"])
             shard += 1
 
 
+def _words(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(held, np.uint8)
+    return data, *T.split(data, np.array([0, len(data)]))[:2]
+
+
+def _ranges(bits: int):
+    """Each shard's words by the range that their hashes are in."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, held in zip(batch["shard"].to_pylist(), batch["words"].to_pylist()):
+                data, starts, ends = _words(held)
+                part = (T.word_hashes(data, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero(np.diff(part, prepend=-1))
+                rows = [held[starts[a] : ends[b - 1]] for a, b in zip(at, [*at[1:], len(part)])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([shard] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["range", "shard", "words"])
+
+    return run
+
+
+def _numbered(key, table):
+    """A range's words with the shards that have each, and for each shard the numbers of its own."""
+    texts = table["words"].to_pylist()
+    data, starts, ends = _words(b"\n".join(texts))
+    coded = _strings(data, starts, ends).dictionary_encode()
+    words, _, place = _by_hash(coded.dictionary)
+    number = place[coded.indices.to_numpy()].astype(np.int32)
+    cuts = np.cumsum([t.count(b"\n") + 1 for t in texts])[:-1]
+    numbers = [n.tobytes() for n in np.split(number, cuts)]
+    n = len(texts)
+    values = ([key[0].as_py()] * (n + 1), [*table["shard"].to_pylist(), None], [*numbers, None], [*[None] * n, words.to_pylist()], [*[None] * n, np.bincount(number, minlength=len(words)).tolist()])
+    return pa.table([pa.array(v, k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["range", "shard", "numbers", "words", "shards"])
+
+
 def _renumbered(batches):
     """Each block over the global numbers of its words, columns ascending within a row."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            bounds, columns, counts = (np.frombuffer(row[c], k) for c, k in (("bounds", np.int64), ("columns", np.int32), ("counts", np.int32)))
-            column = np.array(row["numbers"] or [], np.int64)[columns]
-            order = np.lexsort((column, T.rows_of(bounds)))
-            out.append((row["docs"], column[order].tobytes(), counts[order].tobytes()))
-        docs, columns, counts = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch["shard"], pa.array(docs, batch["docs"].type), batch["bounds"], pa.array(columns, pa.binary()), pa.array(counts, pa.binary())], ["shard", "docs", "bounds", "columns", "counts"])
+            numbers = [np.frombuffer(x["numbers"], np.int32).astype(np.int64) + (x["range"] << 32) for x in row["held"] or []]
+            column = np.concatenate([np.zeros(0, np.int64), *numbers])[np.frombuffer(row["columns"], np.int32)]
+            out.append(column.tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("shard", "docs", "bounds")), pa.array(out, pa.binary()), batch["counts"]], ["shard", "docs", "bounds", "columns", "counts"])
 
 
 def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dictionary (word, number) of all words, and the matrix as CSR shards (shard, docs, bounds, columns, counts)."""
+    """The dictionary (word, number, shards that have it) of all words, and the matrix as CSR shards (shard, docs, bounds, columns, counts)."""
     small_batches(docs.sparkSession, rows=4096, size=SHARD_BYTES)
     text, part = F.coalesce("text", F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
     shards = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("text")).mapInArrow(_shards, _SHARD), "shards")
-    entries = shards.select("shard", F.posexplode("words").alias("place", "word"))
-    dictionary = materialize(entries.groupBy("word").agg(F.count("*").alias("shards")).select("word", F.monotonically_increasing_id().alias("number")), "dictionary")
-    numbers = entries.join(dictionary, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "number"))).alias("n")).select("shard", F.col("n.number").alias("numbers"))
-    held = shards.drop("words").join(numbers, "shard", "left")
+    words = shards.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(6, (words // _WORDS_OF_RANGE).bit_length())
+    sent = shards.where("n_words > 0").select("shard", "words").mapInArrow(_ranges(bits), "range long, shard long, words binary")
+    numbered = materialize(sent.groupBy("range").applyInArrow(_numbered, _NUMBERED), "numbered")
+    own = numbered.where("words is not null").select("range", F.posexplode(F.arrays_zip("words", "shards")).alias("place", "w"))
+    dictionary = own.select("w.words", "w.shards", (F.shiftleft("range", 32) + F.col("place")).alias("number")).withColumnRenamed("words", "word")
+    back = numbered.where("shard is not null").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "numbers"))).alias("held"))
     kinds = {f.name: f.dataType.simpleString() for f in shards.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("shard", "docs", "bounds", "columns", "counts"))
-    return dictionary, held.mapInArrow(_renumbered, schema)
+    return dictionary, shards.drop("words", "n_words").join(back, "shard", "left").mapInArrow(_renumbered, schema)
 
 
 def _row_sums(batches):
@@ -98,7 +164,7 @@ def _row_sums(batches):
     for batch in batches:
         for row in batch.to_pylist():
             bounds = np.frombuffer(row["bounds"], np.int64)
-            words, docs = _sums(np.frombuffer(row["counts"], np.int32), bounds), row["docs"]
+            words, docs = _sums(counts_of(row["counts"]), bounds), row["docs"]
             arrays = [pa.array([x[c] for x in docs], k) for c, k in (("doc_id", pa.int64()), ("part", pa.string()), ("upper", pa.int64()), ("points", pa.int64()), ("marked", pa.bool_()), ("digest", pa.binary()))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(words), pa.array(np.diff(bounds))], ["doc_id", "part", "upper", "points", "marked", "digest", "n_words", "n_distinct"])
 
