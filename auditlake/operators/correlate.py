@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical, ref
+
 
 def request_response(requests: DataFrame, responses: DataFrame, keys: list[str], request_order: str, response_order: str) -> DataFrame:
     """The nth request with the nth response of the same keys; what is left over on either side keeps a null."""
@@ -87,3 +90,67 @@ def stale(markers: DataFrame, settled: DataFrame, now: Column, seconds: int = 24
     """Markers (session_id, request_id, started_at) that nothing settled and that are older than so many seconds."""
     open_ = markers.join(settled.select("session_id", "request_id").distinct(), ["session_id", "request_id"], "left_anti")
     return open_.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp")) > seconds * 1_000_000)
+
+
+#: Fixed value: how many requests may wait for their response at once.
+MAX_PENDING = 10_000
+
+
+def _evicted(limit: int):
+    """Opened and answered requests in order, group by group: the oldest that isn't protected goes when one too many waits, or else the oldest."""
+
+    def run(batches):
+        group, free, kept = object(), {}, {}  # requests that wait, in the order in which they came
+        for batch in batches:
+            out = []
+            for g, at, request, opens, protected in zip(*(batch[c].to_pylist() for c in ("g", "at", "request", "opens", "protected"))):
+                if g != group:
+                    group, free, kept = g, {}, {}
+                if opens:
+                    if len(free) + len(kept) >= limit:
+                        waiting = free or kept
+                        oldest = next(iter(waiting))
+                        del waiting[oldest]
+                        out.append((g, oldest, at))
+                    (kept if protected else free)[request] = True
+                else:
+                    free.pop(request, None)
+                    kept.pop(request, None)
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("g").type, pa.int64(), pa.int64()))], ["g", "request", "evicted_at"])
+
+    return run
+
+
+def evictions(requests: DataFrame, by: str, asked: str, answered: str, limit: int = MAX_PENDING, protected: str | None = None) -> DataFrame:
+    """(by, asked, evicted_at): requests that were given up because more than ``limit`` would wait in their group at once.
+
+    ``asked`` and ``answered`` are places in the group's log (numbers, each used once; answered is null without a response). A request
+    that is one too many makes the oldest waiting one go, one with a true ``protected`` only where all are. Whether a group ever
+    has so many is told by a running count of requests less responses; only such groups are gone through in order, with at most
+    ``limit`` requests in memory.
+    """
+    flag = F.coalesce(F.col(protected), F.lit(False)) if protected else F.lit(False)
+    rows = requests.where(F.col(asked).isNotNull()).select(F.col(by).alias("g"), F.col(asked).cast("long").alias("request"), F.col(answered).cast("long").alias("end"), flag.alias("protected"))
+    moves = rows.select("g", "request", "protected", F.explode(F.array(F.struct(F.col("request").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("at"), F.lit(False).alias("opens")))).alias("m")).select("g", "request", "protected", "m.*").where("at is not null")
+    waiting = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(Window.partitionBy("g").orderBy("at"))
+    crowded = moves.select("g", waiting.alias("waiting")).groupBy("g").agg(F.max("waiting").alias("most")).where(F.col("most") > limit).select(F.col("g").alias("crowded"))
+    some = moves.join(crowded, F.col("g").eqNullSafe(F.col("crowded")), "left_semi")
+    kind = f"g {requests.schema[by].dataType.simpleString()}, request long, evicted_at long"
+    out = some.repartition("g").sortWithinPartitions("g", "at").mapInArrow(_evicted(limit), kind)
+    return out.select(F.col("g").alias(by), F.col("request").alias(asked), "evicted_at")
+
+
+def sealed_calls(requests: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
+    """One record for each request with its response: kind, duration, error and the reference of the result.
+
+    requests: keys, asked_at, method; responses: keys, answered_at, result (JSON), is_error. tools/call gives tool_call, initialize itself,
+    any other method rpc. A request without a response is an error with the reference of null; a response without a request a
+    protocol_error.
+    """
+    both = request_response(requests, responses, keys, "asked_at", "answered_at")
+    orphan, answered = F.col("status") == "orphan_response", F.col("status") == "answered"
+    kind = F.when(orphan, "protocol_error").when(F.col("method") == "tools/call", "tool_call").when(F.col("method") == "initialize", "initialize").otherwise("rpc")
+    took = (F.unix_micros(F.col("answered_at").cast("timestamp")) - F.unix_micros(F.col("asked_at").cast("timestamp"))) / 1000
+    error = F.when(orphan, F.lit(True)).when(answered, F.coalesce("is_error", F.lit(False))).otherwise(F.lit(True))
+    return both.select(*keys, "occurrence", kind.alias("kind"), F.when(answered, took).alias("duration_ms"), error.alias("is_error"), F.when(~answered, F.col("status")).alias("error_type"), ref(F.coalesce(F.when(~orphan, canonical(F.col("result"))), F.lit("null"))).alias("result_hash"))

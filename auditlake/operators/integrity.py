@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ed25519
 from ..functions.canonical import GENESIS_HASH, canonical, record_hash
+from ..sources.shared import written
+from .ranges import with_previous
 
 SEALED = "chain_id string, seq long, prev_hash string, hash string, event string"
 
@@ -55,24 +57,70 @@ def content_problems(records: DataFrame) -> DataFrame:
     return records.where(record_hash(F.col("prev_hash"), canonical(F.col("event"))) != F.col("hash")).select("chain_id", "seq", F.lit("hash_mismatch").alias("problem"))
 
 
-def link_problems(records: DataFrame, order: str = "position", base: str = GENESIS_HASH) -> DataFrame:
-    """Anchors, order, gaps and links in read order."""
-    w = Window.partitionBy("chain_id").orderBy(order)
-    r = records.select("chain_id", "seq", "prev_hash", F.lag("seq").over(w).alias("s"), F.lag("hash").over(w).alias("h"))
+def link_problems(records: DataFrame, order: str = "position", base: str = GENESIS_HASH, parts: int | None = None, frontier: DataFrame | None = None) -> DataFrame:
+    """Anchors, order, gaps and links in read order.
+
+    ``parts`` splits the records into so many ranges, for chains that are too large for one task each. With ``frontier`` (chain_id,
+    seq, hash), the records of a chain follow that one instead of its start.
+    """
+    columns = records.select("chain_id", "seq", "prev_hash", "hash", *{order} - {"chain_id", "seq", "prev_hash", "hash"})
+    if parts is None:
+        w = Window.partitionBy("chain_id").orderBy(order)
+        r = columns.withColumn("before", F.lag(F.struct("seq", "hash")).over(w))
+    else:
+        r = with_previous(columns, "chain_id", order, ["seq", "hash"], parts, "before")
+    if frontier is not None:
+        known = frontier.select("chain_id", F.struct("seq", "hash").alias("reached"))
+        r = r.join(known, "chain_id", "left").withColumn("before", F.coalesce("before", "reached"))
+    s, h = F.col("before.seq"), F.col("before.hash")
     tests = {
-        "bad_genesis": F.col("s").isNull() & (F.col("prev_hash") != base),
-        "duplicate_seq": F.col("seq") <= F.col("s"),
-        "seq_gap": F.col("seq") - F.col("s") > 1,
-        "prev_hash_mismatch": F.col("prev_hash") != F.col("h"),
+        "bad_genesis": F.col("before").isNull() & (F.col("prev_hash") != base),
+        "duplicate_seq": F.col("seq") <= s,
+        "seq_gap": F.col("seq") - s > 1,
+        "prev_hash_mismatch": F.col("prev_hash") != h,
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in tests.items()]))
     return r.select("chain_id", "seq", F.explode(found).alias("problem"))
 
 
-def verify(records: DataFrame, order: str = "position") -> DataFrame:
+def verify(records: DataFrame, order: str = "position", parts: int | None = None) -> DataFrame:
     """Problems of all records; malformed ones take no part in the other checks."""
     good = records.where(well_formed())
-    return malformed(records).unionByName(content_problems(good)).unionByName(link_problems(good, order))
+    return malformed(records).unionByName(content_problems(good)).unionByName(link_problems(good, order, parts=parts))
+
+
+#: Where a check has come to: a chain's last record, and the last one up to which it is sound (null before the first).
+REACHED = "chain_id string, seq long, hash string, sound_seq long, broken boolean"
+
+
+def lay_out(records: DataFrame, path: str, batch: int) -> None:
+    """Append chain records to a log of batches, one folder each; running a batch again overwrites it."""
+    records.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def laid_out(spark, path: str, after: int | None = None) -> DataFrame:
+    """The records of a log of batches, or of those that follow a batch: earlier folders aren't read."""
+    records = spark.read.parquet(path)
+    return records if after is None else records.where(F.col("batch") > after)
+
+
+def self_check(records: DataFrame, reached: DataFrame, order: str = "seq", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(problems, new state) of the records that came since a check reached ``reached`` (see ``REACHED``; empty at first).
+
+    The first new record of a chain is held against the last one that was seen, so that the problems of all checks together are those
+    of one check of all records. A chain's sound_seq goes on to its last record, or to the one before its first problem, and
+    stays there. Rows come in read order by ``order``, later batches behind earlier ones.
+    """
+    good = written(records.where(well_formed()), "checked")
+    problems = written(malformed(records).unionByName(content_problems(good)).unionByName(link_problems(good, order, parts=parts, frontier=reached)), "problems")
+    first = problems.groupBy("chain_id").agg(F.min("seq").alias("bad"))
+    ends = good.groupBy("chain_id").agg(F.max_by(F.struct("seq", "hash"), order).alias("last"))
+    before = good.join(first, "chain_id").where("seq < bad").groupBy("chain_id").agg(F.max("seq").alias("fine"))
+    all_ = reached.select("chain_id", F.struct("seq", "hash").alias("old"), "sound_seq", "broken").join(ends, "chain_id", "full").join(first, "chain_id", "full").join(before, "chain_id", "left")
+    broke = F.coalesce("broken", F.lit(False))
+    sound = F.when(broke, F.col("sound_seq")).when(F.col("bad").isNull(), F.coalesce("last.seq", "sound_seq")).otherwise(F.greatest("sound_seq", "fine"))
+    last = F.coalesce("last", "old")
+    return problems, written(all_.select("chain_id", last["seq"].alias("seq"), last["hash"].alias("hash"), sound.alias("sound_seq"), (broke | F.col("bad").isNotNull()).alias("broken")), "reached")
 
 
 #: Problems that alone don't break a chain.

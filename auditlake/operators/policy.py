@@ -71,11 +71,15 @@ def string_leaves(args: pa.Array) -> pa.Array:
     return pa.array([_leaves(a) for a in args.to_pylist()], pa.list_(pa.string()))
 
 
-def scalar(parsed: Column, path: str) -> Column:
-    """A text, number or boolean of parsed JSON at a path, as text; null for what is missing, null, an object or an array, or if the root is no object."""
-    value = F.try_variant_get(parsed, path, "variant")
+def _is_object(args: str) -> Column:
+    """Whether arguments that parse are an object."""
+    return F.col(args).rlike(r"^[ \t\r\n]*\{")
+
+
+def scalar(value: Column) -> Column:
+    """A variant's text, number or boolean as text; null for anything else."""
     plain = F.schema_of_variant(value).rlike("^(STRING|BIGINT|DECIMAL.*|DOUBLE|FLOAT|BOOLEAN)$")
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT") & plain, F.try_variant_get(parsed, path, "string"))
+    return F.when(plain, F.try_variant_get(value, "$", "string"))
 
 
 def dot_path(path: str) -> str:
@@ -87,36 +91,50 @@ def dot_path(path: str) -> str:
 TOO_LONG, TOO_LARGE, BROKEN = "value-too-long", "arguments-too-large-to-scan", "policy-unevaluable"
 
 
-def _state(rule: Rule, server: Column, tool: Column, args: Column) -> Column:
-    """match, an error code or null, in the order server, tool, args, any_arg, size: what fails earlier hides later errors."""
-    tests: list[tuple[Column, str, Column]] = []  # (error, its code, match)
-    parsed = F.try_parse_json(args)
-    if rule.args or rule.any_arg is not None:
-        tests.append((args.isNotNull() & parsed.isNull(), BROKEN, F.lit(True)))
-    for path, pattern in rule.args.items():
-        value = scalar(parsed, path)
-        tests.append((length16(value) > MAX_VALUE, TOO_LONG, F.coalesce(value.rlike(pattern), F.lit(False))))
-    if rule.any_arg is not None:
-        leaves = string_leaves(args)
-        tests.append((leaves.isNull(), TOO_LARGE, F.coalesce(F.exists(leaves, lambda leaf: leaf.rlike(rule.any_arg)), F.lit(False))))
-    if rule.max_bytes is not None:
-        tests.append((F.lit(False), BROKEN, F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False))))
-    state = F.when(~(matches_any(server, rule.server) & matches_any(tool, rule.tool)), F.lit(None))
-    for error, code, match in tests:
-        state = state.when(F.coalesce(error, F.lit(False)), code).when(~match, F.lit(None))
-    return state.otherwise("match")
+def _applies(rule: Rule, server: str, tool: str) -> Column:
+    return matches_any(F.col(server), rule.server) & matches_any(F.col(tool), rule.tool)
+
+
+def _prepared(calls: DataFrame, paths: list[str], leaves: Column | None, args: str) -> DataFrame:
+    """calls with arguments parsed once and each path looked up once; each step is its own projection, so that nothing is computed again.
+
+    Adds _parsed, _at (an array: the scalar at each path) and _leaves (the string leaves of rows for which ``leaves`` holds).
+    """
+    out = calls.withColumn("_parsed", F.try_parse_json(args))
+    if paths:
+        found = F.when(_is_object(args), F.array(*[F.try_variant_get("_parsed", p, "variant") for p in paths]))
+        out = out.withColumn("_at", found).withColumn("_at", F.transform("_at", scalar))
+    if leaves is not None:
+        out = out.withColumn("_leaves", string_leaves(F.when(leaves, F.col(args))))
+    return out
 
 
 def evaluate(calls: DataFrame, rules: list[Rule], default: str = "allow", server: str = "server", tool: str = "tool", args: str = "args") -> DataFrame:
-    """calls with action, rule, reason, fail_closed and error_code: the first rule that matches or can't be evaluated decides, the latter by denying."""
+    """calls with action, rule, reason, fail_closed and error_code: the first rule that matches or can't be evaluated decides, the latter by denying.
+
+    A rule's tests come in the order server, tool, args, any_arg, size: what fails earlier hides later errors.
+    """
     name = lambda i: rules[i].rule_id or f"rule[{i}]"
-    text = lambda x: F.lit(x).cast("string") if not isinstance(x, Column) else x
+    text = lambda x: F.lit(x).cast("string")
     verdict = lambda action, rule, reason, closed, code: F.struct(text(action).alias("action"), text(rule).alias("rule"), text(reason).alias("reason"), F.lit(closed).alias("fail_closed"), text(code).alias("error_code"))
+    paths = list(dict.fromkeys(p for r in rules for p in r.args))
+    on_leaves = [_applies(r, server, tool) for r in rules if r.any_arg is not None]
+    ready = _prepared(calls, paths, reduce(lambda a, b: a | b, on_leaves) if on_leaves else None, args) if paths or on_leaves else calls
     steps = []
     for i, rule in enumerate(rules):
-        state = _state(rule, F.col(server), F.col(tool), F.col(args))
-        steps.append(F.when(state == "match", verdict(rule.action, name(i), rule.reason, False, None)).when(state.isNotNull(), verdict("deny", name(i), None, True, state)))
-    return calls.withColumn("v", F.coalesce(*steps, verdict(default, None, None, False, None))).select("*", "v.*").drop("v")
+        step = F.when(~_applies(rule, server, tool), F.lit(None))
+        broken = lambda code: verdict("deny", name(i), None, True, code)  # noqa: E731, B023
+        if rule.args or rule.any_arg is not None:
+            step = step.when(F.col(args).isNotNull() & F.col("_parsed").isNull(), broken(BROKEN))
+        for path, pattern in rule.args.items():
+            value = F.col("_at")[paths.index(path)]
+            step = step.when(F.coalesce(length16(value) > MAX_VALUE, F.lit(False)), broken(TOO_LONG)).when(~F.coalesce(value.rlike(pattern), F.lit(False)), F.lit(None))
+        if rule.any_arg is not None:
+            step = step.when(F.col("_leaves").isNull(), broken(TOO_LARGE)).when(~F.coalesce(F.exists("_leaves", lambda leaf: leaf.rlike(rule.any_arg)), F.lit(False)), F.lit(None))  # noqa: B023
+        if rule.max_bytes is not None:
+            step = step.when(~F.coalesce(F.octet_length(args) <= rule.max_bytes, F.lit(False)), F.lit(None))
+        steps.append(step.otherwise(verdict(rule.action, name(i), rule.reason, False, None)))
+    return ready.withColumn("_v", F.coalesce(*steps, verdict(default, None, None, False, None))).select(*calls.columns, "_v.*")
 
 
 def rules_of(document: dict) -> tuple[list[Rule], str]:
@@ -131,9 +149,68 @@ def rules_of(document: dict) -> tuple[list[Rule], str]:
 
 
 def rule_table(spark, documents: dict[str, dict]) -> DataFrame:
-    """(policy_hash, rule_index, rule_id, server, tool, action, reason) of policy documents by their hash, for lint and joins."""
-    rows = [(h, i, r.rule_id, list(r.server), list(r.tool), r.action, r.reason) for h, doc in documents.items() for i, r in enumerate(rules_of(doc)[0])]
-    return spark.createDataFrame(rows, "policy_hash string, rule_index int, rule_id string, server array<string>, tool array<string>, action string, reason string")
+    """The rules of policy documents by their hash, as data: globs and their patterns, argument tests, action, default."""
+    rows = []
+    for h, doc in documents.items():
+        rules, default = rules_of(doc)
+        one = lambda globs: "|".join(f"(?:{glob_regex(g)})" for g in globs)
+        rows += [(h, i, r.rule_id, list(r.server), list(r.tool), r.action, r.reason, one(r.server), one(r.tool), list(r.args.items()), r.any_arg, r.max_bytes, default) for i, r in enumerate(rules)]
+        rows += [(h, -1, None, [], [], default, None, None, None, [], None, None, default)] if not rules else []
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+RULE_TABLE = "policy_hash string, rule_index int, rule_id string, server array<string>, tool array<string>, action string, reason string, server_pattern string, tool_pattern string, args array<struct<path:string,pattern:string>>, any_arg string, max_bytes long, default_action string"
+#: More rules than this aren't sent to every task but joined by a shuffle.
+MOST_BROADCAST_RULES = 20_000
+
+
+def evaluate_table(calls: DataFrame, rules: DataFrame, policy: str = "policy_hash", server: str = "server", tool: str = "tool", args: str = "args") -> DataFrame:
+    """As ``evaluate``, with the rules as a table (see ``rule_table``): each call under the policy that it names, many policies at once.
+
+    One row for each policy, with its rules as an array, meets the calls; the rules are then gone through within the row, so
+    that nothing is exploded or grouped, and the same works on a stream. A call whose policy is unknown or null is denied.
+    Patterns come from a column: prefer ``evaluate`` for one policy.
+    """
+    columns = [c for c in rules.columns if c not in ("policy_hash", "server", "tool", "default_action")]
+    held = rules.groupBy("policy_hash").agg(F.array_sort(F.collect_list(F.when(F.col("rule_index") >= 0, F.struct(*columns)))).alias("_rules"), F.first("default_action").alias("_default"))
+    paths = sorted(r.path for r in rules.select(F.explode("args.path").alias("path")).distinct().collect())  # a policy's own, few
+    few = rules.count() <= MOST_BROADCAST_RULES
+    named = calls.join((F.broadcast(held) if few else held).withColumnRenamed("policy_hash", policy), policy, "left")
+    here = lambda r: F.coalesce(F.rlike(F.col(server), r["server_pattern"]) & F.rlike(F.col(tool), r["tool_pattern"]), F.lit(False))
+    ready = _prepared(named, paths, F.exists(F.coalesce("_rules", F.array()), lambda r: r["any_arg"].isNotNull() & here(r)), args)
+    places = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p), F.lit(i))]) if paths else None
+    no, ok = F.lit("no"), F.lit("ok")
+
+    def argument(state: Column, test: Column) -> Column:
+        value = F.get("_at", F.element_at(places, test["path"]))
+        return F.when(state != "ok", state).when(F.coalesce(length16(value) > MAX_VALUE, F.lit(False)), TOO_LONG).when(F.coalesce(F.rlike(value, test["pattern"]), F.lit(False)), ok).otherwise(no)
+
+    def state(r: Column) -> Column:
+        reads = (F.size(r["args"]) > 0) | r["any_arg"].isNotNull()
+        given = F.aggregate(r["args"], ok, argument) if paths else ok
+        leaf = F.when(r["any_arg"].isNull(), ok).when(F.col("_leaves").isNull(), TOO_LARGE).when(F.coalesce(F.exists("_leaves", lambda x: F.rlike(x, r["any_arg"])), F.lit(False)), ok).otherwise(no)
+        size = F.when(r["max_bytes"].isNull() | F.coalesce(F.octet_length(args) <= r["max_bytes"], F.lit(False)), ok).otherwise(no)
+        first = lambda *parts: reduce(lambda rest, p: F.when(p != "ok", p).otherwise(rest), reversed(parts[:-1]), parts[-1])
+        return F.when(~here(r), no).when(reads & F.col(args).isNotNull() & F.col("_parsed").isNull(), BROKEN).otherwise(first(given, leaf, size))
+
+    def decided(r: Column) -> Column:
+        s = state(r)
+        made = F.struct(s.alias("state"), r["action"].alias("action"), r["rule_id"].alias("rule"), r["reason"].alias("reason"))
+        return made
+
+    shape = "struct<state:string,action:string,rule:string,reason:string>"
+    first = F.aggregate("_rules", F.lit(None).cast(shape), lambda got, r: F.when(F.coalesce(got["state"] != "no", F.lit(False)), got).otherwise(decided(r)))
+    ready = ready.withColumn("_first", first)
+    met, failed = F.coalesce(F.col("_first.state") == "ok", F.lit(False)), F.coalesce(~F.col("_first.state").isin("ok", "no"), F.lit(False))
+    unknown = F.col("_rules").isNull()
+    return ready.select(
+        *calls.columns,
+        F.when(unknown | failed, "deny").when(met, F.col("_first.action")).otherwise(F.col("_default")).alias("action"),
+        F.when(met | failed, F.col("_first.rule")).alias("rule"),
+        F.when(met, F.col("_first.reason")).alias("reason"),
+        (unknown | failed).alias("fail_closed"),
+        F.when(unknown, BROKEN).when(failed, F.col("_first.state")).alias("error_code"),
+    )
 
 
 def destinations(requests: DataFrame, rules: list[dict]) -> DataFrame:
@@ -153,12 +230,12 @@ STARTER_DOCUMENT = {
     "mcp": {
         "default": "allow",
         "rules": [
-            {"id": "secrets-in-arguments", "match": {"any_arg": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b|\bsk-[A-Za-z0-9_-]{10,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/=-]{16,}"}, "action": "deny", "reason": "an argument carried something shaped like a credential"},
-            {"id": "credential-files", "match": {"any_arg": r"(^|/|\\)(\.env|\.env\.[A-Za-z0-9_-]{1,64}|\.npmrc|\.netrc|\.git-credentials|\.pgpass|id_rsa|id_ed25519|id_ecdsa|id_dsa)$|(^|/|\\)\.ssh(/|\\)|(^|/|\\)\.aws(/|\\)credentials$|(^|/|\\)\.kube(/|\\)config$|\.pem$|\.p12$|\.pfx$"}, "action": "deny", "reason": "an argument was a path to a credential file"},
-            {"id": "catastrophic-commands", "match": {"any_arg": r"[Rr][Mm][ \t]+-[A-Za-z]*[Rr][A-Za-z]*[ \t]+(/|/\*|~|~/|~/\*|\$HOME|\$HOME/|\$HOME/\*)([ \t;&|]|$)|--no-preserve-root|[Dd][Rr][Oo][Pp][ \t]+([Dd][Aa][Tt][Aa][Bb][Aa][Ss][Ee]|[Ss][Cc][Hh][Ee][Mm][Aa])\b|[Tt][Rr][Uu][Nn][Cc][Aa][Tt][Ee][ \t]+[Tt][Aa][Bb][Ll][Ee]\b|[Dd][Ee][Ll][Ee][Tt][Ee][ \t]+[Ff][Rr][Oo][Mm][ \t]+[A-Za-z_][A-Za-z0-9_.\"]*[ \t;]*$|[Gg][Ii][Tt][ \t]+[Pp][Uu][Ss][Hh].*[ \t]--force([^-]|$)"}, "action": "deny", "reason": "that argument would destroy data irreversibly"},
-            {"id": "destructive-tools", "match": {"tool": ["delete_*", "*_delete", "*_delete_*", "remove_*", "*_remove", "*_remove_*", "destroy_*", "*_destroy_*", "drop_*", "rm", "rm_*", "trash_*", "*_trash_*", "purge_*", "*_purge_*", "truncate_*", "overwrite_*"]}, "action": "hold", "reason": "this tool destroys something; approve it yourself"},
-            {"id": "sends-to-other-people", "match": {"tool": ["send_*", "*_send", "*_send_*", "post_message", "*_post_message", "reply", "reply_*", "*_reply", "forward", "forward_*", "*_forward", "publish_*", "share_*", "*_share_*", "invite_*", "email_*", "sms_*"]}, "action": "hold", "reason": "this tool sends something to other people; approve it yourself"},
-            {"id": "spends-money", "match": {"tool": ["*purchase*", "*checkout*", "*refund*", "*payout*", "charge_*", "*_charge", "create_*payment*", "send_payment*", "transfer_*", "subscribe_*", "create_subscription*"]}, "action": "hold", "reason": "this tool moves money; approve it yourself"},
+            {"id": "secrets-in-arguments", "match": {"any_arg": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bgithub_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}\b|\bsk-[A-Za-z0-9_-]{10,}\b|\bxox[baprs]-[A-Za-z0-9-]{10,}\b|\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----|\b[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/=-]{16,}"}, "action": "deny", "reason": "arguments must not hold secrets"},
+            {"id": "credential-files", "match": {"any_arg": r"(^|/|\\)(\.env|\.env\.[A-Za-z0-9_-]{1,64}|\.npmrc|\.netrc|\.git-credentials|\.pgpass|id_rsa|id_ed25519|id_ecdsa|id_dsa)$|(^|/|\\)\.ssh(/|\\)|(^|/|\\)\.aws(/|\\)credentials$|(^|/|\\)\.kube(/|\\)config$|\.pem$|\.p12$|\.pfx$"}, "action": "deny", "reason": "files with credentials stay closed"},
+            {"id": "catastrophic-commands", "match": {"any_arg": r"[Rr][Mm][ \t]+-[A-Za-z]*[Rr][A-Za-z]*[ \t]+(/|/\*|~|~/|~/\*|\$HOME|\$HOME/|\$HOME/\*)([ \t;&|]|$)|--no-preserve-root|[Dd][Rr][Oo][Pp][ \t]+([Dd][Aa][Tt][Aa][Bb][Aa][Ss][Ee]|[Ss][Cc][Hh][Ee][Mm][Aa])\b|[Tt][Rr][Uu][Nn][Cc][Aa][Tt][Ee][ \t]+[Tt][Aa][Bb][Ll][Ee]\b|[Dd][Ee][Ll][Ee][Tt][Ee][ \t]+[Ff][Rr][Oo][Mm][ \t]+[A-Za-z_][A-Za-z0-9_.\"]*[ \t;]*$|[Gg][Ii][Tt][ \t]+[Pp][Uu][Ss][Hh].*[ \t]--force([^-]|$)"}, "action": "deny", "reason": "commands that erase data for good are off"},
+            {"id": "destructive-tools", "match": {"tool": ["delete_*", "*_delete", "*_delete_*", "remove_*", "*_remove", "*_remove_*", "destroy_*", "*_destroy_*", "drop_*", "rm", "rm_*", "trash_*", "*_trash_*", "purge_*", "*_purge_*", "truncate_*", "overwrite_*"]}, "action": "hold", "reason": "deletions wait for a person"},
+            {"id": "sends-to-other-people", "match": {"tool": ["send_*", "*_send", "*_send_*", "post_message", "*_post_message", "reply", "reply_*", "*_reply", "forward", "forward_*", "*_forward", "publish_*", "share_*", "*_share_*", "invite_*", "email_*", "sms_*"]}, "action": "hold", "reason": "messages to others wait for a person"},
+            {"id": "spends-money", "match": {"tool": ["*purchase*", "*checkout*", "*refund*", "*payout*", "charge_*", "*_charge", "create_*payment*", "send_payment*", "transfer_*", "subscribe_*", "create_subscription*"]}, "action": "hold", "reason": "payments wait for a person"},
         ],
     }
 }

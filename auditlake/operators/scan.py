@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import REF, ref
+from .folding import variants
 
 #: Fixed patterns: the families of secrets in their fixed order.
 SECRETS = {
@@ -70,29 +71,137 @@ def family_counts(rows: DataFrame, text: str, families: dict[str, str]) -> DataF
 #: The text in place of an injection, the digits of a reference kept in a marker, the references kept of a result.
 INJECTION_MARKER = "[gateway: suspected prompt injection removed]"
 MARKER_DIGITS, MOST_REFS = 16, 8
-#: Fixed patterns: values of assignments that are code. Longer values than the cap are not code.
-_SHAPE_CAP = 512
-_PLACEHOLDER = re.compile(r"\$[{(]|\$[A-Z_][A-Za-z0-9_]*\W*$|<", re.ASCII)
-_ANNOTATION = re.compile(r"[A-Za-z]+\W+", re.ASCII)
-_BARE_WORD = re.compile(r"[A-Za-z]+\W*", re.ASCII)
-_CODE_MARK = re.compile(r"[.,;'\"`${}\s]")
+#: What an assigned value is when it is no secret: a template or a shell variable, a mere sign, a type or another word, a piece of
+#: code. The value is looked at as it stands and within its quotes, and only so far as the last number says.
+_ASSIGNED = re.compile(r"[:=]\s*(?P<value>.*)", re.ASCII | re.DOTALL)
+_QUOTED = re.compile(r"""(["'])(?P<inner>.*)\1""", re.DOTALL)
+_TEMPLATE = re.compile(r"\$[{(]|<|\$[A-Z_][A-Za-z0-9_]*\W*$", re.ASCII)
+_SIGNS = re.compile(r"[^A-Za-z0-9]*")
+_WORD = {True: re.compile(r"[A-Za-z]+\W*", re.ASCII), False: re.compile(r"[A-Za-z]+\W+", re.ASCII)}  # by whether any value may be one
 _CALL = re.compile(r"[A-Za-z0-9_$][ \t]*[(\[]")
+_CODE = re.compile(r"[.,;'\"`${}\s]|[)\]]$", re.ASCII)
+_SHAPE_CAP = 512
 
 
 def is_code(matched: str, bare: bool) -> bool:
     """Whether an assignment's value is code, a placeholder or a type rather than a secret; ``bare``: the family without demands on the value."""
-    parts = re.split("[:=]", matched, maxsplit=1)
-    if len(parts) < 2:
+    found = _ASSIGNED.search(matched)
+    if not found:
         return False
-    value = parts[1].lstrip()
-    quoted = len(value) > 1 and value[0] in "\"'" and value[0] == value[-1]
-    inner = value[1:-1] if quoted else value
-    if _PLACEHOLDER.match(value) or _PLACEHOLDER.match(inner) or not re.search("[A-Za-z0-9]", value):
-        return True
-    if len(value) <= _SHAPE_CAP and (_BARE_WORD if bare else _ANNOTATION).fullmatch(value):
-        return True
+    value = found["value"]
+    quoted = _QUOTED.fullmatch(value)
+    inner = quoted["inner"] if quoted else value
     head = inner[:_SHAPE_CAP]
-    return "`" in head or bool(_CALL.search(head)) and bool(_CODE_MARK.search(head) or head[-1] in ")]")
+    return (
+        any(_TEMPLATE.match(v) for v in (value, inner))
+        or bool(_SIGNS.fullmatch(value))
+        or len(value) <= _SHAPE_CAP and bool(_WORD[bare].fullmatch(value))
+        or "`" in head
+        or bool(_CALL.search(head) and _CODE.search(head))
+    )
+
+
+#: Where matches of the families can begin, as their patterns have it: at one of the literals; behind one; or at the start of a run
+#: of word characters and dashes that holds one near its start. Lower-case literals of patterns that ignore case.
+_KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api-key", "api_key")
+_CAMEL = ("password", "passwd", "secret", "token", "credential", "Password", "Passwd", "Secret", "Token", "ApiKey", "Credential")
+STARTS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "aws-access-key-id": ("at", ("AKIA", "ASIA")),
+    "jwt": ("run-once", ("eyJ",)),
+    "pem-private-key": ("at", ("-----BEGIN ",)),
+    "sk-prefixed-api-key": ("at", ("sk-",)),
+    "github-token": ("at", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    "github-fine-grained-pat": ("at", ("github_pat_",)),
+    "github-fine-grained-pat-defensive": ("at", ("github_pat_",)),
+    "slack-token": ("at", ("xoxb-", "xoxa-", "xoxp-", "xoxr-", "xoxs-")),
+    "bearer-header": ("any-case", ("bearer",)),
+    "url-userinfo": ("behind", ("://",)),
+    "secret-assignment": ("run", _KEYWORDS),
+    "secret-assignment-affixed": ("run", _KEYWORDS),
+    "secret-assignment-camel": ("at", _CAMEL),
+    "credential-flag-value": ("run", _KEYWORDS),
+    "ignore-previous-instructions": ("any-case", ("ignore",)),
+    "disregard-previous-instructions": ("any-case", ("disregard",)),
+    "forget-previous-instructions": ("any-case", ("forget",)),
+    "system-override": ("any-case", ("system",)),
+    "developer-mode": ("any-case", ("you",)),
+    "hide-this-instruction": ("any-case", ("do",)),
+    "html-comment-directive": ("any-case", ("<!--",)),
+    "important-directive": ("any-case", ("important:",)),
+    "new-instructions": ("any-case", ("your",)),
+    "reveal-system-prompt": ("any-case", ("reveal", "print", "show", "repeat", "output", "display", "leak")),
+    "exfiltrate-to-url": ("any-case", ("exfiltrate", "send", "post", "upload", "forward", "transmit")),
+    "address-the-ai": ("any-case", ("if",)),
+}
+_RUN = re.compile(r"[\w-]*", re.ASCII)
+_FAR = 70  # beyond what a pattern allows between the start of a run and its literal
+
+
+def _in_run(c: str) -> bool:
+    return c in "-_" or c.isascii() and c.isalnum()
+
+
+class _Text:
+    """A text with its lower-case form and where literals stand in it, found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lower = text.lower()
+        if len(self.lower) != len(text):
+            self.lower = "".join(c.lower() if c.isascii() else c for c in text)
+        self.places: dict[tuple, list[int]] = {}
+
+    def starts(self, how: str, literals: tuple[str, ...]) -> list[int]:
+        key = (how in ("any-case", "run"), literals, how)
+        if key not in self.places:
+            text, out = self.lower if key[0] else self.text, []
+            for w in literals:
+                i = text.find(w)
+                while i >= 0:
+                    out.append(i + (len(w) if how == "behind" else 0))
+                    i = text.find(w, i + 1)
+            out.sort()
+            self.places[key] = self._runs(out) if how == "run" else out
+        return self.places[key]
+
+    def _runs(self, places: list[int]) -> list[int]:
+        out, end = [], 0
+        for p in places:
+            if p >= end:
+                s, end = p, _RUN.match(self.text, p).end()
+                while s > 0 and p - s <= _FAR and _in_run(self.text[s - 1]):
+                    s -= 1
+                if s == 0 or not _in_run(self.text[s - 1]):
+                    out.append(s)
+        return out
+
+    def matches(self, family: str, pattern: str):
+        """The matches of a family's pattern, as finditer gives them."""
+        compiled = _compiled(pattern)
+        if {**SECRETS, **INJECTION_FAMILIES}.get(family) != pattern:
+            yield from (m for m in compiled.finditer(self.text) if m.end() > m.start())
+            return
+        how, literals = STARTS[family]
+        end = 0
+        for p in self.starts(how, literals):
+            if p < end:
+                continue
+            if m := compiled.match(self.text, p):
+                yield m
+                end = m.end()
+            elif how == "run-once" and (p == 0 or not _in_run(self.text[p - 1]) or self.text[p - 1] == "-"):
+                end = _RUN.match(self.text, p).end()  # a later start in the run meets the same end
+
+
+def may_hold(text: Column, families: dict[str, str]) -> Column:
+    """Whether a text has a literal that one of the families has to have; without it no match is possible."""
+    literals = sorted({w.lower() for f in families if f in STARTS for w in STARTS[f][1]}) if all(f in STARTS for f in families) else []
+    literals = [w for w in literals if not any(v != w and v in w for v in literals)]
+    lower = F.lower(text)
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in literals]), F.lit(False)) if literals else text.isNotNull()
+
+
+_UNFOLDED = r"[^\x09-\x0D\x20-\x7E]"  # characters that folding drops or turns into others
 
 
 @dataclass(frozen=True)
@@ -105,41 +214,52 @@ class Scanner:
 
     def raw_secrets(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, family) of each family's matches in turn, without those that are code or overlap a placeholder token."""
-        out = []
+        out, held = [], _Text(text)
         for family, pattern in self.secrets:
-            for m in _compiled(pattern).finditer(text):
-                if m.end() > m.start() and not (family.startswith("secret-assignment") and is_code(m[0], family == "secret-assignment")):
+            for m in held.matches(family, pattern):
+                if not (family.startswith("secret-assignment") and is_code(m[0], family == "secret-assignment")):
                     out.append((m.start(), m.end(), family))
         if self.synthetic and out:
             taken = [m.span() for m in re.finditer(re.escape(self.synthetic) + "[A-Za-z0-9_-]*", text)]
-            out = [s for s in out if not any(s[0] < b and a < s[1] for a, b in taken)]
+            out = [s for s in out if not _meets(taken, s[0], s[1])]
         return out
 
+    def sieve(self, text: Column, secrets: bool = True, injections: bool = False) -> Column:
+        """The text if it may hold what is looked for, else null: only such texts go to Python."""
+        may = may_hold(text, dict(self.secrets)) if secrets else F.lit(False)
+        if injections:
+            may = may | may_hold(text, dict(self.injections)) | F.coalesce(text.rlike(_UNFOLDED), F.lit(False))
+        return F.when(may, text)
+
     def secret_spans(self, text: str) -> list[tuple[int, int]]:
         return merged([(a, b) for a, b, _ in self.raw_secrets(text)])
 
     def injection_spans(self, text: str) -> list[tuple[int, int]]:
-        """Merged spans of injections in the text as it is and in its folded form, at their places in the text."""
-        found = [m.span() for _, p in self.injections for m in _compiled(p).finditer(text)]
-        if not text.isascii() and not unicodedata.is_normalized("NFKC", text) or _hidden().search(text):
-            folded, at = fold(text)
-            found += [(at[m.start()], at[m.end() - 1] + 1) for _, p in self.injections for m in _compiled(p).finditer(folded) if m.end() > m.start()]
+        """Merged spans of injections in all folded forms of the text, at their places in the text."""
+        found = []
+        for form in variants(text):
+            held = _Text(form.text)
+            found += [form.back(m.start(), m.end()) for family, p in self.injections for m in held.matches(family, p)]
         return merged(found)
 
     def redacted(self, text: str, secrets: bool = True, injections: bool = False) -> str:
         """Each secret by the head of its own reference, each injection by a fixed text; where they overlap, as a secret."""
-        regions = [(a, b, True) for a, b in self.secret_spans(text)] if secrets else []
-        regions += [(a, b, False) for a, b in self.injection_spans(text)] if injections else []
-        whole = merged([(a, b) for a, b, _ in regions])
+        found = self.secret_spans(text) if secrets else []
         out, at = [], 0
-        for start, end in whole:
-            secret = any(s and a < end and start < b for a, b, s in regions)
+        for start, end in merged(found + (self.injection_spans(text) if injections else [])):
+            secret = _meets(found, start, end)
             mark = f"[redacted:{REF}{hashlib.sha256(text[start:end].encode()).hexdigest()[:MARKER_DIGITS]}]" if secret else INJECTION_MARKER
             out += [text[at:start], mark]
             at = end
         return "".join(out) + text[at:]
 
 
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, sorted and apart, overlaps the range."""
+    i = bisect_right(spans, start, key=lambda s: s[1])
+    return i < len(spans) and spans[i][0] < end
+
+
 @lru_cache(maxsize=256)
 def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.ASCII)
@@ -156,41 +276,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_DROPPED = ("Cf", "Cc", "Mn", "Me")
-
-
-@lru_cache(maxsize=1)
-def _hidden() -> re.Pattern:
-    """Characters that the folded form drops; white space within phrases is matched as it is."""
-    kinds = [c for c in range(0x110000) if unicodedata.category(chr(c)) in _DROPPED and not chr(c).isspace()]
-    starts = [c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(kinds) if i + 1 == len(kinds) or kinds[i + 1] != c + 1]
-    return re.compile("[" + "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in zip(starts, ends)) + "]")
-
-
-_ESCAPE = re.compile(r"(?:\x1b\[|\x9b)[0-?]*[ -/]*[@-~]|(?:\x1b\]|\x9d)[^\x07\x1b\x9c]*(?:\x07|\x1b\\|\x9c)?|\x1b[ -/]*[0-~]")
-
-
-def fold(text: str) -> tuple[str, list[int]]:
-    """The text without terminal escapes and invisible characters, in compatibility form, white space as single spaces; and where each character comes from."""
-    out, at, i = [], [], 0
-    while i < len(text):
-        c = text[i]
-        if c in "\x1b\x9b\x9d" and (m := _ESCAPE.match(text, i)):
-            i = m.end()
-            continue
-        if c.isspace():
-            if out and out[-1] != " ":
-                out.append(" ")
-                at.append(i)
-        elif unicodedata.category(c) not in _DROPPED:
-            for d in unicodedata.normalize("NFKC", c):
-                out.append(d)
-                at.append(i)
-        i += 1
-    return "".join(out), at
-
-
 def span_columns(text: Column, scanner: Scanner = Scanner()) -> Column:
     """Secret spans of a text with their families, as they match: array of (start, end, family) in code points."""
 
@@ -199,7 +284,7 @@ def span_columns(text: Column, scanner: Scanner = Scanner()) -> Column:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("family", pa.string())]))
         return pa.array([[{"start": a, "end": b, "family": f} for a, b, f in scanner.raw_secrets(t)] if t else [] for t in texts.to_pylist()], kind)
 
-    return spans(text)
+    return spans(scanner.sieve(text))
 
 
 def redact(text: Column, scanner: Scanner = Scanner(), secrets: bool = True, injections: bool = False) -> Column:
@@ -209,7 +294,7 @@ def redact(text: Column, scanner: Scanner = Scanner(), secrets: bool = True, inj
     def marked(texts: pa.Array) -> pa.Array:
         return pa.array([scanner.redacted(t, secrets, injections) if t else t for t in texts.to_pylist()], pa.string())
 
-    return marked(text)
+    return F.coalesce(marked(scanner.sieve(text, secrets, injections)), text)
 
 
 def redact_with_refs(text: Column, families: dict[str, str]) -> Column:
@@ -238,7 +323,7 @@ def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact",
     size = slots.groupBy(message).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).alias("bytes"))
     large = size.where(F.col("bytes") > most_bytes).select(F.col(message).alias("large"))
     same = F.col(message).eqNullSafe(F.col("large"))
-    per = slots.join(large, same, "left_anti").select(message, found(F.col(text)).alias("f"))
+    per = slots.join(large, same, "left_anti").select(message, found(scanner.sieve(F.col(text), secrets != "off", injection != "off")).alias("f"))
     scanned = per.groupBy(message).agg(F.sum("f.s").alias("secrets_found"), F.sum("f.i").alias("injection_found"), F.slice(F.array_distinct(F.flatten(F.collect_list("f.refs"))), 1, MOST_REFS).alias("secret_refs"))
     wants = lambda action: ((F.col("secrets_found") > 0) & F.lit(secrets == action)) | ((F.col("injection_found") > 0) & F.lit(injection == action))
     scanned = scanned.select("*", F.lit(False).alias("oversize"), F.when(wants("block"), "block").when(wants("redact"), "redact").when(wants("flag"), "flag").otherwise("none").alias("action"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import ref
+from ..sources.shared import written
 
 #: Fixed order: strongest match first.
 PRIORITY = ("ref", "result_hash", "args_hash", "credential", "name", "plain")
@@ -103,18 +105,46 @@ def event_index(events: DataFrame) -> DataFrame:
     return events.select("event_id", "session_id", "event").mapInArrow(_indexed, kind)
 
 
-_GRAM = 6
+#: Characters of a gram, and of the parts into which long texts are cut so that a row's grams stay few.
+_GRAM, _PART = 4, 4096
+#: Grams of needles up to which they are sent to every task.
+_MOST_BROADCAST_GRAMS = 200_000
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All substrings of so many characters, by one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _parts(text: Column) -> Column:
+    """A text in parts of bounded length, each with as much of the next one as a gram can reach into."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+    return F.transform(parts, lambda part, i: F.concat(part, F.coalesce(F.substring(F.get(parts, i + 1), 1, _GRAM - 1), F.lit(""))))
 
 
 def _plain(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (with a column key) that hold a needle: both meet in grams, a needle's first characters and all of a text's."""
-    n = needles.where("needle <> ''").withColumn("gram_size", F.least(F.length("needle"), F.lit(_GRAM))).withColumn("gram", F.substring("needle", F.lit(1), F.col("gram_size")))
-    sizes = [r.gram_size for r in n.select("gram_size").distinct().collect()]  # at most _GRAM of them
-    every = lambda size: F.when(F.length("key") >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.substring("key", i, F.lit(size)))))
+    """Texts (with a column key) that hold a needle.
+
+    The texts' grams are posted by the number of the text alone, and only those that some needle has. A needle's rarest gram
+    names the texts in which it is then looked for; a needle with a gram that no text has is in none.
+    """
+    n = needles.where("needle <> ''").withColumn("size", F.least(F.length("needle"), F.lit(_GRAM)))
+    sizes = sorted(r.size for r in n.select("size").distinct().collect())  # at most _GRAM of them
     if not sizes:
         return texts.join(n.select("needle").limit(0), F.lit(False))
-    grams = texts.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[every(s) for s in sizes]))))))
-    return grams.join(n.drop("gram_size"), "gram").where(F.contains("key", F.col("needle"))).drop("gram")
+    rows = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    own = reduce(lambda rest, s: F.when(F.col("size") == s, _grams(F.col("needle"), s)).otherwise(rest), sizes[:-1], _grams(F.col("needle"), sizes[-1]))
+    asked = written(n.select("needle", F.explode(F.array_distinct(own)).alias("gram")), "needle-grams")
+    wanted = asked.select("gram").distinct()
+    if wanted.count() <= _MOST_BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("part"), s) for s in sizes])))
+    posted = rows.select("id", F.explode(_parts(F.col("key"))).alias("part")).select("id", F.explode(every).alias("gram"))
+    postings = written(posted.join(wanted, "gram", "left_semi").distinct(), "postings")
+    seen = F.coalesce("texts", F.lit(0))
+    rare = asked.join(postings.groupBy("gram").agg(F.count("*").alias("texts")), "gram", "left").groupBy("needle").agg(F.min(F.struct(seen.alias("texts"), "gram")).alias("r"))
+    candidates = rare.where("r.texts > 0").select("needle", "r.gram").join(postings, "gram").select("needle", "id")
+    return candidates.join(rows, "id").where(F.contains("key", F.col("needle"))).drop("id")
 
 
 def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = None) -> DataFrame:

@@ -1,0 +1 @@
+from . import registry, live  # noqa: F401, I001  live adds to the registry

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "seq BIGINT, prev_hash STRING, hash STRING, event STRING"
@@ -16,20 +16,32 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.struct("block", "at").alias("line"), "value").where(F.trim("value") != "")
 
 
+def parsed_records(lines: DataFrame) -> DataFrame:
+    """lines with a column ``parsed`` (is the text JSON?) and the members of a record; other columns stay."""
+    v = lines.withColumn("_v", F.try_parse_json("value"))
+    get = lambda p, t: F.try_variant_get("_v", p, t)
+    return v.select(*[c for c in lines.columns if c != "value"], F.col("_v").isNotNull().alias("parsed"), get("$.seq", "bigint").alias("seq"), get("$.prev_hash", "string").alias("prev_hash"), get("$.hash", "string").alias("hash"), F.to_json(get("$.event", "variant")).alias("event"))
+
+
 def chain_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSONL logs with a status: ok, torn_tail (a bad last line) or corrupt (a bad line elsewhere)."""
-    parsed = lines(spark, path).withColumn("v", F.try_parse_json("value"))
-    last = Window.partitionBy("file")
-    state = F.when(F.col("v").isNotNull(), "ok").when(F.col("line") == F.max("line").over(last), "torn_tail").otherwise("corrupt")
-    get = lambda p, t: F.try_variant_get("v", p, t)
-    return parsed.select("file", "line", state.alias("status"), get("$.seq", "bigint").alias("seq"), get("$.prev_hash", "string").alias("prev_hash"), get("$.hash", "string").alias("hash"), F.to_json(get("$.event", "variant")).alias("event"))
+    rows = parsed_records(lines(spark, path))
+    last = rows.groupBy("file").agg(F.max("line").alias("last"))  # one row for each file
+    state = F.when(F.col("parsed"), "ok").when(F.col("line") == F.col("last"), "torn_tail").otherwise("corrupt")
+    return rows.join(last, "file").select("file", "line", state.alias("status"), "seq", "prev_hash", "hash", "event")
+
+
+def tailed_chain_log(lines: DataFrame) -> DataFrame:
+    """Records of a ``tail`` stream of JSONL logs with a status: ok or corrupt; a torn last line isn't in the stream yet."""
+    rows = parsed_records(lines)
+    return rows.select("file", "start", F.when(F.col("parsed"), "ok").otherwise("corrupt").alias("status"), "seq", "prev_hash", "hash", "event")
 
 
 def chain_log_until_bad(spark: SparkSession, path: str) -> DataFrame:
     """The lenient scan: each file's records before its first bad line."""
     log = chain_log(spark, path)
-    bad = F.min(F.when(F.col("status") != "ok", F.col("line"))).over(Window.partitionBy("file"))
-    return log.withColumn("bad", bad).where(F.col("bad").isNull() | (F.col("line") < F.col("bad"))).drop("bad")
+    bad = log.where("status <> 'ok'").groupBy("file").agg(F.min("line").alias("bad"))
+    return log.join(bad, "file", "left").where("bad is null or line < bad").drop("bad")
 
 
 def heads(records: DataFrame, genesis: str) -> DataFrame:
