@@ -57,14 +57,14 @@ def _joined(words: pa.Array) -> bytes:
     return "\n".join(words.to_pylist()).encode()
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes as they need; the first byte says how many."""
-    kind = next(k for k in (np.uint8, np.uint16, np.int32, np.int64) if counts.max(initial=0) <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Differences of 32-bit values, compressed."""
+    held = np.diff(values.astype(np.int32), prepend=np.int32(0)).tobytes()
+    return len(held).to_bytes(8, "little") + pa.compress(held, codec="zstd", asbytes=True)
 
 
-def counts_of(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, {1: np.uint8, 2: np.uint16, 4: np.int32, 8: np.int64}[held[0]], offset=1)
+def unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(held[8:], int.from_bytes(held[:8], "little"), codec="zstd", asbytes=True), np.int32), dtype=np.int32)
 
 
 def _block(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def _shards(batches):
             upper, points = _sums((d >= 0x41) & (d <= 0x5A), o), _sums((d & 0xC0) != 0x80, o)
             marked = _sums(_MARKS[d], o) > 0
             docs = [{"doc_id": a, "part": p, "upper": u, "points": n, "marked": m, "digest": hashlib.sha256(d[o[k] : o[k + 1]]).digest()} for k, (a, p, u, n, m) in enumerate(zip(ids[i:j], parts[i:j], upper.tolist(), points.tolist(), marked.tolist()))]
-            values = [task + shard, len(words), _joined(words), docs, bounds.astype(np.int64).tobytes(), columns.astype(np.int32).tobytes(), _narrow(counts)]
+            values = [task + shard, len(words), _joined(words), docs, bounds.astype(np.int64).tobytes(), _packed(columns), _packed(counts)]
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("upper", pa.int64()), ("points", pa.int64()), ("marked", pa.bool_()), ("digest", pa.binary())])), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["shard", "n_words", "words", "docs", "bounds", "columns", "counts"])
             shard += 1
@@ -137,13 +137,13 @@ def _renumbered(batches):
         out = []
         for row in batch.to_pylist():
             numbers = [np.frombuffer(x["numbers"], np.int32).astype(np.int64) + (x["range"] << 32) for x in row["held"] or []]
-            column = np.concatenate([np.zeros(0, np.int64), *numbers])[np.frombuffer(row["columns"], np.int32)]
+            column = np.concatenate([np.zeros(0, np.int64), *numbers])[unpacked(row["columns"])]
             out.append(column.tobytes())
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("shard", "docs", "bounds")), pa.array(out, pa.binary()), batch["counts"]], ["shard", "docs", "bounds", "columns", "counts"])
 
 
-def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The dictionary (word, number, shards that have it) of all words, and the matrix as CSR shards (shard, docs, bounds, columns, counts)."""
+def _encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """The dictionary, the shards beside the numbers of their words, and the schema of the matrix."""
     small_batches(docs.sparkSession, rows=4096, size=SHARD_BYTES)
     text, part = F.coalesce("text", F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
     shards = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("text")).mapInArrow(_shards, _SHARD), "shards")
@@ -156,7 +156,13 @@ def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = numbered.where("shard is not null").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "numbers"))).alias("held"))
     kinds = {f.name: f.dataType.simpleString() for f in shards.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("shard", "docs", "bounds", "columns", "counts"))
-    return dictionary, shards.drop("words", "n_words").join(back, "shard", "left").mapInArrow(_renumbered, schema)
+    return dictionary, shards.drop("words", "n_words").join(back, "shard", "left"), schema
+
+
+def matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (word, number, shards that have it) of all words, and the matrix as CSR shards: shard, docs, bounds and columns (64-bit), counts (``unpacked``)."""
+    dictionary, shards, schema = _encoded(docs)
+    return dictionary, shards.mapInArrow(_renumbered, schema)
 
 
 def _row_sums(batches):
@@ -164,15 +170,15 @@ def _row_sums(batches):
     for batch in batches:
         for row in batch.to_pylist():
             bounds = np.frombuffer(row["bounds"], np.int64)
-            words, docs = _sums(counts_of(row["counts"]), bounds), row["docs"]
+            words, docs = _sums(unpacked(row["counts"]), bounds), row["docs"]
             arrays = [pa.array([x[c] for x in docs], k) for c, k in (("doc_id", pa.int64()), ("part", pa.string()), ("upper", pa.int64()), ("points", pa.int64()), ("marked", pa.bool_()), ("digest", pa.binary()))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(words), pa.array(np.diff(bounds))], ["doc_id", "part", "upper", "points", "marked", "digest", "n_words", "n_distinct"])
 
 
 def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask (bit i set: fails FILTERS[i]), n, good, toxic: documents by part and failing set; see ``audit``."""
-    _, blocks = matrix(docs)
-    rows = blocks.mapInArrow(_row_sums, "doc_id long, part string, upper long, points long, marked boolean, digest binary, n_words long, n_distinct long")
+    _, shards, _ = _encoded(docs)
+    rows = shards.mapInArrow(lambda batches: _row_sums(_renumbered(batches)), "doc_id long, part string, upper long, points long, marked boolean, digest binary, n_words long, n_distinct long")
     fails = (F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words"), 100 * F.col("upper") > MOST_UPPER * F.col("points"), F.col("marked"))
     mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
     rows = materialize(rows.select("doc_id", "part", "digest", mask.alias("mask")), "rows")

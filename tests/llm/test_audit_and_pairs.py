@@ -203,7 +203,7 @@ def test_matrix_holds_each_count(spark):
     word = {r.number: r.word for r in dictionary.collect()}
     got = {}
     for s in shards.collect():
-        bounds, columns, counts = np.frombuffer(s.bounds, np.int64), np.frombuffer(s.columns, np.int64), filter_audit.counts_of(s.counts)
+        bounds, columns, counts = np.frombuffer(s.bounds, np.int64), np.frombuffer(s.columns, np.int64), filter_audit.unpacked(s.counts)
         for d, a, b in zip(s.docs, bounds, bounds[1:]):
             got[d.doc_id] = {word[c]: n for c, n in zip(columns[a:b].tolist(), counts[a:b].tolist())}
     assert got == {1: {"a": 2, "b": 1}, 2: {"b": 1, "c": 3}, 3: {}}
