@@ -176,7 +176,7 @@ def _row_sums(batches):
 
 
 def flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """part, mask (bit i set: fails FILTERS[i]), n, good, toxic: documents by part and failing set; see ``audit``."""
+    """part, mask (bit i set: fails FILTERS[i]), n, good, toxic: documents by part and failing set; see ``interactions``."""
     _, shards, _ = _encoded(docs)
     rows = shards.mapInArrow(lambda batches: _row_sums(_renumbered(batches)), "doc_id long, part string, upper long, points long, marked boolean, digest binary, n_words long, n_distinct long")
     fails = (F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words"), 100 * F.col("upper") > MOST_UPPER * F.col("points"), F.col("marked"))
@@ -204,7 +204,7 @@ def _steps() -> str:
     return json.dumps([{"filter_order": "".join(o), "step": k + 1, "bit": bit[o[k]], "before": sum(bit[f] for f in o[:k])} for o in permutations(FILTERS) for k in range(len(o))])
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """What each filter removes at each step of each order of the five, by part (the lang; null is the empty one).
 
     A document fails A with under 200 words, B where under half of its words are distinct, C where over 3 % of its code points are

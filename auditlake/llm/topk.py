@@ -196,8 +196,8 @@ def _merged(k: int):
     return run
 
 
-def _answers(k: int):
-    """The k best of each query, without its own row."""
+def _answers(k: int, none: int):
+    """The k best of each query, without its own row; the id ``none`` stands for null."""
 
     def run(batches):
         for batch in batches:
@@ -209,29 +209,42 @@ def _answers(k: int):
                     entries = [(int(i), int(s)) for i, s in zip(ids, scores)]
                     if (q, own) in entries:
                         entries.remove((q, own))
-                    rows += [(q, n, i, min(max(s, _LOW), _TOP)) for n, (i, s) in enumerate(entries[:k], 1)]
+                    rows += [(q, n, None if i == none else i, min(max(s, _LOW), _TOP)) for n, (i, s) in enumerate(entries[:k], 1)]
                 columns = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["query_id", "rank", "vec_id", "score"])
 
     return run
 
 
+def _unused(rows: DataFrame) -> int:
+    """An id that no row has, greater than all where there is one."""
+    n, most = rows.agg(F.count("*"), F.max("vec_id")).first()
+    if most is None or most < _TOP:
+        return 0 if most is None else most + 1
+    free = rows.sparkSession.range(n + 1).withColumnRenamed("id", "vec_id").join(rows, "vec_id", "left_anti")
+    return free.agg(F.min("vec_id")).first()[0]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int = 4096, chunk_rows: int = 2048) -> DataFrame:
     """Each query's k rows of ``vectors`` with the largest integer inner product, ties to the smaller vec_id.
 
     Both have vec_id and v (array<bigint>), and the queries are rows of ``vectors``; a query meets every row but its own, so also
-    others of its vec_id. Rows with a null id or vector, no or null components take no part; neither do candidates of another
-    width than the query's. Repeated rows are candidates and queries each. Scores are exact and ordered as such; those beyond
+    others of its vec_id. Rows with a null vector, no or null components take no part; neither do candidates of another
+    width than the query's. Repeated rows are candidates and queries each. Rows without a vec_id are candidates with a null id, behind
+    all others in ties, but no queries. Scores are exact and ordered as such; those beyond
     64 bits are then held at the ends of that range. Other columns are ignored, empty tables give no rows. Buckets and chunks
     have at least ``bucket_rows`` and ``chunk_rows`` rows, and grow with the tables up to 16 times as many, which bounds a task.
     Returns query_id, rank (from 1), vec_id, score.
     """
-    fit = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<bigint>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
+    fit = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<bigint>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
     length = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
 
-    def dealt(df: DataFrame, least: int, name: str) -> tuple[DataFrame, int]:
+    every = materialize(fit(vectors).withColumn("width", F.size("v")).withColumn("norm", length), "vectors")
+    none = _unused(every)
+    named = every.withColumn("vec_id", F.coalesce("vec_id", F.lit(none)))
+
+    def dealt(wide: DataFrame, least: int, name: str) -> tuple[DataFrame, int]:
         """Blocks in order of width and falling length, and the number of buckets they are in."""
-        wide = materialize(fit(df).withColumn("width", F.size("v")).withColumn("norm", length), name)
         n = wide.count()
         rows = min(16 * least, max(least, n // 64))
         buckets = max(1, -(-n // rows))
@@ -239,13 +252,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int
         blocks = wide.repartitionByRange(buckets, *order).sortWithinPartitions("width", F.desc("norm"), "vec_id").select("vec_id", "v", "width").mapInArrow(_blocks(rows), _BLOCK)
         return materialize(blocks, name + "-blocks"), buckets
 
-    blocks, buckets = dealt(vectors, bucket_rows, "vectors")
-    asked, _ = dealt(queries, chunk_rows, "queries")
+    blocks, buckets = dealt(named, bucket_rows, "vectors")
+    asking = fit(queries).where("vec_id is not null").withColumn("width", F.size("v")).withColumn("norm", length)
+    asked, _ = dealt(materialize(asking, "queries"), chunk_rows, "queries")
     buckets = (blocks.agg(F.max("bucket")).first()[0] or 0) + 1
-    none = lambda kind: F.lit(b"").cast("binary").alias(kind)
+    nothing = lambda kind: F.lit(b"").cast("binary").alias(kind)
     chunk = F.col("bucket").cast("long") * (1 << 20) + F.col("place")
     zeros = F.unhex(F.repeat(F.lit("00"), F.length("ids")))  # nothing found yet by any query
-    state = asked.select(chunk.alias("chunk"), "width", F.lit(0.0).alias("need"), "ids", "matrix", "kind", zeros.alias("best_ids"), none("best_scores"), F.lit(False).alias("wide"))
+    state = asked.select(chunk.alias("chunk"), "width", F.lit(0.0).alias("need"), "ids", "matrix", "kind", zeros.alias("best_ids"), nothing("best_scores"), F.lit(False).alias("wide"))
     summary = blocks.groupBy("bucket", "width").agg(F.max("longest").alias("longest"))
     low = 0
     while low < buckets:
@@ -258,4 +272,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bucket_rows: int
         found = sent.groupBy("chunk", "bucket").cogroup(here.groupBy("chunk", "bucket")).applyInArrow(_met(k), _BEST)
         state = materialize(state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_merged(k), _STATE), "state")
         low = high
-    return state.mapInArrow(_answers(k), OUT)
+    return state.mapInArrow(_answers(k, none), OUT)

@@ -192,8 +192,8 @@ def test_filter_audit_equals_brute_force(spark, tmp_path, monkeypatch):
 def test_filter_audit_of_no_documents(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert filter_audit.audit(none, labels).count() == 0
-    one = filter_audit.audit(spark.createDataFrame([(1, None, None, None, None)], DOCS), labels).collect()
+    assert filter_audit.interactions(none, labels).count() == 0
+    one = filter_audit.interactions(spark.createDataFrame([(1, None, None, None, None)], DOCS), labels).collect()
     assert len(one) == 600 and {r.part for r in one} == {""} and sum(r.removed for r in one) == 120
 
 

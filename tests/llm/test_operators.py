@@ -391,8 +391,8 @@ def _best(rows, queries, k):
     """Each query row's k best others, told apart by their place."""
     out = []
     for n, (q, v) in queries:
-        others = sorted((-sum(x * y for x, y in zip(v, w)), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))
-        out += [(q, rank, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for rank, (s, i) in enumerate(others[:k], 1)]
+        others = sorted((-sum(x * y for x, y in zip(v, w)), i is None, i or 0) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))
+        out += [(q, rank, None if none else i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for rank, (s, none, i) in enumerate(others[:k], 1)]
     return sorted(out)
 
 
@@ -402,13 +402,13 @@ def test_top_k(spark, scale):
     rows = [(int(i), [int(x) for x in v]) for i, v in enumerate(rng.integers(-20, 20, (300, 8)))]
     if scale == "long tail":
         rows = [(i, [x * (1 + 400 * (i % 30 == 0)) for x in v]) for i, v in rows]
-    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(20, rows[20][1]), (20, rows[21][1]), (2002, [0] * 8), (2020, [0] * 8), (3000, [1, 2]), (3020, [2, 1])]
-    odd = [(2000, None), (2001, [None] * 8), (None, [1] * 8), (2003, [])]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)] + [(20, rows[20][1]), (20, rows[21][1]), (2002, [0] * 8), (2020, [0] * 8), (3000, [1, 2]), (3020, [2, 1]), (None, [1] * 8), (None, rows[40][1]), (None, [9, 9])]
+    odd = [(2000, None), (2001, [None] * 8), (2003, [])]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, v array<bigint>, rank int").repartition(3)
     asked = table.where("vec_id % 20 = 0")
     for kw in ({}, {"bucket_rows": 40, "chunk_rows": 4}):
         got = sorted(tuple(r) for r in topk.top_k(table, asked, k=5, **kw).collect())
-        assert got == _best(rows, [(n, r) for n, r in enumerate(rows) if r[0] % 20 == 0], 5)
+        assert got == _best(rows, [(n, r) for n, r in enumerate(rows) if r[0] is not None and r[0] % 20 == 0], 5)
     assert topk.top_k(table.limit(0), asked.limit(0)).count() == 0
 
 
@@ -418,6 +418,10 @@ def test_top_k_of_scores_beyond_64_bits(spark):
     table = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
     got = sorted(tuple(r) for r in topk.top_k(table, table, k=3).collect())
     assert got == _best(rows, list(enumerate(rows)), 3)
+    rows = [(top, [1, 2]), (-top - 1, [2, 2]), (None, [2, 2]), (0, [2, 2]), (5, [1, 1])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = sorted((tuple(r) for r in topk.top_k(table, table, k=4).collect()), key=str)
+    assert got == sorted(_best(rows, [(n, r) for n, r in enumerate(rows) if r[0] is not None], 4), key=str)
 
 
 def test_terms_are_found_away_from_their_entity(spark):
