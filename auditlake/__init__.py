@@ -1 +1 @@
-"""Analytics over tamper-evident audit logs, as DataFrame, SQL and Structured Streaming jobs."""
+"""Analytics over tamper-evident logs of automated agents, as DataFrame, SQL and Structured Streaming jobs."""

@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 #: Fixed values of the Unicode standard: default ignorable code points that are neither format nor control characters.
 _IGNORABLE = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
-_SPACES = frozenset("\t\n\v\f\r                  　")
+_SPACES = frozenset("\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: What may change: characters other than printable ASCII with the spaces around, and repeated spaces.
 _ODD = re.compile(r" *[^ -~][^!-~]*|  [^!-~]*")
 #: Terminal sequences, by how they start: with parameters and a final character; with a head, data and an end; a character or two.

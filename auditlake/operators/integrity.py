@@ -181,13 +181,19 @@ def signature_verdicts(signatures: DataFrame, records: DataFrame, head_prefix: s
     return invalid.unionByName(against).unionByName(left).withColumn("warning", mild)
 
 
+def _genuine(message: str | None, key: str | None, signature: str | None) -> bool:
+    try:
+        return None not in (message, key, signature) and ed25519.verify(message.encode(), bytes.fromhex(key), bytes.fromhex(signature))
+    except ValueError:  # no hexadecimal digits
+        return False
+
+
 def verified(message: Column, public_key: Column, signature: Column) -> Column:
-    """Whether hexadecimal ed25519 signatures (RFC 8032) are those of the keys over the messages."""
+    """Whether hexadecimal ed25519 signatures (RFC 8032) are those of the keys over the messages; what is malformed or null isn't."""
 
     @F.arrow_udf("boolean")
     def check(messages: pa.Array, keys: pa.Array, signatures: pa.Array) -> pa.Array:
-        rows = zip(messages.to_pylist(), keys.to_pylist(), signatures.to_pylist())
-        return pa.array([None not in r and ed25519.verify(r[0].encode(), bytes.fromhex(r[1]), bytes.fromhex(r[2])) for r in rows])
+        return pa.array([_genuine(*r) for r in zip(messages.to_pylist(), keys.to_pylist(), signatures.to_pylist())], pa.bool_())
 
     return check(message, public_key, signature)
 

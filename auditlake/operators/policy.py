@@ -241,6 +241,17 @@ STARTER_DOCUMENT = {
 }
 
 
+#: Fixed pattern: files by which clients are told their tools; a rule on them needs the folder of one's own evidence besides.
+_CONTROL_FILES = r"(^|/|\\)policy\.starter\.(yaml|yml|json)$|(^|/|\\)claude_desktop_config\.json$|(^|/|\\)\.mcp\.json$|(^|/|\\)\.cursor(/|\\)mcp\.json$|(^|/|\\)\.claude(/|\\)settings(\.local)?\.json$"
+
+
+def starter_document(own_folder: str) -> dict:
+    """The rules to start from with the one that guards the engine's own configuration and evidence, which lie in ``own_folder``."""
+    rules = STARTER_DOCUMENT["mcp"]["rules"]
+    guard = {"id": "dont-touch-the-controls", "match": {"any_arg": rf"(^|/|\\){re.escape(own_folder)}(/|\\|$)|{_CONTROL_FILES}"}, "action": "deny", "reason": "configuration and evidence stay as they are"}
+    return {"mcp": {**STARTER_DOCUMENT["mcp"], "rules": [*rules[:2], guard, *rules[2:]]}}
+
+
 def egress(requests: DataFrame, rules: list[dict], default: str = "deny") -> DataFrame:
     """Requests (host, method, path, and body_bytes where a rule has max_body_bytes) against rules with host globs, methods and path globs."""
     steps = [F.when(matches_any(F.col("host"), tuple(r["host"]), ".") & (F.col("method").isin(*r["methods"]) if r.get("methods") else F.lit(True)) & matches_any(F.col("path"), tuple(r.get("path", ("**",)))) & (F.coalesce(F.col("body_bytes") <= r["max_body_bytes"], F.lit(False)) if r.get("max_body_bytes") is not None else F.lit(True)), F.struct(F.lit(r["action"]).alias("action"), F.lit(f"rule[{i}]").alias("rule"))) for i, r in enumerate(rules)]
@@ -265,6 +276,48 @@ def spellings(server: Column, tool: Column) -> Column:
     return F.array_distinct(F.array(tool, F.concat(F.lit("mcp__"), server, F.lit("__"), tool), F.concat(F.lit("mcp__"), F.initcap(server), F.lit("__"), tool), F.concat(server, F.lit("."), tool)))
 
 
+#: A segment as an opaque id, one that nobody has seen, and the prefix of one client.
+OPAQUE_SEGMENT, UNKNOWN_SEGMENT, CLIENT_PREFIX = "47d587b8-3fb9-42e9-b596-f8b25371248c", "zz-unknown-segment-0", "claude_ai_"
+_UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def friendly_name(config_key: Column, host: Column) -> Column:
+    """A readable name of a server: its key, or for an opaque key the label of its host that says most; null without either."""
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    told = F.get(labels, F.size(labels) - 2)
+    return F.when(~config_key.rlike(_UUID), config_key).when(F.size(labels) >= 2, F.when(told == "mcp", F.get(labels, F.lit(0))).otherwise(told))
+
+
+def tool_spellings(config_key: Column, tool: Column, host: Column) -> Column:
+    """The names under which clients may call a server's tool, each once: by key, opaque id, friendly name as it is, capitalised or prefixed, host, and unknown segment."""
+    friendly = friendly_name(config_key, host)
+    capital = F.concat(F.upper(F.substring(friendly, 1, 1)), F.substring(friendly, 2, 1 << 20))
+    segments = F.array(config_key, F.lit(OPAQUE_SEGMENT), friendly, capital, F.concat(F.lit(CLIENT_PREFIX), friendly), host, F.lit(UNKNOWN_SEGMENT))
+    named = F.filter(segments, lambda x: x.isNotNull() & (x != ""))
+    return F.array_distinct(F.transform(named, lambda x: F.concat(F.lit("mcp__"), x, F.lit("__"), tool)))
+
+
+def spelling_drift(tools: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, server, tool, matched, missed): deny patterns that meet some spellings of a tool (server, tool, host) and miss others."""
+    names = tool_spellings(F.col("server"), F.col("tool"), F.col("host"))
+    hits = lambda p: F.filter("names", lambda n: n.rlike(p))
+    tests = F.array(*[F.struct(F.lit(p).alias("pattern"), hits(p).alias("matched"), F.array_except("names", hits(p)).alias("missed")) for p in patterns])
+    found = tools.select("server", "tool", names.alias("names")).select("server", "tool", F.explode(tests).alias("t")).select("t.pattern", "server", "tool", "t.matched", "t.missed")
+    return found.where((F.size("matched") > 0) & (F.size("missed") > 0))
+
+
+def catalog_coverage(catalog: DataFrame, rules: list[Rule], default: str, deny: list[str]) -> DataFrame:
+    """(server, tool, leg, action, rule) of each tool of a catalog (server, tool, host, leg) under the policy of its leg.
+
+    A tool of leg gateway is called with empty arguments; one of leg hook is denied if the deny patterns meet all its spellings.
+    """
+    gateway = evaluate(catalog.where("leg = 'gateway'").withColumn("_args", F.lit("{}")), rules, default, args="_args").select("server", "tool", "leg", "action", "rule")
+    names = tool_spellings(F.col("server"), F.col("tool"), F.col("host"))
+    denied = F.forall(names, lambda n: reduce(lambda a, b: a | b, [n.rlike(p) for p in deny], F.lit(False)))
+    hooked = catalog.where("leg = 'hook'").select("server", "tool", "leg", F.when(denied, "deny").otherwise("allow").alias("action"), F.lit(None).cast("string").alias("rule"))
+    return gateway.unionByName(hooked)
+
+
 def drift(tools: DataFrame, patterns: list[str]) -> DataFrame:
     """Deny patterns that match some spellings of a tool and miss others."""
     spelled = tools.select("server", "tool", F.explode(spellings(F.col("server"), F.col("tool"))).alias("name"))

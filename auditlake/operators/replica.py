@@ -74,9 +74,15 @@ def delivery_batches(records: DataFrame, most: int = 512, most_bytes: int = 1 <<
     return rows.repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInArrow(_batched(most, most_bytes), _BATCHES)
 
 
-def batch_faults(batches: DataFrame, protocol: int) -> DataFrame:
+#: The records and bytes of a batch, and the bytes of a batch of one record.
+MAX_RECORDS, MAX_BYTES, MAX_SINGLE_BYTES = 5000, 8 << 20, 32 << 20
+
+
+def batch_faults(batches: DataFrame, protocol: int, most_records: int = MAX_RECORDS, most_bytes: int = MAX_BYTES, most_single: int = MAX_SINGLE_BYTES) -> DataFrame:
     """batches with the reason for which each is refused, or null: the first check that fails.
 
+    A batch holds so many records and bytes at most; one of a single record, which can't be split, may be larger.
+
     Columns: protocol, chain_id, key, base_hash, from_seq, to_seq, head_seq, head_hash, records array<struct<seq, prev_hash, hash, event>>,
     body, body_digest. Seq 0 to 0 without records is a heartbeat.
     """
@@ -98,6 +104,7 @@ def batch_faults(batches: DataFrame, protocol: int) -> DataFrame:
         "count": ~beat & (n != F.col("to_seq") - F.col("from_seq") + 1),
         "record shape": ~F.coalesce(F.forall("records", good), F.lit(False)),
         "head": ~(least(F.col("head_seq"), 0) & hash64(F.col("head_hash"))),
+        "too large": (n > most_records) | (F.octet_length("body") > F.when(n <= 1, most_single).otherwise(most_bytes)),
     }
     return batches.withColumn("reason", F.coalesce(*[F.when(t, F.lit(r)) for r, t in tests.items()]))
 
@@ -119,8 +126,15 @@ def enrolment(keys: DataFrame, acknowledged: DataFrame) -> DataFrame:
     return chains.withColumn("sibling", sibling).join(trust, ["tenant", "key"])
 
 
-def hold_outcomes(holds: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
-    """Each hold's outcome: the first decision (approved, denied or cancelled) by its deadline, else timeout once that has passed, else pending."""
+def hold_outcomes(holds: DataFrame, decisions: DataFrame, now: Column, ends: DataFrame | None = None) -> DataFrame:
+    """Each hold's outcome: the first decision (approved, denied or cancelled) by its deadline, else timeout once that has passed, else pending.
+
+    With ``ends`` (session_id, ended_at) the end of a hold's session settles it as session_end, unless a decision came before.
+    """
+    if ends is not None:
+        last = ends.groupBy("session_id").agg(F.min("ended_at").alias("decided_at"))
+        over = holds.join(last, "session_id").select("approval_id", "decided_at", F.lit("session_end").alias("decision"))
+        decisions = decisions.select("approval_id", "decided_at", "decision").unionByName(over)
     timely = holds.select("approval_id", "timeout_at").join(decisions, "approval_id").where("decided_at < timeout_at")
     first = timely.groupBy("approval_id").agg(F.min_by("decision", F.struct("decided_at", "decision")).alias("first"))
     outcome = F.coalesce("first", F.when(F.col("timeout_at") <= now, "timeout").otherwise("pending"))

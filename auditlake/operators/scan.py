@@ -133,6 +133,9 @@ STARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "exfiltrate-to-url": ("any-case", ("exfiltrate", "send", "post", "upload", "forward", "transmit")),
     "address-the-ai": ("any-case", ("if",)),
 }
+_KNOWN = {**SECRETS, **INJECTION_FAMILIES}
+#: Lower-case literals of which a text needs one to hold a secret of any family.
+SECRET_LITERALS = tuple(sorted({w.lower() for f in SECRETS for w in STARTS[f][1]}))
 _RUN = re.compile(r"[\w-]*", re.ASCII)
 _FAR = 70  # beyond what a pattern allows between the start of a run and its literal
 
@@ -141,7 +144,7 @@ def _in_run(c: str) -> bool:
     return c in "-_" or c.isascii() and c.isalnum()
 
 
-class _Text:
+class HeldText:
     """A text with its lower-case form and where literals stand in it, found once."""
 
     def __init__(self, text: str):
@@ -178,7 +181,7 @@ class _Text:
     def matches(self, family: str, pattern: str):
         """The matches of a family's pattern, as finditer gives them."""
         compiled = _compiled(pattern)
-        if {**SECRETS, **INJECTION_FAMILIES}.get(family) != pattern:
+        if _KNOWN.get(family) != pattern:
             yield from (m for m in compiled.finditer(self.text) if m.end() > m.start())
             return
         how, literals = STARTS[family]
@@ -214,7 +217,7 @@ class Scanner:
 
     def raw_secrets(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, family) of each family's matches in turn, without those that are code or overlap a placeholder token."""
-        out, held = [], _Text(text)
+        out, held = [], HeldText(text)
         for family, pattern in self.secrets:
             for m in held.matches(family, pattern):
                 if not (family.startswith("secret-assignment") and is_code(m[0], family == "secret-assignment")):
@@ -238,7 +241,7 @@ class Scanner:
         """Merged spans of injections in all folded forms of the text, at their places in the text."""
         found = []
         for form in variants(text):
-            held = _Text(form.text)
+            held = HeldText(form.text)
             found += [form.back(m.start(), m.end()) for family, p in self.injections for m in held.matches(family, p)]
         return merged(found)
 

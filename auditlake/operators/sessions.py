@@ -102,3 +102,17 @@ def latency_quantiles(calls: DataFrame, by: list[str], exact: bool = True) -> Da
 def activity_rollup(events: DataFrame, *by: str) -> DataFrame:
     """Events, decisions and sessions at each level of a hierarchy."""
     return events.rollup(*by).agg(F.count("*").alias("events"), F.count("decision").alias("decisions"), F.count_distinct("session_id").alias("sessions"))
+
+
+def integrity_rollup(events: DataFrame, verdicts: DataFrame, tenant: str) -> DataFrame:
+    """Activity and integrity by tenant and chain, with totals by tenant and of all: a total is ok if all its chains are.
+
+    verdicts: chain_id, ok, problems. A chain without a verdict counts as unverified; one without decisions is told as such.
+    """
+    per = events.groupBy(tenant, "chain_id").agg(F.count("*").alias("events"), F.count("decision").alias("decisions"), F.count_distinct("session_id").alias("sessions"))
+    known = per.join(verdicts.select("chain_id", "ok", "problems"), "chain_id", "left")
+    total = known.rollup(tenant, "chain_id").agg(
+        F.sum("events").alias("events"), F.sum("decisions").alias("decisions"), F.sum("sessions").alias("sessions"), F.sum(F.coalesce("problems", F.lit(0))).alias("problems"),
+        F.min(F.coalesce("ok", F.lit(False))).alias("ok"), F.count_if(F.col("ok").isNull()).alias("unverified"),
+    )
+    return total.withColumn("no_decisions", F.col("decisions") == 0)

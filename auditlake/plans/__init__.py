@@ -1 +1 @@
-from . import registry, live  # noqa: F401, I001  live adds to the registry
+from . import registry, live, records  # noqa: F401, I001  the others add to the registry

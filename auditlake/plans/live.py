@@ -116,15 +116,15 @@ def stream_silence(spark, d):
     return told.select("chain_id", ntz("silent_from"), ntz("silent_until"))
 
 
-def _offered(spark, d, path: str) -> DataFrame:
-    """Sealed chains as a folder of three files: their first half; all but c1 to c4 whole, with an overlap; and what c1 to c4 claim instead.
+def _offered(spark, d, path: str, sound: bool) -> None:
+    """Sealed chains in two parts that overlap, or, not sound, as a folder of three files: their first half; all but c1 to c4 whole, with an overlap; and what c1 to c4 claim instead.
 
     Of c1 a stored record comes back altered, c2 goes on behind a gap, c3 links to another head, and c4 breaks a link within.
     """
     sealed = integrity.seal(chain_events(spark, d)).drop("event")
     n = sealed.groupBy("chain_id").agg(F.max("seq").alias("n"))
     rows = sealed.join(n, "chain_id").withColumn("half", F.floor(F.col("n") / 2))
-    odd = F.col("chain_id").isin("c1", "c2", "c3", "c4")
+    odd = F.lit(False) if sound else F.col("chain_id").isin("c1", "c2", "c3", "c4")
     columns = sealed.columns
     first = rows.where("seq <= half").select(columns)
     second = rows.where(~odd & (F.col("seq") >= F.col("half") - 1)).select(columns)
@@ -135,12 +135,11 @@ def _offered(spark, d, path: str) -> DataFrame:
     claims = claims.withColumn("hash", hash_).withColumn("prev_hash", prev).select(columns)
     for some in (first, second, claims):
         some.coalesce(1).write.mode("append").parquet(path)
-    return sealed
 
 
-def _ingested(spark, d) -> tuple[str, str]:
+def _ingested(spark, d, sound: bool = False) -> tuple[str, str]:
     records, out, refused = (shared_path(spark, n) for n in ("offered", "chains", "refused"))
-    _offered(spark, d, records)
+    _offered(spark, d, records, sound)
     admitted = stateful.ingest_chains(_stream(spark, records))
     streams.run_to_end(admitted, stateful.by_batch(out, refused, split=stateful.admitted_and_refused), shared_path(spark, "chain-state"))
     return out, refused
@@ -149,8 +148,14 @@ def _ingested(spark, d) -> tuple[str, str]:
 _HALVES = "h AS (SELECT chain_id, floor(max(seq) / 2)::BIGINT AS half FROM sealed GROUP BY 1)"
 
 
-@query("stream_chain_ingest", f"{_SEALED}, {_HALVES} SELECT chain_id, seq, prev_hash, hash FROM sealed JOIN h USING (chain_id) WHERE chain_id NOT IN ('c1', 'c2', 'c3', 'c4') OR seq <= half")
+@query("stream_chain_ingest", f"{_SEALED} SELECT chain_id, seq, prev_hash, hash FROM sealed")
 def stream_chain_ingest(spark, d):
+    """Sealed chains in micro-batches that overlap, admitted by each chain's state."""
+    return spark.read.schema("chain_id string, seq long, prev_hash string, hash string").parquet(_ingested(spark, d, sound=True)[0]).select("chain_id", "seq", "prev_hash", "hash")
+
+
+@query("stream_chain_admitted", f"{_SEALED}, {_HALVES} SELECT chain_id, seq, prev_hash, hash FROM sealed JOIN h USING (chain_id) WHERE chain_id NOT IN ('c1', 'c2', 'c3', 'c4') OR seq <= half")
+def stream_chain_admitted(spark, d):
     """Chain records in three micro-batches, admitted by each chain's state: overlaps once, forks, gaps and broken links not at all."""
     return spark.read.schema("chain_id string, seq long, prev_hash string, hash string").parquet(_ingested(spark, d)[0]).select("chain_id", "seq", "prev_hash", "hash")
 

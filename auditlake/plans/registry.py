@@ -1,4 +1,4 @@
-"""Registered audit queries over the given tables, with the SQL that gives the same rows."""
+"""Registered queries over the given tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -233,7 +233,7 @@ _EVALUATED = f"""c AS (SELECT * EXCLUDE args, {_ARGS} AS args, regexp_matches('u
 
 
 def _calls(spark, d) -> DataFrame:
-    """Audit events with nested arguments."""
+    """Events with nested arguments."""
     lit, text = F.lit, lambda c: F.col(c).cast("string")
     args = F.concat(lit('{"k":'), text("k"), lit(',"to":["u'), text("user_id"), lit('","'), "tool", lit('"],"note":{"n":"'), "server", lit(" "), text("k"), lit('"}}'))
     return audit_events(spark, d).withColumn("args", args)

@@ -1,4 +1,4 @@
-"""Audit tables made of the given event, page and order tables; the SQL beside each gives the same rows."""
+"""Log tables made of the given event, page and order tables; the SQL beside each gives the same rows."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One audit event per row of events."""
+    """One logged event per row of events."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type").isin("view", "error"), "tool_call").when((F.col("event_type") == "click") & (k % 6 == 0), "notification").when(F.col("event_type") == "click", "rpc").when(F.col("event_type") == "signup", "session_start").otherwise("policy_decision")

@@ -44,9 +44,29 @@ def chain_log_until_bad(spark: SparkSession, path: str) -> DataFrame:
     return log.join(bad, "file", "left").where("bad is null or line < bad").drop("bad")
 
 
-def heads(records: DataFrame, genesis: str) -> DataFrame:
-    """Each chain's head."""
-    return records.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.coalesce(F.max_by("hash", "seq"), F.lit(genesis)).alias("hash"))
+def heads(records: DataFrame, genesis: str, chains: DataFrame | None = None) -> DataFrame:
+    """Each chain's head. With ``chains`` (chain_id) those without records, too: seq 0 and the hash before the first."""
+    own = records.groupBy("chain_id").agg(F.max("seq").alias("seq"), F.coalesce(F.max_by("hash", "seq"), F.lit(genesis)).alias("hash"))
+    if chains is None:
+        return own
+    every = chains.select("chain_id").distinct().join(own, "chain_id", "left")
+    return every.select("chain_id", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("hash", F.lit(genesis)).alias("hash"))
+
+
+#: In which order each kind of listing comes.
+ORDERINGS = {
+    "records": ("chain_id", "seq"),
+    "sessions": (F.desc, "started_at", "session_id"),
+    "tools": ("server", "tool"),
+    "chains": (F.desc, "last_seen", "chain_id"),
+    "holds": ("created_at", "approval_id"),
+}
+
+
+def listed(rows: DataFrame, kind: str) -> DataFrame:
+    """rows in the order of their kind of listing; where that is the newest first, ids settle ties."""
+    first, *rest = ORDERINGS[kind]
+    return rows.orderBy(*((first(rest[0]), *rest[1:]) if callable(first) else (first, *rest)))
 
 
 def latest_signatures(signatures: DataFrame) -> DataFrame:
@@ -77,7 +97,7 @@ def records_between(records: DataFrame, first: int | None = None, last: int | No
     """Records of a range of seqs, a session or a chain, in order."""
     for column, test in (("seq", None if first is None else F.col("seq") >= first), ("seq", None if last is None else F.col("seq") <= last), ("session_id", None if session_id is None else F.col("session_id") == session_id), ("chain_id", None if chain_id is None else F.col("chain_id") == chain_id)):
         records = records if test is None else records.where(test)
-    return records.orderBy("chain_id", "seq")
+    return listed(records, "records")
 
 
 def counts_by_run(records: DataFrame) -> DataFrame:

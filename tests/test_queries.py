@@ -1,4 +1,4 @@
-"""Registered audit queries against DuckDB, and the published two-record chain facts."""
+"""Registered queries against DuckDB, and the published two-record chain facts."""
 
 import duckdb
 import pytest
