@@ -1,10 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
 A source's target over its size is each of its documents' expected number of copies. The whole part is taken as is; the
-fraction is a copy probability. Documents of a source meet in blocks of like size: going through a block, a pair
-randomly transfers probability mass until one of the two is 0 or 1, and the other goes on. Each block leaves one
-fractional document, which meets those of other blocks in a reduction tree; a source's last one is rounded by
-itself. So the number of copies differs from its expectation by less than one a source, in any class of size nearly so.
+fraction is a copy probability. Documents of a source meet in blocks of like size (within a factor of two): going through
+a block from the largest down, a pair randomly transfers mass, counted in words, until one of the two is 0 or 1, and the
+other goes on. The expected words stay as they are with every transfer. Each block leaves one fractional document, which
+meets those of other blocks in a reduction tree. The tree ends in one fractional document for each size level of a source;
+these few are settled from the largest down, each taken if the words that are still due ask for it, so that a source ends
+within about its smallest such document of its target. The few documents that are large against the target are decided before
+all others, whose fractions then make up for what that left or took; where those could not, the last large one goes the way that
+they can.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 _FAN_IN = 64
+_HEAVY = 50  # a document of over 1/50 of its source's target is decided first
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -43,28 +48,48 @@ def targets(sizes_by_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mo
 
 
 def _paired(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """One round: the units (doc, p, size) of each group, in order of size, in an array with 0 or 1 for all but the last."""
+    """One round: the units (doc, p, size) of each group, from the largest down, in an array with 0 or 1 for all but the last."""
     unit = F.struct(F.col("size"), F.col("doc"), F.col("p"))
-    grouped = units.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("u"))
+    grouped = units.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(unit))).alias("u"))
     none = F.expr("cast(array() as array<struct<doc:string,one:boolean>>)")
     start = F.struct(F.col("u")[0]["doc"].alias("doc"), F.col("u")[0]["size"].alias("size"), F.col("u")[0]["p"].alias("p"), none.alias("done"))
+    words = lambda x: F.greatest(x["size"], F.lit(1)).cast("double")
 
     def meet(a, x):
-        total = a["p"] + x["p"]
         u = (F.pmod(F.xxhash64(a["doc"], x["doc"], F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        low = total < 1
-        # Below 1, one of the two takes all mass and the other gets 0; else one gets 1 and the other keeps the rest.
-        first = u < F.when(low, a["p"] / F.greatest(total, F.lit(1e-300))).otherwise((1 - x["p"]) / (2 - total))
-        first_goes_on = first == low
-        left = F.when(low, total).otherwise(total - 1)
-        pick = lambda name: F.when(first_goes_on, a[name]).otherwise(x[name])
-        other = F.when(first_goes_on, x["doc"]).otherwise(a["doc"])
-        return F.struct(pick("doc").alias("doc"), pick("size").alias("size"), left.alias("p"), F.concat(a["done"], F.array(F.struct(other.alias("doc"), (~low).alias("one")))).alias("done"))
+        # Words that would make one of the two integral: towards a, or towards x. Each way is as likely as the other is long, so neither gains.
+        room_a, room_x, held_a, held_x = (1 - a["p"]) * words(a), (1 - x["p"]) * words(x), a["p"] * words(a), x["p"] * words(x)
+        to_a, to_x = F.least(room_a, held_x), F.least(held_a, room_x)
+        up = u < to_x / F.greatest(to_a + to_x, F.lit(1e-300))
+        a_is_done = F.when(up, room_a <= held_x).otherwise(held_a <= room_x)
+        one = F.when(a_is_done, up).otherwise(~up)  # what is done is 1 if it gained
+        moved = F.when(up, to_a).otherwise(-to_x)
+        left = F.when(a_is_done, x["p"] - moved / words(x)).otherwise(a["p"] + moved / words(a))
+        pick = lambda name: F.when(a_is_done, x[name]).otherwise(a[name])
+        done = F.struct(F.when(a_is_done, a["doc"]).otherwise(x["doc"]).alias("doc"), one.alias("one"))
+        return F.struct(pick("doc").alias("doc"), pick("size").alias("size"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)).alias("p"), F.concat(a["done"], F.array(done)).alias("done"))
 
     folded = F.aggregate(F.slice("u", F.lit(2), F.greatest(F.size("u") - 1, F.lit(0))), start, meet)
     return grouped.select(*keys, folded.alias("f"))
 
 
+def _settled(left: DataFrame) -> DataFrame:
+    """(doc, one) of each source's last units, one for each level: taken from the largest down while the words due ask for it."""
+    unit = F.struct(F.col("size"), F.col("doc"), F.col("p"))
+    units = left.groupBy("source").agg(F.reverse(F.array_sort(F.collect_list(unit))).alias("u"))  # a level doubles the size: a few dozen
+    sized = lambda x: x["size"].cast("double")
+    zero, none = F.lit(0.0), F.expr("cast(array() as array<struct<doc:string,one:boolean>>)")
+    start = F.struct(F.aggregate("u", zero, lambda t, x: t + x["p"] * sized(x)).alias("due"), F.aggregate("u", zero, lambda t, x: t + sized(x)).alias("rest"), none.alias("done"))
+
+    def settle(state, x):
+        rest = state["rest"] - sized(x)  # words of the units that are left to take
+        one = (state["due"] >= sized(x)) | (state["due"] - rest > sized(x) - state["due"])
+        due = F.when(one, state["due"] - sized(x)).otherwise(state["due"])
+        return F.struct(due.alias("due"), rest.alias("rest"), F.concat(state["done"], F.array(F.struct(x["doc"].alias("doc"), one.alias("one")))).alias("done"))
+
+    return units.select(F.explode(F.aggregate("u", start, settle)["done"]).alias("d")).select("d.doc", "d.one")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, block: int = 64) -> DataFrame:
     """How often the mix takes each document.
 
@@ -80,23 +105,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = base.join(planned.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     rated = rated.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
-    level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
-    units = rated.where("p > 0").select("source", level.alias("level"), "size", "doc", "p")
+    level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int")
+    heavy = F.col("size") * _HEAVY > F.col("target")
+    rest = materialize(rated.where("p > 0").where(~heavy).groupBy("source").agg(F.sum("size").alias("room"), F.max("p").alias("rate")).withColumnRenamed("source", "s"), "rest")
+    large = _paired(rated.where("p > 0").where(heavy), ["source"], seed).join(rest, F.col("source").eqNullSafe(F.col("s")), "left")  # at most a few hundred documents of a source
+    toss = (F.pmod(F.xxhash64("f.doc", F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / float(1 << 52) < F.col("f.p")
+    room, rate = F.coalesce("room", F.lit(0)), F.coalesce("rate", F.lit(0.0))  # what the others can give up or take on
+    if_one, if_none = F.greatest(F.lit(0.0), (1 - F.col("f.p")) * F.col("f.size") - rate * room), F.greatest(F.lit(0.0), F.col("f.p") * F.col("f.size") - (1 - rate) * room)
+    last = F.when(if_one < if_none, True).when(if_one > if_none, False).otherwise(toss)
+    decided = materialize(large.select(F.explode(F.concat("f.done", F.array(F.struct(F.col("f.doc").alias("doc"), last.alias("one"))))).alias("d")).select("d.doc", "d.one"), "decided")
+    over = rated.join(decided, "doc").groupBy("source").agg(F.sum((F.col("p") - F.col("one").cast("int")) * F.col("size")).alias("due"))
+    shift = rest.join(over, F.col("source").eqNullSafe(F.col("s"))).select("s", (F.col("due") / F.greatest("room", F.lit(1))).alias("shift"))
+    light = rated.where("p > 0").where(~heavy).join(shift, F.col("source").eqNullSafe(F.col("s")), "left")
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p") + F.coalesce("shift", F.lit(0.0))))
+    units = materialize(light.select("source", level.alias("level"), "size", "doc", p.alias("p")), "units")
     crowd = units.groupBy("source", "level").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     units = units.join(crowd.withColumnRenamed("source", "s").withColumnRenamed("level", "l"), F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l"))).drop("s", "l")
     units = units.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("blocks"))).drop("blocks")
-    blocks, decided = crowd.agg(F.max("blocks")).first()[0] or 0, None
+    blocks = crowd.agg(F.max("blocks")).first()[0] or 1
+    keys = ["source", "level", "block"]
     while True:
-        keys = ["source", "level", "block"] if blocks else ["source"]
         met = materialize(_paired(units, keys, seed), "pairs")
         done = met.select(F.explode("f.done").alias("d")).select("d.doc", "d.one")
-        decided = done if decided is None else decided.unionByName(done)
+        decided = decided.unionByName(done)
         left = met.select(*keys, "f.doc", "f.size", "f.p")
-        if not blocks:
+        if blocks == 1:
             break
-        blocks = 0 if blocks == 1 else -(-blocks // _FAN_IN)
-        units = left.withColumn("block", F.floor(F.col("block") / _FAN_IN)) if blocks else left.drop("level", "block")
-    last = left.select("doc", ((F.pmod(F.xxhash64("doc", F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / float(1 << 52) < F.col("p")).alias("one"))
-    chosen = decided.unionByName(last)
+        blocks = -(-blocks // _FAN_IN)
+        units = left.withColumn("block", F.floor(F.col("block") / _FAN_IN))
+    chosen = decided.unionByName(_settled(left))
     out = rated.join(chosen, "doc", "left").withColumn("copies", F.col("whole") + F.coalesce(F.col("one").cast("int"), F.lit(0)))
     return out.select("doc_id", "source", "size", "nth", "source_size", "target", "copies")

@@ -148,6 +148,31 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Documents of many sizes: each source ends within its smallest documents of its target; pairs keep the expected words."""
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for source, count in (("a", 40), ("b", 60), ("c", 300), ("d", 1), ("e", 2), (None, 80), ("z", 700)):
+        for size in np.maximum(1, np.exp(rng.normal(4, 1.1, count))).astype(int).tolist():
+            rows.append((n, "w " * size, source))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    by = {}
+    for r in mixing.mix(docs, block=8).collect():
+        by.setdefault(r.source, []).append(r)
+    for source, group in by.items():
+        off = abs(sum(r.copies * r.size for r in group) - group[0].target)
+        assert off <= (0.02 * group[0].target if len(group) >= 40 else max(r.size for r in group)), (source, off, group[0].target)
+        rate = group[0].target / group[0].source_size
+        assert all(r.copies in (int(rate), int(rate) + 1) or rate == int(rate) for r in group)
+    taken = {}
+    for seed in range(12):  # no size is favoured
+        for r in mixing.mix(docs.where("source = 'z'").withColumn("source", F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y")), seed=seed).collect():
+            key = (r.source, r.size > 55)
+            taken.setdefault(key, []).append(r.copies - r.target / r.source_size)
+    assert all(abs(np.mean(v)) < 0.08 for v in taken.values())
+
+
 def test_mixing_tells_null_from_empty_and_repeated_rows(spark):
     rows = [(1, "a b c", None), (1, "a b c", ""), (1, "a b c", ""), (1, "c b a", ""), (None, "a b", "x"), (None, "a b", "x"), (None, None, "x"), (2, "", None), (2, "a b c d e f g h", "y")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, copies int, nth int")
