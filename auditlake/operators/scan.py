@@ -64,8 +64,10 @@ def column_name(family: str) -> str:
 
 
 def family_counts(rows: DataFrame, text: str, families: dict[str, str]) -> DataFrame:
-    """rows with a count column for each family; null texts hold none."""
-    return rows.select("*", *[F.coalesce(F.regexp_count(F.col(text), F.lit(p)), F.lit(0)).alias(column_name(name)) for name, p in families.items()])
+    """rows with a count column for each family; null texts hold none. A family's pattern is only tried on texts that have what it needs."""
+    lowered = rows.withColumn("_lower", F.lower(text))
+    count = lambda name, p: F.when(_has_literal(F.col("_lower"), {name: p}), F.regexp_count(F.col(text), F.lit(p)))
+    return lowered.select(*rows.columns, *[F.coalesce(count(name, p), F.lit(0)).alias(column_name(name)) for name, p in families.items()])
 
 
 #: The text in place of an injection, the digits of a reference kept in a marker, the references kept of a result.
@@ -198,10 +200,13 @@ class HeldText:
 
 def may_hold(text: Column, families: dict[str, str]) -> Column:
     """Whether a text has a literal that one of the families has to have; without it no match is possible."""
+    return _has_literal(F.lower(text), families)
+
+
+def _has_literal(lower: Column, families: dict[str, str]) -> Column:
     literals = sorted({w.lower() for f in families if f in STARTS for w in STARTS[f][1]}) if all(f in STARTS for f in families) else []
     literals = [w for w in literals if not any(v != w and v in w for v in literals)]
-    lower = F.lower(text)
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in literals]), F.lit(False)) if literals else text.isNotNull()
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in literals]), F.lit(False)) if literals else lower.isNotNull()
 
 
 _UNFOLDED = r"[^\x09-\x0D\x20-\x7E]"  # characters that folding drops or turns into others

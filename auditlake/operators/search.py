@@ -123,28 +123,30 @@ def _parts(text: Column) -> Column:
 
 
 def _plain(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (with a column key) that hold a needle.
+    """Texts (with a column key) that hold a needle; without the key.
 
-    The texts' grams are posted by the number of the text alone, and only those that some needle has. A needle's rarest gram
-    names the texts in which it is then looked for; a needle with a gram that no text has is in none.
+    Each distinct text is looked at once. The texts' grams are posted by the number of the text alone, and only those that some
+    needle has. A needle's rarest gram names the texts in which it is then looked for; a needle with a gram that no text has is in none.
     """
     n = needles.where("needle <> ''").withColumn("size", F.least(F.length("needle"), F.lit(_GRAM)))
     sizes = sorted(r.size for r in n.select("size").distinct().collect())  # at most _GRAM of them
     if not sizes:
-        return texts.join(n.select("needle").limit(0), F.lit(False))
-    rows = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+        return texts.drop("key").join(n.select("needle").limit(0), F.lit(False))
+    rows = texts.where("key is not null").withColumn("digest", F.md5("key"))
+    distinct = written(rows.groupBy("digest").agg(F.first("key").alias("key")).withColumn("id", F.monotonically_increasing_id()), "texts")
     own = reduce(lambda rest, s: F.when(F.col("size") == s, _grams(F.col("needle"), s)).otherwise(rest), sizes[:-1], _grams(F.col("needle"), sizes[-1]))
     asked = written(n.select("needle", F.explode(F.array_distinct(own)).alias("gram")), "needle-grams")
     wanted = asked.select("gram").distinct()
     if wanted.count() <= _MOST_BROADCAST_GRAMS:
         wanted = F.broadcast(wanted)
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("part"), s) for s in sizes])))
-    posted = rows.select("id", F.explode(_parts(F.col("key"))).alias("part")).select("id", F.explode(every).alias("gram"))
+    posted = distinct.select("id", F.explode(_parts(F.col("key"))).alias("part")).select("id", F.explode(every).alias("gram"))
     postings = written(posted.join(wanted, "gram", "left_semi").distinct(), "postings")
     seen = F.coalesce("texts", F.lit(0))
     rare = asked.join(postings.groupBy("gram").agg(F.count("*").alias("texts")), "gram", "left").groupBy("needle").agg(F.min(F.struct(seen.alias("texts"), "gram")).alias("r"))
     candidates = rare.where("r.texts > 0").select("needle", "r.gram").join(postings, "gram").select("needle", "id")
-    return candidates.join(rows, "id").where(F.contains("key", F.col("needle"))).drop("id")
+    held = candidates.join(distinct, "id").where(F.contains("key", F.col("needle"))).select("needle", "digest")
+    return rows.drop("key").join(held, "digest").drop("digest")
 
 
 def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -161,7 +163,7 @@ def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = No
     plain = rows.where("matched_on = 'plain'")
     if texts is not None:
         plain = plain.unionByName(texts.select("event_id", "session_id", F.lit(0).alias("place"), F.lit("plain").alias("matched_on"), "path", F.col("text").alias("key")))
-    found = by_ref.unionByName(by_name).unionByName(_plain(n, plain))
+    found = by_ref.drop("key").unionByName(by_name.drop("key")).unionByName(_plain(n, plain))
     rank = F.array_position(F.lit(list(PRIORITY)), F.col("matched_on"))
     best = found.groupBy("needle", "event_id", "session_id").agg(F.min(F.struct(rank.alias("rank"), "place", "path", "matched_on")).alias("m"))
     return best.select("needle", "event_id", "session_id", "m.matched_on", "m.path")

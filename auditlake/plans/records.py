@@ -10,7 +10,8 @@ from ..functions import canonical as C
 from ..functions import ed25519, identity
 from ..operators import correlate, integrity, policy, redaction, replica, scan, search, sessions
 from ..sources import logs
-from ..sources.adapters import AUDIT, CHAIN, audit_events, chain_events, table
+from ..sources.adapters import AUDIT, CHAIN, audit_events, chain_events, spread, table
+from ..sources.shared import written
 from .registry import _REF, _SEALED, _TAMPERED, _tampered, query
 
 text = lambda c: F.col(c).cast("string")
@@ -212,7 +213,7 @@ def _with_secrets(spark, d) -> DataFrame:
     key = F.concat(lit("AKIA"), F.lpad(n, 16, "0"))
     note = F.concat(lit("first "), key, lit(" then "), key, F.when(F.col("event_id") % 4 == 0, F.concat(lit(" and ghp_"), lit("a" * 15), F.lpad(n, 8, "0"))).otherwise(""))
     event = F.concat(lit('{"kind":"tool_call","arguments":{"note":"'), note, lit('"}}'))
-    return audit_events(spark, d).select("event_id", "session_id", redaction.scrub(event, lockdown=True).alias("event"))
+    return spread(audit_events(spark, d).select("event_id", "session_id", event.alias("event"))).withColumn("event", redaction.scrub(F.col("event"), lockdown=True))
 
 
 @query("embedded_secret_refs", f"""WITH {AUDIT} SELECT event_id, {_REF.format(_NOTE)} AS ref, list_filter([{_REF.format(_TOKEN)}, CASE WHEN event_id % 4 = 0 THEN {_REF.format("'ghp_' || repeat('a', 15) || lpad(event_id::VARCHAR, 8, '0')")} END], lambda x: x IS NOT NULL) AS secret_refs FROM e""")
@@ -227,7 +228,7 @@ def embedded_secret_radius(spark, d):
     """Events that a key touched as a part of a longer text, which they keep as a reference only."""
     e = _with_secrets(spark, d)
     needles = e.where("event_id % 20 = 3").select(F.concat(lit("AKIA"), F.lpad(text("event_id"), 16, "0")).alias("needle"))
-    return search.touched(needles, search.event_index(e))
+    return search.touched(needles, written(search.event_index(e), "index"))
 
 
 @query("token_refs_in_texts", "SELECT page_id, list_sort(list_filter(list_distinct([" + _REF.format("t[1]") + ", " + _REF.format("t[2]") + """]), lambda x: x IS NOT NULL)) AS refs FROM (SELECT page_id, regexp_extract_all(html, '<title>[^<]*</title>') || regexp_extract_all(html, 'href="[^"]*"')[1:1] AS t FROM pages WHERE html IS NOT NULL) WHERE len(t) BETWEEN 1 AND 2""")

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is heavy for each row: over as many tasks as a shuffle has, where its files give fewer (a row group is one task)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() > n else df.repartition(n)
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One logged event per row of events."""
     e = table(spark, sf_dir, "events")
