@@ -160,10 +160,12 @@ def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = No
     rows = indexed.select("event_id", "session_id", place, "matched_on", "path", "key")
     by_ref = n.withColumn("key", ref(F.col("needle"))).join(rows.where("matched_on not in ('name', 'plain')"), "key")
     by_name = n.where("needle <> ''").withColumn("key", F.lower("needle")).join(rows.where("matched_on = 'name'"), "key")
-    plain = rows.where("matched_on = 'plain'")
+    found = by_ref.drop("key").unionByName(by_name.drop("key"))
+    plain = [rows.where("matched_on = 'plain'")] if "place" in indexed.columns else []  # an ``index`` holds no texts
     if texts is not None:
-        plain = plain.unionByName(texts.select("event_id", "session_id", F.lit(0).alias("place"), F.lit("plain").alias("matched_on"), "path", F.col("text").alias("key")))
-    found = by_ref.drop("key").unionByName(by_name.drop("key")).unionByName(_plain(n, plain))
+        plain.append(texts.select("event_id", "session_id", F.lit(0).alias("place"), F.lit("plain").alias("matched_on"), "path", F.col("text").alias("key")))
+    if plain:
+        found = found.unionByName(_plain(n, reduce(DataFrame.unionByName, plain)))
     rank = F.array_position(F.lit(list(PRIORITY)), F.col("matched_on"))
     best = found.groupBy("needle", "event_id", "session_id").agg(F.min(F.struct(rank.alias("rank"), "place", "path", "matched_on")).alias("m"))
     return best.select("needle", "event_id", "session_id", "m.matched_on", "m.path")
