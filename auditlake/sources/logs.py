@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.policy import friendly_name
+
 RECORD = "seq BIGINT, prev_hash STRING, hash STRING, event STRING"
 HOLD = "approval_id STRING, created_at STRING, session_id STRING, server STRING, tool STRING, args_hash STRING, rule_id STRING, reason STRING, status STRING, timeout_at STRING, decided_at STRING, decided_by STRING"
 STATUSES = ("pending", "approved", "denied", "timeout", "cancelled")
@@ -81,11 +83,18 @@ def holds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tool_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(server, url, host, tool) of client configuration documents."""
+    """(server, url, host, tool, permission_policy, friendly) of client configuration documents.
+
+    The host is that of the address which a relay's parameter mcp_url names, else of the address itself. What is no such document
+    gives no rows.
+    """
     shape = "mcpServers MAP<STRING, STRUCT<url: STRING, tools: ARRAY<STRUCT<name: STRING, permission_policy: STRING>>>>"
     docs = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("d"))
     servers = docs.select(F.explode("d.mcpServers").alias("server", "s"))
-    return servers.select("server", "s.url", F.try_parse_url("s.url", F.lit("HOST")).alias("host"), F.explode_outer("s.tools").alias("t")).select("server", "url", "host", F.col("t.name").alias("tool"), F.col("t.permission_policy").alias("permission_policy"))
+    relayed = F.try_parse_url(F.try_url_decode(F.try_parse_url("s.url", F.lit("QUERY"), F.lit("mcp_url"))), F.lit("HOST"))
+    host = F.lower(F.coalesce(relayed, F.try_parse_url("s.url", F.lit("HOST"))))
+    each = servers.select("server", "s.url", host.alias("host"), F.explode_outer("s.tools").alias("t"))
+    return each.select("server", "url", "host", F.col("t.name").alias("tool"), F.col("t.permission_policy").alias("permission_policy"), friendly_name(F.col("server"), F.col("host")).alias("friendly"))
 
 
 def policy_fingerprints(spark: SparkSession, path: str) -> DataFrame:

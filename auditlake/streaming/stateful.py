@@ -7,6 +7,7 @@ its time doesn't grow with what is stored, and after a loss the batch runs again
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,10 @@ def admitted_and_refused(batch: DataFrame) -> list[DataFrame]:
     return [batch.where("reason is null").select("chain_id", "seq", "prev_hash", "hash"), batch.where("reason is not null")]
 
 
+def _time(us: int | None) -> datetime | None:
+    return None if us is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
+
+
 OUTAGES = "chain_id string, silent_from timestamp, silent_until timestamp, state string"
 
 
@@ -153,10 +158,7 @@ class _Silence(StatefulProcessor):
 
     @staticmethod
     def _row(chain: str, start: int, end: int | None, state: str) -> Row:
-        from datetime import datetime, timedelta, timezone
-
-        at = lambda us: None if us is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
-        return Row(chain_id=chain, silent_from=at(start), silent_until=at(end), state=state)
+        return Row(chain_id=chain, silent_from=_time(start), silent_until=_time(end), state=state)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         yield from self._advance(key[0], [r.at for r in rows], timerValues.getCurrentWatermarkInMs() * 1000)
@@ -202,3 +204,66 @@ def live_request_response(requests: DataFrame, responses: DataFrame, keys: list[
     ids = [F.coalesce(F.col(f"q.{k}"), F.col(f"r.{k}")).alias(k) for k in keys]
     took = F.unix_micros("answered_at") - F.unix_micros("asked_at")
     return joined.select(*ids, "asked_at", "answered_at", (took / 1000).alias("duration_ms"), status.alias("status"))
+
+
+SETTLED = "approval_id string, outcome string, settled_at timestamp"
+
+
+class _Hold(StatefulProcessor):
+    """A hold's deadline and its first decision so far; told once, when the watermark has passed what settles it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deadline = handle.getValueState("deadline", "at long, told boolean")
+        self.first = handle.getValueState("first", "at long, decision string")
+
+    def _settle(self, approval: str, watermark: int) -> Iterator[Row]:
+        deadline, told = self.deadline.get() or (None, False)
+        if deadline is None or told:
+            return
+        first = self.first.get()
+        timely = first is not None and first[0] < deadline
+        at, outcome = (first[0], first[1]) if timely else (deadline, "timeout")
+        if watermark >= at:
+            self.deadline.update((deadline, True))
+            self.first.clear()
+            yield Row(approval_id=approval, outcome=outcome, settled_at=_time(at))
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        deadline, told = self.deadline.get() or (None, False)
+        first = self.first.get()
+        for r in rows:
+            if r.decision is None:
+                deadline = r.until if deadline is None else min(deadline, r.until)
+            elif first is None or (r.at, r.decision) < tuple(first):
+                first = (r.at, r.decision)
+        if deadline is not None:
+            self.deadline.update((deadline, told))
+        if first is not None and not told:
+            self.first.update(tuple(first))
+        yield from self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def live_hold_outcomes(holds: DataFrame, decisions: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Holds (approval_id, created_at, timeout_at) as they are settled by decisions (approval_id, decided_at, decision), or by their deadline.
+
+    The first decision before the deadline wins, whatever the order in which they arrive within ``delay``; ties go to the lesser
+    word. A hold is told once, with the time that settled it: what ``replica.hold_outcomes`` says of all that aren't pending.
+    """
+    with_state_store(holds.sparkSession)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = holds.select("approval_id", F.col("created_at").cast("timestamp").alias("time"), none("long").alias("at"), none("string").alias("decision"), us("timeout_at").alias("until"))
+    said = decisions.select("approval_id", F.col("decided_at").cast("timestamp").alias("time"), us("decided_at").alias("at"), "decision", none("long").alias("until")).where("decision is not null")
+    rows = asked.unionByName(said).withWatermark("time", delay)
+    return rows.groupBy("approval_id").transformWithState(_Hold(), SETTLED, "Append", "EventTime")

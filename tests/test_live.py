@@ -167,6 +167,26 @@ def test_live_correlation_equals_the_batch(spark, tmp_path):
     assert got == sorted(want + [(s, i, "orphan_response", 0.0) for s, i, _ in late])
 
 
+def test_holds_are_settled_as_in_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    at = lambda m: T0 + timedelta(minutes=m)
+    holds = [(f"h{i}", at(i), at(i + 20)) for i in range(40)]
+    decisions = [(f"h{i}", at(i + rng.choice([1, 5, 19, 20, 25])), rng.choice(["approved", "denied", "cancelled"])) for i in range(0, 40, 2) for _ in range(rng.choice([1, 1, 3]))] + [("h0", at(5), "approved"), ("h0", at(5), "cancelled"), ("lost", at(3), "denied")]
+    decisions.sort(key=lambda r: (r[1], rng.random()))
+    h, d = "approval_id string, created_at timestamp, timeout_at timestamp", "approval_id string, decided_at timestamp, decision string"
+    cut = lambda rows, end: [rows[: len(rows) // 2], rows[len(rows) // 2 :], [end]]
+    out = stateful.live_hold_outcomes(_files(spark, f"{tmp_path}/h", cut(holds, (None, at(55), at(99))), h), _files(spark, f"{tmp_path}/d", cut(decisions, (None, at(55), "denied")), d), "60 minutes")
+    _run(out.where("approval_id is not null"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.schema(out.schema).parquet(f"{tmp_path}/out").count() == 0  # the watermark hasn't passed anything yet
+    for name, row in (("h", (None, at(115), at(999))), ("d", (None, at(115), "denied"))):
+        spark.createDataFrame([row], h if name == "h" else d).write.mode("append").parquet(f"{tmp_path}/{name}")
+    again = stateful.live_hold_outcomes(*(spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}") for n, s in (("h", h), ("d", d))), "60 minutes")
+    _run(again.where("approval_id is not null"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r.approval_id, r.outcome) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect())
+    batch = replica.hold_outcomes(spark.createDataFrame(holds, h), spark.createDataFrame(decisions, d), F.lit(at(55)))
+    assert got == sorted((r.approval_id, r.outcome) for r in batch.where("outcome <> 'pending'").collect()) and {"timeout", "approved"} <= {o for _, o in got}
+
+
 def test_a_growing_log_is_read_once(spark, tmp_path):
     folder, out, state = tmp_path / "logs", f"{tmp_path}/out", f"{tmp_path}/state"
     folder.mkdir()

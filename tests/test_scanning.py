@@ -1,6 +1,7 @@
 """Scans by literal starts against plain regular expressions, folded forms, and what redaction keeps."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import canonical as C
 from auditlake.functions import identity
 from auditlake.operators import folding, policy, redaction, scan
+from auditlake.sources import logs
 
 PIECES = [
     "password", "Password", "passwd", "secret", "Token", "token", "api-key", "apiKey", "API_KEY", "=", ":", " ", "  ", "\t", "\n", "'", '"', "-", "--", "_", "eyJ", "eyJhbGciOiJIUzI1", "eyJ-", ".", "abcDEF123456",
@@ -173,6 +175,15 @@ def test_friendly_names_and_spellings(spark):
     assert got == [("box", 5), ("clickup", 7), ("x", 7), (None, 4), (None, 3)]
 
 
+def test_catalogs_name_vendors(spark, tmp_path):
+    key = "00000000-0000-4000-8000-000000000001"
+    servers = {key: {"url": "https://relay.example/x?mcp_url=https%3A%2F%2FMCP.Vendor.com%2Fmcp", "tools": [{"name": "a"}]}, "box": {"url": "https://box.example"}}
+    (tmp_path / "one.json").write_text(json.dumps({"mcpServers": servers}))
+    (tmp_path / "two.json").write_text("{broken")
+    got = {(r.server, r.host, r.tool, r.friendly) for r in logs.tool_catalog(spark, str(tmp_path)).collect()}
+    assert got == {(key, "mcp.vendor.com", "a", "vendor"), ("box", "box.example", None, "box")}
+
+
 def test_tokens_that_are_none(spark):
     rows = spark.createDataFrame([("",), ("a.b",), ("a.b.c",), ("x" * 20_000,), (None,), ("e30.e30.x",)], "token string")
     got = [r.actor and r.actor.error for r in identity.with_actor(rows, "token", "i", "a", F.lit(0)).collect()]
