@@ -20,7 +20,8 @@ from .storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 _FAN_IN = 64
-_HEAVY = 50  # a document of over 1/50 of its source's target is decided first
+_HEAVY = 50  # a document of over 1/50 of its source's target is decided first,
+_SHARE = 10_000  # if it is over 1/10000 of the source as well: so a source has fewer than that
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -106,9 +107,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rated = base.join(planned.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     rated = rated.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.floor("rate"))
     level = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int")
-    heavy = F.col("size") * _HEAVY > F.col("target")
+    heavy = (F.col("size") * _HEAVY > F.col("target")) & (F.col("size") * _SHARE > F.col("source_size"))
     rest = materialize(rated.where("p > 0").where(~heavy).groupBy("source").agg(F.sum("size").alias("room"), F.max("p").alias("rate")).withColumnRenamed("source", "s"), "rest")
-    large = _paired(rated.where("p > 0").where(heavy), ["source"], seed).join(rest, F.col("source").eqNullSafe(F.col("s")), "left")  # at most a few hundred documents of a source
+    large = _paired(rated.where("p > 0").where(heavy), ["source"], seed).join(rest, F.col("source").eqNullSafe(F.col("s")), "left")  # fewer than _SHARE documents of a source
     toss = (F.pmod(F.xxhash64("f.doc", F.lit(seed + 1)), F.lit(1 << 52)) + 0.5) / float(1 << 52) < F.col("f.p")
     room, rate = F.coalesce("room", F.lit(0)), F.coalesce("rate", F.lit(0.0))  # what the others can give up or take on
     if_one, if_none = F.greatest(F.lit(0.0), (1 - F.col("f.p")) * F.col("f.size") - rate * room), F.greatest(F.lit(0.0), F.col("f.p") * F.col("f.size") - (1 - rate) * room)
