@@ -341,7 +341,10 @@ def verdict(slots: DataFrame, message: str, text: str, secrets: str = "redact",
 
 
 def merge_spans(spans: DataFrame, by: str) -> DataFrame:
-    """Overlapping (start, end) of each group as one; touching ones stay apart."""
+    """Overlapping (start, end) of each group as one; touching ones stay apart.
+
+    Both windows go over one sort, so rows of equal spans keep their places between them: the first one opens an island.
+    """
     w = Window.partitionBy(by).orderBy("start", F.desc("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))

@@ -354,8 +354,8 @@ def boundary_redaction(spark, d):
     return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", scan.redact(F.col("html"), injections=True).alias("html"))
 
 
-@query("merge_spans", f"""WITH {AUDIT}, s AS (SELECT session_id, k AS start, k + 3 + k % 5 AS "end" FROM e), m AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
-    i AS (SELECT *, sum(CASE WHEN r IS NULL OR start >= r THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT session_id, min(start) AS start, max("end") AS "end", count(*) AS spans FROM i GROUP BY session_id, island""")
+@query("merge_spans", f"""WITH {AUDIT}, s AS (SELECT session_id, k AS start, k + 3 + k % 5 AS "end" FROM e), m AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start NULLS FIRST, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
+    f AS (SELECT *, CASE WHEN r IS NULL OR start >= r THEN 1 ELSE 0 END AS new FROM m), i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY start NULLS FIRST, "end" DESC, new DESC ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT session_id, min(start) AS start, max("end") AS "end", count(*) AS spans FROM i GROUP BY session_id, island""")
 def merge_spans(spark, d):
     spans = audit_events(spark, d).select("session_id", F.col("k").alias("start"), (F.col("k") + 3 + F.col("k") % 5).alias("end"))
     return scan.merge_spans(spans, "session_id")
