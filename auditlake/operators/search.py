@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import ref
-from ..sources.shared import written
+from ..sources.shared import ROWS_PER_TASK, dealt, written
 
 #: Fixed order: strongest match first.
 PRIORITY = ("ref", "result_hash", "args_hash", "credential", "name", "plain")
@@ -107,8 +107,10 @@ def event_index(events: DataFrame) -> DataFrame:
 
 #: Characters of a gram, and of the parts into which long texts are cut so that a row's grams stay few.
 _GRAM, _PART = 4, 4096
-#: Grams of needles up to which they are sent to every task.
-_MOST_BROADCAST_GRAMS = 200_000
+#: Grams of needles, or needles, up to which they are sent to every task.
+_MOST_BROADCAST = 200_000
+#: Rows of one key from which they are dealt to several tasks, and the share of rows that is looked at to find such keys.
+_FREQUENT, _SHARE = ROWS_PER_TASK // 5, 0.001
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -122,8 +124,24 @@ def _parts(text: Column) -> Column:
     return F.transform(parts, lambda part, i: F.concat(part, F.coalesce(F.substring(F.get(parts, i + 1), 1, _GRAM - 1), F.lit(""))))
 
 
-def _plain(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Texts (with a column key) that hold a needle; without the key.
+def _met(rows: DataFrame, held: DataFrame, key: str, total: int) -> DataFrame:
+    """rows (so many) with the rows of held that have the same key.
+
+    A frequent key's rows are dealt to several tasks, and its rows of held to each of these; which keys are frequent is estimated, which
+    moves rows to other tasks but leaves none out.
+    """
+    if total <= ROWS_PER_TASK:
+        return rows.join(held, key)
+    seen = rows.select(key).sample(_SHARE, 1).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= _FREQUENT * _SHARE / 2)
+    frequent = F.broadcast(written(seen.select(key, F.ceil(F.col("n") / (_FREQUENT * _SHARE)).cast("int").alias("parts")), "frequent-keys"))
+    own = F.pmod(F.xxhash64("event_id", "path"), F.col("parts")).cast("int")
+    some = rows.join(frequent, key, "left").withColumn("part", F.coalesce(own, F.lit(0))).drop("parts")
+    each = held.join(frequent, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt(some, total, key, "part").join(dealt(each, total, key, "part"), [key, "part"]).drop("part")
+
+
+def _plain(needles: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Texts (with a column key; so many of them) that hold a needle, without the key; and how many rows these are.
 
     Each distinct text is looked at once. The texts' grams are posted by the number of the text alone, and only those that some
     needle has. A needle's rarest gram names the texts in which it is then looked for; a needle with a gram that no text has is in none.
@@ -131,43 +149,50 @@ def _plain(needles: DataFrame, texts: DataFrame) -> DataFrame:
     n = needles.where("needle <> ''").withColumn("size", F.least(F.length("needle"), F.lit(_GRAM)))
     sizes = sorted(r.size for r in n.select("size").distinct().collect())  # at most _GRAM of them
     if not sizes:
-        return texts.drop("key").join(n.select("needle").limit(0), F.lit(False))
+        return texts.drop("key").join(n.select("needle").limit(0), F.lit(False)), 0
     rows = texts.where("key is not null").withColumn("digest", F.md5("key"))
-    distinct = written(rows.groupBy("digest").agg(F.first("key").alias("key")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    distinct = written(rows.groupBy("digest", "key").agg(F.count("*").alias("rows")).withColumn("id", F.monotonically_increasing_id()), "texts")
     own = reduce(lambda rest, s: F.when(F.col("size") == s, _grams(F.col("needle"), s)).otherwise(rest), sizes[:-1], _grams(F.col("needle"), sizes[-1]))
     asked = written(n.select("needle", F.explode(F.array_distinct(own)).alias("gram")), "needle-grams")
     wanted = asked.select("gram").distinct()
-    if wanted.count() <= _MOST_BROADCAST_GRAMS:
-        wanted = F.broadcast(wanted)
+    few = wanted.count() <= _MOST_BROADCAST
+    small = lambda df: F.broadcast(df) if few else df
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("part"), s) for s in sizes])))
     posted = distinct.select("id", F.explode(_parts(F.col("key"))).alias("part")).select("id", F.explode(every).alias("gram"))
-    postings = written(posted.join(wanted, "gram", "left_semi").distinct(), "postings")
+    postings = written(posted.join(small(wanted), "gram", "left_semi").distinct(), "postings")
     seen = F.coalesce("texts", F.lit(0))
-    rare = asked.join(postings.groupBy("gram").agg(F.count("*").alias("texts")), "gram", "left").groupBy("needle").agg(F.min(F.struct(seen.alias("texts"), "gram")).alias("r"))
+    rare = asked.join(small(postings.groupBy("gram").agg(F.count("*").alias("texts"))), "gram", "left").select("needle", F.struct(seen.alias("texts"), "gram").alias("r"))
+    rare = dealt(rare, asked.count(), "needle").groupBy("needle").agg(F.min("r").alias("r"))
     candidates = rare.where("r.texts > 0").select("needle", "r.gram").join(postings, "gram").select("needle", "id")
-    held = candidates.join(distinct, "id").where(F.contains("key", F.col("needle"))).select("needle", "digest")
-    return rows.drop("key").join(held, "digest").drop("digest")
+    held = written(candidates.join(distinct, "id").where(F.contains("key", F.col("needle"))).select("needle", "digest", "rows"), "held")
+    matches = held.agg(F.sum("rows").alias("n")).first().n or 0
+    return _met(rows.drop("key"), held.drop("rows"), "digest", total).drop("digest"), matches
 
 
 def touched(needles: DataFrame, indexed: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The strongest match of each needle in each event, over an ``index`` or ``event_index``.
 
     Empty needles match nothing by name or text. ``texts`` (event_id, session_id, path, text) adds plain texts to those of the
-    index; a needle meets them by equal grams, not one by one.
+    index; a needle meets them by equal grams, not one by one. Rows are counted first, so that each task sorts a bounded number of them.
     """
     n = needles.select("needle").distinct()
     place = F.col("place") if "place" in indexed.columns else F.lit(0).alias("place")
     rows = indexed.select("event_id", "session_id", place, "matched_on", "path", "key")
-    by_ref = n.withColumn("key", ref(F.col("needle"))).join(rows.where("matched_on not in ('name', 'plain')"), "key")
-    by_name = n.where("needle <> ''").withColumn("key", F.lower("needle")).join(rows.where("matched_on = 'name'"), "key")
+    total, few = rows.count(), n.count() <= _MOST_BROADCAST
+    meet = lambda some, keyed: some.join(F.broadcast(keyed), "key") if few else _met(some, keyed, "key", total)
+    by_ref = meet(rows.where("matched_on not in ('name', 'plain')"), n.withColumn("key", ref(F.col("needle"))))
+    by_name = meet(rows.where("matched_on = 'name'"), n.where("needle <> ''").withColumn("key", F.lower("needle")))
     found = by_ref.drop("key").unionByName(by_name.drop("key"))
     plain = [rows.where("matched_on = 'plain'")] if "place" in indexed.columns else []  # an ``index`` holds no texts
     if texts is not None:
         plain.append(texts.select("event_id", "session_id", F.lit(0).alias("place"), F.lit("plain").alias("matched_on"), "path", F.col("text").alias("key")))
+        total += texts.count()
     if plain:
-        found = found.unionByName(_plain(n, reduce(DataFrame.unionByName, plain)))
+        held, matches = _plain(n, reduce(DataFrame.unionByName, plain), total)
+        found, total = found.unionByName(held), total + matches
     rank = F.array_position(F.lit(list(PRIORITY)), F.col("matched_on"))
-    best = found.groupBy("needle", "event_id", "session_id").agg(F.min(F.struct(rank.alias("rank"), "place", "path", "matched_on")).alias("m"))
+    own = found.select("needle", "event_id", "session_id", F.struct(rank.alias("rank"), "place", "path", "matched_on").alias("m"))
+    best = dealt(own, total, "needle", "event_id", "session_id").groupBy("needle", "event_id", "session_id").agg(F.min("m").alias("m"))
     return best.select("needle", "event_id", "session_id", "m.matched_on", "m.path")
 
 

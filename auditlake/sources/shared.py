@@ -19,3 +19,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task sorts, about.
+ROWS_PER_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of so many rows by keys, over as many tasks as keep what one sorts at ``ROWS_PER_TASK``, whatever a shuffle's own number is; a small df as it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, -(-rows // ROWS_PER_TASK)), *keys) if rows > ROWS_PER_TASK else df

@@ -1,9 +1,13 @@
 """Equal rows in large numbers, and how plans grow with their tables."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from auditlake.functions import canonical as C
+from auditlake.operators import search
 from auditlake.plans import registry
+from auditlake.sources import shared
 
 
 def test_equal_spans_are_merged_alike(spark, tmp_path):
@@ -21,3 +25,27 @@ def test_equal_spans_are_merged_alike(spark, tmp_path):
     apart = lambda a, b: con.sql(f"SELECT count(*) FROM (SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b})").fetchall()[0][0]
     assert con.sql("SELECT sum(spans) FROM got").fetchall()[0][0] == 300_000
     assert (apart("want", "got"), apart("got", "want")) == (0, 0)
+
+
+def _many_events(spark, n: int):
+    """Events that all hold the same text, and a key of their own."""
+    event = F.concat(F.lit('{"kind":"tool_call","note":"same text","own":{"redacted":true,"len":1,"ref":"'), C.ref(F.col("id").cast("string")), F.lit('"}}'))
+    return spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 7).cast("string").alias("session_id"), event.alias("event"))
+
+
+def _most_in_a_task(df) -> int:
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_a_text_of_all_events_is_met_by_many_tasks(spark, monkeypatch, sent):
+    for module in (shared, search):
+        monkeypatch.setattr(module, "ROWS_PER_TASK", 500, raising=False)
+    for name, value in (("_FREQUENT", 100), ("_SHARE", 1.0), ("_MOST_BROADCAST", sent)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    needles = spark.createDataFrame([("same",), ("text",), ("tool_",), ("absent",), ("",)], "needle string").union(spark.range(0, 2000, 2).select(F.col("id").cast("string")))
+    got = search.touched(needles, shared.written(search.event_index(_many_events(spark, 2000)), "index"))
+    counts = {r.matched_on: r["count"] for r in got.groupBy("matched_on").count().collect()}
+    assert counts == {"plain": 6000, "ref": 1000}
+    assert got.select("needle", "event_id").distinct().count() == 7000
+    assert _most_in_a_task(got) < 1000
