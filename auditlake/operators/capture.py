@@ -51,8 +51,19 @@ def recovered_outcomes(events: DataFrame, dead_runs: DataFrame, ended_sessions:
     return lost.select(*key, "session_id", "run_id", ref(F.concat("event_id", F.lit(":recovered-outcome"))).alias("event_id"), F.when(F.col("decision") == "deny", "denied").otherwise("unknown").alias("outcome"), F.lit("recorder_exit").alias("reason"))
 
 
+#: Dead runs up to which they are sent to every task.
+_MOST_BROADCAST = 200_000
+
+
 def recovery_gaps(events: DataFrame, dead_runs: DataFrame) -> DataFrame:
-    """One gap row for each dead run (run_id, started_at) that has none yet, in the session of its first event (null if it has no event)."""
-    first = events.groupBy("run_id").agg(F.min_by("session_id", "seq").alias("session_id"))
-    gaps = dead_runs.select("run_id", "started_at").join(first, "run_id", "left").withColumn("event_id", ref(F.concat("run_id", F.lit(":coverage-gap"))))
-    return gaps.join(events.select("event_id").distinct(), "event_id", "left_anti").select("event_id", "run_id", "session_id", F.col("started_at").alias("ts"), F.lit("recorder_exit").alias("reason"), F.lit(0).cast("long").alias("dropped_at_least"))
+    """One gap row for each dead run (run_id, started_at) that has none yet, in the session of its first event (null if it has no event).
+
+    Only events of dead runs, and ids that a gap would have, leave the events' own tasks.
+    """
+    gaps = dead_runs.select("run_id", "started_at").withColumn("event_id", ref(F.concat("run_id", F.lit(":coverage-gap"))))
+    few = gaps.count() <= _MOST_BROADCAST
+    of = lambda key: (F.broadcast if few else lambda df: df)(gaps.select(key).distinct())
+    first = events.join(of("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.min_by("session_id", "seq").alias("session_id"))
+    noted = events.select("event_id").join(of("event_id"), "event_id", "left_semi").distinct()
+    found = gaps.join(first, "run_id", "left").join(noted, "event_id", "left_anti")
+    return found.select("event_id", "run_id", "session_id", F.col("started_at").alias("ts"), F.lit("recorder_exit").alias("reason"), F.lit(0).cast("long").alias("dropped_at_least"))

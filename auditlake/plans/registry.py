@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical as C
 from ..operators import capture, correlate, integrity, policy, redaction, replica, scan, search, sessions
 from ..sources.adapters import AUDIT, CHAIN, audit_events, chain_events, spread, table
-from ..sources.shared import shared_path, written
+from ..sources.shared import dealt, shared_path, written
 from ..streaming import stateful, streams
 
 QUERIES: dict = {}
@@ -580,16 +580,17 @@ def wire_lines(spark, d):
 
 def _attempts(spark, d) -> DataFrame:
     """Orders as recorded actions: an attempt for each line item, an outcome for those that were returned or whose part is divisible by seven."""
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")])
+    lines = table(spark, d, "lineitem")
+    items = dealt(lines, lines.count(), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_linestatus", "l_returnflag")])
     rows = items.select(
         F.col("l_orderkey").cast("string").alias("action_id"), F.col("l_linenumber").cast("string").alias("attempt_id"),
         F.concat(F.lit("s"), F.pmod("l_orderkey", F.lit(100)).cast("string")).alias("session_id"), F.concat(F.lit("run"), F.pmod("l_suppkey", F.lit(10)).cast("string")).alias("run_id"),
         F.when(F.col("l_partkey") % 5 == 1, "hook").otherwise("proxy").alias("source"), F.when(F.col("l_linestatus") == "O", "deny").otherwise("allow").alias("decision"),
         ((F.col("l_returnflag") == "R") | (F.col("l_partkey") % 7 == 0)).alias("done"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"),
     )
-    columns = ("action_id", "attempt_id", "session_id", "run_id", "source", "decision")
-    phase = lambda name, place: ((F.col("n") * 2 + place).alias("seq"), F.lit(name).alias("phase"), F.concat("action_id", F.lit(f":{name}:"), "attempt_id").alias("event_id"))
-    return rows.select(*columns, *phase("attempt", 0)).unionByName(rows.where("done").select(*columns, *phase("outcome", 1)))
+    phase = lambda name, place: F.struct((F.col("n") * 2 + place).alias("seq"), F.lit(name).alias("phase"), F.concat("action_id", F.lit(f":{name}:"), "attempt_id").alias("event_id"))
+    phases = F.when(F.col("done"), F.array(phase("attempt", 0), phase("outcome", 1))).otherwise(F.array(phase("attempt", 0)))
+    return rows.select("action_id", "attempt_id", "session_id", "run_id", "source", "decision", F.explode(phases).alias("p")).select("*", "p.*").drop("p")
 
 
 def _runs(spark, d) -> DataFrame:
@@ -605,7 +606,8 @@ _LOST = """x AS (SELECT l_orderkey::VARCHAR AS action_id, l_linenumber::VARCHAR
     WHERE NOT done AND (e.run_id IN (SELECT 'run' || (s_suppkey % 10) FROM supplier WHERE s_suppkey % 10 < 3) OR (e.hook AND e.session_id IN (SELECT 's' || (c_custkey % 100) FROM customer WHERE c_custkey % 4 = 0)))""")
 def recovered_outcomes(spark, d):
     ended = table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("s"), F.pmod("c_custkey", F.lit(100)).cast("string")).alias("session_id"))
-    return capture.recovered_outcomes(_attempts(spark, d), _runs(spark, d), ended)
+    attempts = dealt(_attempts(spark, d), 2 * table(spark, d, "lineitem").count(), "action_id", "attempt_id")
+    return capture.recovered_outcomes(attempts, _runs(spark, d), ended)
 
 
 @query("recovery_gaps", f"""WITH {_LOST}, f AS (SELECT run_id, min_by(session_id, n) AS session_id FROM x GROUP BY 1), r AS (SELECT DISTINCT 'run' || (s_suppkey % 10) AS run_id FROM supplier WHERE s_suppkey % 10 < 3)

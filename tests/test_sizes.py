@@ -49,3 +49,10 @@ def test_a_text_of_all_events_is_met_by_many_tasks(spark, monkeypatch, sent):
     assert counts == {"plain": 6000, "ref": 1000}
     assert got.select("needle", "event_id").distinct().count() == 7000
     assert _most_in_a_task(got) < 1000
+
+
+def test_attempts_are_made_by_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_PER_TASK", 500, raising=False)
+    attempts = registry._attempts(spark, "/root/testdata/sf0.001")
+    assert _most_in_a_task(attempts) < 1500
+    assert attempts.where("phase = 'attempt'").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
