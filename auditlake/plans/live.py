@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import canonical as C
 from ..operators import correlate, integrity, policy, scan
 from ..sources import logs, tail
 from ..sources.adapters import AUDIT, CHAIN, audit_events, chain_events, table
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import stateful, streams
 from .registry import _ARGS, _SEALED, _TAMPERED, _calls, _tampered, query
 
@@ -60,15 +62,22 @@ def log_tail(spark, d):
     return logs.parsed_records(named).select("chain_id", F.col("n").alias("seq"), F.when(F.col("parsed"), "ok").otherwise("corrupt").alias("status"), C.ref(F.col("event")).alias("event_ref"))
 
 
-def _slices(df: DataFrame, path: str, by: str, cuts: list, closing: DataFrame) -> None:
-    """df as a folder of files that come one after another, split at the cuts, and a last one that lets the watermark pass all."""
-    bounds = [F.col(by) < cuts[0], *[(F.col(by) >= a) & (F.col(by) < b) for a, b in zip(cuts, cuts[1:])], F.col(by) >= cuts[-1]]
-    for some in [*[df.where(b) for b in bounds], closing]:
-        some.coalesce(1).write.mode("append").parquet(path)
+def _fed(spark, feeds: dict[str, list[DataFrame]], build: Callable[..., DataFrame], write: Callable[[DataFrame, int], None], state: str) -> None:
+    """Slices that come one after another into the folder of each feed, each followed by what the stream built over the folders makes of it.
+
+    A slice has the files of all tasks that write it and is a micro-batch of its own, as the stream runs to its end before the next one comes.
+    """
+    for some in zip(*feeds.values()):
+        for path, part in zip(feeds, some):
+            part.write.mode("append").parquet(path)
+        sources = [spark.readStream.schema(part.schema).option("pathGlobFilter", "*.parquet").parquet(path) for path, part in zip(feeds, some)]
+        streams.run_to_end(build(*sources), write, state)
 
 
-def _stream(spark, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(path)
+def _slices(df: DataFrame, by: str, cuts: list, closing: DataFrame) -> list[DataFrame]:
+    """df split at the cuts, and a last slice that lets the watermark pass all."""
+    bounds = [F.col(by) < cuts[0], *[(F.col(by) >= a) & (F.col(by) < b) for a, b in zip(cuts, cuts[1:])], F.col(by) >= cuts[-1]]
+    return [*[df.where(b) for b in bounds], closing]
 
 
 _ENDED = "2099-01-01 00:00:00"
@@ -92,11 +101,10 @@ def stream_request_response(spark, d):
     responses = e.where("event_id % 3 <> 0").select(F.when(n % 7 == 0, -n - 1).otherwise(n).alias("request_id"), late.alias("answered_at"))
     end = lambda df: spark.createDataFrame([(None, _ENDED)], "request_id long, at string").select("request_id", F.col("at").cast("timestamp").alias(df.columns[1]))
     cuts = _cuts(e)
-    _slices(requests, asked, "asked_at", cuts, end(requests))
-    _slices(responses, answered, "answered_at", cuts, end(responses))
-    calls = stateful.live_request_response(_stream(spark, asked), _stream(spark, answered), ["request_id"], "300 seconds")
-    streams.run_to_end(calls.where("request_id is not null"), stateful.by_batch(out), shared_path(spark, "calls-state"))
-    return spark.read.schema(calls.schema).parquet(out).select("request_id", "status", "duration_ms")
+    feeds = {asked: _slices(requests, "asked_at", cuts, end(requests)), answered: _slices(responses, "answered_at", cuts, end(responses))}
+    calls = lambda q, r: stateful.live_request_response(q, r, ["request_id"], "300 seconds").where("request_id is not null")
+    _fed(spark, feeds, calls, stateful.by_batch(out), shared_path(spark, "calls-state"))
+    return spark.read.schema("request_id long, asked_at timestamp, answered_at timestamp, duration_ms double, status string").parquet(out).select("request_id", "status", "duration_ms")
 
 
 @query("stream_silence", f"""WITH {AUDIT}, a AS (SELECT DISTINCT chain_id, ts FROM e WHERE chain_id <> 'c7'), g AS (SELECT chain_id, ts AS silent_from, coalesce(lead(ts) OVER (PARTITION BY chain_id ORDER BY ts), TIMESTAMP '{_ENDED}') AS silent_until FROM a)
@@ -107,23 +115,22 @@ def stream_silence(spark, d):
     e = audit_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     arrivals = e.select("chain_id", F.col("ts").alias("received_at"))
     end = spark.createDataFrame([(None, _ENDED)], "chain_id string, at string").select("chain_id", F.col("at").cast("timestamp").alias("received_at"))
-    _slices(arrivals, path, "received_at", _cuts(e), end)
     forked = spark.createDataFrame([("c7",)], "chain_id string")
-    alerts = stateful.silence_alerts(_stream(spark, path), 6 * 3600, forked=forked)
-    streams.run_to_end(alerts, stateful.by_batch(out), shared_path(spark, "silence-state"))
-    told = stateful.outages(spark.read.schema(alerts.schema).parquet(out), F.lit(_ENDED).cast("timestamp"))
+    alerts = lambda a: stateful.silence_alerts(a, 6 * 3600, forked=forked)
+    _fed(spark, {path: _slices(arrivals, "received_at", _cuts(e), end)}, alerts, stateful.by_batch(out), shared_path(spark, "silence-state"))
+    told = stateful.outages(spark.read.schema(stateful.OUTAGES).parquet(out), F.lit(_ENDED).cast("timestamp"))
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return told.select("chain_id", ntz("silent_from"), ntz("silent_until"))
 
 
-def _offered(spark, d, path: str, sound: bool) -> None:
-    """Sealed chains in two parts that overlap, or, not sound, as a folder of three files: their first half; all but c1 to c4 whole, with an overlap; and what c1 to c4 claim instead.
+def _offered(spark, d, sound: bool) -> list[DataFrame]:
+    """Sealed chains in two parts that overlap, or, not sound, in three: their first half; all but c1 to c4 whole, with an overlap; and what c1 to c4 claim instead.
 
     Of c1 a stored record comes back altered, c2 goes on behind a gap, c3 links to another head, and c4 breaks a link within.
     """
-    sealed = integrity.seal(chain_events(spark, d)).drop("event")
+    sealed = written(integrity.seal(chain_events(spark, d)).drop("event"), "sealed")
     n = sealed.groupBy("chain_id").agg(F.max("seq").alias("n"))
-    rows = sealed.join(n, "chain_id").withColumn("half", F.floor(F.col("n") / 2))
+    rows = sealed.join(F.broadcast(n), "chain_id").withColumn("half", F.floor(F.col("n") / 2))  # a fixed number of chains
     odd = F.lit(False) if sound else F.col("chain_id").isin("c1", "c2", "c3", "c4")
     columns = sealed.columns
     first = rows.where("seq <= half").select(columns)
@@ -133,15 +140,13 @@ def _offered(spark, d, path: str, sound: bool) -> None:
     hash_ = F.when((F.col("chain_id") == "c1") & (seq == half), other).otherwise(F.col("hash"))
     prev = F.when((F.col("chain_id") == "c3") & (seq == half + 1), other).when((F.col("chain_id") == "c4") & (seq == half + 3), other).otherwise(F.col("prev_hash"))
     claims = claims.withColumn("hash", hash_).withColumn("prev_hash", prev).select(columns)
-    for some in (first, second, claims):
-        some.coalesce(1).write.mode("append").parquet(path)
+    return [first, second] if sound else [first, second, claims]
 
 
 def _ingested(spark, d, sound: bool = False) -> tuple[str, str]:
     records, out, refused = (shared_path(spark, n) for n in ("offered", "chains", "refused"))
-    _offered(spark, d, records, sound)
-    admitted = stateful.ingest_chains(_stream(spark, records))
-    streams.run_to_end(admitted, stateful.by_batch(out, refused, split=stateful.admitted_and_refused), shared_path(spark, "chain-state"))
+    write = stateful.by_batch(out, refused, split=stateful.admitted_and_refused)
+    _fed(spark, {records: _offered(spark, d, sound)}, stateful.ingest_chains, write, shared_path(spark, "chain-state"))
     return out, refused
 
 
@@ -217,8 +222,9 @@ def stream_policy_filter(spark, d):
     n = F.col("event_id").cast("string")
     secret = F.concat(F.lit("key AKIA"), F.lpad(n, 16, "0"), F.lit(" end"))
     calls = _under_policies(spark, d).select("event_id", "policy_hash", "server", "tool", "args", F.when(F.col("event_id") % 10 == 0, secret).otherwise(F.concat(F.lit("result "), n)).alias("result"))
-    calls.repartition(3, "event_id").write.parquet(path)
-    decided = policy.evaluate_table(_stream(spark, path), policy.rule_table(spark, DOCUMENTS)).select("event_id", "action", "rule", scan.redact(F.col("result")).alias("result"))
-    streams.run_to_end(decided, stateful.by_batch(out), shared_path(spark, "policy-state"))
-    return spark.read.schema(decided.schema).parquet(out).select(*decided.columns)
-
+    calls = written(calls, "all-calls")
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    rules = policy.rule_table(spark, DOCUMENTS)
+    decided = lambda c: policy.evaluate_table(c, rules).select("event_id", "action", "rule", scan.redact(F.col("result")).alias("result"))
+    _fed(spark, {path: [calls.where(third == i) for i in range(3)]}, decided, stateful.by_batch(out), shared_path(spark, "policy-state"))
+    return spark.read.schema("event_id long, action string, rule string, result string").parquet(out).select("event_id", "action", "rule", "result")

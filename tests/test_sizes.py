@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import canonical as C
 from auditlake.operators import search
-from auditlake.plans import registry
+from auditlake.plans import live, registry
 from auditlake.sources import shared
+from auditlake.streaming import stateful
 
 
 def test_equal_spans_are_merged_alike(spark, tmp_path):
@@ -56,3 +57,10 @@ def test_attempts_are_made_by_as_many_tasks_as_their_rows_need(spark, monkeypatc
     attempts = registry._attempts(spark, "/root/testdata/sf0.001")
     assert _most_in_a_task(attempts) < 1500
     assert attempts.where("phase = 'attempt'").count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_a_slice_of_many_files_is_one_micro_batch(spark, tmp_path):
+    parts = [spark.range(i * 8, i * 8 + 8).repartition(4) for i in range(2)]
+    live._fed(spark, {f"{tmp_path}/in": parts}, lambda s: s, stateful.by_batch(f"{tmp_path}/out"), f"{tmp_path}/state")
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 8
+    assert sorted((r.batch, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i // 8, i) for i in range(16)]
