@@ -213,7 +213,7 @@ def _with_secrets(spark, d) -> DataFrame:
     key = F.concat(lit("AKIA"), F.lpad(n, 16, "0"))
     note = F.concat(lit("first "), key, lit(" then "), key, F.when(F.col("event_id") % 4 == 0, F.concat(lit(" and ghp_"), lit("a" * 15), F.lpad(n, 8, "0"))).otherwise(""))
     event = F.concat(lit('{"kind":"tool_call","arguments":{"note":"'), note, lit('"}}'))
-    return spread(audit_events(spark, d).select("event_id", "session_id", event.alias("event"))).withColumn("event", redaction.scrub(F.col("event"), lockdown=True))
+    return spread(audit_events(spark, d).select("event_id", "session_id", event.alias("event")), "event_id").withColumn("event", redaction.scrub(F.col("event"), lockdown=True))
 
 
 @query("embedded_secret_refs", f"""WITH {AUDIT} SELECT event_id, {_REF.format(_NOTE)} AS ref, list_filter([{_REF.format(_TOKEN)}, CASE WHEN event_id % 4 = 0 THEN {_REF.format("'ghp_' || repeat('a', 15) || lpad(event_id::VARCHAR, 8, '0')")} END], lambda x: x IS NOT NULL) AS secret_refs FROM e""")

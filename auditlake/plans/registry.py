@@ -236,7 +236,7 @@ def _calls(spark, d) -> DataFrame:
     """Events with nested arguments."""
     lit, text = F.lit, lambda c: F.col(c).cast("string")
     args = F.concat(lit('{"k":'), text("k"), lit(',"to":["u'), text("user_id"), lit('","'), "tool", lit('"],"note":{"n":"'), "server", lit(" "), text("k"), lit('"}}'))
-    return spread(audit_events(spark, d).withColumn("args", args))
+    return spread(audit_events(spark, d).withColumn("args", args), "event_id")
 
 
 @query("policy_first_match", f"WITH {AUDIT}, {_EVALUATED} SELECT event_id, action, rule, false AS fail_closed FROM v")
@@ -309,22 +309,22 @@ _COUNTS = lambda families, text: ", ".join(f"len(regexp_extract_all(coalesce({te
 
 @query("secret_family_counts", f"SELECT doc_id, {_COUNTS(scan.SECRET_FAMILIES, 'text')} FROM documents")
 def secret_family_counts(spark, d):
-    return scan.family_counts(spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text", scan.SECRET_FAMILIES).drop("text")
+    return scan.family_counts(spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id"), "text", scan.SECRET_FAMILIES).drop("text")
 
 
 @query("secret_context_counts")
 def secret_context_counts(spark, d):
-    return scan.family_counts(spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text", scan.CONTEXT_FAMILIES).drop("text")
+    return scan.family_counts(spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id"), "text", scan.CONTEXT_FAMILIES).drop("text")
 
 
 @query("secret_redaction")
 def secret_redaction(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", scan.redact_with_refs(F.col("text"), scan.ALL_SECRETS).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", scan.redact_with_refs(F.col("text"), scan.ALL_SECRETS).alias("text"))
 
 
 @query("injection_counts", f"SELECT page_id, {_COUNTS(scan.INJECTION_FAMILIES, 'html')} FROM pages")
 def injection_counts(spark, d):
-    return scan.family_counts(spread(table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))), "html", scan.INJECTION_FAMILIES).drop("html")
+    return scan.family_counts(spread(table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")), "page_id"), "html", scan.INJECTION_FAMILIES).drop("html")
 
 
 @query("secret_token_refs", " UNION ".join(f"SELECT page_id, '{n}' AS family, {_REF.format('t')} AS ref FROM (SELECT page_id, unnest(regexp_extract_all(html, '{p.replace(chr(39), chr(39) * 2)}')) AS t FROM pages)" for n, p in scan.SECRET_FAMILIES.items()))
@@ -337,7 +337,7 @@ def secret_token_refs(spark, d):
 def secret_spans(spark, d):
     """All families' matches that are neither code nor placeholders, at their places."""
     spans = F.explode(scan.span_columns(F.col("html"))).alias("s")
-    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", "html", spans).select("page_id", "s.*", C.ref(F.substring("html", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("ref"))
+    return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", "html", spans).select("page_id", "s.*", C.ref(F.substring("html", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("ref"))
 
 
 _SUM = lambda families: " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p.replace(chr(39), chr(39) * 2)}'))" for p in families.values())
@@ -345,13 +345,13 @@ _SUM = lambda families: " + ".join(f"len(regexp_extract_all(coalesce(text, ''),
 
 @query("boundary_verdict", f"SELECT conv_id, s AS secrets_found, i AS injection_found, false AS oversize, CASE WHEN s > 0 THEN 'redact' WHEN i > 0 THEN 'flag' ELSE 'none' END AS action FROM (SELECT conv_id, sum({_SUM(scan.SECRET_FAMILIES)})::BIGINT AS s, sum({_SUM(scan.INJECTION_FAMILIES)})::BIGINT AS i FROM conversations GROUP BY 1)")
 def boundary_verdict(spark, d):
-    return scan.verdict(spread(table(spark, d, "conversations").select("conv_id", "text")), "conv_id", "text").drop("secret_refs")
+    return scan.verdict(spread(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn"), "conv_id", "text").drop("secret_refs")
 
 
 @query("boundary_redaction")
 def boundary_redaction(spark, d):
     """Pages with their secrets and injections replaced."""
-    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", scan.redact(F.col("html"), injections=True).alias("html"))
+    return spread(table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", scan.redact(F.col("html"), injections=True).alias("html"))
 
 
 @query("merge_spans", f"""WITH {AUDIT}, s AS (SELECT session_id, k AS start, k + 3 + k % 5 AS "end" FROM e), m AS (SELECT *, max("end") OVER (PARTITION BY session_id ORDER BY start NULLS FIRST, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
@@ -460,7 +460,7 @@ _EVENTS = """j AS (SELECT event_id, session_id, kind, tool, server, k, user_id,
 def _json_events(spark, d) -> DataFrame:
     lit, text = F.lit, lambda c: F.col(c).cast("string")
     parts = [lit('{"kind":"'), "kind", lit('","tool":"'), "tool", lit('","server":{"name":"'), "server", lit('"},"identity":{"credential_fingerprints":[{"name":"T","ref":"'), C.ref(F.concat(lit("who"), F.pmod("user_id", lit(3)).cast("string"))), lit('"}]},"arguments":{"k":{"redacted":true,"ref":"'), C.ref(text("k")), lit('","len":2}},"note":"user u'), text("user_id"), lit(' asks"}')]
-    return spread(audit_events(spark, d).select("event_id", "session_id", "k", "user_id", F.concat(*parts).alias("event")))
+    return spread(audit_events(spark, d).select("event_id", "session_id", "k", "user_id", F.concat(*parts).alias("event")), "event_id")
 
 
 @query("event_blast_radius", f"""WITH {AUDIT}, {_EVENTS}, n AS (SELECT DISTINCT needle FROM (SELECT k::VARCHAR AS needle FROM e WHERE k < 20 UNION ALL SELECT 'ser u' || user_id || ' ' FROM e WHERE user_id % 10 = 3 UNION ALL SELECT 'SERVER_1' UNION ALL SELECT 'who2' UNION ALL SELECT '' UNION ALL SELECT 'u')),

@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df for work that is heavy for each row: over as many tasks as a shuffle has, where its files give fewer (a row group is one task)."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df for work that is heavy for each row: over as many tasks as a shuffle has, where its files give fewer (a row group is one task).
+
+    The keys tell rows apart. Rows are dealt by them, not in turn: for that Spark sorts all that a task has read, a whole row group.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df if df.rdd.getNumPartitions() > n else df.repartition(n)
+    return df if df.rdd.getNumPartitions() > n else df.repartition(n, *keys)
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:

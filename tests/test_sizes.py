@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import canonical as C
 from auditlake.operators import search
-from auditlake.plans import live, registry
-from auditlake.sources import shared
+from auditlake.plans import live, records, registry
+from auditlake.sources import adapters, shared
 from auditlake.streaming import stateful
 
 
@@ -64,3 +64,12 @@ def test_a_slice_of_many_files_is_one_micro_batch(spark, tmp_path):
     live._fed(spark, {f"{tmp_path}/in": parts}, lambda s: s, stateful.by_batch(f"{tmp_path}/out"), f"{tmp_path}/state")
     assert len(list((tmp_path / "in").glob("*.parquet"))) == 8
     assert sorted((r.batch, r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(i // 8, i) for i in range(16)]
+
+
+def test_rows_are_spread_over_all_tasks_without_a_sort(spark):
+    some = adapters.spread(spark.range(10_000, numPartitions=1).select(F.col("id").alias("event_id")), "event_id")
+    assert _most_in_a_task(some) < 3500
+    assert some.distinct().count() == 10_000
+    for df in (some, records._with_secrets(spark, "/root/testdata/sf0.001"), registry.QUERIES["secret_redaction"](spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "RoundRobinPartitioning" not in plan  # dealing rows in turn sorts what a task has read
