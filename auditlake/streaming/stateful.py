@@ -46,12 +46,26 @@ def by_batch(*paths: str, split: Callable[[DataFrame], list[DataFrame]] | None =
 INGESTED = "chain_id string, seq long, prev_hash string, hash string, reason string, stored_hash string"
 
 
+#: Hashes of a chain that its state keeps as one entry: each entry that is read or written is a call to the state store.
+_BLOCK = 512
+
+
 class _Chain(StatefulProcessor):
-    """A chain's head and hashes; admits a suffix or nothing."""
+    """A chain's head and hashes, the latter by blocks of ``_BLOCK`` seqs; admits a suffix or nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "seq long, hash string, forked boolean")
-        self.hashes = handle.getMapState("hashes", "seq long", "hash string")
+        self.blocks = handle.getMapState("blocks", "block long", "hashes array<string>")
+
+    def _block(self, number: int) -> list[str]:
+        return list(self.blocks.getValue((number,))[0]) if self.blocks.containsKey((number,)) else []
+
+    def _store(self, seq: int, hashes: list[str]) -> None:
+        """Hashes that follow the one of seq; all up to it are stored."""
+        for number in range(seq // _BLOCK, -(-(seq + len(hashes)) // _BLOCK)):
+            start = max(number * _BLOCK, seq)
+            old = self._block(number) if start > number * _BLOCK else []
+            self.blocks.updateValue((number,), ([*old, *hashes[start - seq : (number + 1) * _BLOCK - seq]],))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         (chain,) = key
@@ -61,9 +75,14 @@ class _Chain(StatefulProcessor):
         if forked:
             yield from (refusal(r, "fork") for r in offered[:1])
             return
-        branches = []
+        branches, number, block = [], None, []
         for r, after in zip(offered, [*offered[1:], None]):
-            known = self.hashes.getValue((r[0],))[0] if 0 < r[0] <= seq and self.hashes.containsKey((r[0],)) else None
+            known = None
+            if 0 < r[0] <= seq:  # in order of seq, so that each block is read once
+                if number != (r[0] - 1) // _BLOCK:
+                    number = (r[0] - 1) // _BLOCK
+                    block = self._block(number)
+                known = block[(r[0] - 1) % _BLOCK]
             if known is not None and known != r[1]:
                 branches.append(refusal(r, "fork", known))
             elif after is not None and after[0] == r[0]:
@@ -87,8 +106,8 @@ class _Chain(StatefulProcessor):
             self.head.update((seq, hash_, True))
             yield from branches
             return
+        self._store(seq, [r[1] for r in new])
         for r in new:
-            self.hashes.updateValue((r[0],), (r[1],))
             yield Row(chain_id=chain, seq=r[0], prev_hash=r[2], hash=r[1], reason=None, stored_hash=None)
         if new:
             self.head.update((new[-1][0], new[-1][1], False))

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from auditlake.functions import canonical as C
@@ -73,3 +74,54 @@ def test_rows_are_spread_over_all_tasks_without_a_sort(spark):
     for df in (some, records._with_secrets(spark, "/root/testdata/sf0.001"), registry.QUERIES["secret_redaction"](spark, "/root/testdata/sf0.001")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan and "RoundRobinPartitioning" not in plan  # dealing rows in turn sorts what a task has read
+
+
+def test_no_task_writes_a_whole_slice_of_chains(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    try:
+        for part in live._offered(spark, "/root/testdata/sf0.001", sound=False)[:2]:
+            assert _most_in_a_task(part) < 0.6 * part.count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+class _State:
+    """A state of a processor that counts the calls to it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, key, value=None):
+        self.calls += 1
+        return self.held.get(key) if value is None else self.held.update({key: value})
+
+    def get(self):
+        return self._call(())
+
+    def update(self, value):
+        self._call((), value)
+
+    def containsKey(self, key):
+        return self._call(key) is not None
+
+    getValue = updateValue = _call
+
+    def getValueState(self, name, *kinds):
+        return self.__dict__.setdefault(name, _State())
+
+    getMapState = getValueState
+
+
+def test_a_chain_calls_its_state_for_blocks_of_records():
+    handle, chain = _State(), stateful._Chain()
+    chain.init(handle)
+    record = lambda seq, hash_=None: Row(chain_id="c", seq=seq, prev_hash=f"h{seq - 1}" if seq > 1 else C.GENESIS_HASH, hash=hash_ or f"h{seq}")
+    offer = lambda rows: [(r.seq, r.hash, r.reason, r.stored_hash) for r in chain.handleInputRows(("c",), iter(rows), None)]
+    end = 0
+    for start, stop in ((1, 700), (690, 700), (500, 1024), (1025, 1026), (3, 3000)):  # ends within blocks and at their edges, and overlaps
+        assert offer(record(i) for i in range(start, stop + 1)) == [(i, f"h{i}", None, None) for i in range(end + 1, stop + 1)]
+        end = stop
+    assert sum(s.calls for s in (handle.head, *[s for n, s in vars(handle).items() if n in ("hashes", "blocks")])) < 100
+    assert offer([record(3002)]) == [(3002, "h3002", "gap", None)]
+    assert offer(record(i, "x" if i in (2, 512, 513, 3000) else None) for i in range(1, 3001)) == [(i, "x", "fork", f"h{i}") for i in (2, 512, 513, 3000)]
+    assert offer([record(3001)]) == [(3001, "h3001", "fork", None)]
